@@ -320,3 +320,182 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, tau: int = 3) -> DataFra
     ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classed.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+# -- texts of similar shingles --------------------------------------------------------------------------------------------
+
+#: Shingles that a partial fingerprint covers on average, and partial fingerprints at each level.
+PART_SHINGLES, PARTS = 6, 16
+
+
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, 42) for s in set(shingle_bytes(text, width))), np.uint64))
+
+
+def part_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of the SimHash fingerprints of shingle classes (hash modulo 2^level) at the two levels where a class holds
+    a few shingles. Texts at similarity 0.8 share a level, and with a chance above 0.95 a whole class."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    first = max(0, round(float(np.log2(len(h) / PART_SHINGLES))))
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    out = []
+    for level in (first, first + 1):
+        c = (h & np.uint64((1 << level) - 1)).astype(np.int64)
+        at = np.flatnonzero(c < PARTS)
+        at = at[np.argsort(c[at], kind="stable")]
+        if not len(at):
+            continue
+        own, start, n = np.unique(c[at], return_index=True, return_counts=True)
+        sums = np.add.reduceat(bits[at], start, axis=0)
+        raw = np.packbits(2 * sums > n[:, None], axis=1)
+        out += [xxhash.xxh64_intdigest(r.tobytes() + bytes([level, k])) for r, k in zip(raw, own.tolist())]
+    return np.asarray(out, np.uint64).view(np.int64)
+
+
+def _similar(sets: list[np.ndarray], at_least: float, split: int | None) -> list[tuple[int, int]]:
+    """Links that join all sets whose chains of Jaccard similarity ``at_least`` join them (see _forest)."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    side = np.zeros(len(sets), bool) if split is None else np.arange(len(sets)) < split
+
+    def postings(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate([sets[i] for i in left])
+        doc = np.repeat(left, n[left])
+        order = np.argsort(flat, kind="stable")
+        return flat[order], doc[order]
+
+    free = np.ones(len(sets), bool)
+    term, doc = postings(np.arange(len(sets)))
+    built = len(sets)
+    found: list[tuple[int, int]] = []
+    for seed in np.argsort(-n, kind="stable").tolist():
+        if not free[seed]:
+            continue
+        free[seed] = False
+        front = [seed]
+        while front:
+            at = front.pop()
+            left = np.flatnonzero(free)
+            if not len(left):
+                return found
+            if 2 * len(left) < built:
+                (term, doc), built = postings(left), len(left)
+            lo, hi = np.searchsorted(term, sets[at]), np.searchsorted(term, sets[at], "right")
+            size = hi - lo
+            total = int(size.sum())
+            if not total:
+                continue
+            hits = doc[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(total)]
+            shared = np.bincount(hits, minlength=len(sets))
+            ok = free & (shared >= at_least * (n + n[at] - shared) - 1e-9) & (shared > 0)
+            if split is not None:
+                ok &= side != side[at]
+            new = np.flatnonzero(ok).tolist()
+            for i in new:
+                free[i] = False
+            front += new
+            found += [(at, i) for i in new]
+    return found
+
+
+def similar_texts(docs: DataFrame, *, width: int = 5, at_least: float = 0.8, tau: int = 3, block: int = 2048) -> DataFrame:
+    """doc_id and component_id (smallest doc_id) of every row: groups over texts that are equal or whose sets of
+    ``width``-word shingles have a Jaccard similarity of ``at_least``.
+
+    Candidates are texts whose whole fingerprints differ in at most ``tau`` bits, or that share a partial fingerprint;
+    they are verified on their whole shingle sets. Texts without words are alike only if equal, null is the empty text,
+    rows of one doc_id fall into one group, a null doc_id is -1, an empty table gives no rows."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    out = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for k in range(0, len(texts), 1000):
+                part = texts[k : k + 1000]
+                sets = [shingle_hashes(t, width) for t in part]
+                cols = [
+                    b.column("doc_id").slice(k, len(part)),
+                    pa.array([xxhash.xxh3_128_hexdigest(t.encode()) for t in part], pa.string()),
+                    pa.array(np.fromiter((simhash(t, width) for t in part), np.uint64, len(part)).view(np.int64)),
+                    pa.array([part_keys(s) for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, schema=out)
+
+    signed = materialize(rows.mapInArrow(sign, "doc_id long, same string, fp long, keys array<long>"), "text-signatures")
+    # Equal texts: one stands for all.
+    ids = signed.groupBy("same").agg(F.min("doc_id").alias("first"))
+    equal = materialize(signed.select("doc_id", "same").join(ids, "same").select("doc_id", "first"), "equal-texts")
+    alone = signed.join(equal.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi")
+    # Candidates: buckets as stars around their smallest member, fingerprint links as they are.
+    keyed = alone.select("doc_id", F.explode("keys").alias("key"))
+    centre = keyed.groupBy("key").agg(F.min("doc_id").alias("a"))
+    stars = keyed.join(centre, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    wordy = materialize(alone.where(F.size("keys") > 0).groupBy("fp").agg(F.min("doc_id").alias("least")), "text-nodes")
+    close = links(wordy, tau)
+    first, second = wordy.toDF("a", "x"), wordy.toDF("b", "y")
+    close = close.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same_fp = alone.where(F.size("keys") > 0).select("doc_id", "fp").join(wordy, "fp").where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    groups = materialize(components(stars.union(close).union(same_fp)).toDF("doc_id", "group").distinct(), "candidate-groups")
+    edges = _verified(rows, groups, width, at_least, block)
+    near = components(edges.union(equal.where("doc_id <> first").toDF("b", "a").select("a", "b"))).toDF("doc_id", "root").distinct()
+    return signed.select("doc_id").join(near, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, block: int) -> DataFrame:
+    """Links (a, b) of doc_ids within candidate groups. Groups above ``block`` texts go as pairs of blocks."""
+    large = groups.groupBy("group").count().select("group", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    dealt = groups.join(large, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = materialize(dealt, "candidate-blocks")
+    texts = rows.join(dealt, "doc_id").dropDuplicates(["doc_id"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "group", "blocks", "own", "set"]
+        for b in batches:
+            sets = [shingle_hashes(t, width).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(sets, pa.binary())], names=names)
+
+    sets = texts.mapInArrow(shingled, "doc_id long, group long, blocks int, own int, set binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = sets.select("*", other).selectExpr(
+        "group", "least(own, other) * blocks + greatest(own, other) AS pair", "CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END AS side", "doc_id", "set",
+    )
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(n, "group", "pair").sortWithinPartitions("group", "pair", "side", "doc_id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def solved() -> pa.RecordBatch:
+            ids = [x[1] for x in held]
+            split = None if held[-1][0] == 0 else sum(x[0] == 1 for x in held)
+            got = _similar([np.frombuffer(x[2], np.uint64) for x in held], at_least, split) if len(held) > 1 and split != 0 and split != len(held) else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in got], pa.int64()), pa.array([ids[j] for _, j in got], pa.int64())], schema=schema)
+
+        for b in batches:
+            for group, pair, side, doc, raw in zip(*(b.column(c).to_pylist() for c in ("group", "pair", "side", "doc_id", "set"))):
+                if now != (group, pair):
+                    if held:
+                        yield solved()
+                    now, held = (group, pair), []
+                held.append((side, doc, raw))
+        if held:
+            yield solved()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` less those in whose group of similar texts another has a smaller doc_id; of rows with one
+    doc_id one stays. All columns stay."""
+    found = similar_texts(docs, **how)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
+    mark = "murmura_doc_key"
+    keyed = docs.withColumn(mark, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    one = F.row_number().over(Window.partitionBy(mark).orderBy(F.xxhash64("text")))
+    joined = keyed.join(materialize(kept.withColumnRenamed("kept_doc_id", mark), "kept-ids"), mark, "left_semi")
+    return joined.withColumn("murmura_row", one).where("murmura_row = 1").select(*docs.columns)
