@@ -142,7 +142,7 @@ def final_score(rows: DataFrame, *, floor: bool, case_status: bool, as_of: str)
     out = F.col("s2")
     if case_status:
         rows = rows.withColumns(penalty_fields(title))
-        age = (F.lit(as_of).cast("timestamp").cast("double") - F.col("published_at").cast("double")) / 86400.0
+        age = (F.lit(as_of).cast("timestamp").cast("double") - F.col("published_at").cast("timestamp").cast("double")) / 86400.0
         cap, _ = penalty_cap(age)
         status, over = F.col("case_status"), F.col("s2") > R.STATUS_CAP
         held = status.isin(R.CAPPED_STATUSES) | ((status == "penalty_or_order") & cap)
