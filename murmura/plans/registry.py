@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from murmura.plans.star import Star
 
-GROUPS = ["q_scores", "q_reports"]
+GROUPS = ["q_scores", "q_reports", "q_text"]
 
 
 def _entries() -> dict[str, tuple[Callable[[Star], DataFrame], str | None]]:
