@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.operators.components import components
 from murmura.scratch import materialize
 
 BITS = 64
@@ -284,28 +285,7 @@ def links(nodes: DataFrame, tau: int, *, block: int = BLOCK) -> DataFrame:
     return _links(dealt, tau).distinct()
 
 
-# -- components -----------------------------------------------------------------------------------------------------------
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) of every node of the undirected ``edges`` (a, b).
-
-    Alternating large-star and small-star steps; each step's edges are written, the loop ends when none changes."""
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    seen = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        low = star.groupBy("b").agg(F.min("a").alias("m"))
-        small = star.join(low, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("b"))
-        edges = materialize(small.where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
-                edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-            )
-        seen = now
+# -- groups -------------------------------------------------------------------------------------------------------------
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, tau: int = 3) -> DataFrame:
