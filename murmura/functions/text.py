@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Boilerplate, executive titles, legal suffixes, risk words.
 BOILERPLATE = [
@@ -59,12 +60,12 @@ def clean_one(text: str | None) -> str:
     return "" if PLACEHOLDERS.match(out) or len(out) < LEAST_CHARS else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_document(texts: pd.Series) -> pd.Series:
     return texts.map(clean_one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

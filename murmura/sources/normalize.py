@@ -19,11 +19,12 @@ SCHEMAS = {
     "instagram": "url string, caption string, ownerUsername string, timestamp string, commentsCount int, playCount int, videoPlayCount int, videoViewCount int",
     "reddit": "title string, body string, url string, username string, upVotes int, numberOfComments int, createdAt string",
 }
-NO = F.lit(None)
 
 
-def _row(kind: str, title: Column, content: Column, url: Column, author: Column, published: Column, views: Column = NO, comments: Column = NO) -> list[Column]:
-    values = [F.lit(kind), title, content, url, author, published, views.cast("int"), comments.cast("int")]
+def _row(kind: str, title: Column, content: Column, url: Column, author: Column | None, published: Column, views: Column | None = None, comments: Column | None = None) -> list[Column]:
+    none = F.lit(None)
+    values = [F.lit(kind), title, content, url, none.cast("string") if author is None else author, published]
+    values += [(none if c is None else c).cast("int") for c in (views, comments)]
     return [v.alias(n) for v, n in zip(values, NORMALIZED)]
 
 
@@ -46,7 +47,7 @@ def normalize_rss(raw: DataFrame, keep: list[str]) -> DataFrame:
 
 def normalize_gdelt(raw: DataFrame, keep: list[str]) -> DataFrame:
     at = F.try_to_timestamp("seendate", F.lit("yyyyMMdd'T'HHmmss'Z'"))
-    return _parsed(raw, "gdelt").select(*keep, *_row("gdelt", F.col("title"), F.col("title"), F.col("url"), NO.cast("string"), at))
+    return _parsed(raw, "gdelt").select(*keep, *_row("gdelt", F.col("title"), F.col("title"), F.col("url"), None, at))
 
 
 def normalize_hn(raw: DataFrame, keep: list[str]) -> DataFrame:
