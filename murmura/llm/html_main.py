@@ -39,6 +39,7 @@ STOP_WORDS = frozenset(
     "al como con del el ella ellos entre era ese eso esta este fue ha hay los las lo más muy o para pero por porque según sin sobre su sus también una y ya".split()
 )
 _WORD = re.compile(r"\w+")
+_CUT_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*\Z")  # a tag that the page ends in
 
 
 @dataclass
@@ -59,6 +60,7 @@ class Block:
     tag: str
     furniture: bool
     article: bool
+    parent: int
     label: bool | None = field(default=None)  # True: main text, False: not, None: ambiguous
 
 
@@ -67,7 +69,8 @@ class _Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, furniture, article, number
+        self.opened = 0
         self.silent = 0
         self.silent_tag = ""
         self.link = False
@@ -79,8 +82,8 @@ class _Blocks(HTMLParser):
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            furniture, article = (self.open[-1][1], self.open[-1][2]) if self.open else (False, False)
-            self.blocks.append(Block(text, self.link_chars, self.tag, furniture, article))
+            _, furniture, article, parent = self.open[-1] if self.open else ("", False, False, 0)
+            self.blocks.append(Block(text, self.link_chars, self.tag, furniture, article, parent))
         self.parts, self.link_chars = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -101,7 +104,7 @@ class _Blocks(HTMLParser):
         named = dict(attrs)
         words = set(re.split(r"[^a-z0-9]+", f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
         role = (named.get("role") or "").lower()
-        inside = self.open[-1] if self.open else ("", False, False)
+        inside = self.open[-1] if self.open else ("", False, False, 0)
         article = inside[2] or tag in ("article", "main") or role in ("main", "article") or named.get("itemprop") == "articleBody"
         if tag in ("html", "body", "main"):
             own = False
@@ -113,10 +116,10 @@ class _Blocks(HTMLParser):
         if tag in BLOCK_TAGS or own and tag not in VOID_TAGS:
             self.end_block()
             self.tag = tag
-            if tag not in VOID_TAGS and tag != "p":
-                self.open.append((tag, inside[1] or own, article))
-            elif own and tag == "p":
-                self.open.append((tag, True, article))
+            # Headings and paragraphs that are no furniture enclose no other blocks.
+            if tag not in VOID_TAGS and (own or tag != "p" and not (tag[:1] == "h" and tag[1:].isdigit())):
+                self.opened += 1
+                self.open.append((tag, inside[1] or own, article, self.opened))
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
@@ -125,7 +128,7 @@ class _Blocks(HTMLParser):
             return
         if tag == "a":
             self.link = False
-        if tag in BLOCK_TAGS or any(t == tag for t, _, _ in self.open):
+        if tag in BLOCK_TAGS or any(o[0] == tag for o in self.open):
             self.end_block()
             self.tag = ""
             for i in range(len(self.open) - 1, -1, -1):
@@ -142,7 +145,7 @@ class _Blocks(HTMLParser):
 
 def page_blocks(html: str) -> list[Block]:
     parser = _Blocks()
-    parser.feed(html)
+    parser.feed(_CUT_TAG.sub("", html))
     parser.close()
     parser.end_block()
     return parser.blocks
@@ -167,19 +170,25 @@ def label_blocks(blocks: list[Block], rules: Rules) -> None:
             elif len(b.text) >= rules.short and stops < rules.stop_low:
                 b.label = False
     decided = [b.label for b in blocks]
-    before: list[tuple[int, bool | None]] = []
-    near: tuple[int, bool | None] = (len(blocks) + 1, None)
+    before, after = _nearest(decided), _nearest(decided[::-1])[::-1]
+    for i, b in enumerate(blocks):
+        if b.label is None:
+            (back, x), (ahead, y) = before[i], after[i]
+            heading = b.tag[:1] == "h" and b.tag[1:].isdigit()
+            # The nearer side rules. At equal distance the one in the same element does, else what follows.
+            same = back == ahead and i >= back and blocks[i - back].parent == b.parent and blocks[min(i + ahead, len(blocks) - 1)].parent != b.parent
+            first, other = (y, x) if heading or ahead < back or ahead == back and not same else (x, y)
+            b.label = first if first is not None else other if other is not None else True
+
+
+def _nearest(decided: list[bool | None]) -> list[tuple[int, bool | None]]:
+    """For each block, the distance and label of the nearest decided one before it (or itself)."""
+    out: list[tuple[int, bool | None]] = []
+    near: tuple[int, bool | None] = (len(decided) + 1, None)
     for x in decided:
         near = (0, x) if x is not None else (near[0] + 1, near[1])
-        before.append(near)
-    near = (len(blocks) + 1, None)
-    for i in range(len(blocks) - 1, -1, -1):
-        near = (0, decided[i]) if decided[i] is not None else (near[0] + 1, near[1])
-        if decided[i] is None:
-            # The nearer side rules; at equal distance, and for headings, what follows does.
-            after_first = near[0] <= before[i][0] or blocks[i].tag[:1] == "h" and blocks[i].tag[1:].isdigit()
-            a, b = (near[1], before[i][1]) if after_first else (before[i][1], near[1])
-            blocks[i].label = a if a is not None else b if b is not None else True
+        out.append(near)
+    return out
 
 
 def main_text(html: str, rules: Rules = Rules()) -> str:
