@@ -57,15 +57,21 @@ def incident_tokens(items: DataFrame) -> DataFrame:
 def same_story_pairs(items: DataFrame, tokens: DataFrame) -> DataFrame:
     """Pairs (a < b) of one entity that report one story.
 
-    Pairs meet over shared tokens within one entity. A pair needs enough shared tokens by either rule, so pairs are
-    counted by token and filtered by date before they are counted."""
+    Dated items meet over shared tokens within one entity and neighbouring spans of the largest gap, so a token of many
+    years joins only what could be near; undated items meet all that share a token."""
     sizes = tokens.groupBy("item_id", "kind").agg(F.count("*").alias("n"))
-    dated = items.select("item_id", "published_at")
-    rows = tokens.join(dated, "item_id")
-    a = rows.select("entity_id", "kind", "token", F.col("item_id").alias("a"), F.col("published_at").alias("pa"))
-    b = rows.select("entity_id", "kind", "token", F.col("item_id").alias("b"), F.col("published_at").alias("pb"))
-    near = F.col("pa").isNull() | F.col("pb").isNull() | F.expr(f"pa BETWEEN pb - INTERVAL {R.INCIDENT_DAYS} DAYS AND pb + INTERVAL {R.INCIDENT_DAYS} DAYS")
-    shared = a.join(b, ["entity_id", "kind", "token"]).where((F.col("a") < F.col("b")) & near).groupBy("a", "b", "kind").agg(F.count("*").alias("shared"))
+    span = F.floor(F.col("published_at").cast("timestamp").cast("double") / (R.INCIDENT_DAYS * 86400))
+    rows = tokens.join(items.select("item_id", "published_at", span.alias("span")), "item_id")
+    key = ["entity_id", "kind", "token"]
+    a = rows.where("span IS NOT NULL").select(*key, F.col("item_id").alias("a"), F.col("published_at").alias("pa"), "span")
+    around = F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span")
+    b = rows.where("span IS NOT NULL").select(*key, F.col("item_id").alias("b"), F.col("published_at").alias("pb"), around)
+    near = F.expr(f"pa BETWEEN pb - INTERVAL {R.INCIDENT_DAYS} DAYS AND pb + INTERVAL {R.INCIDENT_DAYS} DAYS")
+    dated = a.join(b, [*key, "span"]).where((F.col("a") < F.col("b")) & near).select("a", "b", "kind")
+    u = rows.where("span IS NULL").select(*key, F.col("item_id").alias("u"))
+    v = rows.select(*key, F.col("item_id").alias("v"), F.col("span").isNull().alias("both"))
+    undated = u.join(v, key).where("u <> v AND (NOT both OR u < v)").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "kind")
+    shared = dated.unionByName(undated).groupBy("a", "b", "kind").agg(F.count("*").alias("shared"))
     shared = shared.join(sizes.toDF("a", "kind", "na"), ["a", "kind"]).join(sizes.toDF("b", "kind", "nb"), ["b", "kind"])
     least, union = F.least("na", "nb"), F.col("na") + F.col("nb") - F.col("shared")
     event = (F.col("shared") / union >= R.EVENT_JACCARD) | ((F.col("shared") >= R.EVENT_SHARED) & (F.col("shared") / least >= R.EVENT_OVERLAP))

@@ -81,7 +81,9 @@ def gated_sql(rows: str) -> str:
 
 
 def star_sql(sql: str) -> str:
-    return with_star(f"{EVENT_SQL.strip()},\n{sql.strip()}" if sql.strip().lower().startswith(tuple("abcdefghijklmnopqrstuvwxyz")) and not sql.strip().lower().startswith("select") else f"{EVENT_SQL.strip()}\n{sql.strip()}")
+    """A query over the star and the risk events; ``sql`` is a SELECT, or more named parts and one."""
+    sql = sql.strip()
+    return with_star(f"{EVENT_SQL.strip()}{'' if sql.startswith('SELECT') else ','}\n{sql}")
 
 
 def renorm_sql(parts: dict[str, float], least: float = R.MIN_WEIGHT) -> tuple[str, str]:
