@@ -20,8 +20,8 @@ WINDOW = 5
 MEASURES = {
     "symbol_ratio": (False, True, 0.05),
     "dup_line_ratio": (False, True, 0.1),
-    "repeat_ratio": (False, True, 0.05),
-    "mean_word_chars": (True, True, 1.0),
+    "repeat_ratio": (False, True, 0.07),
+    "mean_word_chars": (True, True, 1.5),
 }
 
 
@@ -109,7 +109,11 @@ def quality_verdicts(docs: DataFrame, *, reach: float = 3.0) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, *, reach: float = 3.0) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. Texts are measured twice and never shuffled."""
+    """The rows of ``docs`` that the rules keep, with all their columns. Texts are measured twice and never shuffled.
+
+    Rejected rows explode to nothing: a filter would be pushed below the projections, and their nested expressions be
+    written out in it over and over."""
     counted = materialize(with_word_counts(docs.select("text", "lang", "source")).drop("text"), "quality-counts")
     limits = materialize(fences(counted, reach=reach), "quality-fences")
-    return judged(with_word_counts(docs), limits).where("kept").select(*docs.columns)
+    verdicts = judged(with_word_counts(docs), limits)
+    return verdicts.withColumn("q_kept", F.explode(F.when(F.col("kept"), F.array(F.lit(True))))).select(*docs.columns)
