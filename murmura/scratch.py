@@ -19,10 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under this application's own folder, which can go when the application has ended."""
+    return f"{shared_dir(spark)}/murmura/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here and a lost executor
     costs a re-read, never a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/murmura/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from murmura.scratch import shared_dir
+from murmura.scratch import scratch_path
 
 
 def run_available(frame: DataFrame, *, mode: str, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -19,7 +18,7 @@ def run_available(frame: DataFrame, *, mode: str, merge: Callable[[DataFrame, Da
     ``append`` results gather as Parquet; ``complete`` and ``update`` results replace or merge into the table of the
     batch before, written under the batch's number, so a repeated batch gives the same table."""
     spark = frame.sparkSession
-    home = f"{shared_dir(spark)}/murmura/stream-{uuid.uuid4().hex}"
+    home = scratch_path(spark, "stream")
     writer = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
     if mode == "append" and merge is None:
         writer.format("parquet").option("path", f"{home}/out").start().awaitTermination()
