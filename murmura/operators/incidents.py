@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from murmura import rules as R
 from murmura.functions.common import outlet_of
 from murmura.operators.components import components
+from murmura.scratch import materialize
 
 
 @F.pandas_udf(DoubleType())
@@ -82,7 +83,8 @@ def same_story_pairs(items: DataFrame, tokens: DataFrame) -> DataFrame:
 def incidents(items: DataFrame) -> DataFrame:
     """item_id, incident_id (smallest item of the incident) of every item (item_id, entity_id, entity_name, title, event,
     published_at)."""
-    found = components(same_story_pairs(items, incident_tokens(items)))
+    items = materialize(items.select("item_id", "entity_id", "entity_name", "title", "event", "published_at"), "incident-items")
+    found = components(same_story_pairs(items, materialize(incident_tokens(items), "incident-tokens")))
     return items.select("item_id").join(found.toDF("item_id", "root"), "item_id", "left").select("item_id", F.coalesce("root", "item_id").alias("incident_id"))
 
 
