@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.scratch import materialize
@@ -131,31 +131,35 @@ def edited_fingerprints(docs: DataFrame, *, low: float = 0.0005, high: float = 0
     """Fingerprint of every text and of its edited text: the last third of its code points gives way to as many first
     ones (or all) of the next document by descending doc_id; after the last comes the first.
 
-    Null texts are empty, a null doc_id comes last, rows of one doc_id go by text, one row alone follows itself. Texts
-    move once, compressed, into ranges of doc_id; the first text of each range is read beforehand, so no range waits
-    for another. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Null texts are empty, a null doc_id comes last, rows of one doc_id go by a hash of the text, one row alone follows
+    itself. Texts move once, compressed, into ranges of doc_id; each range also gets the first text of the range after
+    it, so no range waits for another. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = materialize(rows.select("key"), "doc-keys")
+    keys = materialize(rows.select("key", "tie"), "doc-keys")
     cuts = sorted(set(keys.stat.approxQuantile("key", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))))
-    # Range of a key: how many cuts it reaches, found by a search in a sorted array of `ranges` numbers.
+    # Range of a key: how many of the cuts, a sorted array of fewer than `ranges` numbers, it reaches.
     cuts_col = F.array(*(F.lit(int(c)) for c in cuts)) if cuts else F.array().cast("array<bigint>")
     place = F.size(F.filter(cuts_col, lambda c: c <= F.col("key")))
-    heads = keys.withColumn("range", place).groupBy("range").agg(F.max("key").alias("key"))
-    first = rows.join(F.broadcast(heads), "key").groupBy("range", "key").agg(F.min("text").alias("text")).collect()
-    texts = {r.range: r.text for r in first}
-    order = sorted(texts, reverse=True)
-    head_after = spark.sparkContext.broadcast({r: texts[n] for r, n in zip(order, order[1:] + order[:1])})
+    heads = keys.withColumn("range", place).groupBy("range").agg(F.min(F.struct(F.bitwise_not("key").alias("down"), "tie")).alias("h"))
+    # One row for each range in this window.
+    down = Window.orderBy(F.desc("range"))
+    all_ = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = heads.select("range", F.coalesce(F.lead("h").over(down), F.first("h").over(all_)).alias("h"))
+    after = after.select("range", F.bitwise_not("h.down").alias("key"), F.col("h.tie").alias("tie"))
+    follow = rows.join(F.broadcast(after), ["key", "tie"]).dropDuplicates(["range"]).select("range", F.lit(1).alias("follows"), "key", "tie", "doc_id", "text")
     sent = spark.sparkContext.broadcast(lexicon(docs, low=low, high=high))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
         for b in batches:
             small = [c.compress(t.encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(small, pa.binary())], names=["range", "key", "doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(small, pa.binary())], names=["range", "follows", "key", "tie", "doc_id", "z"])
 
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string())]
     schema = pa.schema([*fields, ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -165,29 +169,24 @@ def edited_fingerprints(docs: DataFrame, *, low: float = 0.0005, high: float = 0
         held: tuple | None = None
 
         def row(now: tuple, text: str, mark: str) -> tuple:
-            _, doc, own, own_mark = now
+            doc, own, own_mark = now
             k = len(own) // 3
             edited = own[: len(own) - k] + text[:k]
             e = make(edited)
             return doc, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark, e, likeness(own_mark, e), likeness(own_mark, mark)
 
-        def last(now: tuple) -> tuple:
-            text = head_after.value[now[0]]
-            return row(now, text, make(text))
-
         for b in batches:
             out = []
-            for r, doc, z in zip(*(b.column(c).to_pylist() for c in ("range", "doc_id", "z"))):
+            for follows, doc, z in zip(*(b.column(c).to_pylist() for c in ("follows", "doc_id", "z"))):
                 text = d.decompress(z).decode()
                 mark = make(text)
                 if held is not None:
-                    out.append(row(held, text, mark) if held[0] == r else last(held))
-                held = (r, doc, text, mark)
+                    out.append(row(held, text, mark))
+                held = None if follows else (doc, text, mark)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(last(held), schema)], schema=schema)
 
-    small = rows.select(place.alias("range"), "key", "doc_id", "text").mapInArrow(shrink, "range int, key long, doc_id long, z binary")
-    dealt = small.repartition(ranges, "range").sortWithinPartitions(F.desc("range"), F.desc("key"), "z")
+    both = rows.select(place.alias("range"), F.lit(0).alias("follows"), "key", "tie", "doc_id", "text").unionByName(follow)
+    small = both.mapInArrow(shrink, "range int, follows int, key long, tie long, doc_id long, z binary")
+    dealt = small.repartition(ranges, "range").sortWithinPartitions(F.desc("range"), "follows", F.desc("key"), "tie")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
