@@ -56,8 +56,13 @@ def due(at: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, x).otherwise((root - (1 - slope)) / (2 * slope))
 
 
+def drawn(seed: int) -> Column:
+    """Place of a document in its source's order, as a hexadecimal string."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+
+
 def mixed_documents(docs: DataFrame, *, seed: int = 7, **targets) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, source) as doc_id, source, size, source_size, target, taken, positions.
+    """Every row of ``docs`` (doc_id, text, source) as doc_id, source, size, source_size, target, taken, positions, draw.
 
     A source's supply is its documents in the order of MD5(seed:doc_id), read at most twice; ``taken`` counts the words
     of a document below the source's target, ``positions`` holds the training position of each reading. A null text
@@ -65,8 +70,7 @@ def mixed_documents(docs: DataFrame, *, seed: int = 7, **targets) -> DataFrame:
     own; other columns are left aside. Three hexadecimal digits split each source's order into 4,096 buckets, so that no source
     is sorted by one task.
     """
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), draw.alias("draw"))
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), drawn(seed).alias("draw"))
     sizes = materialize(sizes.withColumn("bucket", F.substring("draw", 1, 3)), "mix-sizes")
     goal = materialize(source_targets(sizes.select("source", "size"), **targets), "mix-targets")
     filled = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
@@ -75,17 +79,34 @@ def mixed_documents(docs: DataFrame, *, seed: int = 7, **targets) -> DataFrame:
     local = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sizes.withColumn("upto", F.sum("size").over(local)).alias("d")
     placed = placed.join(base.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket")))
-    placed = placed.select("d.doc_id", "d.source", "d.size", (F.col("base") + F.col("upto") - F.col("size")).alias("start")).alias("p")
+    placed = placed.select("d.doc_id", "d.source", "d.size", "d.draw", (F.col("base") + F.col("upto") - F.col("size")).alias("start")).alias("p")
     placed = placed.join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "source_size", "target", "slope")
     whole = F.floor("target")
     reading = lambda k: F.greatest(F.least(whole - F.col("source_size") * k - F.col("start"), F.col("size")), F.lit(0))
     at = lambda k: F.when(reading(k) > 0, due(F.col("source_size") * k + F.col("start"), F.col("target"), F.col("slope")))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", (reading(0) + reading(1)).cast("long").alias("taken"),
-        F.array_compact(F.array(at(0), at(1))).alias("positions"),
+        F.array_compact(F.array(at(0), at(1))).alias("positions"), "draw",
     )
 
 
+def repeated_documents(docs: DataFrame, *, seed: int = 7, **targets) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix reads it, to the nearest whole reading (0, 1 or 2 times).
+
+    Readings fall along a source's order, so two places in it, one row for each source, say how often any document is
+    read: texts are neither shuffled nor joined by id. A text without words is not read; equal doc_ids fare alike."""
+    mixed = mixed_documents(docs.select("doc_id", "text", "source"), seed=seed, **targets)
+    times = F.round(F.try_divide("taken", "size"))
+    reached = lambda k: F.max(F.when(times >= k, F.col("draw")))
+    limits = mixed.groupBy(F.col("source").alias("mix_source")).agg(reached(1).alias("mix_once"), reached(2).alias("mix_twice"))
+    limits = materialize(limits, "mix-limits")
+    both = docs.withColumn("mix_draw", drawn(seed)).join(limits, F.col("source").eqNullSafe(F.col("mix_source")))
+    upto = lambda c: F.coalesce(F.col("mix_draw") <= F.col(c), F.lit(False)).cast("int")
+    some = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False)).cast("int")
+    reading = F.explode(F.array_repeat(F.lit(1), some * (upto("mix_once") + upto("mix_twice"))))
+    return both.withColumn("mix_reading", reading).select(*docs.columns)
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """The mix as readings (doc_id, source, position), range-sorted by position."""
     readings = mixed.select("doc_id", "source", F.explode("positions").alias("position"))

@@ -99,6 +99,11 @@ def test_mix_meets_targets(docs, frame):
             left.discard(s)
     for s in per.index:
         assert abs(per.target[s] - (fixed | share)[s]) < 1e-6 and abs(per.taken[s] - per.target[s]) < 1
+    want = got[got["size"] > 0].assign(times=lambda x: (x.taken / x["size"] + 0.5).astype(int)).groupby("doc_id").times.max()
+    read = mixing.repeated_documents(docs)
+    assert read.columns == docs.columns
+    n = read.toPandas().groupby("doc_id").doc_id.count()
+    assert {k: v for k, v in n.items() if k != 3} == {k: v for k, v in want.items() if v and k != 3}
     order = mixing.training_order(mixing.mixed_documents(docs)).toPandas()
     assert order.position.is_monotonic_increasing and order.position.between(0, 1).all()
     assert mixing.mixed_documents(docs.where("false")).count() == 0
