@@ -381,14 +381,28 @@ def _similar(sets: list[np.ndarray], at_least: float, split: int | None) -> list
 
 
 def similar_texts(docs: DataFrame, *, width: int = 5, at_least: float = 0.8, tau: int = 3, block: int = 2048) -> DataFrame:
-    """doc_id and component_id (smallest doc_id) of every row: groups over texts that are equal or whose sets of
-    ``width``-word shingles have a Jaccard similarity of ``at_least``.
+    """doc_id and component_id (smallest doc_id of the group, null if it has none) of every row, in groups of
+    ``text_groups``. Groups that hold one doc_id with different texts can have the same component_id."""
+    rows, groups = _hashed(docs), text_groups(docs, width=width, at_least=at_least, tau=tau, block=block)
+    first = groups.where("node = root").select("root", F.col("least").alias("component_id"))
+    return rows.select("doc_id", "same").join(groups.join(first, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and same, the hash that stands for the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("same"))
+
+
+def text_groups(docs: DataFrame, *, width: int = 5, at_least: float = 0.8, tau: int = 3, block: int = 2048) -> DataFrame:
+    """same (hash of the text), node, root and least (smallest doc_id with the text, null: none) of every distinct text:
+    texts of one root are joined by sets of ``width``-word shingles whose Jaccard similarity is ``at_least``.
 
     Candidates are texts whose whole fingerprints differ in at most ``tau`` bits, or that share a partial fingerprint;
     they are verified on their whole shingle sets. Texts without words are alike only if equal, null is the empty text,
-    rows of one doc_id fall into one group, a null doc_id is -1, an empty table gives no rows."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")
-    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    an empty table gives no rows. Only texts join groups, whatever doc_ids they have; nodes are numbered by ``least``,
+    nulls last, so the root of a group is its text with the smallest doc_id."""
+    rows = _hashed(docs)
     out = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,52 +413,55 @@ def similar_texts(docs: DataFrame, *, width: int = 5, at_least: float = 0.8, tau
                 sets = [shingle_hashes(t, width) for t in part]
                 cols = [
                     b.column("doc_id").slice(k, len(part)),
-                    pa.array([xxhash.xxh3_128_hexdigest(t.encode()) for t in part], pa.string()),
+                    b.column("same").slice(k, len(part)),
                     pa.array(np.fromiter((simhash(t, width) for t in part), np.uint64, len(part)).view(np.int64)),
                     pa.array([part_keys(s) for s in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, schema=out)
 
     signed = materialize(rows.mapInArrow(sign, "doc_id long, same string, fp long, keys array<long>"), "text-signatures")
-    # Equal texts: one stands for all.
-    ids = signed.groupBy("same").agg(F.min("doc_id").alias("first"))
-    equal = materialize(signed.select("doc_id", "same").join(ids, "same").select("doc_id", "first"), "equal-texts")
-    alone = signed.join(equal.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi")
+    # Equal texts are one node.
+    texts = signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    order = [F.asc_nulls_last("least"), F.asc("same")]
+    texts = materialize(texts, "distinct-texts").repartitionByRange(*order).sortWithinPartitions(*order)
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "text-numbers")
     # Candidates: buckets as stars around their smallest member, fingerprint links as they are.
-    keyed = alone.select("doc_id", F.explode("keys").alias("key"))
-    centre = keyed.groupBy("key").agg(F.min("doc_id").alias("a"))
-    stars = keyed.join(centre, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    wordy = materialize(alone.where(F.size("keys") > 0).groupBy("fp").agg(F.min("doc_id").alias("least")), "text-nodes")
-    close = links(wordy, tau)
-    first, second = wordy.toDF("a", "x"), wordy.toDF("b", "y")
+    keyed = texts.select("node", F.explode("keys").alias("key"))
+    centre = keyed.groupBy("key").agg(F.min("node").alias("a"))
+    stars = keyed.join(centre, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    wordy = texts.where(F.size("keys") > 0).select("node", "fp")
+    prints = materialize(wordy.groupBy("fp").agg(F.min("node").alias("least")), "text-nodes")
+    close = links(prints, tau)
+    first, second = prints.toDF("a", "x"), prints.toDF("b", "y")
     close = close.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same_fp = alone.where(F.size("keys") > 0).select("doc_id", "fp").join(wordy, "fp").where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    groups = materialize(components(stars.union(close).union(same_fp)).toDF("doc_id", "group").distinct(), "candidate-groups")
-    edges = _verified(rows, groups, width, at_least, block)
-    near = components(edges.union(equal.where("doc_id <> first").toDF("b", "a").select("a", "b"))).toDF("doc_id", "root").distinct()
-    return signed.select("doc_id").join(near, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    same_fp = wordy.join(prints, "fp").where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    groups = materialize(components(stars.union(close).union(same_fp)).toDF("node", "group").distinct(), "candidate-groups")
+    near = components(_verified(rows, texts.select("node", "same", "least").join(groups, "node"), width, at_least, block)).distinct()
+    return texts.select("same", "node", "least").join(near, "node", "left").select("same", "node", F.coalesce("root", "node").alias("root"), "least")
 
 
 def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, block: int) -> DataFrame:
-    """Links (a, b) of doc_ids within candidate groups. Groups above ``block`` texts go as pairs of blocks."""
+    """Links (a, b) of nodes within candidate groups (node, same, least, group). Groups above ``block`` texts go as pairs
+    of blocks. A text is read from a row with its smallest doc_id, so copies under other ids don't move."""
     large = groups.groupBy("group").count().select("group", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = groups.join(large, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = materialize(dealt, "candidate-blocks")
-    texts = rows.join(dealt, "doc_id").dropDuplicates(["doc_id"])
+    dealt = groups.join(large, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = materialize(dealt, "candidate-blocks").withColumnRenamed("same", "node_same")
+    on = (F.col("same") == F.col("node_same")) & F.col("doc_id").eqNullSafe(F.col("least"))
+    texts = rows.join(dealt, on).select("node", "group", "blocks", "own", "text").dropDuplicates(["node"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "group", "blocks", "own", "set"]
+        names = ["node", "group", "blocks", "own", "set"]
         for b in batches:
             sets = [shingle_hashes(t, width).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(sets, pa.binary())], names=names)
 
-    sets = texts.mapInArrow(shingled, "doc_id long, group long, blocks int, own int, set binary")
+    sets = texts.mapInArrow(shingled, "node long, group long, blocks int, own int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("*", other).selectExpr(
-        "group", "least(own, other) * blocks + greatest(own, other) AS pair", "CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END AS side", "doc_id", "set",
+        "group", "least(own, other) * blocks + greatest(own, other) AS pair", "CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END AS side", "node", "set",
     )
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(n, "group", "pair").sortWithinPartitions("group", "pair", "side", "doc_id")
+    dealt = pairs.repartition(n, "group", "pair").sortWithinPartitions("group", "pair", "side", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,12 +474,12 @@ def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, b
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in got], pa.int64()), pa.array([ids[j] for _, j in got], pa.int64())], schema=schema)
 
         for b in batches:
-            for group, pair, side, doc, raw in zip(*(b.column(c).to_pylist() for c in ("group", "pair", "side", "doc_id", "set"))):
+            for group, pair, side, node, raw in zip(*(b.column(c).to_pylist() for c in ("group", "pair", "side", "node", "set"))):
                 if now != (group, pair):
                     if held:
                         yield solved()
                     now, held = (group, pair), []
-                held.append((side, doc, raw))
+                held.append((side, node, raw))
         if held:
             yield solved()
 
@@ -470,12 +487,10 @@ def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, b
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` less those in whose group of similar texts another has a smaller doc_id; of rows with one
-    doc_id one stays. All columns stay."""
-    found = similar_texts(docs, **how)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    mark = "murmura_doc_key"
-    keyed = docs.withColumn(mark, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    one = F.row_number().over(Window.partitionBy(mark).orderBy(F.xxhash64("text")))
-    joined = keyed.join(materialize(kept.withColumnRenamed("kept_doc_id", mark), "kept-ids"), mark, "left_semi")
-    return joined.withColumn("murmura_row", one).where("murmura_row = 1").select(*docs.columns)
+    """One row of ``docs`` for each group of similar texts: one with the group's smallest doc_id, or one without doc_id
+    where all lack it. Unlike texts stay, whatever doc_ids they share or lack. All columns stay."""
+    mark = "murmura_text_hash"
+    kept = materialize(text_groups(docs, **how).where("node = root").select(F.col("same").alias(mark)), "kept-texts")
+    keyed = docs.withColumn(mark, F.md5(F.coalesce("text", F.lit(""))))
+    one = F.row_number().over(Window.partitionBy(mark).orderBy(F.col("doc_id").cast("long").asc_nulls_last()))
+    return keyed.withColumn("murmura_row", one).where("murmura_row = 1").join(kept, mark, "left_semi").select(*docs.columns)

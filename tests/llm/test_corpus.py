@@ -192,6 +192,19 @@ def test_similar_texts_equal_brute_force(docs, frame, block):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_only_texts_join_groups(spark):
+    rng = random.Random(5)
+    text = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(40)) for _ in range(6)]
+    near = text[3] + " more"
+    # Null ids with the texts of 7 and 9, a third text and a near copy; id 20 twice with unlike texts, one of them 21's.
+    rows = [(7, text[0]), (None, text[0]), (9, text[1]), (None, text[1]), (None, text[2]), (None, text[2]), (None, near), (30, text[3])]
+    rows += [(20, text[4]), (20, text[5]), (21, text[5]), (None, None), (None, "")]
+    kept = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(7, text[0]), (9, text[1]), (None, text[2]), (30, text[3]), (20, text[4]), (20, text[5])]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(map(repr, ((i, t) for i, t in got if t))) == sorted(map(repr, want)) and sum(not t for _, t in got) == 1
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path, frame):
     spark.createDataFrame(frame.astype(object).where(frame.notna(), None), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
