@@ -316,13 +316,14 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 def part_keys(h: np.ndarray) -> np.ndarray:
     """Keys of the SimHash fingerprints of shingle classes (hash modulo 2^level) at the two levels where a class holds
-    a few shingles. Texts at similarity 0.8 share a level, and with a chance above 0.95 a whole class."""
+    a few shingles, and at the next finer one while the second has under PARTS classes: a pair whose sizes round apart
+    shares two levels there. Texts at similarity 0.8 share a level, and with a chance above 0.95 a whole class."""
     if not len(h):
         return np.zeros(0, np.int64)
     first = max(0, round(float(np.log2(len(h) / PART_SHINGLES))))
     bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
     out = []
-    for level in (first, first + 1):
+    for level in range(first, first + (3 if 2 << first < PARTS else 2)):
         c = (h & np.uint64((1 << level) - 1)).astype(np.int64)
         at = np.flatnonzero(c < PARTS)
         at = at[np.argsort(c[at], kind="stable")]

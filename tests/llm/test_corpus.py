@@ -192,6 +192,19 @@ def test_similar_texts_equal_brute_force(docs, frame, block):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_short_texts_at_the_threshold_share_a_key():
+    rng = np.random.default_rng(4)
+    for n in range(1, 51):
+        more, common = n * 5 // 4 - n, -(-8 * n // 9)  # n inside n / 0.8, and two sets of n
+        for a, b, shared in ((0, more, n), (n - common, n - common, common)):
+            found = 0
+            for _ in range(100):
+                x = rng.integers(0, 2**64, shared + a + b, dtype=np.uint64)
+                one, two = np.sort(x[: shared + a]), np.sort(np.concatenate([x[:shared], x[shared + a :]]))
+                found += bool(set(simhash.part_keys(one)) & set(simhash.part_keys(two)))
+            assert found > 95, (n, a, b, found)
+
+
 def test_only_texts_join_groups(spark):
     rng = random.Random(5)
     text = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(40)) for _ in range(6)]
