@@ -16,17 +16,20 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
-#: measure -> (fence below, fence above, least spread): a fence stands ``reach`` spreads from the nearer quartile.
+#: measure -> (fence below, fence above, least distance): a fence stands ``reach`` times as far from the median as the
+#: outer decile, and at the least distance, which is what measuring alone can make.
 MEASURES = {
-    "symbol_ratio": (False, True, 0.05),
+    "symbol_ratio": (False, True, 0.03),
     "dup_line_ratio": (False, True, 0.1),
-    "repeat_ratio": (False, True, 0.07),
-    "mean_word_chars": (True, True, 1.5),
+    "repeat_ratio": (False, True, 0.05),
+    "mean_word_chars": (True, True, 0.5),
 }
+#: Documents that pass the base rule in a group with fences of its own; thinner ones take those of their language, or all.
+LEAST_GROUP = 100
 
 
 def with_word_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of its ``text`` (null: none).
+    """``docs`` with n_words, word_chars, n_symbols, n_lines (with words), n_dup_lines and n_repeat_words of its ``text`` (null: none).
 
     Windows of five words are compared by XXH64 over their words. Only texts where a hash occurs twice sort their windows.
     """
@@ -49,6 +52,7 @@ def with_word_counts(docs: DataFrame) -> DataFrame:
             "n_words": n.cast("long"),
             "word_chars": F.char_length(F.array_join("q_words", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+            "n_lines": F.size("q_lines").cast("long"),
             "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
             "q_hash": hashed,
         }
@@ -65,35 +69,43 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _measures() -> dict[str, Column]:
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+def _measures() -> dict[str, tuple[Column, Column]]:
+    """Each measure with its noise in one document: two symbols, a line, a window met twice, three standard errors."""
+    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
     return {
-        "symbol_ratio": F.col("n_symbols") / chars,
-        "dup_line_ratio": F.col("n_dup_lines") / words,
-        "repeat_ratio": F.col("n_repeat_words") / words,
-        "mean_word_chars": F.col("word_chars") / words,
+        "symbol_ratio": (F.col("n_symbols") / chars, 2 / chars),
+        "dup_line_ratio": (F.col("n_dup_lines") / lines, 1 / lines),
+        "repeat_ratio": (F.col("n_repeat_words") / words, 2 * WINDOW / words),
+        "mean_word_chars": (F.col("word_chars") / words, 7.5 / F.sqrt(words)),
     }
 
 
-def fences(counted: DataFrame, *, reach: float = 3.0, accuracy: int = 1000) -> DataFrame:
+def fences(counted: DataFrame, *, reach: float = 3.0, accuracy: int = 1000, least_group: int = LEAST_GROUP) -> DataFrame:
     """lang, source, and low_/high_ fences of each measure, from sketches over the group's documents that pass the base
-    rule. The sketches merge, so a hot group costs each task one sketch."""
-    m = _measures()
-    sketch = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias(f"q_{k}") for k, c in m.items()]
-    groups = counted.where(~base_failed()).groupBy("lang", "source").agg(*sketch)
-    out = [F.col("lang").alias("f_lang"), F.col("source").alias("f_source")]
-    for k, (low, high, spread) in MEASURES.items():
-        q1, q3 = F.col(f"q_{k}")[0], F.col(f"q_{k}")[1]
-        by = F.greatest(q3 - q1, F.lit(spread)) * reach
-        out += [(q1 - by if low else F.lit(None).cast("double")).alias(f"low_{k}"), (q3 + by if high else F.lit(None).cast("double")).alias(f"high_{k}")]
-    return groups.select(*out)
+    rule: the median and the outer deciles, which up to a tenth of bad documents doesn't move. Groups of under
+    ``least_group`` documents take the fences of their language, thin languages those of the corpus. The sketches merge, so
+    a hot group costs each task one sketch."""
+    parts = F.array(*map(F.lit, (0.1, 0.5, 0.9)))
+    sketch = [F.percentile_approx(c, parts, accuracy).alias(f"q_{k}") for k, (c, _) in _measures().items()]
+    passed = counted.where(~base_failed()).rollup("lang", "source").agg(F.grouping_id().alias("merged"), F.count("*").alias("n"), *sketch)
+    sketches = materialize(passed, "quality-sketches")
+    both, total = sketches.where("merged = 0"), F.broadcast(sketches.where("merged = 3").alias("t"))
+    lang = sketches.where("merged = 1").alias("l")
+    up = both.alias("b").join(lang, F.col("b.lang").eqNullSafe(F.col("l.lang"))).crossJoin(total)
+    out = [F.col("b.lang").alias("f_lang"), F.col("b.source").alias("f_source")]
+    for k, (low, high, least) in MEASURES.items():
+        q = F.when(F.col("b.n") >= least_group, F.col(f"b.q_{k}")).when(F.col("l.n") >= least_group, F.col(f"l.q_{k}")).otherwise(F.col(f"t.q_{k}"))
+        under, over = (F.greatest(d * reach, F.lit(least)) for d in (q[1] - q[0], q[2] - q[1]))
+        none = F.lit(None).cast("double")
+        out += [(q[1] - under if low else none).alias(f"low_{k}"), (q[1] + over if high else none).alias(f"high_{k}")]
+    return up.select(*out)
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """``counted`` with base_failed and kept: a document passes the base rule and every fence of its group."""
+    """``counted`` with base_failed and kept: a document passes the base rule and, but for noise, every fence of its group."""
     inside = F.lit(True)
-    for k, c in _measures().items():
-        inside = inside & F.coalesce(c >= F.col(f"low_{k}"), F.lit(True)) & F.coalesce(c <= F.col(f"high_{k}"), F.lit(True))
+    for k, (c, noise) in _measures().items():
+        inside = inside & F.coalesce(c + noise >= F.col(f"low_{k}"), F.lit(True)) & F.coalesce(c - noise <= F.col(f"high_{k}"), F.lit(True))
     on = counted.lang.eqNullSafe(limits.f_lang) & counted.source.eqNullSafe(limits.f_source)
     both = counted.join(limits, on, "left").withColumn("base_failed", base_failed())
     return both.withColumn("kept", ~F.col("base_failed") & inside).drop(*limits.columns)

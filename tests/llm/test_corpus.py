@@ -79,6 +79,28 @@ def test_quality_counts_and_verdicts(docs, frame):
     assert quality.quality_verdicts(docs.where("false")).count() == 0
 
 
+def test_each_fence_rejects_what_its_group_does_not_hold(spark):
+    rng = random.Random(6)
+    word = lambda n=5: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    lines = lambda k=10, n=5, mark="": [" ".join(word(n + rng.randrange(-1, 2)) + mark * (rng.random() < 0.5) for _ in range(10)) for _ in range(k)]
+    planted = {
+        1: lines(mark="|"),  # symbols
+        2: lines() + ["ab cd ef"] * 5,  # duplicate lines, under a fifth of the words
+        3: (x := lines(20)) + [x[0] + " " + word() + " " + x[1]],  # repeated windows in lines that differ
+        4: lines(n=8),  # long words
+        5: lines(n=2),  # short words
+    }
+    rows = [(k, "\n".join(t), "en", "web") for k, t in planted.items()]
+    rows += [(100 + i, "\n".join(lines()), "en", "web") for i in range(150)]
+    rows += [(1000 + i, "\n".join(lines(mark="|", n=8)), "en", "tables") for i in range(150)]  # usual in its own group
+    rows += [(2000 + i, "\n".join(lines(n=8, mark="" if i else "|")), "de", "thin") for i in range(3)]  # judged by their language
+    rows += [(3000 + i, "\n".join(lines(n=8)), "de", None) for i in range(120)]
+    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id").sort_index()
+    assert not got.base_failed.any()
+    assert not got.kept.loc[1:5].any(), got.loc[1:5]
+    assert got.kept.loc[100:249].all() and got.kept.loc[1000:1149].all() and got.kept.loc[2001:].all() and not got.kept.loc[2000]
+
+
 def test_mix_meets_targets(docs, frame):
     got = mixing.mixed_documents(docs).toPandas()
     again = mixing.mixed_documents(docs.repartition(2)).toPandas()
