@@ -77,7 +77,7 @@ def sentiment_input(s: Star) -> DataFrame:
     k = F.col("doc_id")
     add = F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
     lab = F.element_at(F.array(F.lit("neutral"), F.lit("negative"), F.lit("positive")), (k % 3 + 1).cast("int"))
-    return docs(s).select("doc_id", F.concat(F.substring("title", 1, 60), add).alias("text"), lab.alias("raw_label"), ((k % 50) / 100.0 + 0.5).cast("double").alias("raw_score"))
+    return docs(s).select("doc_id", F.concat("text", add).alias("text"), lab.alias("raw_label"), ((k % 50) / 100.0 + 0.5).cast("double").alias("raw_score"))
 
 
 TITLES = ["RERA fines {n} Rs 12 lakh", "Stocks of {n} fall 4%", "{n} Q2 net profit up", "ED probe into {n} fraud of Rs 40 crore", "{n} settles case", "High Court orders refund by {n}", "Book now 3 BHK at {n}", "{n} opens plant"]

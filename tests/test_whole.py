@@ -1,5 +1,6 @@
 from types import SimpleNamespace
 
+from murmura.operators import labels
 from murmura.plans import q_text
 
 
@@ -12,3 +13,9 @@ def star(spark, texts):
 def test_every_document_is_dispatched_in_every_format(spark):
     got = q_text.dispatched(star(spark, [f"title {i} of the day\nbody {i}" for i in range(12)])).collect()
     assert len(got) == 6 and {r.rows for r in got} == {12}, got
+
+
+def test_sentiment_rules_see_the_whole_text(spark):
+    text = "A plain headline " * 10 + "\nsecond line\nthen a lawsuit"
+    got = labels.calibrated_sentiment(q_text.sentiment_input(star(spark, [text, "A plain headline"]))).collect()
+    assert "lawsuit" in {r.doc_id: r.trigger_words for r in got}[0]
