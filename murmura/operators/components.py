@@ -7,23 +7,44 @@ from pyspark.sql import functions as F
 
 from murmura.scratch import materialize
 
+#: A node with more than this share of all rows is a hub; there are fewer than its inverse of them.
+HUB_SHARE = 1 / 2048
+
+
+def _with_least(rows: DataFrame, key: str, least: DataFrame, heavy: float | None) -> DataFrame:
+    """``rows`` with m from ``least`` (key, m, n: rows of the key). Hubs, keys of more than ``heavy`` rows, are so few that
+    their minima are broadcast; the rows of other keys meet theirs by a shuffle in which no key is heavy. None: there are
+    no hubs."""
+    if heavy is None:
+        return rows.join(least.select(key, "m"), key)
+    hubs = least.where(F.col("n") > heavy).select(key, F.col("m").alias("hub"))
+    marked = rows.join(F.broadcast(hubs), key, "left")
+    rest = marked.where("hub IS NULL").drop("hub").join(least.where(F.col("n") <= heavy).select(key, "m"), key)
+    return marked.where("hub IS NOT NULL").withColumnRenamed("hub", "m").unionByName(rest)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of the undirected ``edges`` (a, b).
 
     Large-star and small-star steps in turn; each step's edges are written to the shared folder, and the loop ends when
-    a step changes none. Only nodes with an edge to another node come back."""
+    a step changes none. Minima are taken before the shuffle, and a hub's edges stay spread over all tasks. Only nodes with
+    an edge to another node come back."""
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    seen = None
-    while True:
+    now, seen = _state(edges), None
+    while now != seen:
+        heavy = max(1000.0, 2 * now[0] * HUB_SHARE)
+        heavy = heavy if now[0] > heavy else None
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        low = star.groupBy("b").agg(F.min("a").alias("m"))
-        small = star.join(low, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("b"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        star = _with_least(both.where("v > u"), "u", low, heavy).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        low = star.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = _with_least(star, "b", low, heavy).select("m", F.explode(F.array("a", "b")).alias("b"))
         edges = materialize(small.where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
-        seen = now
+        now, seen = _state(edges), now
+    roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and two sums that tell one set of edges from another."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first())
