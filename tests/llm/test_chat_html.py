@@ -1,3 +1,6 @@
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +67,89 @@ def test_pages_with_odd_rows(spark):
     got = html_main.extract_pages(spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (3, 3), (3, 3), (4, 499999), (5, 12)]
     assert all(len(r.text) == r.n_chars for r in got)
+    empty = html_main.extract_pages(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
+PROSE = "The mayor of the town said that the bridge will be open to all of the people in the north by the end of the year, and that it is not the last of them. "
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        # A page whose text stands beside a teaser keeps both.
+        (f"<div><p>{PROSE * 3}</p></div><article><p>Teaser.</p></article>", PROSE * 3 + "Teaser."),
+        # A long block in the open beside a whole article is not part of it.
+        (f"<article><p>{PROSE * 9}</p></article><div>{PROSE}</div>", PROSE * 9),
+        # Linked items and blocks without stop words belong to the article.
+        (f"<article><p>{PROSE}</p><ul><li><a href='a'>Some source</a></li></ul><p>x1 y2 z3 {'q ' * 80}</p></article>", f"{PROSE}Some source x1 y2 z3 {'q ' * 80}"),
+        # Links in the open go, and short lines between go with their neighbours.
+        (f"<div><a href='a'>{'Read more here ' * 9}</a></div><div>Short</div><div><a href='b'>{'And more there ' * 9}</a></div><div>{PROSE}</div>", PROSE),
+        ("<nav><a href='a'>Home</a></nav><div>Only a few words</div><footer>End</footer>", "Only a few words"),
+    ],
+)
+def test_densities_and_neighbours_decide(html, want):
+    assert html_main.main_text(html) == " ".join(want.split())
+
+
+def labelled(blocks):
+    """The two passes by their definitions, block by block."""
+    r = html_main.Rules()
+    article = sum(len(b.text) for b in blocks if b.article and not b.furniture)
+    open_ = sum(len(b.text) for b in blocks if not b.article and not b.furniture)
+    first = []
+    for b in blocks:
+        words = re.findall(r"\w+", b.text.lower())
+        density = len([w for w in words if w in html_main.STOP_WORDS]) / (len(words) or 1)
+        text = min(1, max(-1, (density - 0.095) / 0.055)) * min(1, len(b.text) / 140)
+        links = -min(2, 4 * max(0, b.links / len(b.text) - 0.2))
+        if b.furniture:
+            score = text + links - 3
+        elif b.article:
+            score = max(0, text) + links / 5 + 0.4
+        else:
+            score = text + links - 2 * article / max(1, article + open_)
+        first.append(None if abs(score) < r.sure else score > 0)
+    out = []
+    for i, b in enumerate(blocks):
+        known = [(abs(j - i), j) for j, x in enumerate(first) if x is not None and (not b.article or blocks[j].article and not blocks[j].furniture)]
+        if first[i] is not None:
+            out.append(first[i])
+        elif not known or True not in first:
+            out.append(True)
+        else:
+            near = [j for d, j in known if d == min(known)[0]]
+            if len(near) == 2:
+                heading = re.fullmatch("h[0-9]", b.tag)
+                inside = blocks[near[0]].parent == b.parent and blocks[near[1]].parent != b.parent
+                # Headings look ahead; others behind only if that block alone stands in the same element.
+                near = [near[0]] if inside and not heading else [near[1]]
+            elif re.fullmatch("h[0-9]", b.tag):
+                near = [min([j for _, j in known if j > i], default=near[0])]
+            out.append(first[near[0]])
+    return first, out
+
+
+def test_labels_equal_the_definitions():
+    pages = [PAGE % f"<article><h1>Head</h1><p>{PROSE}</p><p>Short</p><div class=ad>Buy</div><p>x y z</p></article>"]
+    pages += [PAGE % f"<div><h2>A</h2><p>{PROSE}</p><p>s</p></div><div><p>t</p><a href=x>{'links ' * 30}</a></div><p>u</p><h3>B</h3><p>{PROSE}</p>"]
+    rng = random.Random(2)
+    part = ["<p>Short line</p>", f"<p>{PROSE}</p>", "<h2>Head</h2>", "<div><a href=x>to a page</a></div>", f"<div>{'zz ' * 60}</div>", "<nav>Menu</nav>", f"<article><p>word</p><p>{PROSE}</p></article>", "<article><h4>One</h4></article>"]
+    pages += ["".join(rng.choice(part) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    rows = duckdb.connect().execute(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()
+    pages += [h or "" for (h,) in rows]
+    rules = set()
+    for html in pages:
+        blocks = html_main.page_blocks(html)
+        first, want = labelled(blocks)
+        html_main.label_blocks(blocks, html_main.Rules())
+        assert [b.label for b in blocks] == want, html
+        assert all((b.rule in ("neighbour", "alone")) == (x is None) for b, x in zip(blocks, first))
+        rules |= {b.rule for b in blocks}
+    assert rules == {"stop words", "links", "prior", "neighbour", "alone"}
+
+
+def test_block_report(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {(r.rule, r.label): r["count"] for r in html_main.block_report(pages).groupBy("rule", "label").count().collect()}
+    assert got["stop words", True] > 0 and got["links", False] > 0 and got["neighbour", True] > 0
