@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds, in DataFrame expressions only.
 
-Mergeable quantile sketches of each measure per language and source give fences that replace fixed cutoffs; documents
-are joined to the fences of their group and filtered.
+Mergeable quantile sketches of each measure per language and source give fences that replace fixed cutoffs: first the
+body of each group (median and outer deciles), which tells its sound documents, then the tail quantiles of those.
+Documents are joined to the fences of their group and filtered.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
-#: measure -> (fence below, fence above, least distance): a fence stands ``reach`` times as far from the median as the
-#: outer decile, and at the least distance, which is what measuring alone can make.
+#: measure -> (fence below, fence above, tells sound documents). Repetition is rare in any group, so that its deciles
+#: are zero and tell nothing; symbols and word lengths have a body.
 MEASURES = {
-    "symbol_ratio": (False, True, 0.03),
-    "dup_line_ratio": (False, True, 0.1),
-    "repeat_ratio": (False, True, 0.05),
-    "mean_word_chars": (True, True, 0.5),
+    "symbol_ratio": (False, True, True),
+    "dup_line_ratio": (False, True, False),
+    "repeat_ratio": (False, True, False),
+    "mean_word_chars": (True, True, True),
 }
-#: Documents that pass the base rule in a group with fences of its own; thinner ones take those of their language, or all.
+#: Documents in a group with fences of its own; thinner ones take those of their language, thin languages the corpus's.
 LEAST_GROUP = 100
 
 
@@ -80,25 +81,52 @@ def _measures() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def fences(counted: DataFrame, *, reach: float = 3.0, accuracy: int = 1000, least_group: int = LEAST_GROUP) -> DataFrame:
-    """lang, source, and low_/high_ fences of each measure, from sketches over the group's documents that pass the base
-    rule: the median and the outer deciles, which up to a tenth of bad documents doesn't move. Groups of under
-    ``least_group`` documents take the fences of their language, thin languages those of the corpus. The sketches merge, so
-    a hot group costs each task one sketch."""
+def _by_group(rows: DataFrame, counted: DataFrame, sketches: dict[str, Column], name: str, least_group: int) -> DataFrame:
+    """f_lang, f_source and the ``sketches`` over ``rows`` for every group of ``counted``: the group's own from
+    ``least_group`` rows on, else its language's, else those of all rows; null without any row.
+
+    Tasks shuffle one sketch for each of their groups, so a hot group costs no more than another."""
+    merged = rows.rollup("lang", "source").agg(F.grouping_id().alias("merged"), F.count("*").alias("n"), *(c.alias(k) for k, c in sketches.items()))
+    found = materialize(merged, name)
+    # One row for each group, each language, and the corpus.
+    groups = counted.select("lang", "source").distinct().withColumn("top", F.lit(3).cast("long")).alias("g")
+    own, lang, top = (found.where(f"merged = {k}").alias(x) for k, x in ((0, "b"), (1, "l"), (3, "t")))
+    same_lang, same_source = F.col("g.lang").eqNullSafe(F.col("b.lang")), F.col("g.source").eqNullSafe(F.col("b.source"))
+    up = groups.join(own, same_lang & same_source, "left").join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
+    up = up.join(top, F.col("g.top") == F.col("t.merged"), "left")
+    pick = lambda k: F.when(F.col("b.n") >= least_group, F.col(f"b.{k}")).when(F.col("l.n") >= least_group, F.col(f"l.{k}")).otherwise(F.col(f"t.{k}"))
+    return up.select(F.col("g.lang").alias("f_lang"), F.col("g.source").alias("f_source"), *(pick(k).alias(k) for k in sketches))
+
+
+def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` with the limits of their language and source; the limits have one row a group."""
+    return rows.join(limits, rows.lang.eqNullSafe(limits.f_lang) & rows.source.eqNullSafe(limits.f_source), "left")
+
+
+def sound(counted: DataFrame, *, reach: float = 3.0, accuracy: int = 1000, least_group: int = LEAST_GROUP) -> DataFrame:
+    """The rows of ``counted`` that pass the base rule and stand, but for noise, within ``reach`` times the distance of the
+    outer decile from their group's median in symbols and word length. Up to a tenth of bad documents moves neither."""
     parts = F.array(*map(F.lit, (0.1, 0.5, 0.9)))
-    sketch = [F.percentile_approx(c, parts, accuracy).alias(f"q_{k}") for k, (c, _) in _measures().items()]
-    passed = counted.where(~base_failed()).rollup("lang", "source").agg(F.grouping_id().alias("merged"), F.count("*").alias("n"), *sketch)
-    sketches = materialize(passed, "quality-sketches")
-    both, total = sketches.where("merged = 0"), F.broadcast(sketches.where("merged = 3").alias("t"))
-    lang = sketches.where("merged = 1").alias("l")
-    up = both.alias("b").join(lang, F.col("b.lang").eqNullSafe(F.col("l.lang"))).crossJoin(total)
-    out = [F.col("b.lang").alias("f_lang"), F.col("b.source").alias("f_source")]
-    for k, (low, high, least) in MEASURES.items():
-        q = F.when(F.col("b.n") >= least_group, F.col(f"b.q_{k}")).when(F.col("l.n") >= least_group, F.col(f"l.q_{k}")).otherwise(F.col(f"t.q_{k}"))
-        under, over = (F.greatest(d * reach, F.lit(least)) for d in (q[1] - q[0], q[2] - q[1]))
-        none = F.lit(None).cast("double")
-        out += [(q[1] - under if low else none).alias(f"low_{k}"), (q[1] + over if high else none).alias(f"high_{k}")]
-    return up.select(*out)
+    body = {k: (c, noise) for k, (c, noise) in _measures().items() if MEASURES[k][2]}
+    passed = counted.where(~base_failed())
+    deciles = _by_group(passed, counted, {f"q_{k}": F.percentile_approx(c, parts, accuracy) for k, (c, _) in body.items()}, "quality-deciles", least_group)
+    inside = F.lit(True)
+    for k, (c, noise) in body.items():
+        q = F.col(f"q_{k}")
+        inside = inside & (c - noise <= q[1] + reach * (q[2] - q[1])) & (c + noise >= q[1] - reach * (q[1] - q[0]))
+    return _joined(passed, deciles).where(inside).select(*counted.columns)
+
+
+def fences(counted: DataFrame, *, reach: float = 3.0, tail: float = 0.01, accuracy: int = 10000, least_group: int = LEAST_GROUP) -> DataFrame:
+    """f_lang, f_source, and low_ and high_ fences of each measure: the quantiles ``tail`` and 1 - ``tail`` of the group's
+    sound documents (see `sound`), from mergeable sketches. Groups of under ``least_group`` sound documents take the
+    fences of their language, thin languages those of the corpus; without any sound document there are none."""
+    ends = F.array(F.lit(tail), F.lit(1 - tail))
+    tails = {f"q_{k}": F.percentile_approx(c, ends, accuracy) for k, (c, _) in _measures().items()}
+    found = _by_group(sound(counted, reach=reach, least_group=least_group), counted, tails, "quality-tails", least_group)
+    none = F.lit(None).cast("double")
+    out = [(F.col(f"q_{k}")[i] if wanted else none).alias(f"{side}_{k}") for k, (low, high, _) in MEASURES.items() for i, side, wanted in ((0, "low", low), (1, "high", high))]
+    return found.select("f_lang", "f_source", *out)
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -106,26 +134,26 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for k, (c, noise) in _measures().items():
         inside = inside & F.coalesce(c + noise >= F.col(f"low_{k}"), F.lit(True)) & F.coalesce(c - noise <= F.col(f"high_{k}"), F.lit(True))
-    on = counted.lang.eqNullSafe(limits.f_lang) & counted.source.eqNullSafe(limits.f_source)
-    both = counted.join(limits, on, "left").withColumn("base_failed", base_failed())
+    both = _joined(counted, limits).withColumn("base_failed", base_failed())
     return both.withColumn("kept", ~F.col("base_failed") & inside).drop(*limits.columns)
 
 
-def quality_verdicts(docs: DataFrame, *, reach: float = 3.0) -> DataFrame:
+def quality_verdicts(docs: DataFrame, *, reach: float = 3.0, tail: float = 0.01) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept of every row of ``docs`` (doc_id, text, lang, source).
 
-    A null text has no words and fails the base rule; null languages and sources are groups; a group none of whose
-    documents pass the base rule has no fences; repeated rows are judged alike; other columns are left aside."""
+    A null text has no words and fails the base rule, as an empty one does; texts of any length are read whole; null
+    languages and sources are groups, a null doc_id stays null; a group without sound documents has the fences of its
+    language; repeated rows are judged alike; an empty table gives no rows; other columns are left aside."""
     counted = materialize(with_word_counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality-counts")
-    return judged(counted, materialize(fences(counted, reach=reach), "quality-fences"))
+    return judged(counted, materialize(fences(counted, reach=reach, tail=tail), "quality-fences"))
 
 
-def keep_good(docs: DataFrame, *, reach: float = 3.0) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. Texts are measured twice and never shuffled.
+def keep_good(docs: DataFrame, *, reach: float = 3.0, tail: float = 0.01) -> DataFrame:
+    """The rows of ``docs`` that `quality_verdicts` keeps, with all their columns as they are, whatever names they have.
 
-    Rejected rows explode to nothing: a filter would be pushed below the projections, and their nested expressions be
-    written out in it over and over."""
-    counted = materialize(with_word_counts(docs.select("text", "lang", "source")).drop("text"), "quality-counts")
-    limits = materialize(fences(counted, reach=reach), "quality-fences")
-    verdicts = judged(with_word_counts(docs), limits)
-    return verdicts.withColumn("q_kept", F.explode(F.when(F.col("kept"), F.array(F.lit(True))))).select(*docs.columns)
+    Texts are measured once, written beside their counts, and never shuffled."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "lang", "source")
+    counted = materialize(with_word_counts(whole).drop("text"), "quality-rows")
+    counts = counted.drop("row")
+    verdicts = judged(counted, materialize(fences(counts, reach=reach, tail=tail), "quality-fences"))
+    return verdicts.where("kept").select("row.*")
