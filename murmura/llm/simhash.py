@@ -262,16 +262,15 @@ def _links(sorted_rows: DataFrame, tau: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, tau: int, *, block: int = BLOCK) -> DataFrame:
-    """Links (a < b, fingerprints) that join every two of the distinct ``fp`` that chains of at most ``tau`` differing
-    bits join. Buckets above ``block`` rows go as pairs of blocks to several tasks; no bucket is cut or sampled."""
-    spark = nodes.sparkSession
-    rows = probes(nodes, probe_plan(nodes, tau))
+def bucket_links(rows: DataFrame, tau: int, *, block: int = BLOCK) -> DataFrame:
+    """Links (a < b, fingerprints) that join every two fingerprints of one bucket that chains of at most ``tau`` differing
+    bits join within it; ``rows`` are (part, key, fp). Buckets above ``block`` rows go as pairs of blocks to several tasks;
+    no bucket is cut or sampled."""
+    spark = rows.sparkSession
     sizes = rows.groupBy("part", "key").count().where(F.col("count") > block)
     large = materialize(sizes, "simhash-large").select("part", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    plain = "0 AS pair, 0 AS side"
     if large.isEmpty():
-        dealt = rows.selectExpr("part", "key", plain.split(", ")[0], plain.split(", ")[1], "fp")
+        dealt = rows.select("part", "key", F.lit(0).alias("pair"), F.lit(0).alias("side"), "fp")
     else:
         # At most rows / block buckets are large; Spark broadcasts them only below its size threshold.
         rows = rows.join(large, ["part", "key"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))))
@@ -285,6 +284,12 @@ def links(nodes: DataFrame, tau: int, *, block: int = BLOCK) -> DataFrame:
     return _links(dealt, tau).distinct()
 
 
+def links(nodes: DataFrame, tau: int, *, block: int = BLOCK) -> DataFrame:
+    """Links (a < b, fingerprints) that join every two of the distinct ``fp`` that chains of at most ``tau`` differing
+    bits join."""
+    return bucket_links(probes(nodes, probe_plan(nodes, tau)), tau, block=block)
+
+
 # -- groups -------------------------------------------------------------------------------------------------------------
 
 
@@ -306,6 +311,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, tau: int = 3) -> DataFra
 
 #: Shingles that a partial fingerprint covers on average, and partial fingerprints at each level.
 PART_SHINGLES, PARTS = 6, 16
+#: Texts that share a partial fingerprint are candidates if their whole ones differ in at most this many bits. At similarity
+#: 0.8 about 10 of 64 bits differ, between unlike texts 32, so chance meetings in a class end here.
+LOOSE = 22
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -399,10 +407,11 @@ def text_groups(docs: DataFrame, *, width: int = 5, at_least: float = 0.8, tau:
     """same (hash of the text), node, root and least (smallest doc_id with the text, null: none) of every distinct text:
     texts of one root are joined by sets of ``width``-word shingles whose Jaccard similarity is ``at_least``.
 
-    Candidates are texts whose whole fingerprints differ in at most ``tau`` bits, or that share a partial fingerprint;
-    they are verified on their whole shingle sets. Texts without words are alike only if equal, null is the empty text,
-    an empty table gives no rows. Only texts join groups, whatever doc_ids they have; nodes are numbered by ``least``,
-    nulls last, so the root of a group is its text with the smallest doc_id."""
+    Candidates are texts whose whole fingerprints differ in at most ``tau`` bits, or that share a partial fingerprint and
+    differ in at most LOOSE bits of the whole ones; each is checked before candidates join into groups, and groups are
+    verified on their whole shingle sets. Texts without words are alike only if equal, null is the empty text, an empty
+    table gives no rows, texts of any length are read whole. Only texts join groups, whatever doc_ids they have; nodes are
+    numbered by ``least``, nulls last, so the root of a group is its text with the smallest doc_id."""
     rows = _hashed(docs)
     out = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
@@ -426,43 +435,92 @@ def text_groups(docs: DataFrame, *, width: int = 5, at_least: float = 0.8, tau:
     order = [F.asc_nulls_last("least"), F.asc("same")]
     texts = materialize(texts, "distinct-texts").repartitionByRange(*order).sortWithinPartitions(*order)
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "text-numbers")
-    # Candidates: buckets as stars around their smallest member, fingerprint links as they are.
-    keyed = texts.select("node", F.explode("keys").alias("key"))
-    centre = keyed.groupBy("key").agg(F.min("node").alias("a"))
-    stars = keyed.join(centre, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    wordy = texts.where(F.size("keys") > 0).select("node", "fp")
-    prints = materialize(wordy.groupBy("fp").agg(F.min("node").alias("least")), "text-nodes")
-    close = links(prints, tau)
-    first, second = prints.toDF("a", "x"), prints.toDF("b", "y")
-    close = close.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same_fp = wordy.join(prints, "fp").where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    groups = materialize(components(stars.union(close).union(same_fp)).toDF("node", "group").distinct(), "candidate-groups")
-    near = components(_verified(rows, texts.select("node", "same", "least").join(groups, "node"), width, at_least, block)).distinct()
+    wordy = texts.where(F.size("keys") > 0)
+    prints = materialize(wordy.select("fp").distinct(), "text-prints")
+    classes = wordy.select(F.lit(0).alias("part"), F.explode("keys").alias("key"), "fp").distinct()
+    found = materialize(bucket_links(classes, LOOSE).union(links(prints, tau)).distinct(), "candidate-links")
+    roots = components(found).toDF("fp", "root").distinct()
+    groups = wordy.join(roots, "fp", "left").select("node", "same", "least", F.coalesce("root", "fp").alias("group"))
+    near = components(_verified(rows, materialize(groups, "candidate-groups"), width, at_least, block)).distinct()
     return texts.select("same", "node", "least").join(near, "node", "left").select("same", "node", F.coalesce("root", "node").alias("root"), "least")
 
 
-def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, block: int) -> DataFrame:
-    """Links (a, b) of nodes within candidate groups (node, same, least, group). Groups above ``block`` texts go as pairs
-    of blocks. A text is read from a row with its smallest doc_id, so copies under other ids don't move."""
-    large = groups.groupBy("group").count().select("group", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = groups.join(large, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = materialize(dealt, "candidate-blocks").withColumnRenamed("same", "node_same")
+def _shingle_sets(rows: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """``groups`` with set, the shingles of each node's text. A text is read from a row with its smallest doc_id, so copies
+    under other ids don't move."""
     on = (F.col("same") == F.col("node_same")) & F.col("doc_id").eqNullSafe(F.col("least"))
-    texts = rows.join(dealt, on).select("node", "group", "blocks", "own", "text").dropDuplicates(["node"])
+    names = [c for c in groups.columns if c not in ("same", "least")]
+    texts = rows.join(groups.withColumnRenamed("same", "node_same"), on).select(*names, "text").dropDuplicates(["node"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "group", "blocks", "own", "set"]
         for b in batches:
             sets = [shingle_hashes(t, width).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(sets, pa.binary())], names=names)
-
-    sets = texts.mapInArrow(shingled, "node long, group long, blocks int, own int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = sets.select("*", other).selectExpr(
-        "group", "least(own, other) * blocks + greatest(own, other) AS pair", "CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END AS side", "node", "set",
-    )
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(n, "group", "pair").sortWithinPartitions("group", "pair", "side", "node")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "set"])
+
+    kinds = dict(texts.dtypes)
+    return texts.mapInArrow(shingled, ", ".join([*(f"{c} {kinds[c]}" for c in names), "set binary"]))
+
+
+def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, block: int) -> DataFrame:
+    """Links (a, b) of nodes within candidate groups (node, same, least, group).
+
+    A group of up to ``block`` texts is compared in one task. In larger ones every text first meets the group's leader, the
+    text of the smallest number, which goes to each block: texts like it are one part of the group and need no comparing
+    among themselves. What is left meets both that part and itself, block by block, so all links between parts are found."""
+    sized = groups.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    held = materialize(_shingle_sets(rows, groups.join(sized, "group"), width), "candidate-sets")
+    keys = ["group", "pair", "side", "node", "set"]
+    small = held.where(F.col("n") <= block).select("group", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "node", "set")
+    large = held.where(F.col("n") > block)
+    if large.isEmpty():
+        return _compared(small, at_least)
+    blocks = F.ceil(F.col("n") / block)
+    members = large.where("node <> leader").select("group", F.pmod(F.xxhash64("node"), blocks).alias("pair"), F.lit(1).alias("side"), "node", "set")
+    leaders = large.where("node = leader").select("group", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("pair"), F.lit(0).alias("side"), "node", "set")
+    led = materialize(_led(leaders.unionByName(members), at_least), "led-links")
+    part = large.join(led.select(F.col("b").alias("node"), F.lit(True).alias("led")), "node", "left").withColumn("led", F.coalesce("led", F.col("node") == F.col("leader")))
+    counts = part.groupBy("group").agg(F.ceil(F.count_if("led") / block).alias("led_blocks"), F.ceil(F.count_if(~F.col("led")) / block).alias("free_blocks"))
+    dealt = part.join(counts.where("free_blocks > 0"), "group").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("led"), F.col("led_blocks")).otherwise(F.col("free_blocks"))))
+    dealt = materialize(dealt.select("group", "node", "set", "led", "own", "led_blocks", "free_blocks"), "candidate-blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("free_blocks") - 1)).alias("other")
+    # Blocks of the rest against one another (pairs from 0 on) and against blocks of the leader's part (below 0).
+    among = dealt.where("NOT led").select("*", other).selectExpr(
+        "group", "least(own, other) * free_blocks + greatest(own, other) AS pair", "CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END AS side", "node", "set")
+    first = dealt.where("led").select("*", other).selectExpr("group", "-1 - (own * free_blocks + other) AS pair", "1 AS side", "node", "set")
+    across = F.explode(F.sequence(F.lit(0).cast("long"), F.col("led_blocks") - 1)).alias("other")
+    second = dealt.where("NOT led").select("*", across).selectExpr("group", "-1 - (other * free_blocks + own) AS pair", "2 AS side", "node", "set")
+    rest = among.select(*keys).unionByName(first.select(*keys)).unionByName(second.select(*keys))
+    return led.unionByName(_compared(small.unionByName(rest), at_least))
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "group", "pair").sortWithinPartitions("group", "pair", "side", "node")
+
+
+def _led(pairs: DataFrame, at_least: float) -> DataFrame:
+    """Links (a, b) of each leader (side 0) with the members (side 1) of its block that are like it. A task holds one set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leader, own = None, None, np.zeros(0, np.uint64)
+        for b in batches:
+            found = []
+            for group, pair, side, node, raw in zip(*(b.column(c).to_pylist() for c in ("group", "pair", "side", "node", "set"))):
+                x = np.frombuffer(raw, np.uint64)
+                if side == 0:
+                    now, leader, own = (group, pair), node, x
+                elif now == (group, pair):
+                    shared = len(np.intersect1d(own, x, assume_unique=True))
+                    if shared and shared >= at_least * (len(own) + len(x) - shared) - 1e-9:
+                        found.append((leader, node))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _dealt(pairs).mapInArrow(run, "a long, b long")
+
+
+def _compared(pairs: DataFrame, at_least: float) -> DataFrame:
+    """Links (a, b) within each block of ``pairs`` (group, pair, side, node, set): of all texts (side 0), or between sides 1
+    and 2."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,14 +542,19 @@ def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, b
         if held:
             yield solved()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return _dealt(pairs).mapInArrow(run, "a long, b long")
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """One row of ``docs`` for each group of similar texts: one with the group's smallest doc_id, or one without doc_id
-    where all lack it. Unlike texts stay, whatever doc_ids they share or lack. All columns stay."""
-    mark = "murmura_text_hash"
-    kept = materialize(text_groups(docs, **how).where("node = root").select(F.col("same").alias(mark)), "kept-texts")
-    keyed = docs.withColumn(mark, F.md5(F.coalesce("text", F.lit(""))))
-    one = F.row_number().over(Window.partitionBy(mark).orderBy(F.col("doc_id").cast("long").asc_nulls_last()))
-    return keyed.withColumn("murmura_row", one).where("murmura_row = 1").join(kept, mark, "left_semi").select(*docs.columns)
+    where all lack it; of rows that differ in other columns only, the one of the smallest hash.
+
+    Unlike texts stay, whatever doc_ids they share or lack. All columns stay as they are, whatever names they have; an
+    empty table gives no rows."""
+    kept = materialize(text_groups(docs, **how).where("node = root").select("same"), "kept-texts")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t))
+    keyed = docs.select(F.struct(*columns).alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("same"), F.col("doc_id").cast("long").alias("id"), tie.alias("tie"))
+    # Tasks keep one row of each text before the shuffle, so copies don't meet in one.
+    one = F.row_number().over(Window.partitionBy("same").orderBy(F.col("id").asc_nulls_last(), "tie"))
+    return keyed.withColumn("place", one).where("place = 1").join(kept, "same", "left_semi").select("row.*")
