@@ -23,8 +23,8 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixed_documents(_table(spark, sf_dir, "documents"))
-    first = F.get("positions", F.lit(0)).alias("first_position")
-    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", first)
+    first, second = (F.get("positions", F.lit(k)).alias(f"{name}_position") for k, name in enumerate(("first", "second")))
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", first, second)
     return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
@@ -103,16 +103,19 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
         - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 g AS (SELECT *, (SELECT arg_min(level, (cap / weight, level)) FROM l WHERE level * weight <= cap) AS water FROM l),
-t AS (SELECT source, source_size, slope, least(cap, coalesce(water * weight, cap)) AS target FROM g),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
+t0 AS (SELECT source, source_size, slope, least(cap, coalesce(water * weight, cap)) AS target FROM g),
+t AS (SELECT *, coalesce(round(sum(target * slope) OVER () / sum(target) OVER (), 9), 0) AS pace FROM t0),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope, t.pace,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, greatest(least(CAST(floor(target) AS BIGINT) - start, size), 0) AS once,
-             greatest(least(CAST(floor(target) AS BIGINT) - source_size - start, size), 0) AS again FROM p)
+             greatest(least(CAST(floor(target) AS BIGINT) - source_size - start, size), 0) AS again FROM p),
+u AS (SELECT *, CASE WHEN once > 0 THEN start / target END AS x, CASE WHEN again > 0 THEN (source_size + start) / target END AS y FROM k),
+v AS (SELECT *, CASE WHEN slope = 0 THEN x ELSE (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * x, 0.0)) - (1 - slope)) / (2 * slope) END AS t1,
+             CASE WHEN slope = 0 THEN y ELSE (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * y, 0.0)) - (1 - slope)) / (2 * slope) END AS t2 FROM u)
 SELECT doc_id, size, source_size, target, CAST(once + again AS BIGINT) AS taken,
-       CASE WHEN once > 0 THEN CASE WHEN slope = 0 THEN start / target
-            ELSE (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * (start / target), 0.0)) - (1 - slope)) / (2 * slope) END END AS first_position
-FROM k
+       CASE WHEN once > 0 THEN t1 + pace * (t1 * t1 - t1) END AS first_position, CASE WHEN again > 0 THEN t2 + pace * (t2 * t2 - t2) END AS second_position
+FROM v
 """
 
 #: The turns of every conversation as its formatted text reads back.
