@@ -1,6 +1,7 @@
 r"""Chat formatting in Spark expressions only.
 
-A conversation is its turn structs, collected and sorted. Adjacent turns of one role stand under one header:
+A conversation is its turn structs, collected and sorted. Adjacent turns of one role are merged into a run, which stands
+under one header:
 
     ### role:\n text </turn>\n text </turn>\n
 
@@ -35,29 +36,38 @@ def formatted_chats(turns: DataFrame, *, loss_role: str = "assistant") -> DataFr
     """conv_id, formatted, segments (array of piece and loss flag, whose pieces join to ``formatted``).
 
     Turns go by turn, then role, then text, so ties and repeated rows have one order; a null turn goes first, a null
-    role or text is empty, a null conv_id is a conversation, no rows give none, and other columns are left aside."""
+    role or text is empty, a null conv_id is a conversation, no rows give none, texts of any length are whole, and other
+    columns are left aside. A conversation is one row of the result, so it has to fit a task."""
     rows = turns.select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
     )
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    nothing = F.lit(None).cast("string")
-    chats = chats.withColumn("before", F.concat(F.array(nothing), F.transform("turns", lambda t: t["role"])))
+    chats = chats.select("conv_id", merged_runs(F.col("turns")).alias("runs"))
 
-    def pieces(t: Column, before: Column) -> Column:
-        head = F.concat(F.lit(HEAD), escaped(t["role"], ROLE_ESCAPES), F.lit(HEAD_END))
+    def pieces(run: Column) -> Column:
         piece = lambda text, loss: F.struct(text.alias("piece"), loss.alias("loss"))
-        return F.array(
-            piece(F.when(before.eqNullSafe(t["role"]), F.lit("")).otherwise(head), F.lit(False)),
-            piece(escaped(t["text"]), t["role"] == loss_role),
-            piece(F.lit(TURN_END), F.lit(False)),
-        )
+        head = piece(F.concat(F.lit(HEAD), escaped(run["role"], ROLE_ESCAPES), F.lit(HEAD_END)), F.lit(False))
+        said = F.transform(run["texts"], lambda text: F.array(piece(escaped(text), run["role"] == loss_role), piece(F.lit(TURN_END), F.lit(False))))
+        return F.concat(F.array(head), F.flatten(said))
 
-    both = F.slice(F.zip_with("turns", "before", lambda t, b: F.when(t.isNotNull(), pieces(t, b))), 1, F.size("turns"))
-    return chats.select("conv_id", F.flatten(both).alias("segments")).select(
+    return chats.select("conv_id", F.flatten(F.transform("runs", pieces)).alias("segments")).select(
         "conv_id", F.array_join(F.transform("segments", lambda s: s["piece"]), "").alias("formatted"), "segments"
     )
 
 
+def merged_runs(turns: Column) -> Column:
+    """Runs (role, texts) of sorted ``turns``: a turn of the last run's role adds its text there, another begins a run."""
+
+    def step(runs: Column, t: Column) -> Column:
+        last = F.element_at(runs, -1)
+        begun = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
+        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
+        same = F.when(F.size(runs) > 0, last["role"] == t["role"]).otherwise(F.lit(False))
+        return F.when(same, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))).otherwise(F.concat(runs, F.array(begun)))
+
+    return F.aggregate(turns, F.array().cast("array<struct<role:string,texts:array<string>>>"), step)
+
+
 def read_chat(formatted: Column) -> Column:
     """The turns (role, text) that a formatted conversation holds."""
 
