@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -57,7 +58,8 @@ def lexicon(docs: DataFrame, *, low: float = 0.0005, high: float = 0.2, most: in
     """Sorted hashes of the terms whose document frequency lies from ``low`` to ``high`` of all documents.
 
     Document frequencies sum to documents times mean distinct terms u, so the lexicon has at most u / low terms
-    whatever the corpus holds; above ``most`` (256 MB) it is refused rather than broadcast."""
+    whatever the corpus holds; above ``most`` it is refused rather than broadcast. It is a sorted array of 8 bytes a term (at
+    most 256 MB) at the driver and in each worker, where terms are looked up by binary search."""
     n = docs.count()
     band = document_frequencies(docs).where(F.col("df").between(math.ceil(low * n), math.floor(high * n))).select("term")
     found = np.asarray(band.toArrow().column("term"), np.int64)
@@ -70,23 +72,22 @@ class Fingerprinter:
     """Fingerprints of texts against a lexicon: ``whole|level:hash.hash...|level+1:...``, empty subsets left blank."""
 
     def __init__(self, terms: np.ndarray) -> None:
-        self.lexicon = set(terms.tolist())
+        self.lexicon = terms
         self.known: dict[bytes, int | None] = {}
         self.seeds = np.arange(1, SUBSETS + 1, dtype=np.uint64) * _MIX
 
     def hashes(self, text: str) -> np.ndarray:
-        known, found = self.known, []
+        """Sorted hashes of the text's distinct lexicon terms; a worker remembers the last words it looked up."""
+        known, words = self.known, terms_of(text)
         if len(known) > FLUSH:
             known.clear()
-        for w in terms_of(text):
-            if w in known:
-                h = known[w]
-            else:
-                h = xxhash.xxh64_intdigest(w)
-                h = known[w] = h if h in self.lexicon else None
-            if h is not None:
-                found.append(h)
-        return np.sort(np.asarray(found, np.uint64))
+        new = [w for w in words if w not in known]
+        if new:
+            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.lexicon, h), max(len(self.lexicon) - 1, 0))
+            held = self.lexicon[at] == h if len(self.lexicon) else np.zeros(len(h), bool)
+            known.update((w, x if k else None) for w, x, k in zip(new, h.tolist(), held.tolist()))
+        return np.sort(np.asarray([h for w in words if (h := known[w]) is not None], np.uint64))
 
     def __call__(self, text: str) -> str:
         terms = self.hashes(text)
@@ -127,14 +128,24 @@ def fingerprint_documents(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _ranges(cuts: np.ndarray, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Range of each (key, tie) by descending key and ascending tie, as numbers that fall in that order.
+
+    ``cuts`` are sorted quantiles of the keys. A key that several quantiles fall on is heavier than a range and is split by
+    its ties, which are evenly spread."""
+    low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+    spread = ((tie.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(11)) * 2.0**-53
+    return (high - np.floor(spread * (high - low + 1)).astype(np.int64)).astype(np.int32)
+
+
 def edited_fingerprints(docs: DataFrame, *, low: float = 0.0005, high: float = 0.2) -> DataFrame:
     """Fingerprint of every text and of its edited text: the last third of its code points gives way to as many first
     ones (or all) of the next document by descending doc_id; after the last comes the first.
 
     Null texts are empty, a null doc_id comes last, rows of one doc_id go by a hash of the text, one row alone follows
-    itself. Texts move once, compressed, into ranges of doc_id; each range also gets the first text of the range after
-    it, so no range waits for another. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next.
+    itself, an empty table gives no rows, other columns are left aside. Texts move once, compressed and whole, into ranges
+    of (doc_id, hash); each range also gets the first text of the range after it, so no range waits for another. Returns
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -142,11 +153,16 @@ def edited_fingerprints(docs: DataFrame, *, low: float = 0.0005, high: float = 0
     rows = rows.withColumn("tie", F.xxhash64("text"))
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = materialize(rows.select("key", "tie"), "doc-keys")
-    cuts = sorted(set(keys.stat.approxQuantile("key", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))))
-    # Range of a key: how many of the cuts, a sorted array of fewer than `ranges` numbers, it reaches.
-    cuts_col = F.array(*(F.lit(int(c)) for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    place = F.size(F.filter(cuts_col, lambda c: c <= F.col("key")))
-    heads = keys.withColumn("range", place).groupBy("range").agg(F.min(F.struct(F.bitwise_not("key").alias("down"), "tie")).alias("h"))
+    # One number a range reaches the driver and goes on to the tasks.
+    cuts = np.asarray(sorted(keys.stat.approxQuantile("key", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))), np.float64).astype(np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _ranges(cuts, np.asarray(b.column("key"), np.int64), np.asarray(b.column("tie"), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("key"), b.column("tie")], names=["range", "key", "tie"])
+
+    first = F.min(F.struct(F.bitwise_not("key").alias("down"), "tie")).alias("h")
+    heads = keys.mapInArrow(placed, "range int, key long, tie long").groupBy("range").agg(first)
     # One row for each range in this window.
     down = Window.orderBy(F.desc("range"))
     all_ = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -158,8 +174,10 @@ def edited_fingerprints(docs: DataFrame, *, low: float = 0.0005, high: float = 0
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
         for b in batches:
+            at = pa.array(_ranges(cuts, np.asarray(b.column("key"), np.int64), np.asarray(b.column("tie"), np.int64)))
+            at = pc.coalesce(b.column("range"), at)
             small = [c.compress(t.encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(small, pa.binary())], names=["range", "follows", "key", "tie", "doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([at, *b.columns[1:-1], pa.array(small, pa.binary())], names=["range", "follows", "key", "tie", "doc_id", "z"])
 
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string())]
     schema = pa.schema([*fields, ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -167,6 +185,7 @@ def edited_fingerprints(docs: DataFrame, *, low: float = 0.0005, high: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, d = Fingerprinter(sent.value), zstandard.ZstdDecompressor()
         held: tuple | None = None
+        at: int | None = None
 
         def row(now: tuple, text: str, mark: str) -> tuple:
             doc, own, own_mark = now
@@ -177,16 +196,16 @@ def edited_fingerprints(docs: DataFrame, *, low: float = 0.0005, high: float = 0
 
         for b in batches:
             out = []
-            for follows, doc, z in zip(*(b.column(c).to_pylist() for c in ("follows", "doc_id", "z"))):
+            for range_, follows, doc, z in zip(*(b.column(c).to_pylist() for c in ("range", "follows", "doc_id", "z"))):
                 text = d.decompress(z).decode()
                 mark = make(text)
-                if held is not None:
+                if held is not None and at == range_:
                     out.append(row(held, text, mark))
-                held = None if follows else (doc, text, mark)
+                held, at = None if follows else (doc, text, mark), range_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    both = rows.select(place.alias("range"), F.lit(0).alias("follows"), "key", "tie", "doc_id", "text").unionByName(follow)
+    both = rows.select(F.lit(None).cast("int").alias("range"), F.lit(0).alias("follows"), "key", "tie", "doc_id", "text").unionByName(follow)
     small = both.mapInArrow(shrink, "range int, follows int, key long, tie long, doc_id long, z binary")
-    dealt = small.repartition(ranges, "range").sortWithinPartitions(F.desc("range"), "follows", F.desc("key"), "tie")
+    dealt = small.repartitionById(ranges, F.col("range")).sortWithinPartitions(F.desc("range"), "follows", F.desc("key"), "tie")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
