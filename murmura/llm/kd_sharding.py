@@ -1,27 +1,40 @@
 """Shards by a k-d tree over document metadata.
 
 A node splits at the weighted median (weight: bytes) of its widest metadata dimension, until leaves reach the target
-bytes. Medians are found for all nodes of a level at once by four rounds of 12-bit digits over sums that tasks make
-before the shuffle; ties of the dimension go by a hash of the row.
+bytes. Medians are found for all nodes of a level at once by five rounds of 12-bit digits over sums that tasks make
+before the shuffle; ties of the dimension go by a hash of the row, equal rows by their places in the table. Nodes are
+rows of a table, so the driver holds none of them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.scratch import materialize
 
-DIGIT, ROUNDS = 12, 4
-HALF = 24  # bits of the dimension, and of the tie
+DIGIT, ROUNDS = 12, 5
+HALF = 24  # bits of the dimension, and of the tie; one more digit parts equal rows
 
 
 def metadata(docs: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32, tie and the dimensions as doubles."""
+    """doc_id, size (UTF-8 bytes plus 1), text_crc32, tie, place (number of the row) and the dimensions as doubles."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *(c.cast("double").alias(f"dim_{k}") for k, c in dimensions.items()))
-    return rows.withColumn("tie", F.xxhash64("doc_id", "text_crc32", "size").bitwiseAND(F.lit((1 << HALF) - 1)))
+    tie = F.xxhash64("doc_id", "text_crc32", "size").bitwiseAND(F.lit((1 << HALF) - 1))
+    return rows.withColumns({"tie": tie, "place": F.monotonically_increasing_id()})
+
+
+def with_copies(rows: DataFrame, run: int) -> DataFrame:
+    """``rows`` with copy: 0, but for ties of more than ``run`` rows (runs of equal rows) a hash of their place.
+
+    At most rows / run ties are that heavy; Spark broadcasts them below its size threshold."""
+    heavy = rows.groupBy("tie").count().where(F.col("count") > run).select("tie", F.lit(True).alias("heavy"))
+    copy = F.xxhash64("place").bitwiseAND(F.lit((1 << DIGIT) - 1))
+    return rows.join(heavy, "tie", "left").withColumn("copy", F.when(F.col("heavy"), copy).otherwise(F.lit(0).cast("long"))).drop("heavy", "place")
 
 
 def default_dimensions() -> dict[str, Column]:
@@ -35,70 +48,76 @@ def default_dimensions() -> dict[str, Column]:
     }
 
 
-def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None) -> DataFrame:
+def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None, run: int = 4096) -> DataFrame:
     """doc_id, size, text_crc32, shard of every row of ``docs`` (doc_id, text, lang, source).
 
     ``target_bytes`` sets the number of shards if ``shards`` does not. A node of k leaves splits its bytes at k // 2 of
-    k. A null text has no bytes, null languages and sources are values, equal rows are told apart by nothing and may
-    stand in two shards, an empty table gives no rows, other columns are left aside. Reruns agree.
+    k. A null text has no bytes, null doc_ids, languages and sources are values, texts of any length count whole, an empty
+    table gives no rows, other columns are left aside. Equal rows share all dimensions and their tie; where more than
+    ``run`` of them meet (or sixteen times the rows that share a tie by chance), they part by place in the table, so a heavy
+    run of repeats doesn't break the law. Reruns over the same files agree.
     """
     spark = docs.sparkSession
     dimensions = dimensions or default_dimensions()
     rows = materialize(metadata(docs, dimensions), "kd-metadata")
     dims = [f"dim_{k}" for k in dimensions]
-    whole = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    # One row reaches the driver: the bytes and the range of each dimension.
+    whole = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).first()
     leaves = shards or max(1, -(-whole["bytes"] // target_bytes))
     # Dimensions as 24-bit numbers over their range in the whole table, so that widths compare.
     scale = {d: ((whole[f"hi_{d}"] or 0) - (whole[f"lo_{d}"] or 0)) or 1.0 for d in dims}
     top = (1 << HALF) - 1
     rows = rows.withColumns({d: F.floor((F.col(d) - F.lit(whole[f"lo_{d}"] or 0.0)) / scale[d] * top).cast("long") for d in dims})
-    rows = rows.withColumn("node", F.lit(0))
-    nodes = {0: (0, leaves)}  # node -> first leaf, leaves
-    while any(k > 1 for _, k in nodes.values()):
-        live = {n: k for n, (_, k) in nodes.items() if k > 1}
-        widths = rows.where(F.col("node").isin(list(live))).groupBy("node").agg(F.sum("size").alias("bytes"), *((F.max(d) - F.min(d)).alias(d) for d in dims))
-        wide = {r.node: (max(dims, key=lambda d: (r[d], -dims.index(d))), r.bytes) for r in widths.collect()}
-        live = {n: k for n, k in live.items() if n in wide}
-        # One row for each node of the level: at most as many as there are shards.
-        level = spark.createDataFrame([(n, dims.index(wide[n][0])) for n in live] or [(-1, 0)], "node int, dim int")
-        value = F.element_at(F.array(*dims), F.col("dim") + 1)
-        keyed = rows.join(F.broadcast(level), "node", "left").withColumn("key", F.shiftleft(value, HALF) + F.col("tie"))
-        goal = {n: wide[n][1] * (k // 2) / k for n, k in live.items()}
-        cut = {n: (0, 0.0) for n in live}  # node -> prefix of the key, bytes below it
-        for r in range(ROUNDS):
-            shift = DIGIT * (ROUNDS - 1 - r)
-            prefix = spark.createDataFrame([(n, p) for n, (p, _) in cut.items()] or [(-1, 0)], "node int, prefix long")
-            inside = keyed.join(F.broadcast(prefix), "node").where(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
-            sums = inside.groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("bytes"))
-            by: dict[int, list[tuple[int, int]]] = {}
-            for x in sums.collect():  # at most 4,096 sums for each node
-                by.setdefault(x.node, []).append((x.digit, x.bytes))
-            for n, got in by.items():
-                below = cut[n][1]
-                for digit, size in sorted(got):
-                    if below + size >= goal[n]:
-                        break
-                    below += size
-                at_most = below + size - goal[n] <= goal[n] - below
-                cut[n] = (digit, below) if r < ROUNDS - 1 else (digit if at_most else digit - 1, below)
-        split = spark.createDataFrame([(n, c) for n, (c, _) in cut.items()] or [(-1, 0)], "node int, cut long")
-        side = F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + (F.col("key") > F.col("cut")).cast("int"))
-        rows = materialize(keyed.join(F.broadcast(split), "node", "left").withColumn("node", side).drop("dim", "key", "cut"), "kd-level")
-        for n in live:
-            first, k = nodes.pop(n)
-            nodes[2 * n + 1], nodes[2 * n + 2] = (first, k // 2), (first + k // 2, k - k // 2)
-        for n in [n for n, (_, k) in nodes.items() if k > 1 and n not in live and n not in wide and (n - 1) // 2 not in live]:
-            nodes[n] = (nodes[n][0], 1)  # a node without rows
-    names = spark.createDataFrame([(n, first) for n, (first, _) in nodes.items()], "node int, shard int")
-    return rows.join(F.broadcast(names), "node").select("doc_id", "size", "text_crc32", "tie", "shard")
+    rows = with_copies(rows, max(run, 16 * whole["n"] >> HALF)).withColumn("node", F.lit(0).cast("long"))
+    nodes = spark.range(1).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("first"), F.lit(leaves).cast("long").alias("k"))
+    for _ in range(math.ceil(math.log2(leaves))):
+        rows, nodes = split_level(rows, nodes, dims)
+    return rows.join(nodes, "node").select("doc_id", "size", "text_crc32", "tie", "copy", F.col("first").cast("int").alias("shard"))
+
+
+def split_level(rows: DataFrame, nodes: DataFrame, dims: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``nodes`` (node, first leaf, k leaves) with every node of several leaves split in two.
+
+    ``nodes`` has a row for each node of the level, which Spark broadcasts below its size threshold; above it no node has
+    more than a small share of the rows."""
+    live = nodes.where("k > 1")
+    widths = rows.join(live.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("size").alias("bytes"), *((F.max(d) - F.min(d)).alias(d) for d in dims))
+    widest = F.array_max(F.array(*(F.struct(F.col(d).alias("width"), F.lit(-i).alias("i")) for i, d in enumerate(dims))))
+    half = F.expr("k div 2")
+    plan = live.join(widths, "node").select("node", "first", "k", (-widest["i"] + 1).alias("dim"), (F.col("bytes") * half / F.col("k")).alias("goal"))
+    plan = materialize(plan, "kd-nodes")
+    value = F.element_at(F.array(*dims), F.col("dim"))
+    key = F.shiftleft(F.shiftleft(value, HALF) + F.col("tie"), DIGIT) + F.col("copy")
+    keyed = rows.join(plan.select("node", "dim"), "node", "left").withColumn("key", key)
+    cut = plan.select("node", "goal", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    for r in range(ROUNDS):
+        shift = DIGIT * (ROUNDS - 1 - r)
+        inside = keyed.join(cut, "node").where(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
+        sums = inside.groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("bytes"), F.first("goal").alias("goal"), F.first("below").alias("below"))
+        # At most 4,096 digits for each node stand in this window.
+        upto = F.col("below") + F.sum("bytes").over(Window.partitionBy("node").orderBy("digit"))
+        reached = sums.withColumn("upto", upto).where("upto >= goal")
+        cut = materialize(reached.groupBy("node", "goal").agg(F.min(F.struct("digit", (F.col("upto") - F.col("bytes")).alias("under"), "upto")).alias("c")).select("node", "goal", F.col("c.digit").alias("prefix"), F.col("c.under").alias("below"), "c.upto"), "kd-cut")
+        if r < ROUNDS - 1:
+            cut = cut.drop("upto")
+    # The key at the median goes to the nearer side.
+    last = F.when(F.col("upto") - F.col("goal") <= F.col("goal") - F.col("below"), F.col("prefix")).otherwise(F.col("prefix") - 1)
+    right = (F.col("key") > F.col("cut")).cast("long")
+    moved = keyed.join(cut.select("node", last.alias("cut")), "node", "left")
+    moved = moved.withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right)).drop("dim", "key", "cut")
+    child = lambda node, first, k: F.struct(node.alias("node"), first.alias("first"), k.alias("k"))
+    node, first, k = F.col("node"), F.col("first"), F.col("k")
+    children = F.explode(F.array(child(2 * node + 1, first, half), child(2 * node + 2, first + half, k - half)))
+    below = plan.select(children.alias("c")).select("c.*").unionByName(nodes.where("k = 1"))
+    return materialize(moved, "kd-level"), materialize(below, "kd-nodes")
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
     """Adds slot, gapless from 0 in each shard: a shard's rows go by hash buckets, so no shard is sorted by one task."""
-    placed = placed.withColumn("bucket", F.col("tie").bitwiseAND(F.lit(0xFF)))
+    placed = placed.withColumn("bucket", F.when(F.col("copy") > 0, 4096 + F.col("copy")).otherwise(F.xxhash64("tie").bitwiseAND(F.lit(0xFFF))))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("tie", "doc_id", "text_crc32", "size"))
+    local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("tie", "doc_id", "text_crc32", "size", "copy"))
     return placed.withColumn("rank", local).join(base, ["shard", "bucket"]).withColumn("slot", F.col("base") + F.col("rank") - 1).drop("bucket", "rank", "base")
 
 
