@@ -43,15 +43,15 @@ def alert_evidence(candidates: DataFrame, executive_events: DataFrame, threshold
 
 
 def merge_alerts(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Living alerts after new ones: severity only rises, documents unite, scores keep their maximum, resolved and closed
-    alerts reopen, histories grow by each change of status."""
+    """Living alerts after new ones: a first one is NEW, severity only rises, documents unite, scores keep their maximum,
+    resolved and closed alerts reopen, histories grow by each change of status."""
     key = ["client_id", "alert_type", "entity_id"]
     s, n = stored.alias("s"), new.alias("n")
     both = s.join(n, [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key], "full")
     rank = lambda c: F.array_position(F.array(*map(F.lit, SEVERITIES)), c)
     severity = F.when(F.coalesce(rank(F.col("n.severity")), F.lit(0)) > F.coalesce(rank(F.col("s.severity")), F.lit(0)), F.col("n.severity")).otherwise(F.col("s.severity"))
     nothing = F.array().cast("array<bigint>")
-    status = F.when(F.col("s.lifecycle_status").isNull(), "ACTIVE")
+    status = F.when(F.col("s.lifecycle_status").isNull(), "NEW")
     status = status.when(F.col("n.severity").isNotNull() & F.col("s.lifecycle_status").isin("RESOLVED", "CLOSED"), "ACTIVE").otherwise(F.col("s.lifecycle_status"))
     rows = both.select(
         *(F.coalesce(f"s.{k}", f"n.{k}").alias(k) for k in key), severity.alias("severity"),
@@ -59,11 +59,20 @@ def merge_alerts(stored: DataFrame, new: DataFrame) -> DataFrame:
         F.greatest("s.evidence_score", "n.evidence_score").alias("evidence_score"), F.greatest("s.confidence_score", "n.confidence_score").alias("confidence_score"),
         F.col("s.lifecycle_status").alias("was"), status.alias("lifecycle_status"), F.coalesce("s.history", F.array().cast("array<string>")).alias("history"),
     )
-    moved = ~F.coalesce(F.col("was"), F.lit("NEW")).eqNullSafe(F.col("lifecycle_status"))
-    step = F.array(F.concat_ws(">", F.coalesce("was", F.lit("NEW")), "lifecycle_status"))
+    moved = ~F.col("was").eqNullSafe(F.col("lifecycle_status"))
+    step = F.array(F.concat_ws(">", "was", "lifecycle_status"))
     return rows.withColumn("history", F.when(moved, F.concat("history", step)).otherwise(F.col("history"))).drop("was")
 
 
+def alert_batch(rows: DataFrame) -> DataFrame:
+    """One alert for each (client_id, alert_type, entity_id) of a batch of signals: highest severity and scores, all documents."""
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return rows.groupBy("client_id", "alert_type", "entity_id").agg(
+        F.max_by("severity", rank).alias("severity"), F.sort_array(F.collect_set("document_id")).alias("documents"),
+        F.max("evidence_score").alias("evidence_score"), F.max("confidence_score").alias("confidence_score"),
+    )
+
+
 def invalid_transitions(changes: DataFrame) -> DataFrame:
     """Changes (old_status, new_status) outside the transition table."""
     pairs = [(a, b) for a, bs in R.ALERT_TRANSITIONS.items() for b in bs]

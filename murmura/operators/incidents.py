@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -55,37 +55,98 @@ def incident_tokens(items: DataFrame) -> DataFrame:
     return rows.join(alike, on, "left_anti").select("item_id", "entity_id", "kind", "token")
 
 
-def same_story_pairs(items: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs (a < b) of one entity that report one story.
-
-    Dated items meet over shared tokens within one entity and neighbouring spans of the largest gap, so a token of many
-    years joins only what could be near; undated items meet all that share a token."""
-    sizes = tokens.groupBy("item_id", "kind").agg(F.count("*").alias("n"))
-    span = F.floor(F.col("published_at").cast("timestamp").cast("double") / (R.INCIDENT_DAYS * 86400))
-    rows = tokens.join(items.select("item_id", "published_at", span.alias("span")), "item_id")
-    key = ["entity_id", "kind", "token"]
-    a = rows.where("span IS NOT NULL").select(*key, F.col("item_id").alias("a"), F.col("published_at").alias("pa"), "span")
-    around = F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span")
-    b = rows.where("span IS NOT NULL").select(*key, F.col("item_id").alias("b"), F.col("published_at").alias("pb"), around)
-    near = F.expr(f"pa BETWEEN pb - INTERVAL {R.INCIDENT_DAYS} DAYS AND pb + INTERVAL {R.INCIDENT_DAYS} DAYS")
-    dated = a.join(b, [*key, "span"]).where((F.col("a") < F.col("b")) & near).select("a", "b", "kind")
-    u = rows.where("span IS NULL").select(*key, F.col("item_id").alias("u"))
-    v = rows.select(*key, F.col("item_id").alias("v"), F.col("span").isNull().alias("both"))
-    undated = u.join(v, key).where("u <> v AND (NOT both OR u < v)").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "kind")
-    shared = dated.unionByName(undated).groupBy("a", "b", "kind").agg(F.count("*").alias("shared"))
-    shared = shared.join(sizes.toDF("a", "kind", "na"), ["a", "kind"]).join(sizes.toDF("b", "kind", "nb"), ["b", "kind"])
-    least, union = F.least("na", "nb"), F.col("na") + F.col("nb") - F.col("shared")
-    event = (F.col("shared") / union >= R.EVENT_JACCARD) | ((F.col("shared") >= R.EVENT_SHARED) & (F.col("shared") / least >= R.EVENT_OVERLAP))
-    title = (F.col("shared") >= R.TITLE_SHARED) & (F.col("shared") / least >= R.TITLE_OVERLAP)
-    return shared.where(F.when(F.col("kind") == "event", event).otherwise(title)).select("a", "b").distinct()
+def story_runs(items: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, members): items of one entity with equal token sets, chained over gaps of at most INCIDENT_DAYS, are one run.
+
+    runs: run (its smallest item), entity_id, title and event (sorted tokens), start, end (null: undated). members: item_id,
+    run. Equal reports are one story wherever their tokens could link them at all; items whose tokens can't are left out.
+    Two runs are near if their spans are within the gap: then some two of their items are."""
+    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("token")))).alias(k)
+    sets = tokens.groupBy("item_id").agg(of("title"), of("event"))
+    rows = items.select("item_id", "entity_id", F.col("published_at").cast("timestamp").cast("double").alias("at")).join(sets, "item_id")
+    rows = rows.where((F.size("title") >= R.TITLE_SHARED) | (F.size("event") > 0))
+    key = ["entity_id", "title", "event"]
+    # Tasks reduce a story to its distinct times before the shuffle.
+    times = rows.groupBy(*key, "at").agg(F.min("item_id").alias("item_id"))
+    before = F.lag("at").over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("at")))
+    begins = F.when(F.col("at") - before <= R.INCIDENT_DAYS * 86400, 0).otherwise(1)
+    times = times.withColumn("begins", begins).withColumn("k", F.sum("begins").over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("at"))))
+    w = Window.partitionBy(*key, "k")
+    times = materialize(times.select(*key, "at", F.min("item_id").over(w).alias("run"), F.min("at").over(w).alias("start"), F.max("at").over(w).alias("end")), "story-times")
+    same = [rows[c] == times[c] for c in key] + [rows["at"].eqNullSafe(times["at"])]
+    return times.select("run", *key, "start", "end").distinct(), rows.join(times, same).select(rows["item_id"], "run")
+
+
+def _rare_tokens(runs: DataFrame, kind: str, least: Column) -> DataFrame:
+    """run, entity_id, token, n (tokens), place: the rarest tokens of each run, as many as a pair that shares ``least`` of
+    them must meet in; rarity is counted within the entity."""
+    tokens = runs.select("run", "entity_id", F.size(kind).alias("n"), F.explode(kind).alias("token"))
+    rarity = tokens.groupBy("entity_id", "token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("df", "token"))
+    return tokens.join(rarity, ["entity_id", "token"]).withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).drop("df")
+
+
+def same_story_pairs(runs: DataFrame) -> DataFrame:
+    """Pairs (a < b) of runs of one entity that report one story.
+
+    Exact prefix filter: two sets that share s tokens meet among the rarest n - s + 1 of each, so runs meet over those only,
+    within neighbouring spans of the largest gap (undated ones over all), and are verified once on their whole sets."""
+    least = {"title": F.lit(R.TITLE_SHARED), "event": F.least(F.ceil(F.col("n") / 2), F.lit(R.EVENT_SHARED))}
+    smaller = F.least("na", "nb")
+    needed = {
+        "title": F.greatest(F.lit(R.TITLE_SHARED), F.ceil(smaller * R.TITLE_OVERLAP - 1e-9)),
+        "event": F.least(F.ceil((F.col("na") + F.col("nb")) * R.EVENT_JACCARD / (1 + R.EVENT_JACCARD) - 1e-9), F.greatest(F.lit(R.EVENT_SHARED), F.ceil(smaller * R.EVENT_OVERLAP - 1e-9))),
+    }
+    width = R.INCIDENT_DAYS * 86400
+    span = lambda c: F.floor(F.col(c) / width)
+    found = None
+    for kind in ("title", "event"):
+        rows = _rare_tokens(runs, kind, least[kind]).join(runs.select("run", "start", "end"), "run")
+        side = lambda df, x: df.select("entity_id", "token", "span", *(F.col(c).alias(f"{n}{x}") for c, n in (("run", ""), ("n", "n"), ("place", "k"))))
+        dated = rows.where("start IS NOT NULL")
+        a = side(dated.withColumn("span", F.explode(F.sequence(span("start"), span("end")))), "a")
+        b = side(dated.withColumn("span", F.explode(F.sequence(span("start") - 1, span("end") + 1))), "b")
+        open_, all_ = rows.where("start IS NULL").withColumn("span", F.lit(0)), rows.withColumn("span", F.lit(0))
+        for x, y in ((a, b), (side(open_, "a"), side(all_, "b"))):
+            met = x.join(y, ["entity_id", "token", "span"]).where("a <> b")
+            met = met.where((F.col("ka") <= F.col("na") - needed[kind] + 1) & (F.col("kb") <= F.col("nb") - needed[kind] + 1))
+            met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            found = met if found is None else found.unionByName(met)
+    x = runs.toDF(*(f"a_{c}" for c in runs.columns)).withColumnRenamed("a_run", "a")
+    y = runs.toDF(*(f"b_{c}" for c in runs.columns)).withColumnRenamed("b_run", "b")
+    both = found.distinct().join(x, "a").join(y, "b")
+    near = F.coalesce((F.col("a_start") <= F.col("b_end") + width) & (F.col("b_start") <= F.col("a_end") + width), F.lit(True))
+    share = lambda k: (F.size(F.array_intersect(f"a_{k}", f"b_{k}")), F.size(f"a_{k}"), F.size(f"b_{k}"))
+    (t, ta, tb), (e, ea, eb) = share("title"), share("event")
+    title = (t >= R.TITLE_SHARED) & (t / F.least(ta, tb) >= R.TITLE_OVERLAP)
+    event = (e > 0) & ((e / (ea + eb - e) >= R.EVENT_JACCARD) | ((e >= R.EVENT_SHARED) & (e / F.least(ea, eb) >= R.EVENT_OVERLAP)))
+    return both.where(near & (title | event)).select("a", "b")
 
 
 def incidents(items: DataFrame) -> DataFrame:
     """item_id, incident_id (smallest item of the incident) of every item (item_id, entity_id, entity_name, title, event,
     published_at)."""
     items = materialize(items.select("item_id", "entity_id", "entity_name", "title", "event", "published_at"), "incident-items")
-    found = components(same_story_pairs(items, materialize(incident_tokens(items), "incident-tokens")))
-    return items.select("item_id").join(found.toDF("item_id", "root"), "item_id", "left").select("item_id", F.coalesce("root", "item_id").alias("incident_id"))
+    runs, members = story_runs(items, incident_tokens(items))
+    runs = materialize(runs, "story-runs")
+    found = components(same_story_pairs(runs)).distinct().toDF("run", "root")
+    placed = members.join(found, "run", "left").select("item_id", F.coalesce("root", "run").alias("incident_id"))
+    return items.select("item_id").join(placed, "item_id", "left").select("item_id", F.coalesce("incident_id", "item_id").alias("incident_id"))
+
+
+def collapsed_by_incident(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row for each incident: its item of the highest score (smallest id on ties) leads, with the number of the others
+    and the ids of up to twenty of them by score."""
+    rows = items.join(groups, "item_id").withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("score"), "item_id")))
+    return rows.groupBy("incident_id").agg(
+        F.max(F.when(F.col("place") == 1, F.col("item_id"))).alias("lead"), F.max("score").alias("score"), (F.count("*") - 1).alias("others"),
+        F.array_sort(F.collect_list(F.when(F.col("place").between(2, 21), F.struct("place", "item_id")))).alias("shown"),
+    ).withColumn("shown", F.transform("shown", lambda x: x["item_id"]))
+
+
+def incident_menu(summary: DataFrame, n: int = 30) -> DataFrame:
+    """The ``n`` incidents of the highest score, then most items, then by title."""
+    return summary.orderBy(F.desc(F.coalesce("score", F.lit(0.0))), F.desc("items"), "lead_title", "incident_id").limit(n)
 
 
 def incident_summary(items: DataFrame, groups: DataFrame) -> DataFrame:
@@ -97,12 +158,52 @@ def incident_summary(items: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicate_names(candidates: DataFrame, tracked: DataFrame, *, person: float = 0.93, other: float = 0.88) -> DataFrame:
-    """Candidate and tracked names (client_id, name, kind) of one client and kind whose likeness reaches the threshold.
+def _letters(rows: DataFrame, c: str, keys: list[str]) -> DataFrame:
+    """keys, the name ``c`` and its letters, the second, third ... of one kind told apart."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    told = F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    return rows.select(*keys, c, F.explode(told).alias("letter"))
+
+
+def likely_pairs(left: DataFrame, right: DataFrame, keys: list[str], limit: Column) -> DataFrame:
+    """Pairs (keys, name, other) of the distinct lower-case ``name`` of ``left`` and ``other`` of ``right`` that share ``keys``
+    and enough letters for a likeness of ``limit``, a column over ``keys``.
+
+    A likeness r over lengths a and b needs r (a + b) / 2 common letters, wherever they stand. Exact prefix filter: names
+    that share s of n letters meet among the rarest n - s + 1 of each, so pairs meet over those only. No pair is lost."""
+    left, right = left.select(*keys, "name").distinct(), right.select(*keys, "other").distinct()
+    x, y = _letters(left, "name", keys), _letters(right, "other", keys)
+    rarity = x.select(*keys, "letter").unionByName(y.select(*keys, "letter")).groupBy(*keys, "letter").agg(F.count("*").alias("df"))
+
+    def rare(df: DataFrame, c: str, side: str) -> DataFrame:
+        n = F.length(c)
+        fewest = F.ceil(limit * (n + F.ceil(n * limit / (2 - limit) - 1e-9)) / 2 - 1e-9)
+        place = F.row_number().over(Window.partitionBy(*keys, c).orderBy("df", "letter"))
+        rows = df.join(rarity, [*keys, "letter"]).withColumn(f"k_{side}", place).where(F.col(f"k_{side}") <= n - fewest + 1)
+        return rows.select(*keys, "letter", c, n.alias(f"n_{side}"), f"k_{side}")
+
+    met = rare(x, "name", "a").join(rare(y, "other", "b"), [*keys, "letter"])
+    both = F.col("n_a") + F.col("n_b")
+    needed = F.ceil(limit * both / 2 - 1e-9)
+    fits = (2 * F.least("n_a", "n_b") / both >= limit - 1e-9) & (F.col("k_a") <= F.col("n_a") - needed + 1) & (F.col("k_b") <= F.col("n_b") - needed + 1)
+    return met.where(fits).select(*keys, "name", "other").distinct()
+
+
+def near_duplicate_names(candidates: DataFrame, tracked: DataFrame, *, person: float = 0.93, other: float = 0.88, head: float = 0.85) -> DataFrame:
+    """Candidate and tracked names (client_id, name, kind) of one client and kind that are too alike: client_id, kind, name,
+    tracked, ratio and basis.
 
-    Lengths bound the ratio: 2 * min / (sum) >= threshold, so only names of close length meet."""
+    basis name: the likeness of the whole names reaches ``person`` or ``other`` (from five letters on); basis head: first
+    words of five letters or more that differ reach ``head`` (a misspelt company)."""
+    keys = ["client_id", "kind"]
     limit = F.when(F.col("kind") == "person", person).otherwise(other)
-    pairs = candidates.alias("c").join(tracked.withColumnRenamed("name", "tracked"), ["client_id", "kind"])
-    a, b = F.length("name"), F.length("tracked")
-    pairs = pairs.where((2 * F.least(a, b) / (a + b) >= limit) & ((F.col("kind") == "person") | (a >= 5)))
-    return pairs.withColumn("ratio", difflib_ratio(F.lower("name"), F.lower("tracked"))).where(F.col("ratio") >= limit)
+    low = lambda df, c: df.select(*keys, F.col("name").alias(f"{c}_name"), F.lower("name").alias(c))
+    x, y = low(candidates, "name").distinct(), low(tracked, "other").distinct()
+    long = (F.col("kind") == "person") | ((F.length("name") >= 5) & (F.length("other") >= 5))
+    pairs = likely_pairs(x, y, keys, limit).where(long).withColumn("ratio", difflib_ratio("name", "other")).where(F.col("ratio") >= limit)
+    whole = pairs.join(x, [*keys, "name"]).join(y, [*keys, "other"]).select(*keys, F.col("name_name").alias("name"), F.col("other_name").alias("tracked"), "ratio", F.lit("name").alias("basis"))
+    first = lambda df, c: df.where("kind <> 'person'").withColumn(c, F.split(F.col(c), " ")[0]).where(F.length(c) >= 5)
+    hx, hy = first(x, "name"), first(y, "other")
+    heads = likely_pairs(hx, hy, keys, F.lit(head)).where("name <> other").withColumn("ratio", difflib_ratio("name", "other")).where(F.col("ratio") >= head)
+    by_head = heads.join(hx, [*keys, "name"]).join(hy, [*keys, "other"]).select(*keys, F.col("name_name").alias("name"), F.col("other_name").alias("tracked"), "ratio", F.lit("head").alias("basis"))
+    return whole.unionByName(by_head.join(whole, [*keys, "name", "tracked"], "left_anti"))

@@ -48,5 +48,10 @@ def merge_upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: list
 
 
 def archive_once(rows: DataFrame, path: str) -> None:
-    """Raw payloads, one for each content hash, in folders by hash prefix."""
-    rows.dropDuplicates(["content_hash"]).withColumn("prefix", F.substring("content_hash", 1, 2)).write.partitionBy("prefix").mode("append").parquet(path)
+    """Raw payloads, one for each content hash, added to those in ``path`` in folders by hash prefix."""
+    spark = rows.sparkSession
+    new = rows.groupBy("content_hash").agg(F.min("payload").alias("payload")).withColumn("prefix", F.substring("content_hash", 1, 2))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        new = new.join(spark.read.schema(new.schema).parquet(path).select("content_hash"), "content_hash", "left_anti")
+    new.write.partitionBy("prefix").mode("append").parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +88,21 @@ def infer_once(rows: DataFrame, text: str, score) -> DataFrame:
     return keyed.join(score(inputs).drop("text"), "input_hash")
 
 
-#: topic -> words that suppress it, words that keep it.
+def score_batches(rows: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[float]]]) -> DataFrame:
+    """``rows`` with score, the model's value of each text (null: empty text).
+
+    ``load`` makes the model; each Python worker calls it once and keeps the model for all its batches."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for b in batches:
+            yield pd.Series(model(b.fillna("").tolist()), dtype="float64")
+
+    return rows.withColumn("score", score(text))
+
+
+# Topic -> words that suppress it, words that keep it.
 SUPPRESSION = {
     "Electric Vehicles": (["nikola tesla", "tesla coil"], ["musk", "ev", "stock", "tsla", "car", "vehicle", "model 3", "model y", "model s", "model x", "gigafactory", "quarterly", "battery"]),
     "Social Media": (["meta-analysis", "meta-analyses", "meta analysis"], ["zuckerberg", "instagram", "whatsapp", "facebook", "quest", "threads", "social network", "ad revenue"]),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,17 +25,46 @@ def hit_attribution(hits: DataFrame, mentions: DataFrame, guard: Column) -> Data
     return hits.join(known, ["document_id", "entity_id"], "left").withColumn("outcome", outcome).drop("known")
 
 
-def name_lookup(queries: DataFrame, tracked: DataFrame) -> DataFrame:
-    """query -> found name and how: exact (any case), the only partial match, ambiguous or none."""
-    exact = tracked.select(F.lower("name").alias("q"), F.col("name").alias("exact")).groupBy("q").agg(F.min("exact").alias("exact"))
-    rows = queries.withColumn("q", F.lower(F.trim("query"))).join(F.broadcast(exact), "q", "left")
-    open_ = rows.where("exact IS NULL").select("query", "q")
-    # A few asked names against the roster: containment has no key to join by.
-    partial = open_.join(F.broadcast(tracked.select("name")), F.contains(F.lower("name"), F.col("q")))
-    found = partial.groupBy("query").agg(F.count("*").alias("n"), F.min("name").alias("partial"))
-    both = rows.join(found, "query", "left")
+#: Names asked for at a time; they travel as one small broadcast table.
+MOST_ASKED = 10_000
+
+
+def name_lookup(asked: list[str], spark: SparkSession, tracked: DataFrame) -> DataFrame:
+    """query -> found name and how: exact (any case), the only partial match, ambiguous or none.
+
+    The asked names, at most MOST_ASKED, are broadcast over the roster, which is read once and never shuffled: each of its
+    names says which asked ones it equals or contains, and only counts meet."""
+    if len(asked) > MOST_ASKED:
+        raise ValueError(f"{len(asked)} names asked; ask for {MOST_ASKED} at a time")
+    low = sorted({a.strip().lower() for a in asked})
+    words = F.array(*map(F.lit, low)) if low else F.array().cast("array<string>")
+    hits = tracked.select("name", F.explode(F.filter(words, lambda q: F.contains(F.lower("name"), q))).alias("q"))
+    exact = F.lower("name") == F.col("q")
+    found = hits.groupBy("q").agg(F.min(F.when(exact, F.col("name"))).alias("exact"), F.count("*").alias("n"), F.min("name").alias("partial"))
+    rows = spark.createDataFrame([(a, a.strip().lower()) for a in asked], "query string, q string").join(found, "q", "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "partial").when(F.col("n") > 1, "ambiguous").otherwise("none")
-    return both.select("query", how.alias("how"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("partial"))).alias("name"))
+    return rows.select("query", how.alias("how"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("partial"))).alias("name"))
+
+
+def cooccurring(mentions: DataFrame, entities: DataFrame, kind: str) -> DataFrame:
+    """(client_id, entity_id, document_id) of entities of a kind in documents that also mention the client's brand or product."""
+    rows = mentions.join(entities.select("entity_id", "client_id", "entity_type"), "entity_id")
+    theirs = rows.where(F.col("entity_type") == kind).select("client_id", "entity_id", "document_id").distinct()
+    own = rows.where("entity_type IN ('brand', 'product')").select("client_id", "document_id")
+    return theirs.join(own, ["client_id", "document_id"], "left_semi")
+
+
+def competitor_documents(leads: DataFrame, terms: DataFrame) -> DataFrame:
+    """(entity_id, document_id) of documents about a competitor itself: ``leads`` (document_id, lead, text, in phrase form),
+    ``terms`` (entity_id, name and context, phrase forms; context may be empty). A name of one word needs a context word
+    somewhere in the text. Terms are curated names, which Spark broadcasts below its size threshold; each document
+    meets those whose first word it holds."""
+    head = F.element_at(F.split(F.trim("name"), " "), 1)
+    words = leads.withColumn("head", F.explode(F.array_distinct(F.split(F.trim("lead"), " "))))
+    met = words.join(terms.withColumn("head", head), "head").where(F.contains("lead", F.col("name")))
+    context = F.exists("context", lambda c: F.contains(F.col("text"), c))
+    one_word = F.size(F.split(F.trim("name"), " ")) < 2
+    return met.where(~one_word | context).select("entity_id", "document_id").distinct()
 
 
 def match_gap(documents: DataFrame, mentions: DataFrame, entities: DataFrame, matches: DataFrame) -> DataFrame:
@@ -56,14 +85,22 @@ def discovered(names: DataFrame, tracked: DataFrame) -> DataFrame:
     """Candidates out of extracted names (client_id, document_id, name_key, seen_at) that are not tracked (client_id, name_key):
     documents, mentions, first and last seen."""
     fresh = names.join(tracked, ["client_id", "name_key"], "left_anti")
-    return fresh.groupBy("client_id", "name_key").agg(
-        F.countDistinct("document_id").alias("documents"), F.count("*").alias("mentions"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen")
+    per = fresh.groupBy("client_id", "name_key", "document_id").agg(F.count("*").alias("n"), F.min("seen_at").alias("first"), F.max("seen_at").alias("last"))
+    return per.groupBy("client_id", "name_key").agg(
+        F.count("*").alias("documents"), F.sum("n").alias("mentions"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen")
     )
 
 
+def claim_status(claims: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Claims (document_id) with the number of incidents that hold their document, and status: matched or open."""
+    held = incidents.select("document_id", "incident_id").distinct().groupBy("document_id").agg(F.count("*").alias("incidents"))
+    n = F.coalesce("incidents", F.lit(0))
+    return claims.join(held, "document_id", "left").withColumns({"incidents": n, "status": F.when(n > 0, "matched").otherwise("open")})
+
+
 def person_confidence(candidates: DataFrame) -> DataFrame:
     """Confidence of person candidates from mentions, documents, a title nearby and a tracked surname with a title."""
-    c = F.lit(0.5) + F.when(F.col("parts") == 2, 0.10).otherwise(0.0) + F.least(F.col("mentions") * 0.03, F.lit(0.15)) + F.least(F.col("documents") * 0.05, F.lit(0.20))
+    c = F.lit(0.5) + F.when(F.col("parts") == 2, 0.10).otherwise(0.0) + F.least((F.col("mentions") - 1) * 0.05, F.lit(0.15)) + F.least((F.col("documents") - 1) * 0.05, F.lit(0.20))
     c = c + F.when(F.col("title_nearby"), 0.15).otherwise(0.0) + F.when(F.col("title_nearby") & F.col("tracked_surname"), 0.20).otherwise(0.0)
     return candidates.withColumn("confidence", F.least(c, F.lit(1.0)))
 

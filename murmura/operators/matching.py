@@ -14,33 +14,50 @@ BUSINESS_WORDS = ["company", "corp", "inc", "ltd", "stock", "shares", "nasdaq",
 OWN_CONTEXT_RULE = ["tesla", "meta", "tata"]
 SHORT_ALIASES = ["fsd", "tsla"]
 ACCEPT, AMBIGUOUS_GAP, HALF_WINDOW = 0.60, 0.15, 75
-_WORD = re.compile(r"[a-z0-9_]+")
+_WORD = re.compile(r"\w+")
+#: Tracked keywords that travel to the tasks (some 100 bytes each).
+MOST_KEYWORDS = 1_000_000
+
+
+def lower_with_places(text: str) -> tuple[str, list[int] | None]:
+    """Lower-case text and, where lower-casing changes lengths, the place in ``text`` of each of its characters."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, None
+    places = [i for i, c in enumerate(text) for _ in c.lower()]
+    return "".join(c.lower() for c in text), [*places, len(text)]
 
 
 def keyword_spans(docs: DataFrame, keywords: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, keyword, start_idx, end_idx, context (lower-case text around the match): leftmost-longest, non-overlapping,
     case-insensitive whole-word matches.
 
-    The roster (one entry for each tracked keyword) travels with the tasks; texts stay where they are."""
+    Words are runs of letters, digits and underscores of any script; offsets count in the text as it is. The roster, at most
+    MOST_KEYWORDS, is broadcast by first word; texts stay where they are."""
     by_first: dict[str, list[str]] = {}
     for k in sorted({k.lower() for k in keywords}, key=len, reverse=True):
         if m := _WORD.match(k):
             by_first.setdefault(m[0], []).append(k)
+    if len(keywords) > MOST_KEYWORDS:
+        raise ValueError(f"{len(keywords)} keywords: match them in parts of {MOST_KEYWORDS}")
+    roster = docs.sparkSession.sparkContext.broadcast(by_first)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = roster.value
         for b in batches:
             ids, words, starts, ends, around = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                low, done = (t or "").lower(), 0
+                (low, places), done = lower_with_places(t or ""), 0
                 for m in _WORD.finditer(low):
                     at = m.start()
-                    if at < done or m[0] not in by_first:
+                    if at < done or m[0] not in known:
                         continue
-                    for k in by_first[m[0]]:
+                    for k in known[m[0]]:
                         end = at + len(k)
                         if low.startswith(k, at) and (end == len(low) or not _WORD.match(low[end - 1 : end]) or not _WORD.match(low[end : end + 1])):
-                            ids.append(i), words.append(k), starts.append(at), ends.append(end)
+                            ids.append(i), words.append(k)
+                            starts.append(places[at] if places else at), ends.append(places[end] if places else end)
                             around.append(low[max(0, at - HALF_WINDOW) : end + HALF_WINDOW])
                             done = end
                             break

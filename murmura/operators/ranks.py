@@ -54,3 +54,10 @@ def stream_order(rows: DataFrame, flagged: Column, order: list) -> DataFrame:
     """Flagged rows first, then the rest, each by ``order``: position within the client."""
     w = Window.partitionBy("client_id").orderBy(flagged.desc(), *order)
     return rows.withColumn("position", F.row_number().over(w))
+
+
+def health_latest(runs: DataFrame, key: str, order: list, ok: Column, at: str, broken: int = 5) -> DataFrame:
+    """Failures since the last success of each key, penalty, last success and status: HEALTHY, DEGRADED or BROKEN."""
+    last = runs.groupBy(key).agg(F.max(F.when(ok, F.col(at))).alias("last_success"))
+    status = F.when(F.col("failures") >= broken, "BROKEN").when(F.col("failures") > 0, "DEGRADED").otherwise("HEALTHY")
+    return penalty_streak(runs, key, order, ok).join(last, key).withColumn("status", status)

@@ -89,6 +89,46 @@ def llm_cost(calls: DataFrame, prices: dict[str, float]) -> DataFrame:
     )
 
 
+def alert_severity(alerts: DataFrame) -> DataFrame:
+    """Alerts by severity; unknown and missing severities count as MEDIUM."""
+    known = F.upper(F.coalesce("severity", F.lit("MEDIUM")))
+    level = F.when(known.isin("CRITICAL", "HIGH", "LOW"), known).otherwise("MEDIUM")
+    return alerts.groupBy(level.alias("severity")).agg(F.count("*").alias("alerts"))
+
+
+def document_enrichment(visible: DataFrame, documents: DataFrame, sources: DataFrame, events: DataFrame, topics: DataFrame, named: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each visible (client_id, document_id): source, best risk with its entity, label (the entity's, else the
+    document's), topic of highest confidence, and the mentioned entities' names.
+
+    ``events`` are the client's own, competitors left out; ``named`` (document_id, entity_name); ``labels`` (document_id,
+    entity_id, label). Each side is reduced to one row a key before it is joined."""
+    best = F.min_by(F.struct("risk_score", "entity_id"), F.struct(-F.col("risk_score"), "entity_id")).alias("r")
+    risk = events.groupBy("client_id", "document_id").agg(best).select("client_id", "document_id", "r.*")
+    names = named.groupBy("document_id").agg(F.array_sort(F.collect_set("entity_name")).alias("mentions"))
+    rows = visible.join(documents.select("document_id", "source_id", "sentiment_label"), "document_id").join(sources.select("source_id", "source_name"), "source_id", "left")
+    rows = rows.join(risk, ["client_id", "document_id"], "left").join(labels, ["document_id", "entity_id"], "left").join(topic_of_document(topics), "document_id", "left").join(names, "document_id", "left")
+    return rows.select("client_id", "document_id", "source_name", "risk_score", "entity_id", F.coalesce("label", "sentiment_label").alias("label"), F.coalesce("topic", F.lit("General")).alias("topic"), "mentions")
+
+
+def matching_metrics(rows: DataFrame, at: str, matched: Column, took: str, width: str = "5 minutes") -> DataFrame:
+    """Documents, matches and mean time of each flush interval."""
+    per = rows.groupBy(F.window(F.col(at).cast("timestamp"), width).alias("w")).agg(F.count("*").alias("documents"), F.count_if(matched).alias("matches"), F.avg(took).alias("mean_time"))
+    return per.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "documents", "matches", "mean_time")
+
+
+def collection_status(clients: DataFrame, gated: DataFrame, documents: DataFrame, jobs: DataFrame, recent: Column) -> DataFrame:
+    """Per client: documents and matches behind the brand gate, documents of the last day, jobs and their health.
+
+    ``gated``: match rows (client_id, document_id) that pass the gate; ``jobs`` (client_id, status)."""
+    counts = gated.join(documents.select("document_id", recent.alias("recent")), "document_id").groupBy("client_id").agg(
+        F.countDistinct("document_id").alias("documents"), F.count("*").alias("matches"), F.countDistinct(F.when(F.col("recent"), F.col("document_id"))).alias("today")
+    )
+    runs = jobs.groupBy("client_id").agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "SUCCESS").alias("completed"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+    rows = clients.select("client_id").join(counts, "client_id", "left").join(runs, "client_id", "left").na.fill(0)
+    health = F.when((F.col("jobs") == 0) | (F.col("failed") == 0), 100).otherwise(F.bround(F.col("completed") / F.col("jobs") * 100).cast("int"))
+    return rows.withColumns({"queue_health": health, "platform": F.when(F.col("failed") == 0, "Healthy").otherwise("Degraded")})
+
+
 def job_status(counts: DataFrame) -> DataFrame:
     """Final status of a job from its counters."""
     done = F.col("processed") >= F.col("total")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions.text import entity_key
 from murmura.operators import names
+from murmura.operators.incidents import difflib_ratio, likely_pairs
+from murmura.scratch import materialize
 
 
 def boost_terms(entities: DataFrame) -> DataFrame:
@@ -44,7 +43,8 @@ def revalidated(entities: DataFrame, brands: DataFrame) -> DataFrame:
     """Competitors with the layer that rejects them, and their new type."""
     brand = brands.groupBy("client_id").agg(F.min("entity_name").alias("brand"))
     rows = entities.where("entity_type = 'competitor'").join(brand, "client_id", "left")
-    layer = names.company_name(F.col("entity_name"), F.coalesce("brand", F.lit("\u0000")))[1]
+    own = F.when(F.col("brand").isNotNull(), F.array(entity_key(F.col("brand"))))
+    layer = names.company_name(F.col("entity_name"), own)[1]
     return rows.select("client_id", "entity_id", layer.alias("layer"), F.when(layer.isNull(), "competitor").otherwise("rejected_competitor").alias("new_type"))
 
 
@@ -57,24 +57,77 @@ def merged_proposals(answers: DataFrame) -> DataFrame:
     )
 
 
+# Words that a person's name doesn't begin with, or doesn't hold.
+NO_FIRST_WORDS = [
+    "today", "top", "news", "latest", "breaking", "live", "watch", "new", "this", "the", "cm", "pm", "mr", "mrs", "ms", "dr", "shri",
+    "sri", "hon", "chief", "minister", "president", "files", "holds", "settle", "son", "telegram",
+]
+NO_NAME_WORDS = [
+    "properties", "estate", "estates", "road", "roads", "residential", "sector", "ncr", "cements", "cement", "wafers", "renewables", "sons",
+    "hobli", "nadu", "jayanti", "agrahara", "realty", "enterprises", "industries", "limited", "ltd", "projects", "infra",
+    "infrastructure", "capital", "finance", "bank", "holdings", "energy", "motors", "steel", "airports", "ports", "worth", "sells",
+    "forecast", "stocks", "shares", "market", "delhi", "mumbai", "bengal", "kolkata", "gujarat", "maharashtra", "pradesh", "india",
+    "bangalore", "bengaluru", "pune", "gurgaon", "noida", "apni", "apno", "aapke", "ke", "ka", "ki", "saath", "baat", "safar", "humsafar",
+    "hai", "hain", "acquire", "acquires", "acquisition", "mech", "enviro", "benzoplast", "labs", "pharma", "tech", "technologies",
+    "systems", "solutions", "ventures", "logistics", "retail", "foods",
+]
+
+
+def name_shape_fault(name: Column) -> Column:
+    """Why a typed name cannot be a person's, or null."""
+    n = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
+    fault = F.when(n == "", "empty").when(F.length(n) > 80, "long").when(n.rlike(r"\p{N}"), "digits").when(~n.rlike(r"^\p{L}"), "start")
+    return fault.when(n.rlike(r"[^\p{L}\p{M} '’.\-]"), "characters").when(n.rlike("[A-Z][a-z]{3,}[A-Z][a-z]+"), "glued")
+
+
+def review_tier() -> Column:
+    """0 to 4 of a candidate: carries the client's name, has a title and the client near, a title, the client's documents, none."""
+    own = F.col("brand_documents") >= 1
+    tier = F.when(F.col("carries_client_name") & own, 0).when(F.col("title_near") & F.col("client_near"), 1).when(F.col("title_near") & own, 2)
+    return tier.when(own, 3).otherwise(4)
+
+
+def hidden_candidate(name: Column) -> Column:
+    """True if a review doesn't show the name: a fragment, an organisation, a place, or no valid person name."""
+    words = F.split(F.lower(F.trim(name)), r"\s+")
+    junk = words[0].isin(*NO_FIRST_WORDS) | F.arrays_overlap(words, F.array(*map(F.lit, NO_NAME_WORDS)))
+    return name_shape_fault(name).isNotNull() | junk | ~names.person_name(name)[0]
+
+
 def candidate_review(candidates: DataFrame, twin: float = 0.88) -> DataFrame:
-    """Candidates (client_id, name, mentions) in review order with the leader each stands under: a name joins the first
-    earlier one of its client and first letter that it resembles. Groups are names, one row each, not documents."""
-
-    def collapse(rows: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[str] = []
-        under = []
-        for n in rows.sort_values(["mentions", "name"], ascending=[False, True]).name:
-            same = next((x for x in leaders if SequenceMatcher(None, x, n).ratio() >= twin), None)
-            if same is None:
-                leaders.append(n)
-            under.append((n, same or n))
-        out = pd.DataFrame(under, columns=["name", "leader"])
-        out.insert(0, "client_id", rows.client_id.iloc[0])
-        return out
-
-    keyed = candidates.withColumn("_letter", F.substring("name", 1, 1))
-    return keyed.groupBy("client_id", "_letter").applyInPandas(lambda rows: collapse(rows), "client_id string, name string, leader string")
+    """client_id, name and the leader it stands under of every candidate (client_id, name, tier, confidence, mentions).
+
+    In review order (tier, then confidence, mentions, name) a name joins the first leader that it resembles by ``twin``, else
+    it leads. Names meet over their rarest letters only, likeness is computed once for each pair, and leaders settle in
+    rounds: a name without an undecided earlier twin is decided."""
+    order = Window.partitionBy("client_id").orderBy("tier", F.desc_nulls_last("confidence"), F.desc_nulls_last("mentions"), F.lower("name"), "name")
+    rows = materialize(candidates.select("client_id", "name", F.lower("name").alias("low"), F.row_number().over(order).alias("place")), "review-names")
+    low = rows.select("client_id", F.col("low").alias("name"))
+    pairs = likely_pairs(low, low.withColumnRenamed("name", "other"), ["client_id"], F.lit(twin))
+    # Likeness depends on which name comes first, so both ways are computed: the leader is the first argument.
+    alike = pairs.where(difflib_ratio("name", "other") >= twin)
+    a = rows.select("client_id", F.col("low").alias("name"), F.col("place").alias("a"))
+    b = rows.select("client_id", F.col("low").alias("other"), F.col("place").alias("b"))
+    twins = materialize(alike.join(a, ["client_id", "name"]).join(b, ["client_id", "other"]).where("a < b").select("client_id", "a", "b"), "review-twins")
+    left, leaders = twins, None
+    while not left.isEmpty():
+        later = left.select("client_id", F.col("b").alias("a")).distinct()
+        first = left.select("client_id", "a").distinct().join(later, ["client_id", "a"], "left_anti")
+        leaders = first if leaders is None else leaders.unionByName(first)
+        # Names under a new leader are decided, and so are leaders: their links go, from both ends.
+        under = left.join(first, ["client_id", "a"], "left_semi").select("client_id", F.col("b").alias("x")).distinct()
+        gone = under.unionByName(first.select("client_id", F.col("a").alias("x")))
+        rest = left.join(gone.withColumnRenamed("x", "a"), ["client_id", "a"], "left_anti").join(gone.withColumnRenamed("x", "b"), ["client_id", "b"], "left_anti")
+        freed = left.select("client_id", F.col("b").alias("a")).join(gone.withColumnRenamed("x", "a"), ["client_id", "a"], "left_anti").distinct()
+        alone = freed.join(rest.select("client_id", F.col("b").alias("a")), ["client_id", "a"], "left_anti").join(rest.select("client_id", "a"), ["client_id", "a"], "left_anti")
+        leaders = materialize(leaders.unionByName(alone), "review-leaders")
+        left = materialize(rest, "review-twins")
+    if leaders is None:
+        return rows.select("client_id", "name", F.col("name").alias("leader"))
+    led = twins.join(leaders, ["client_id", "a"], "left_semi").join(leaders.withColumnRenamed("a", "b"), ["client_id", "b"], "left_anti")
+    best = led.groupBy("client_id", F.col("b").alias("place")).agg(F.min("a").alias("under"))
+    named = rows.select("client_id", F.col("place").alias("under"), F.col("name").alias("leader"))
+    return rows.join(best, ["client_id", "place"], "left").join(named, ["client_id", "under"], "left").select("client_id", "name", F.coalesce("leader", "name").alias("leader"))
 
 
 def slice_priority(slices: DataFrame, kinds: dict[str, int], key: str) -> DataFrame:

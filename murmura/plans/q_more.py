@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions.common import reliability_modifier
-from murmura.operators import alerts, gates, lookups, names, ranks, risk, scores
+from murmura.operators import alerts, gates, incidents, lookups, names, ranks, risk, scores
 from murmura.operators.matching import best_match_per_entity, match_confidence
 from murmura.plans.q_reports import RUNS_SQL, VISIBLE_SQL, calls, calls_sql, daily_runs, stored_alerts, visible
-from murmura.plans.q_scores import TS, _benchmark, _benchmark_sql, _events, gated_sql, rounded, star_sql
+from murmura.plans.q_scores import _EXECUTIVE_SQL, TS, _benchmark, _benchmark_sql, _events, gated_sql, rounded, star_sql
 from murmura.plans.q_text import CITED_SQL, answers, cited, docs, incident_items, matches
-from murmura.plans.star import AS_OF, Star, with_star
+from murmura.plans.star import AS_OF, Star, _case, with_star
 
 HITS_SQL = "hits AS (SELECT c_custkey AS hit_id, 'https://site' || (c_custkey % 9) || '.example.com/a/' || (c_custkey % 5000) AS url_key, sha256(CAST(c_custkey % 4500 AS VARCHAR)) AS hash_key FROM customer)"
 
@@ -24,25 +24,26 @@ def hits(s: Star) -> DataFrame:
 def pair_hits(s: Star) -> DataFrame:
     """Search hits as (document, entity) pairs: each document with two entities, some of them mentioned."""
     n = 20
-    return s.documents.where("document_id % 5 = 0").select("document_id", "title", F.explode(F.array((F.col("document_id") % n + 1), (F.col("document_id") % 7 + 1))).alias("entity_id")).distinct()
+    return s.documents.select("document_id", "title", F.explode(F.array((F.col("document_id") % n + 1), (F.col("document_id") % 7 + 1))).alias("entity_id")).distinct()
 
 
-PAIRS_SQL = "ph AS (SELECT DISTINCT document_id, title, unnest([document_id % 20 + 1, document_id % 7 + 1]) AS entity_id FROM docs WHERE document_id % 5 = 0)"
+PAIRS_SQL = "ph AS (SELECT DISTINCT document_id, title, unnest([document_id % 20 + 1, document_id % 7 + 1]) AS entity_id FROM docs)"
 
 
 def keyed(s: Star) -> DataFrame:
     return s.documents.select("document_id", F.col("url").alias("url_key"), F.col("content_hash").alias("hash_key"))
 
 
+NAME = r"\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*"
+
+
 def name_facts(s: Star) -> DataFrame:
-    """Extracted names: the second and third word of each document, per language as client."""
-    w = F.split("title", r"\s+")
-    rows = docs(s).select("doc_id", "lang", F.explode(F.slice(F.transform(w, lambda x: F.lower(F.regexp_replace(x, r"[.,]", ""))), 1, 4)).alias("name_key"))
-    return rows.where("name_key <> ''").select(F.col("lang").alias("client_id"), F.col("doc_id").alias("document_id"), "name_key", F.col("doc_id").alias("seen_at"))
+    """Extracted names, the runs of capitalised words of each whole text, with the language as client."""
+    rows = docs(s).select("doc_id", "lang", F.explode(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).alias("name"))
+    return rows.select(F.col("lang").alias("client_id"), F.col("doc_id").alias("document_id"), F.lower("name").alias("name_key"), F.col("doc_id").alias("seen_at"))
 
 
-NAMES_SQL = """w AS (SELECT doc_id, lang, unnest(list_transform(regexp_split_to_array(split_part(text, chr(10), 1), '\\s+')[1:4], lambda x: lower(regexp_replace(x, '[.,]', '', 'g')))) AS name_key FROM documents),
-nf AS (SELECT lang AS client_id, doc_id AS document_id, name_key, doc_id AS seen_at FROM w WHERE name_key <> '')"""
+NAMES_SQL = rf"nf AS (SELECT lang AS client_id, doc_id AS document_id, lower(unnest(regexp_extract_all(text, '{NAME}'))) AS name_key, doc_id AS seen_at FROM documents)"
 
 
 def telemetry(s: Star) -> DataFrame:
@@ -82,15 +83,30 @@ def verdicts(s: Star) -> DataFrame:
     return lookups.verdict(rows).select("client_id", "verdict")
 
 
+NAME_TAILS = [" Rao", " rao", " Group", " 7", " van Rao", " Post", ""]
+ORG_NAMES = ["1st Bank", "HK$205,000", "Evening Post", "", "Orris Home's", "The Best Homes in Town", "Nasdaq", "Orris Shares", "orris.com"]
+
+
+def role_pages(s: Star) -> DataFrame:
+    """Pages with a person's name and a role so many letters after it."""
+    return s.documents.select("document_id", F.concat(F.lit("News of Ann Rao "), F.repeat(F.lit("x"), (F.col("document_id") % 400).cast("int")), F.lit(" CEO of a firm")).alias("text"))
+
+
+def owner_pages(s: Star) -> DataFrame:
+    """Pages with an owner phrase so many letters after the child's name; in every seventh the parent is another."""
+    parent = F.when(F.col("document_id") % 7 == 0, "Other Group").otherwise("Acme Group")
+    return s.documents.select("document_id", F.concat(F.lit("Orris Homes "), F.repeat(F.lit("x"), (F.col("document_id") % 200).cast("int")), F.lit(" is owned by the "), parent, F.lit(" now")).alias("text"))
+
+
 ASKED = ["supplier#000000001", "SUPPLIER#000000007", "0000002", "00000001", "nobody", "00099"]
 
 QUERIES = {
-    "j10_uncounted_hits": (lambda s: lookups.uncounted_hits(pair_hits(s), s.mentions).groupBy("entity_id").agg(F.countDistinct("document_id").alias("documents")),
-        with_star(f"{PAIRS_SQL} SELECT entity_id, count(DISTINCT document_id) AS documents FROM ph WHERE (document_id, entity_id) NOT IN (SELECT (document_id, entity_id) FROM mentions) GROUP BY 1")),
+    "j10_uncounted_hits": (lambda s: lookups.uncounted_hits(pair_hits(s), s.mentions).select("document_id", "entity_id"),
+        with_star(f"{PAIRS_SQL} SELECT document_id, entity_id FROM ph ANTI JOIN mentions USING (document_id, entity_id)")),
     "j11_hit_lookup": (lambda s: lookups.hit_lookup(hits(s), keyed(s)), with_star(f"""{HITS_SQL}, u AS (SELECT url AS url_key, min(document_id) AS by_url FROM docs GROUP BY 1), h AS (SELECT content_hash AS hash_key, min(document_id) AS by_hash FROM docs GROUP BY 1)
 SELECT hit_id, coalesce(by_url, by_hash) AS document_id, CASE WHEN by_url IS NOT NULL THEN 'url' WHEN by_hash IS NOT NULL THEN 'hash' ELSE 'none' END AS basis FROM hits LEFT JOIN u USING (url_key) LEFT JOIN h USING (hash_key)""")),
-    "j12_hit_attribution": (lambda s: lookups.hit_attribution(pair_hits(s), s.mentions, F.contains("title", F.lit("item 1"))).groupBy("outcome").agg(F.count("*").alias("hits")),
-        with_star(f"""{PAIRS_SQL}, k AS (SELECT DISTINCT document_id, entity_id, TRUE AS known FROM mentions), o AS (SELECT CASE WHEN known THEN 'already' WHEN contains(title, 'item 1') THEN 'attached' ELSE 'refused' END AS outcome FROM ph LEFT JOIN k USING (document_id, entity_id)) SELECT outcome, count(*) AS hits FROM o GROUP BY 1""")),
+    "j12_hit_attribution": (lambda s: lookups.hit_attribution(pair_hits(s), s.mentions, F.contains("title", F.lit("item 1"))).select("document_id", "entity_id", "outcome"),
+        with_star(f"""{PAIRS_SQL}, k AS (SELECT DISTINCT document_id, entity_id, TRUE AS known FROM mentions), o AS (SELECT document_id, entity_id, CASE WHEN known THEN 'already' WHEN contains(title, 'item 1') THEN 'attached' ELSE 'refused' END AS outcome FROM ph LEFT JOIN k USING (document_id, entity_id)) SELECT * FROM o""")),
     "j14_seeded_exec_gate": (lambda s: docs(s).where(F.contains(F.lower(F.concat_ws(" ", "title", F.substring("text", 1, 600))), F.lit("ertion")) & F.contains(F.lower(F.concat_ws(" ", "title", F.substring("text", 1, 600))), F.lit("onre"))).select("doc_id"),
         "WITH d AS (SELECT doc_id, lower(split_part(text, chr(10), 1) || ' ' || substr(text, 1, 600)) AS t FROM documents) SELECT doc_id FROM d WHERE contains(t, 'ertion') AND contains(t, 'onre')"),
     "j17_rematch_recent": (lambda s: visible(s).join(s.documents.where(F.col("collected_at") >= F.expr(f"{TS} - INTERVAL 30 DAYS")), "document_id", "left_semi").join(s.mentions.where("entity_id = 5").select("document_id"), "document_id", "left_anti"),
@@ -105,7 +121,7 @@ SELECT hit_id, coalesce(by_url, by_hash) AS document_id, CASE WHEN by_url IS NOT
         star_sql("u AS (SELECT client_id, document_id FROM brand_docs UNION SELECT document_id % 25, document_id FROM docs WHERE contains(title, 'item 7')) SELECT client_id, count(*) AS documents FROM u GROUP BY 1")),
     "j25_match_gap": (lambda s: lookups.match_gap(s.documents, s.mentions, s.entities, visible(s).where("document_id % 3 <> 0")).groupBy("client_id").agg(F.count("*").alias("gap")),
         star_sql("SELECT client_id, count(*) AS gap FROM brand_docs WHERE document_id % 3 = 0 AND document_id IN (SELECT document_id FROM docs) GROUP BY 1")),
-    "j26_name_lookup": (lambda s: lookups.name_lookup(s.spark.createDataFrame([(a,) for a in ASKED], "query string"), s.entities.select(F.col("entity_name").alias("name"))),
+    "j26_name_lookup": (lambda s: lookups.name_lookup(ASKED, s.spark, s.entities.select(F.col("entity_name").alias("name"))),
         with_star("q AS (SELECT unnest([" + ", ".join(f"'{a}'" for a in ASKED) + """]) AS query), e AS (SELECT query, min(entity_name) AS exact FROM q JOIN entities ON lower(entity_name) = lower(query) GROUP BY 1),
 p AS (SELECT query, count(*) AS n, min(entity_name) AS partial FROM q JOIN entities ON contains(lower(entity_name), lower(query)) WHERE query NOT IN (SELECT query FROM e) GROUP BY 1)
 SELECT query, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'partial' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how, coalesce(exact, CASE WHEN n = 1 THEN partial END) AS name FROM q LEFT JOIN e USING (query) LEFT JOIN p USING (query)""")),
@@ -113,8 +129,8 @@ SELECT query, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'partial'
         with_star(f"""{FEEDS_SQL}, {RUNS_SQL}, f AS (SELECT * FROM fd WHERE active AND (last_polled IS NULL OR last_polled < {TS} - INTERVAL 1 DAY) AND source_id NOT IN (SELECT user_id FROM runs WHERE status = 'RUNNING'))
 SELECT source_id, client_id, CAST(floor((row_number() OVER (PARTITION BY client_id ORDER BY last_polled NULLS FIRST, source_id) - 1) / 5) AS INT) AS batch FROM f""")),
     "j29_revival_feeds": (lambda s: lookups.revival_feeds(feeds(s), AS_OF, 60).select("source_id"), with_star(f"{FEEDS_SQL} SELECT source_id FROM fd WHERE NOT active AND (last_polled IS NULL OR last_polled < {TS} - INTERVAL 60 DAY)")),
-    "j22_claim_to_incident": (lambda s: s.documents.where("document_id % 50 = 0").select("document_id").join(incident_items(s).select(F.floor(F.col("item_id") / 1000).alias("document_id"), "item_id").groupBy("document_id").agg(F.min("item_id").alias("incident")), "document_id", "left").select("document_id", F.when(F.col("incident").isNotNull(), "matched").otherwise("open").alias("status")),
-        star_sql("i AS (SELECT DISTINCT document_id FROM events WHERE risk_score > 50 AND document_id % 4 = 0) SELECT document_id, CASE WHEN document_id IN (SELECT document_id FROM i) THEN 'matched' ELSE 'open' END AS status FROM docs WHERE document_id % 50 = 0")),
+    "j22_claim_to_incident": (lambda s: lookups.claim_status(s.documents.select("document_id"), incidents.incidents(incident_items(s)).select("item_id.document_id", "incident_id")).select("document_id", "status", "incidents"),
+        star_sql("i AS (SELECT DISTINCT document_id, entity_id FROM events WHERE risk_score > 50) SELECT d.document_id, CASE WHEN count(i.entity_id) > 0 THEN 'matched' ELSE 'open' END AS status, count(i.entity_id) AS incidents FROM docs d LEFT JOIN i USING (document_id) GROUP BY 1")),
     "m6_best_match_per_entity": (lambda s: best_match_per_entity(match_confidence(matches(s))).groupBy("entity_id").agg(F.count("*").alias("documents")),
         None),
     "m10_surname_attach": (lambda s: lookups.surname_attach(s.entities.select("client_id", F.concat(F.lit("p"), (F.col("entity_id") % 9).cast("string")).alias("word")).distinct(), s.entities.where("entity_type = 'person'").select("client_id", "entity_id", F.concat(F.lit("Ann P"), (F.col("entity_id") % 9).cast("string")).alias("entity_name"))),
@@ -123,7 +139,7 @@ SELECT s.client_id, word, p.entity_id FROM s JOIN p ON p.client_id = s.client_id
     "m11_discover_candidates": (lambda s: lookups.discovered(name_facts(s), s.spark.createDataFrame([("en", "the"), ("de", "die"), ("fr", "de")], "client_id string, name_key string")),
         f"WITH {NAMES_SQL} SELECT client_id, name_key, count(DISTINCT document_id) AS documents, count(*) AS mentions, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM nf WHERE (client_id, name_key) NOT IN (('en', 'the'), ('de', 'die'), ('fr', 'de')) GROUP BY 1, 2"),
     "m12_person_confidence": (lambda s: rounded(lookups.person_confidence(s.mentions.groupBy("entity_id").agg(F.count("*").alias("mentions"), F.countDistinct("document_id").alias("documents")).withColumns({"parts": F.lit(2), "title_nearby": F.col("entity_id") % 2 == 0, "tracked_surname": F.col("entity_id") % 3 == 0})).select("entity_id", "confidence")),
-        with_star("m AS (SELECT entity_id, count(*) AS n, count(DISTINCT document_id) AS d FROM mentions GROUP BY 1) SELECT entity_id, round(least(0.5 + 0.1 + least(n * 0.03, 0.15) + least(d * 0.05, 0.20) + CASE WHEN entity_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN entity_id % 6 = 0 THEN 0.20 ELSE 0 END, 1.0)::DOUBLE, 6) AS confidence FROM m")),
+        with_star("m AS (SELECT entity_id, count(*) AS n, count(DISTINCT document_id) AS d FROM mentions GROUP BY 1) SELECT entity_id, round(least(0.5 + 0.1 + least((n - 1) * 0.05, 0.15) + least((d - 1) * 0.05, 0.20) + CASE WHEN entity_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN entity_id % 6 = 0 THEN 0.20 ELSE 0 END, 1.0)::DOUBLE, 6) AS confidence FROM m")),
     "m15_promotion_gate": (lambda s: lookups.promotion_gate(s.mentions.groupBy("part_id").agg(F.count("*").alias("mentions"), F.countDistinct("document_id").alias("documents"), F.max("confidence").alias("confidence"), F.countDistinct(F.when(F.col("entity_id") % 5 == 0, F.col("document_id"))).alias("related_documents")).withColumn("title_nearby", F.col("part_id") % 4 != 0)).groupBy("held_reason").agg(F.count("*").alias("candidates")),
         with_star("""m AS (SELECT part_id, count(*) AS n, count(DISTINCT document_id) AS d, max(confidence) AS c, count(DISTINCT CASE WHEN entity_id % 5 = 0 THEN document_id END) AS r FROM mentions GROUP BY 1),
 g AS (SELECT CASE WHEN n < 2 THEN 'mentions' WHEN d < 2 THEN 'documents' WHEN c < 0.65 THEN 'confidence' WHEN r < 2 THEN 'related documents' WHEN part_id % 4 = 0 THEN 'title evidence' END AS held_reason FROM m) SELECT held_reason, count(*) AS candidates FROM g GROUP BY 1""")),
@@ -132,12 +148,19 @@ g AS (SELECT CASE WHEN n < 2 THEN 'mentions' WHEN d < 2 THEN 'documents' WHEN c
     "x11_keyword_mention_filter": (lambda s: docs(s).where(F.contains(F.lower(F.concat_ws(" ", "title", "text", "source")), F.lit("src7"))).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, source)), 'src7')"),
     "x12_explainability_strip": (lambda s: s.documents.select("document_id", F.array_join(F.array_sort(F.map_keys(names.without_trend_keys(F.to_json(F.struct("title", F.col("view_count").alias("trend_views"), F.col("comment_count").alias("myTrend"), F.col("source_id")))))), ",").alias("keys")),
         with_star("x AS (SELECT 1) SELECT document_id, 'source_id,title' AS keys FROM docs")),
-    "x14_person_name_validity": (lambda s: s.mentions.select(F.concat(F.initcap(F.col("label")), F.when(F.col("line") == 1, " Rao").when(F.col("line") == 2, " rao").when(F.col("line") == 3, " Group").when(F.col("line") == 4, " 7").otherwise("")).alias("name")).groupBy("name").agg(F.count("*").alias("rows")).select("name", "rows", names.person_name(F.col("name"))[1].alias("layer")),
-        with_star("n AS (SELECT label || CASE line WHEN 1 THEN ' Rao' WHEN 2 THEN ' rao' WHEN 3 THEN ' Group' WHEN 4 THEN ' 7' ELSE '' END AS name, count(*) AS rows FROM mentions GROUP BY 1) SELECT name, rows, CASE WHEN name LIKE '% Rao' THEN NULL WHEN name LIKE '% rao' OR name LIKE '% 7' THEN 'case' WHEN name LIKE '% Group' THEN 'corporate' ELSE 'parts' END AS layer FROM n")),
-    "x15_org_name_validity": (lambda s: s.entities.select("entity_id", names.company_name(F.when(F.col("entity_id") % 4 == 0, "1st Bank").when(F.col("entity_id") % 4 == 1, "Rs 5 crore deal").when(F.col("entity_id") % 4 == 2, "Evening Post").otherwise(F.col("entity_name")), F.lit("Supplier#000000003"))[1].alias("layer")),
-        with_star("x AS (SELECT 1) SELECT entity_id, CASE entity_id % 4 WHEN 0 THEN 'ordinal' WHEN 1 THEN 'price' WHEN 2 THEN 'media' ELSE CASE WHEN entity_id = 3 THEN 'self reference' END END AS layer FROM entities")),
-    "x19_name_role_proximity": (lambda s: docs(s).select("doc_id", names.near_role(F.concat("text", F.lit(" ceo")), F.lit("ertion")).alias("near")), None),
-    "x20_ownership_evidence": (lambda s: docs(s).where(names.ownership(F.concat("title", F.lit(" is owned by of the")), F.lit("ertion"), F.lit("of the"))).select("doc_id"), None),
+    "x14_person_name_validity": (
+        lambda s: s.mentions.groupBy("label", "line").agg(F.count("*").alias("rows")).withColumn("tail", F.element_at(F.array(*map(F.lit, NAME_TAILS)), F.col("line"))).select(F.concat("label", "tail").alias("name"), "rows").select("name", "rows", names.person_name(F.col("name"), F.array(F.lit("neutral")))[1].alias("layer")),
+        with_star(f"""n AS (SELECT label, line, count(*) AS rows FROM mentions GROUP BY 1, 2) SELECT label || {_case("line - 1", NAME_TAILS)} AS name, rows,
+CASE line WHEN 1 THEN CASE WHEN label = 'Neutral' THEN 'self reference' END WHEN 2 THEN 'case' WHEN 3 THEN 'corporate' WHEN 4 THEN 'characters' WHEN 5 THEN CASE WHEN label = 'Neutral' THEN 'self reference' END WHEN 6 THEN 'publisher' ELSE 'parts' END AS layer FROM n""")),
+    "x15_org_name_validity": (
+        lambda s: s.entities.withColumn("n", F.element_at(F.array(*map(F.lit, ORG_NAMES)), (F.col("entity_id") % len(ORG_NAMES) + 1).cast("int"))).select("entity_id", names.company_name(F.coalesce(F.nullif("n", F.lit("")), "entity_name"), F.array(F.lit("supplier#000000003")))[1].alias("layer")),
+        with_star("x AS (SELECT 1) SELECT entity_id, CASE entity_id % 9 WHEN 0 THEN 'ordinal' WHEN 1 THEN 'price' WHEN 2 THEN 'media' WHEN 3 THEN CASE WHEN entity_id = 3 THEN 'self reference' END WHEN 4 THEN 'possessive' WHEN 5 THEN 'words' WHEN 6 THEN 'exchange' WHEN 7 THEN 'market' ELSE 'domain' END AS layer FROM entities")),
+    "x19_name_role_proximity": (
+        lambda s: role_pages(s).select("document_id", names.near_role(F.col("text"), F.lit("Ann Rao"), names.ROLE_SYNONYMS["md_ceo"]).alias("near")),
+        with_star("x AS (SELECT 1) SELECT document_id, document_id % 400 <= 295 AS near FROM docs")),
+    "x20_ownership_evidence": (
+        lambda s: owner_pages(s).select("document_id", names.ownership(F.col("text"), F.lit("Orris Homes"), F.lit("Acme Group")).alias("owned")),
+        with_star("x AS (SELECT 1) SELECT document_id, document_id % 200 <= 144 AND document_id % 7 <> 0 AS owned FROM docs")),
     "x21_text_grounding": (lambda s: names.grounded(answers(s).select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), "text"), s.table("conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("answer_id"), F.col("text").alias("record"))), None),
     "l3_dynamic_source_reliability": (lambda s: rounded(s.sources.select("source_id", F.least(F.coalesce(F.col("base_reliability").cast("double"), F.lit(0.65)), F.when(F.col("category") == "furniture", 0.60).otherwise(1.0)).alias("reliability"), reliability_modifier(F.col("category")).alias("modifier"))),
         with_star("x AS (SELECT 1) SELECT source_id, round(least(coalesce(base_reliability::DOUBLE, 0.65), CASE WHEN category = 'furniture' THEN 0.60 ELSE 1.0 END), 6) AS reliability, 1.0::DOUBLE AS modifier FROM sources")),
@@ -153,7 +176,8 @@ FROM visible v LEFT JOIN docs d ON d.document_id = v.document_id LEFT JOIN p ON
         star_sql(f"{COUNTS_SQL}, r AS (SELECT client_id, count(*) AS risks FROM events GROUP BY 1) SELECT cc.*, coalesce(risks, 0) AS risks FROM cc LEFT JOIN r USING (client_id)")),
     "g23_candidate_confidence_avg": (lambda s: rounded(s.mentions.where("line = 1").select("confidence").unionByName(s.mentions.where("line = 2").select("confidence")).agg(F.avg("confidence").alias("mean"))),
         with_star("x AS (SELECT 1) SELECT round(avg(confidence), 6) AS mean FROM mentions WHERE line IN (1, 2)")),
-    "g24_exec_stats": (lambda s: (e := scores.executive_score(s.entities, s.documents, s.mentions, _events(s), as_of=AS_OF).withColumn("score", F.round("score", 6))).agg(F.min_by("entity_id", F.struct(-F.col("documents"), F.col("entity_id"))).alias("most_mentioned"), F.min_by("entity_id", F.struct(-F.col("score"), F.col("entity_id"))).alias("highest"), F.min_by("entity_id", F.struct("score", "entity_id")).alias("lowest")), None),
+    "g24_exec_stats": (lambda s: (e := scores.executive_score(s.entities, s.documents, s.mentions, _events(s), as_of=AS_OF).withColumn("score", F.round("score", 6))).agg(F.min_by("entity_id", F.struct(-F.col("documents"), F.col("entity_id"))).alias("most_mentioned"), F.min_by("entity_id", F.struct(-F.col("score"), F.col("entity_id"))).alias("highest"), F.min_by("entity_id", F.struct("score", "entity_id")).alias("lowest")),
+        _EXECUTIVE_SQL.rpartition("SELECT client_id, entity_id, documents")[0] + "SELECT arg_min(entity_id, (-documents, entity_id)) AS most_mentioned, arg_min(entity_id, (-round(score, 6), entity_id)) AS highest, arg_min(entity_id, (round(score, 6), entity_id)) AS lowest FROM z"),
     "g29_domain_tier": (lambda s: s.table("pages").select("page_id", F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "").alias("host")).groupBy(F.when(F.col("host").endswith(".org"), "official").when(F.col("host").startswith("m."), "user_generated").when(F.col("host").endswith(".com"), "medium").otherwise("unrated").alias("tier")).agg(F.count("*").alias("pages")),
         r"WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages) SELECT CASE WHEN host LIKE '%.org' THEN 'official' WHEN host LIKE 'm.%' THEN 'user_generated' WHEN host LIKE '%.com' THEN 'medium' ELSE 'unrated' END AS tier, count(*) AS pages FROM h GROUP BY 1"),
     "g30_baseline_snapshot": (snapshot, with_star("x AS (SELECT 1) SELECT 'entity type' AS kind, coalesce(entity_type, 'none') AS name, count(*) AS rows FROM entities GROUP BY 2 UNION ALL SELECT 'document type', document_type, count(*) FROM docs GROUP BY 2 UNION ALL SELECT 'source category', category, count(*) FROM docs JOIN sources USING (source_id) GROUP BY 2")),

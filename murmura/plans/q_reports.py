@@ -102,12 +102,12 @@ st AS (SELECT *, entity_id % 3 AS sev, CASE entity_id % 4 WHEN 0 THEN 'ACTIVE' W
 nw AS (SELECT *, (entity_id + 1) % 3 AS sev FROM r WHERE entity_id % 5 <> 0),
 j AS (SELECT r.*, st.sev AS s_sev, nw.sev AS n_sev, st.life, st.entity_id IS NOT NULL AS has_s, nw.entity_id IS NOT NULL AS has_n FROM r LEFT JOIN st ON st.entity_id = r.entity_id LEFT JOIN nw ON nw.entity_id = r.entity_id
   WHERE st.entity_id IS NOT NULL OR nw.entity_id IS NOT NULL),
-k AS (SELECT *, CASE WHEN NOT has_s THEN 'ACTIVE' WHEN has_n AND life IN ('RESOLVED', 'CLOSED') THEN 'ACTIVE' ELSE life END AS lifecycle_status FROM j)
+k AS (SELECT *, CASE WHEN NOT has_s THEN 'NEW' WHEN has_n AND life IN ('RESOLVED', 'CLOSED') THEN 'ACTIVE' ELSE life END AS lifecycle_status FROM j)
 SELECT client_id, alert_type, entity_id, CASE greatest(coalesce(s_sev, -1), coalesce(n_sev, -1)) WHEN 0 THEN 'WARNING' WHEN 1 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
   CASE WHEN has_n AND lo <> hi THEN lo || ',' || hi ELSE CAST(lo AS VARCHAR) END AS documents,
   greatest(CASE WHEN has_s THEN entity_id % 60 END, CASE WHEN has_n THEN entity_id % 80 END)::DOUBLE AS evidence_score,
   greatest(CASE WHEN has_s THEN entity_id % 70 END, CASE WHEN has_n THEN entity_id % 50 END)::DOUBLE AS confidence_score, lifecycle_status,
-  CASE WHEN NOT has_s THEN 'NEW>ACTIVE' WHEN life <> lifecycle_status THEN 'seed,' || life || '>' || lifecycle_status ELSE 'seed' END AS history FROM k
+  CASE WHEN NOT has_s THEN 'NEW' WHEN life <> lifecycle_status THEN 'seed,' || life || '>' || lifecycle_status ELSE 'seed' END AS history FROM k
 """)
 
 

@@ -52,7 +52,18 @@ def dispatched(s: Star) -> DataFrame:
     both = raw_items(s, "gdelt")
     for k in ("hn", "youtube", "instagram", "reddit", "rss"):
         both = both.unionByName(raw_items(s, k))
-    return normalize.dispatch(both, ["doc_id"]).groupBy("source_type").agg(F.count("*").alias("rows"), F.count("published_at").alias("dated"))
+    return normalize.dispatch(both, ["doc_id"]).select("doc_id", "source_type", "title", "url", "published_at")
+
+
+_DISPATCH_SQL = "WITH d AS (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS at0 FROM documents)\n" + " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS source_type, {title} AS title, {url} AS url, {at} AS published_at FROM d"
+    for kind, title, url, at in (
+        ("rss", FIRST_LINE, _URL, "at0"), ("gdelt", FIRST_LINE, _URL, "CASE WHEN doc_id % 7 <> 0 THEN at0 END"),
+        ("hn_algolia", FIRST_LINE, f"CASE WHEN doc_id % 3 <> 0 THEN {_URL} ELSE 'https://news.ycombinator.com/item?id=' || doc_id END", "at0"),
+        ("youtube", FIRST_LINE, "'https://youtu.be/' || doc_id", "at0"),
+        ("instagram", "CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END", _URL, "at0"), ("reddit", FIRST_LINE, _URL, "at0"),
+    )
+)
 
 
 def dedupe_input(s: Star) -> DataFrame:
@@ -108,8 +119,15 @@ def incident_items(s: Star) -> DataFrame:
     k = F.col("document_id")
     pick = lambda i: F.element_at(F.array(*map(F.lit, words)), (F.pmod(i, F.lit(len(words))) + 1).cast("int"))
     title = F.concat_ws(" ", pick(k % 5), pick(k % 5 + 3), pick(k % 7 + 5), pick(k % 3 + 1), F.lit("closes"))
-    rows = _events(s).where("risk_score > 50 AND document_id % 4 = 0")
-    return rows.select((k * 1000 + F.col("entity_id")).alias("item_id"), "entity_id", "entity_name", F.concat(title, F.lit(" - Reuters")).alias("title"), F.lit(None).cast("string").alias("event"), "published_at", F.col("risk_score").alias("score"))
+    rows = _events(s).where("risk_score > 50")
+    item = F.struct("document_id", "entity_id").alias("item_id")
+    return rows.select(item, "entity_id", "entity_name", F.concat(title, F.lit(" - Reuters")).alias("title"), F.lit(None).cast("string").alias("event"), "published_at", F.col("risk_score").alias("score"))
+
+
+def _ids(df: DataFrame, *columns: str) -> DataFrame:
+    """Items as two plain columns each."""
+    parts = [F.col(f"{c}.{k}").alias(f"{c.removesuffix('_id')}_{k}") for c in columns for k in ("document_id", "entity_id")]
+    return df.select(*parts, *(c for c in df.columns if c not in columns))
 
 
 def answers(s: Star) -> DataFrame:
@@ -117,13 +135,16 @@ def answers(s: Star) -> DataFrame:
 
 
 def cited(s: Star) -> DataFrame:
-    p = s.table("pages").select("page_id", "url")
-    a = answers(s).select("conv_id", "turn", F.explode(F.array(F.col("conv_id") % 50, (F.col("conv_id") + F.col("turn")) % 50)).alias("page_id")).distinct()
-    return a.join(p, "page_id").withColumn("host", F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", ""))
+    """Pages that each answer cites: every page belongs to one question, two of three of its answers cite it."""
+    n = s.table("conversations").agg(F.max("conv_id")).first()[0] + 1
+    p = s.table("pages").select("page_id", "url", F.pmod("page_id", F.lit(n)).alias("conv_id"))
+    a = answers(s).select("conv_id", "turn").distinct().join(p, "conv_id").where((F.col("page_id") + F.col("turn")) % 3 != 0)
+    return a.withColumn("host", F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", ""))
 
 
-CITED_SQL = """a AS (SELECT DISTINCT conv_id, turn, unnest([conv_id % 50, (conv_id + turn) % 50]) AS page_id FROM conversations WHERE role = 'assistant'),
-c AS (SELECT a.*, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM a JOIN pages USING (page_id))"""
+CITED_SQL = """a AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant'),
+c AS (SELECT a.*, page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM a JOIN pages ON a.conv_id = page_id % (SELECT max(conv_id) + 1 FROM conversations)
+  WHERE (page_id + turn) % 3 <> 0)"""
 
 
 def stability(s: Star) -> DataFrame:
@@ -149,7 +170,7 @@ QUERIES = {
     "s5_normalize_instagram": (_norm("instagram"), _norm_sql("instagram", _URL, "length(text)", "at0", "CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id AS INT) END", "CAST(doc_id % 50 AS INT)", title="CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END")),
     "s6_normalize_reddit": (_norm("reddit", phrase="of the"), _norm_sql("reddit", _URL, "length(text)", "at0", "CAST(doc_id % 90 AS INT)", "CAST(doc_id % 30 AS INT)", where=rf"position(' of the ' IN ' ' || regexp_replace(lower({FIRST_LINE} || ' ' || text || ' ' || {_URL}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g') || ' ') > 0")),
     "s1_normalize_rss": (lambda s: _norm("rss")(s).select("doc_id", "title", "url", "author", "published_at"), f"SELECT doc_id, {FIRST_LINE} AS title, {_URL} AS url, source AS author, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at FROM documents"),
-    "s7_dispatch_by_format": (dispatched, None),
+    "s7_dispatch_by_format": (dispatched, _DISPATCH_SQL),
     "s9_merge_upsert": (
         lambda s: ingest.merge_upsert(s.documents.where("document_id % 3 <> 0").select("source_id", "view_count", "document_id"), s.documents.where("document_id % 3 = 0").select("source_id", "view_count", "document_id"), ["source_id"], [F.col("view_count").desc_nulls_last(), F.desc("document_id")]),
         with_star("t AS (SELECT source_id, view_count, document_id, row_number() OVER (PARTITION BY source_id ORDER BY view_count DESC NULLS LAST, document_id DESC) AS k FROM docs) SELECT source_id, view_count, document_id FROM t WHERE k = 1"),
@@ -216,8 +237,8 @@ SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, label
         lambda s: s.documents.select("document_id", F.concat(F.lit('```json\n{"status": "'), F.when(F.col("document_id") % 2 == 0, "probe").otherwise("odd"), F.lit('", "event": "  A  raid '), F.col("document_id") % 5, F.lit('"}```')).alias("t")).select("document_id", risk.parse_status(F.col("t"))[0].alias("status"), risk.parse_status(F.col("t"))[1].alias("event")),
         with_star("x AS (SELECT 1) SELECT document_id, CASE WHEN document_id % 2 = 0 THEN 'probe' END AS status, 'a raid ' || (document_id % 5) AS event FROM docs"),
     ),
-    "c2_c3_incidents": (lambda s: incidents.incidents(incident_items(s)), None),
-    "c4_incident_summary": (lambda s: rounded(incidents.incident_summary(i := incident_items(s), incidents.incidents(i))), None),
+    "c2_c3_incidents": (lambda s: _ids(incidents.incidents(incident_items(s)), "item_id", "incident_id"), None),
+    "c4_incident_summary": (lambda s: rounded(_ids(incidents.incident_summary(i := incident_items(s), incidents.incidents(i)), "incident_id")), None),
     "g25_answer_source_stats": (lambda s: cited(s).groupBy("conv_id", "host").agg(F.countDistinct("turn").alias("answers"), F.countDistinct("page_id").alias("pages")), f"WITH {CITED_SQL} SELECT conv_id, host, count(DISTINCT turn) AS answers, count(DISTINCT page_id) AS pages FROM c GROUP BY ALL"),
     "g26_source_stability": (stability, f"""WITH {CITED_SQL}, p AS (SELECT conv_id, page_id, count(DISTINCT turn) AS k FROM c GROUP BY ALL), n AS (SELECT conv_id, count(DISTINCT turn) AS r FROM conversations WHERE role = 'assistant' GROUP BY 1)
 SELECT conv_id, round(count(*) FILTER (k = r) / count(*)::DOUBLE, 6) AS shared FROM p JOIN n USING (conv_id) GROUP BY 1"""),

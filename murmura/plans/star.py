@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmura.scratch import scratch_path
+
 AS_OF = "2001-08-02 00:00:00"
 OUTLETS = ["Reuters", "The Hindu", "Devdiscourse", "Nowhere Post", "Livemint"]
 KINDS = ["rss", "youtube", "instagram", "reddit", "gdelt"]
@@ -24,6 +26,12 @@ class Star:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def write(self, df: DataFrame, name: str, by: list[str]) -> DataFrame:
+        """``df`` as a table in the shared folder, partitioned by the columns ``by``, read back."""
+        path = scratch_path(self.spark, name)
+        df.write.partitionBy(*by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def clients(self) -> DataFrame:
         return self.table("nation").select(F.col("n_nationkey").cast("long").alias("client_id"), F.col("n_name").alias("client_name"))

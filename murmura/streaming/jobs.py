@@ -12,8 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from murmura.scratch import scratch_path
 
 
-def run_available(frame: DataFrame, *, mode: str, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over all input there is and return its result.
+def run_available(frame: DataFrame, *, mode: str, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, start: DataFrame | None = None) -> DataFrame:
+    """Run a stream over all input there is and return its result; ``start`` is the table that the first batch merges into.
 
     ``append`` results gather as Parquet; ``complete`` and ``update`` results replace or merge into the table of the
     batch before, written under the batch's number, so a repeated batch gives the same table."""
@@ -27,7 +27,7 @@ def run_available(frame: DataFrame, *, mode: str, merge: Callable[[DataFrame, Da
 
     def write(batch: DataFrame, number: int) -> None:
         path = f"{home}/table-{number}"
-        held = batch.sparkSession.read.parquet(last[-1]) if last and merge else None
+        held = batch.sparkSession.read.parquet(last[-1]) if last and merge else start if merge else None
         (merge(held, batch) if held is not None else batch).write.mode("overwrite").parquet(path)
         last.append(path)
 

@@ -88,7 +88,7 @@ def test_alert_merge(spark):
     new = spark.createDataFrame([(1, "A", 1, "WARNING", [7, 5], 40.0, 70.0), (1, "A", 3, "CRITICAL", [8], 90.0, 90.0)], kind)
     got = {r.entity_id: r for r in alerts.merge_alerts(stored, new).collect()}
     assert got[1].severity == "HIGH" and got[1].documents == [5, 7] and got[1].lifecycle_status == "ACTIVE" and got[1].history == ["x", "CLOSED>ACTIVE"]
-    assert got[2].lifecycle_status == "ACTIVE" and got[2].history == ["x"] and got[3].history == ["NEW>ACTIVE"]
+    assert got[2].lifecycle_status == "ACTIVE" and got[2].history == ["x"] and got[3].history == ["NEW"] and got[3].lifecycle_status == "NEW"
     assert got[1].confidence_score == 70.0
 
 
