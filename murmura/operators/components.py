@@ -11,16 +11,24 @@ from murmura.scratch import materialize
 HUB_SHARE = 1 / 2048
 
 
-def _with_least(rows: DataFrame, key: str, least: DataFrame, heavy: float | None) -> DataFrame:
-    """``rows`` with m from ``least`` (key, m, n: rows of the key). Hubs, keys of more than ``heavy`` rows, are so few that
-    their minima are broadcast; the rows of other keys meet theirs by a shuffle in which no key is heavy. None: there are
-    no hubs."""
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, heavy: float | None) -> DataFrame:
+    """``rows`` joined by ``key`` to ``table``, one row a key with n, the number of rows of the key, which stays out.
+
+    Hubs, keys of more than ``heavy`` rows, are so few that their part of the table is broadcast; the rows of other keys
+    meet theirs by a shuffle in which no key is heavy. None: there are no hubs."""
     if heavy is None:
-        return rows.join(least.select(key, "m"), key)
-    hubs = least.where(F.col("n") > heavy).select(key, F.col("m").alias("hub"))
-    marked = rows.join(F.broadcast(hubs), key, "left")
-    rest = marked.where("hub IS NULL").drop("hub").join(least.where(F.col("n") <= heavy).select(key, "m"), key)
-    return marked.where("hub IS NOT NULL").withColumnRenamed("hub", "m").unionByName(rest)
+        return rows.join(table.drop("n"), key)
+    hubs = table.where(F.col("n") > heavy).drop("n").withColumn("_hub", F.lit(True))
+    marked = rows.join(F.broadcast(hubs.select(key, "_hub")), key, "left")
+    top = marked.where("_hub").drop("_hub").join(F.broadcast(hubs.drop("_hub")), key)
+    rest = marked.where("_hub IS NULL").drop("_hub").join(table.where(F.col("n") <= heavy).drop("n"), key)
+    return top.unionByName(rest)
+
+
+def heavy_rows(total: int) -> float | None:
+    """Rows from which a key is a hub, at least 1,000; None where no key can have so many."""
+    heavy = max(1000.0, total * HUB_SHARE)
+    return heavy if total > heavy else None
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,13 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     now, seen = _state(edges), None
     while now != seen:
-        heavy = max(1000.0, 2 * now[0] * HUB_SHARE)
-        heavy = heavy if now[0] > heavy else None
+        heavy = heavy_rows(2 * now[0])
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        star = _with_least(both.where("v > u"), "u", low, heavy).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        star = joined_by_key(both.where("v > u"), low, "u", heavy).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         low = star.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        small = _with_least(star, "b", low, heavy).select("m", F.explode(F.array("a", "b")).alias("b"))
+        small = joined_by_key(star, low, "b", heavy).select("m", F.explode(F.array("a", "b")).alias("b"))
         edges = materialize(small.where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "links")
         now, seen = _state(edges), now
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.operators.components import heavy_rows, joined_by_key
 from murmura.scratch import materialize
 
 
@@ -13,26 +14,30 @@ def ingest_dedupe(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
     A row is stored if no stored row has its url or its hash; a suppressed row suppresses nothing. Rounds: rows that
     come first in both of their groups are accepted, then rows that share a key with an accepted one go; what is left
-    starts the next round. Null keys count as one value."""
-    left = new
+    starts the next round. Null keys count as one value. Firsts are found by sums that tasks make before the shuffle, and
+    the rows of a heavy key (the null one, say) stay spread over all tasks."""
+    keys = ("url_key", "hash_key")
+    held = lambda df: df.withColumns({f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys})
+    left, accepted = held(new).withColumn("_at", F.struct("collected_at", "id")), None
     if stored is not None:
-        for k in ("url_key", "hash_key"):
-            keys = stored.select(F.col(k).alias("_k")).distinct()
-            left = left.join(keys, F.col(k).eqNullSafe(F.col("_k")), "left_anti")
-    left, accepted = materialize(left, "dedupe-left"), None
-    while True:
-        order = [F.col("collected_at"), F.col("id")]
-        first = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(*order)) == 1
-        marked = materialize(left.withColumn("_first", first("url_key") & F.lit(True)).withColumn("_both", F.col("_first") & first("hash_key")), "dedupe-round")
-        won = marked.where("_both").drop("_first", "_both")
+        for k in keys:
+            left = left.join(held(stored).select(f"_{k}").distinct(), f"_{k}", "left_anti")
+    left = materialize(left, "dedupe-left")
+    while not left.isEmpty():
+        heavy = heavy_rows(left.count())
+        groups = {k: left.groupBy(f"_{k}").agg(F.min("_at").alias(f"_first_{k}"), F.count("*").alias("n")) for k in keys}
+        marked = left
+        for k in keys:
+            marked = joined_by_key(marked, groups[k], f"_{k}", heavy)
+        marked = materialize(marked.withColumn("_won", (F.col("_at") == F.col("_first_url_key")) & (F.col("_at") == F.col("_first_hash_key"))), "dedupe-round")
+        won = marked.where("_won").select(left.columns)
         accepted = won if accepted is None else accepted.unionByName(won)
-        rest = marked.where("NOT _both").drop("_first", "_both")
-        for k in ("url_key", "hash_key"):
-            keys = won.select(F.col(k).alias("_k")).distinct()
-            rest = rest.join(keys, F.col(k).eqNullSafe(F.col("_k")), "left_anti")
+        rest = marked.where("NOT _won").select(left.columns)
+        for k in keys:
+            taken = groups[k].select(f"_{k}", "n").join(won.select(f"_{k}", F.lit(True).alias("_taken")), f"_{k}", "left")
+            rest = joined_by_key(rest, taken, f"_{k}", heavy).where("_taken IS NULL").drop("_taken")
         left = materialize(rest, "dedupe-left")
-        if left.isEmpty():
-            return accepted
+    return (left if accepted is None else accepted).select(new.columns)
 
 
 def reject_reason(published: Column, url: Column, relevant: Column, as_of: str) -> Column:

@@ -178,3 +178,10 @@ def verdict(rows: DataFrame) -> DataFrame:
     """One verdict for each client by priority: alert, danger, flagged, no data, clear."""
     v = F.when(F.col("alerts") > 0, "alert").when(F.col("critical") > 0, "danger").when(F.col("flagged") > 0, "flagged").when(F.col("documents") == 0, "no data")
     return rows.withColumn("verdict", v.otherwise("clear"))
+
+
+def advised(clients: DataFrame, events: DataFrame) -> DataFrame:
+    """The document that a client's plan advises on: the worst of an executive, else the worst, smallest id on ties."""
+    worst = F.struct(-F.col("risk_score"), "document_id")
+    of = events.groupBy("client_id").agg(F.min_by("document_id", F.when(F.col("entity_type") == "person", worst)).alias("executive"), F.min_by("document_id", worst).alias("any"))
+    return clients.select("client_id").join(of, "client_id", "left").select("client_id", F.coalesce("executive", "any").alias("document_id"))

@@ -131,7 +131,7 @@ SELECT source_id, client_id, CAST(floor((row_number() OVER (PARTITION BY client_
     "j29_revival_feeds": (lambda s: lookups.revival_feeds(feeds(s), AS_OF, 60).select("source_id"), with_star(f"{FEEDS_SQL} SELECT source_id FROM fd WHERE NOT active AND (last_polled IS NULL OR last_polled < {TS} - INTERVAL 60 DAY)")),
     "j22_claim_to_incident": (lambda s: lookups.claim_status(s.documents.select("document_id"), incidents.incidents(incident_items(s)).select("item_id.document_id", "incident_id")).select("document_id", "status", "incidents"),
         star_sql("i AS (SELECT DISTINCT document_id, entity_id FROM events WHERE risk_score > 50) SELECT d.document_id, CASE WHEN count(i.entity_id) > 0 THEN 'matched' ELSE 'open' END AS status, count(i.entity_id) AS incidents FROM docs d LEFT JOIN i USING (document_id) GROUP BY 1")),
-    "m6_best_match_per_entity": (lambda s: best_match_per_entity(match_confidence(matches(s))).groupBy("entity_id").agg(F.count("*").alias("documents")),
+    "m6_best_match_per_entity": (lambda s: best_match_per_entity(match_confidence(matches(s))).select("doc_id", "entity_id", "start_idx", "keyword", "confidence"),
         None),
     "m10_surname_attach": (lambda s: lookups.surname_attach(s.entities.select("client_id", F.concat(F.lit("p"), (F.col("entity_id") % 9).cast("string")).alias("word")).distinct(), s.entities.where("entity_type = 'person'").select("client_id", "entity_id", F.concat(F.lit("Ann P"), (F.col("entity_id") % 9).cast("string")).alias("entity_name"))),
         with_star("""p AS (SELECT client_id, 'p' || (entity_id % 9) AS w, count(*) AS n, min(entity_id) AS entity_id FROM entities WHERE entity_type = 'person' GROUP BY 1, 2), s AS (SELECT DISTINCT client_id, 'p' || (entity_id % 9) AS word FROM entities)
@@ -213,6 +213,6 @@ SELECT client_id, CASE WHEN client_id % 9 = 0 THEN 'alert' WHEN critical > 0 THE
         with_star("x AS (SELECT 1) SELECT client_id, entity_id % 30 AS name_key, count(*) AS names, min(entity_id) AS least FROM entities GROUP BY ALL HAVING count(*) >= 2")),
     "al4_active_alerts": (lambda s: gates.brand_gate(alerts.alert_candidates(gates.without_competitors(_events(s)).withColumn("risk_score", F.round("risk_score", 6))), gates.brand_documents(s.mentions, s.entities), s.entities).groupBy("client_id").agg(F.count("*").alias("alerts")),
         star_sql(f"t AS (SELECT client_id, document_id, entity_id, row_number() OVER (PARTITION BY client_id ORDER BY created_at DESC, round(risk_score, 6) DESC, document_id, entity_id) AS rn FROM events WHERE entity_type IS DISTINCT FROM 'competitor' AND round(risk_score, 6) > 50) SELECT client_id, count(*) AS alerts FROM {gated_sql('(SELECT * FROM t WHERE rn <= 15)')} GROUP BY 1")),
-    "al7_plan_advisory": (lambda s: s.clients.select("client_id").join(_events(s).where("entity_type = 'person'").groupBy("client_id").agg(F.min_by("document_id", F.struct(-F.round("risk_score", 6), "document_id")).alias("executive")), "client_id", "left").join(_events(s).groupBy("client_id").agg(F.min_by("document_id", F.struct(-F.round("risk_score", 6), "document_id")).alias("worst")), "client_id", "left").select("client_id", F.coalesce("executive", "worst").alias("document_id")),
+    "al7_plan_advisory": (lambda s: lookups.advised(s.clients, _events(s).withColumn("risk_score", F.round("risk_score", 6))),
         star_sql("p AS (SELECT client_id, arg_min(document_id, (-round(risk_score, 6), document_id)) AS d FROM events WHERE entity_type = 'person' GROUP BY 1), w AS (SELECT client_id, arg_min(document_id, (-round(risk_score, 6), document_id)) AS d FROM events GROUP BY 1) SELECT client_id, coalesce(p.d, w.d) AS document_id FROM clients LEFT JOIN p USING (client_id) LEFT JOIN w USING (client_id)")),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmura.functions import common, text
 from murmura.operators import incidents, ingest, labels, matching, risk
 from murmura.plans.q_scores import _REACH, _TIER, _events, rounded
-from murmura.plans.star import AS_OF, Star, with_star
+from murmura.plans.star import Star, with_star
 from murmura.sources import normalize
 
 ROSTER = ["the", "of the", "in the", "and", "ertion", "der", "und die", "les", "de la", "para", "erten", "onti the"]
@@ -105,14 +105,6 @@ def titled(s: Star) -> DataFrame:
     )
 
 
-def rule_rows(s: Star) -> DataFrame:
-    t = titled(s)
-    fields = risk.penalty_fields(F.col("title"))
-    return rounded(t.select("document_id", "entity_id", "k", risk.noise_reason(F.col("title"), F.col("document_type")).alias("noise"), *(c.alias(n) for n, c in fields.items()),
-        risk.ugc_cap(F.col("document_type"), F.col("view_count"), F.col("author"), F.col("case_status")).alias("ugc")).groupBy("k").agg(
-        F.count("*").alias("rows"), F.max("noise").alias("noise"), F.count("noise").alias("n_noise"), F.max("amount_lakh").alias("amount_lakh"), F.max("authority").alias("authority"), F.bool_or("criminal").alias("criminal"), F.count_if("ugc").alias("ugc")))
-
-
 def incident_items(s: Star) -> DataFrame:
     """Flagged documents of each entity as items; titles out of a few stories, dated by publication."""
     words = ["bridge", "harbour", "turbine", "ledger", "warehouse", "signal", "pipeline", "voucher", "orchard", "tunnel", "reactor", "satellite"]
@@ -202,8 +194,8 @@ SELECT doc_id, phrase, CAST(least((length(t) - length(replace(t, ' ' || phrase |
     ),
     "j19_near_duplicate_names": (lambda s: incidents.near_duplicate_names(s.entities.select("client_id", F.col("entity_name").alias("name"), F.coalesce("entity_type", F.lit("other")).alias("kind")), s.entities.select("client_id", F.col("entity_name").alias("name"), F.coalesce("entity_type", F.lit("other")).alias("kind"))), None),
     "m1_normalize_titles": (lambda s: s.documents.select("document_id", text.executive_titles(F.concat("title", F.lit(" by Chief Executive Officer and Senior Vice President"))).alias("title")), with_star("x AS (SELECT 1) SELECT document_id, title || ' by CEO and SVP' AS title FROM docs")),
-    "m3_match_confidence": (lambda s: matching.match_confidence(matches(s)).groupBy("keyword", "entity_id", "confidence", "accepted").agg(F.count("*").alias("n")), None),
-    "m5_resolve_ambiguity": (lambda s: matching.resolve_ambiguity(matching.match_confidence(matches(s))).groupBy("entity_id", "status").agg(F.count("*").alias("n")), None),
+    "m3_match_confidence": (lambda s: matching.match_confidence(matches(s)).select("doc_id", "start_idx", "keyword", "entity_id", "confidence", "accepted"), None),
+    "m5_resolve_ambiguity": (lambda s: matching.resolve_ambiguity(matching.match_confidence(matches(s))).select("doc_id", "start_idx", "keyword", "entity_id", "status"), None),
     "m7_document_match_state": (lambda s: matching.document_state(matching.resolve_ambiguity(matching.match_confidence(matches(s)))), None),
     "m8_accept_mentions": (lambda s: matching.accepted_mentions(matching.resolve_ambiguity(matching.match_confidence(matches(s)))), None),
     "m9_keyword_generation": (lambda s: matching.generated_keywords(s.entities), with_star("""x AS (SELECT entity_id, entity_name AS keyword, 'PRIMARY' AS category, 1 AS priority FROM entities UNION ALL
@@ -231,8 +223,6 @@ SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, label
     "l12_inference_dedupe": (lambda s: labels.infer_once(docs(s).select("doc_id", "text"), "text", lambda x: x.withColumn("score", F.length("text") % 7)).select("doc_id", "score"), "SELECT doc_id, length(text) % 7 AS score FROM documents"),
     "r1_reach_modifier": (lambda s: rounded(s.documents.select("document_id", common.reach_modifier(F.col("view_count"), F.col("comment_count")).alias("modifier"))), with_star(f"x AS (SELECT 1) SELECT document_id, round({_REACH}, 6) AS modifier FROM docs")),
     "r2_trust_tier": (lambda s: s.documents.select("document_id", common.trust_tier(F.col("title")).alias("tier")), with_star(f"x AS (SELECT 1) SELECT document_id, {_TIER} AS tier FROM docs")),
-    "r7_title_rules": (rule_rows, None),
-    "r10_final_score": (lambda s: rounded(risk.final_score(titled(s), floor=True, case_status=True, as_of=AS_OF).groupBy("k", "entity_type").agg(F.count("*").alias("rows"), F.avg("final_score").alias("mean"), F.max("final_score").alias("top"))), None),
     "r18_parse_label_text": (
         lambda s: s.documents.select("document_id", F.concat(F.lit('```json\n{"status": "'), F.when(F.col("document_id") % 2 == 0, "probe").otherwise("odd"), F.lit('", "event": "  A  raid '), F.col("document_id") % 5, F.lit('"}```')).alias("t")).select("document_id", risk.parse_status(F.col("t"))[0].alias("status"), risk.parse_status(F.col("t"))[1].alias("event")),
         with_star("x AS (SELECT 1) SELECT document_id, CASE WHEN document_id % 2 = 0 THEN 'probe' END AS status, 'a raid ' || (document_id % 5) AS event FROM docs"),

@@ -123,6 +123,11 @@ _T = f"""t AS (SELECT f.*, {_K} AS k, CASE WHEN (f.document_id + f.entity_id) %
 p AS (SELECT *, CASE k WHEN 0 THEN 12.0 WHEN 3 THEN 4000.0 END::DOUBLE AS amount_lakh, CASE k WHEN 0 THEN 'small' WHEN 3 THEN 'senior' WHEN 5 THEN 'senior' ELSE 'unknown' END AS authority, k = 3 AS criminal, FALSE AS restricts,
   (epoch({TS}) - epoch(published_at)) / 86400 > 730 AS old FROM t)"""
 
+_NOISE = "CASE WHEN k = 1 THEN 'market_move' WHEN k = 2 THEN 'financial_results' WHEN k = 6 AND document_type IN ('youtube', 'instagram') THEN 'promotional' END"
+_FLOOR = "(k IN (0, 3, 5) AND document_type IN ('rss', 'gdelt') AND sentiment <> 'Positive' AND role IS NULL)"
+_CAPPED = "(k NOT IN (3, 5) AND (coalesce(old, FALSE) OR k = 0))"
+_UGC = "(case_status = 'allegation' AND document_type IN ('youtube', 'instagram', 'reddit') AND author = 'someone' AND views < 100000)"
+
 
 def _title_sql(columns: str) -> str:
     return star_sql(f"{_T} SELECT document_id, entity_id, {columns} FROM p")
@@ -183,12 +188,18 @@ SELECT user_id % 25 AS client_id, user_id AS entity_id, CASE greatest(v, CASE WH
     "r3_reach_trust_eligible": (lambda s: s.documents.select("document_id", common.reach_trust_eligible(*(F.col(c) for c in ("document_type", "title", "view_count", "comment_count"))).alias("eligible")), star_sql("SELECT document_id, eligible FROM reach")),
     "r4_source_reliability_modifier": (lambda s: s.sources.select("source_id", common.reliability_modifier(F.concat("category", F.element_at(F.array(*map(F.lit, [" court news", " blog", " social forum", ""])), (F.col("source_id") % 4 + 1).cast("int")))).alias("modifier")),
         with_star("x AS (SELECT 1) SELECT source_id, CASE source_id % 4 WHEN 0 THEN 1.2 WHEN 1 THEN 0.85 WHEN 2 THEN 0.7 ELSE 1.0 END::DOUBLE AS modifier FROM sources")),
-    "r8_serious_floor": (picked("k", "floor"), _title_sql("k, k IN (0, 3, 5) AND document_type IN ('rss', 'gdelt') AND sentiment <> 'Positive' AND role IS NULL AS floor")),
+    "r7_title_rules": (picked("k", "noise"), _title_sql(f"k, {_NOISE} AS noise")),
+    "r10_final_score": (
+        lambda s: rounded(risk.final_score(titled(s), floor=True, case_status=True, as_of=AS_OF).select("document_id", "entity_id", "final_score")),
+        star_sql(f"""{_T}, s1 AS (SELECT *, CASE WHEN entity_type = 'brand' AND risk_score > 25 AND {_NOISE} IS NOT NULL THEN 25.0 ELSE risk_score END AS a FROM p),
+s2 AS (SELECT *, CASE WHEN entity_type = 'brand' AND {_FLOOR} AND a < 51 THEN 51.0 ELSE a END AS b FROM s1), s3 AS (SELECT *, CASE WHEN b > 25 AND role IS NOT NULL THEN 0.0 ELSE b END AS c FROM s2)
+SELECT document_id, entity_id, round(CASE WHEN c > 50 AND (case_status = 'settled' OR (case_status = 'penalty_or_order' AND {_CAPPED}) OR {_UGC}) THEN 50.0 ELSE c END::DOUBLE, 6) AS final_score FROM s3""")),
+    "r8_serious_floor": (picked("k", "floor"), _title_sql(f"k, {_FLOOR} AS floor")),
     "r9_role_zeroing": (picked("zeroed"), _title_sql("risk_score > 25 AND role IS NOT NULL AS zeroed")),
     "r11_penalty_parse": (picked("k", "amount_lakh", "authority", "criminal", "restricts"), _title_sql("k, amount_lakh, authority, criminal, restricts")),
-    "r12_penalty_cap": (picked("k", "penalty_capped", "penalty_reason"), _title_sql("""k, k NOT IN (3, 5) AND (coalesce(old, FALSE) OR k = 0) AS penalty_capped,
+    "r12_penalty_cap": (picked("k", "penalty_capped", "penalty_reason"), _title_sql(f"""k, {_CAPPED} AS penalty_capped,
   CASE WHEN k = 3 THEN 'criminal' WHEN k = 5 THEN 'senior authority' WHEN old THEN 'old' WHEN k = 0 THEN 'small amount' ELSE 'nothing found' END AS penalty_reason""")),
-    "r13_ugc_cap": (picked("ugc"), _title_sql("case_status = 'allegation' AND document_type IN ('youtube', 'instagram', 'reddit') AND author = 'someone' AND views < 100000 AS ugc")),
+    "r13_ugc_cap": (picked("ugc"), _title_sql(f"{_UGC} AS ugc")),
     "r14_risk_level": (lambda s: _events(s).select("document_id", "entity_id", common.risk_level(F.col("risk_score")).alias("level")), star_sql("SELECT document_id, entity_id, CASE WHEN risk_score <= 25 THEN 'LOW' WHEN risk_score <= 50 THEN 'MEDIUM' WHEN risk_score <= 75 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM events")),
     "s8_write_tables": (lambda s: rounded(s.write(_events(s).select("client_id", "document_id", "entity_id", "risk_score", "risk_level"), "risk-events", ["client_id", "risk_level"])), star_sql("SELECT client_id, document_id, entity_id, round(risk_score, 6) AS risk_score, risk_level FROM events")),
     "s10_raw_payload_archive": (archived, with_star("x AS (SELECT 1) SELECT DISTINCT content_hash, 'payload of ' || content_hash AS payload, substr(content_hash, 1, 2) AS prefix FROM docs WHERE document_id % 3 <> 0 OR document_id % 2 = 0")),

@@ -12,7 +12,7 @@ def star(spark, texts):
 
 def test_every_document_is_dispatched_in_every_format(spark):
     got = q_text.dispatched(star(spark, [f"title {i} of the day\nbody {i}" for i in range(12)])).collect()
-    assert len(got) == 6 and {r.rows for r in got} == {12}, got
+    assert len(got) == 72 and {(r.source_type, r.doc_id) for r in got} == {(k, i) for k in ("rss", "gdelt", "hn_algolia", "youtube", "instagram", "reddit") for i in range(12)}
 
 
 def test_sentiment_rules_see_the_whole_text(spark):
