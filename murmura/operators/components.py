@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.scratch import materialize
+from murmura.scratch import discard, materialize
 
 #: A node with more than this share of all rows is a hub; there are fewer than its inverse of them.
 HUB_SHARE = 1 / 2048
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of the undirected ``edges`` (a, b).
 
     Large-star and small-star steps in turn; each step's edges are written to the shared folder, and the loop ends when
-    a step changes none. Minima are taken before the shuffle, and a hub's edges stay spread over all tasks. Only nodes with
+    a step changes none; the step before goes then. Minima are taken before the shuffle, and a hub's edges stay spread over all tasks. Only nodes with
     an edge to another node come back."""
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     now, seen = _state(edges), None
@@ -46,8 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
         star = joined_by_key(both.where("v > u"), low, "u", heavy).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         low = star.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
         small = joined_by_key(star, low, "b", heavy).select("m", F.explode(F.array("a", "b")).alias("b"))
-        edges = materialize(small.where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "links")
+        before, edges = edges, materialize(small.where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "links")
         now, seen = _state(edges), now
+        discard(before)
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
 

@@ -30,4 +30,13 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `materialize` returned; nothing may read it any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
