@@ -65,14 +65,14 @@ def consumed(t: Column, pace: Column) -> Column:
 
 
 def drawn(seed: int) -> Column:
-    """Place of a document in its source's order, as a hexadecimal string."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    """Place of a document in its source's order, as a hexadecimal string; rows that share or lack an id spread by text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
 
 
 def mixed_documents(docs: DataFrame, *, seed: int = 7, **targets) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, source) as doc_id, source, size, source_size, target, taken, positions, draw.
 
-    A source's supply is its documents in the order of MD5(seed:doc_id), read at most twice; ``taken`` counts the words
+    A source's supply is its documents in the order of MD5(seed:doc_id:MD5(text)), read at most twice; ``taken`` counts the words
     of a document below the source's target, ``positions`` holds the training position of each reading. A null or empty
     text has size 0, takes 0 words and has no positions; texts of any length are counted whole; a null source is a source,
     a null doc_id a document; repeated rows are documents of their own; an empty table gives no rows; other columns are
@@ -103,7 +103,7 @@ def repeated_documents(docs: DataFrame, *, seed: int = 7, **targets) -> DataFram
     """The rows of ``docs``, each as often as the mix reads it, to the nearest whole reading (0, 1 or 2 times).
 
     Readings fall along a source's order, so two places in it, one row for each source, say how often any document is
-    read: texts are neither shuffled nor joined by id. A text without words is not read; equal doc_ids fare alike; all
+    read: texts are neither shuffled nor joined by id. A text without words is not read; equal rows fare alike; all
     columns stay as they are, whatever names they have."""
     mixed = mixed_documents(docs.select("doc_id", "text", "source"), seed=seed, **targets)
     times = F.round(F.try_divide("taken", "size"))

@@ -92,7 +92,7 @@ QUERIES = {
 _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat_ws(':', '7', CAST(doc_id AS VARCHAR))) AS draw
+         md5(concat_ws(':', '7', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS draw
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank FROM s),
