@@ -107,7 +107,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 1024) ->
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``) of every row.
 
     Special strings inside texts count as one token, as the library does by default. A null text is the empty text (0
-    tokens); rows stay as they are; columns besides doc_id and text are left aside.
+    tokens) and texts of any length count whole; a null doc_id stays null; rows stay as they are, repeated ones too; an empty
+    table gives no rows; columns besides doc_id and text are left aside.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 

@@ -58,7 +58,8 @@ def encode_decode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = (
     """doc_id and the named columns of every row: ids with begin and end id (``bounds``), and the text their decoding gives.
 
     ids_sha256 is over ids as little-endian unsigned 32-bit integers, decoded_sha256 over UTF-8. A null text is the
-    empty text; rows stay as they are (no order, no deduplication); columns besides doc_id and text are left aside.
+    empty text and texts of any length are encoded whole; a null doc_id stays null; rows stay as they are (no order, no
+    deduplication); an empty table gives no rows; columns besides doc_id and text are left aside.
     """
     kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
     schema = pa.schema([("doc_id", pa.int64()), *((c, kinds[FIELDS[c]]) for c in columns)])
