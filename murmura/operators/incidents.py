@@ -64,7 +64,7 @@ def story_runs(items: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFram
     of = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("token")))).alias(k)
     sets = tokens.groupBy("item_id").agg(of("title"), of("event"))
     rows = items.select("item_id", "entity_id", F.col("published_at").cast("timestamp").cast("double").alias("at")).join(sets, "item_id")
-    rows = rows.where((F.size("title") >= R.TITLE_SHARED) | (F.size("event") > 0))
+    rows = materialize(rows.where((F.size("title") >= R.TITLE_SHARED) | (F.size("event") > 0)), "story-items")
     key = ["entity_id", "title", "event"]
     # Tasks reduce a story to its distinct times before the shuffle.
     times = rows.groupBy(*key, "at").agg(F.min("item_id").alias("item_id"))
