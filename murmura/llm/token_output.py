@@ -119,8 +119,9 @@ def write_token_blocks(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0,
     """Encode ``text`` of every row of ``docs`` (doc_id, text, ...), append ``end_id``, write packed blocks in ascending
     doc_id order and return the written blocks.
 
-    A null text is the empty text, a null doc_id sorts first, rows of one doc_id go by text, columns besides doc_id
-    and text are left aside, and an empty table gives no blocks. A block closes at 65,536 ids; one text is never split.
+    A null text is the empty text, a null doc_id sorts first, rows of one doc_id go by a hash of the text, so that many of
+    them spread over tasks, columns besides doc_id and text are left aside, and an empty table gives no blocks. A block
+    closes at 65,536 ids; a text of any length is encoded whole and never split between blocks.
     """
     if vocabulary is None:
         from tokenizers import Tokenizer
@@ -158,8 +159,9 @@ def write_token_blocks(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0,
         if parts:
             yield closed()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(encode, BLOCKS), "token-blocks")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    return materialize(ordered.drop("tie").mapInArrow(encode, BLOCKS), "token-blocks")
 
 
 def read_token_digests(blocks: DataFrame) -> DataFrame:
