@@ -14,7 +14,7 @@ BUSINESS_WORDS = ["company", "corp", "inc", "ltd", "stock", "shares", "nasdaq",
 OWN_CONTEXT_RULE = ["tesla", "meta", "tata"]
 SHORT_ALIASES = ["fsd", "tsla"]
 ACCEPT, AMBIGUOUS_GAP, HALF_WINDOW = 0.60, 0.15, 75
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[a-z0-9_]+")
 #: Tracked keywords that travel to the tasks (some 100 bytes each).
 MOST_KEYWORDS = 1_000_000
 
@@ -32,12 +32,14 @@ def keyword_spans(docs: DataFrame, keywords: list[str], key: str = "doc_id", tex
     """key, keyword, start_idx, end_idx, context (lower-case text around the match): leftmost-longest, non-overlapping,
     case-insensitive whole-word matches.
 
-    Words are runs of letters, digits and underscores of any script; offsets count in the text as it is. The roster, at most
-    MOST_KEYWORDS, is broadcast by first word; texts stay where they are."""
+    Words are runs of a-z, digits and underscores; any other character bounds them, and a keyword that begins with one (an
+    accented letter, another script) is sought wherever that character stands. Offsets count in the text as it is. The
+    roster, at most MOST_KEYWORDS, is broadcast by first word or character; texts stay where they are."""
     by_first: dict[str, list[str]] = {}
-    for k in sorted({k.lower() for k in keywords}, key=len, reverse=True):
-        if m := _WORD.match(k):
-            by_first.setdefault(m[0], []).append(k)
+    for k in sorted({k.lower() for k in keywords if k}, key=len, reverse=True):
+        by_first.setdefault(m[0] if (m := _WORD.match(k)) else k[0], []).append(k)
+    others = "".join(re.escape(c) for c in sorted(c for c in by_first if not _WORD.match(c)))
+    starts_at = re.compile(_WORD.pattern + (f"|[{others}]" if others else ""))
     if len(keywords) > MOST_KEYWORDS:
         raise ValueError(f"{len(keywords)} keywords: match them in parts of {MOST_KEYWORDS}")
     roster = docs.sparkSession.sparkContext.broadcast(by_first)
@@ -49,7 +51,7 @@ def keyword_spans(docs: DataFrame, keywords: list[str], key: str = "doc_id", tex
             ids, words, starts, ends, around = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 (low, places), done = lower_with_places(t or ""), 0
-                for m in _WORD.finditer(low):
+                for m in starts_at.finditer(low):
                     at = m.start()
                     if at < done or m[0] not in known:
                         continue
