@@ -3,11 +3,16 @@
 Mergeable quantile sketches of each measure per language and source give fences that replace fixed cutoffs: first the
 body of each group (median and outer deciles), which tells its sound documents, then the tail quantiles of those.
 Documents are joined to the fences of their group and filtered.
+
+A sketch counts values in bins of equal relative width, so sketches of tasks, sources and languages merge by adding
+counts, in any order to the same result, and a quantile is true to one part in a thousand.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.scratch import materialize
@@ -25,6 +30,8 @@ MEASURES = {
     "repeat_ratio": (False, True, False),
     "mean_word_chars": (True, True, True),
 }
+#: Ratio of neighbouring bins, and the bin of zero.
+GROWTH, ZERO = 1.002, -(2**30)
 #: Documents in a group with fences of its own; thinner ones take those of their language, thin languages the corpus's.
 LEAST_GROUP = 100
 
@@ -81,21 +88,43 @@ def _measures() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def _by_group(rows: DataFrame, counted: DataFrame, sketches: dict[str, Column], name: str, least_group: int) -> DataFrame:
-    """f_lang, f_source and the ``sketches`` over ``rows`` for every group of ``counted``: the group's own from
-    ``least_group`` rows on, else its language's, else those of all rows; null without any row.
-
-    Tasks shuffle one sketch for each of their groups, so a hot group costs no more than another."""
-    merged = rows.rollup("lang", "source").agg(F.grouping_id().alias("merged"), F.count("*").alias("n"), *(c.alias(k) for k, c in sketches.items()))
-    found = materialize(merged, name)
-    # One row for each group, each language, and the corpus.
-    groups = counted.select("lang", "source").distinct().withColumn("top", F.lit(3).cast("long")).alias("g")
-    own, lang, top = (found.where(f"merged = {k}").alias(x) for k, x in ((0, "b"), (1, "l"), (3, "t")))
+def sketches(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """lang, source, measure, bin, n: the sketch of each measure and group. Tasks count before the shuffle, and the bins of a
+    hot group are many keys."""
+    bin_of = lambda c: F.when(c <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log(c) / math.log(GROWTH)).cast("int"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), bin_of(c).alias("bin")) for k, c in measures.items()))).alias("m")
+    return rows.select("lang", "source", each).groupBy("lang", "source", "m.measure", "m.bin").agg(F.count("*").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str], ranks: list[float], measures: list[str]) -> DataFrame:
+    """keys, n and an array of the values at ``ranks`` for each measure; the bins of one sketch, some thousand at most, stand
+    in a window."""
+    part = Window.partitionBy(*keys, "measure")
+    rows = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    rows = rows.withColumns({"upto": F.sum("n").over(part.orderBy("bin")), "total": F.sum("n").over(part)})
+    at = lambda r: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(r * F.col("total") - 1e-9), F.lit(1)), F.col("bin")))
+    value = lambda b: F.when(b == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), b) * (2 / (1 + GROWTH)))
+    found = rows.groupBy(*keys, "measure").agg(F.max("total").alias("n"), F.array(*(value(at(r)) for r in ranks)).alias("q"))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == k, F.col("q"))).alias(f"q_{k}") for k in measures))
+
+
+def _by_group(rows: DataFrame, counted: DataFrame, measures: dict[str, Column], ranks: list[float], name: str, least_group: int) -> DataFrame:
+    """f_lang, f_source and q_ (values at ``ranks``) of each measure over ``rows`` for every group of ``counted``: the
+    group's own from ``least_group`` rows on, else its language's, else those of all rows; null without any row."""
+    held = materialize(sketches(rows, measures), name)
+    names = list(measures)
+    own, lang = quantiles(held, ["lang", "source"], ranks, names).alias("b"), quantiles(held, ["lang"], ranks, names).alias("l")
+    top = quantiles(held, [], ranks, names).first()  # one row
+    groups = counted.select("lang", "source").distinct().alias("g")
     same_lang, same_source = F.col("g.lang").eqNullSafe(F.col("b.lang")), F.col("g.source").eqNullSafe(F.col("b.source"))
     up = groups.join(own, same_lang & same_source, "left").join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
-    up = up.join(top, F.col("g.top") == F.col("t.merged"), "left")
-    pick = lambda k: F.when(F.col("b.n") >= least_group, F.col(f"b.{k}")).when(F.col("l.n") >= least_group, F.col(f"l.{k}")).otherwise(F.col(f"t.{k}"))
-    return up.select(F.col("g.lang").alias("f_lang"), F.col("g.source").alias("f_source"), *(pick(k).alias(k) for k in sketches))
+    none = F.lit(None).cast("array<double>")
+
+    def pick(k: str) -> Column:
+        last = F.array(*map(F.lit, top[k])) if top[k] else none
+        return F.when(F.col("b.n") >= least_group, F.col(f"b.{k}")).when(F.col("l.n") >= least_group, F.col(f"l.{k}")).otherwise(last)
+
+    return up.select(F.col("g.lang").alias("f_lang"), F.col("g.source").alias("f_source"), *(pick(f"q_{k}").alias(f"q_{k}") for k in names))
 
 
 def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -103,13 +132,12 @@ def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.join(limits, rows.lang.eqNullSafe(limits.f_lang) & rows.source.eqNullSafe(limits.f_source), "left")
 
 
-def sound(counted: DataFrame, *, reach: float = 3.0, accuracy: int = 1000, least_group: int = LEAST_GROUP) -> DataFrame:
+def sound(counted: DataFrame, *, reach: float = 3.0, least_group: int = LEAST_GROUP) -> DataFrame:
     """The rows of ``counted`` that pass the base rule and stand, but for noise, within ``reach`` times the distance of the
     outer decile from their group's median in symbols and word length. Up to a tenth of bad documents moves neither."""
-    parts = F.array(*map(F.lit, (0.1, 0.5, 0.9)))
     body = {k: (c, noise) for k, (c, noise) in _measures().items() if MEASURES[k][2]}
     passed = counted.where(~base_failed())
-    deciles = _by_group(passed, counted, {f"q_{k}": F.percentile_approx(c, parts, accuracy) for k, (c, _) in body.items()}, "quality-deciles", least_group)
+    deciles = _by_group(passed, counted, {k: c for k, (c, _) in body.items()}, [0.1, 0.5, 0.9], "quality-deciles", least_group)
     inside = F.lit(True)
     for k, (c, noise) in body.items():
         q = F.col(f"q_{k}")
@@ -117,13 +145,12 @@ def sound(counted: DataFrame, *, reach: float = 3.0, accuracy: int = 1000, least
     return _joined(passed, deciles).where(inside).select(*counted.columns)
 
 
-def fences(counted: DataFrame, *, reach: float = 3.0, tail: float = 0.01, accuracy: int = 10000, least_group: int = LEAST_GROUP) -> DataFrame:
+def fences(counted: DataFrame, *, reach: float = 3.0, tail: float = 0.01, least_group: int = LEAST_GROUP) -> DataFrame:
     """f_lang, f_source, and low_ and high_ fences of each measure: the quantiles ``tail`` and 1 - ``tail`` of the group's
     sound documents (see `sound`), from mergeable sketches. Groups of under ``least_group`` sound documents take the
     fences of their language, thin languages those of the corpus; without any sound document there are none."""
-    ends = F.array(F.lit(tail), F.lit(1 - tail))
-    tails = {f"q_{k}": F.percentile_approx(c, ends, accuracy) for k, (c, _) in _measures().items()}
-    found = _by_group(sound(counted, reach=reach, least_group=least_group), counted, tails, "quality-tails", least_group)
+    good = sound(counted, reach=reach, least_group=least_group)
+    found = _by_group(good, counted, {k: c for k, (c, _) in _measures().items()}, [tail, 1 - tail], "quality-tails", least_group)
     none = F.lit(None).cast("double")
     out = [(F.col(f"q_{k}")[i] if wanted else none).alias(f"{side}_{k}") for k, (low, high, _) in MEASURES.items() for i, side, wanted in ((0, "low", low), (1, "high", high))]
     return found.select("f_lang", "f_source", *out)

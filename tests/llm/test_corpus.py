@@ -116,8 +116,9 @@ def test_fences_are_tails_of_sound_documents(spark):
     for (lang, source), _ in frame.groupby(["lang", "source"]):
         for k, (low, high, _) in quality.MEASURES.items():
             x = measure[k][0][standing_for(sound, lang, source)]
-            assert not high or got.loc[lang, source][f"high_{k}"] == exact(x, 0.99), (lang, source, k)
-            assert not low or got.loc[lang, source][f"low_{k}"] == exact(x, 0.01)
+            near = lambda a, b: abs(a - b) <= 0.00101 * b
+            assert not high or near(got.loc[lang, source][f"high_{k}"], exact(x, 0.99)), (lang, source, k)
+            assert not low or near(got.loc[lang, source][f"low_{k}"], exact(x, 0.01))
     for k in ("high_symbol_ratio", "high_dup_line_ratio", "high_repeat_ratio", "high_mean_word_chars", "low_mean_word_chars"):
         assert got.loc["en", "a"][k] != got.loc["en", "b"][k]  # fences differ between groups
     assert (got.high_repeat_ratio < 0.2).all()  # and stand within the base rule
