@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmura.operators.components import components
+from murmura.operators.components import components, heavy_rows, joined_by_key
 from murmura.scratch import materialize
 
 BITS = 64
@@ -296,15 +296,16 @@ def links(nodes: DataFrame, tau: int, *, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, width: int = 3, tau: int = 3) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links of at most ``tau`` bits) of every row.
 
-    Texts without words have fingerprint zero and link like any other; a null text has no words; a row with a null
-    doc_id gets the component of its fingerprint; an empty table gives no rows; other columns are left aside."""
+    Texts without words have fingerprint zero and link like any other; a null text has no words; texts of any length are
+    read whole; equal rows come back as often as they stand; a row with a null doc_id gets the component of its fingerprint;
+    an empty table gives no rows; other columns are left aside."""
     fps = materialize(fingerprints(docs, width=width), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
     roots = components(links(nodes, tau)).withColumnsRenamed({"node": "fp"})
-    classed = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    classed = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
     ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classed.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = classed.select("fp", "root", "n").join(ids, "root").select("fp", "component_id", "n")
+    return joined_by_key(fps, classes, "fp", heavy_rows(fps.count())).select("doc_id", "fp", "component_id")
 
 
 # -- texts of similar shingles --------------------------------------------------------------------------------------------
@@ -394,7 +395,9 @@ def similar_texts(docs: DataFrame, *, width: int = 5, at_least: float = 0.8, tau
     ``text_groups``. Groups that hold one doc_id with different texts can have the same component_id."""
     rows, groups = _hashed(docs), text_groups(docs, width=width, at_least=at_least, tau=tau, block=block)
     first = groups.where("node = root").select("root", F.col("least").alias("component_id"))
-    return rows.select("doc_id", "same").join(groups.join(first, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
+    copies = rows.select("doc_id", "same")
+    table = groups.join(first, "root").select("same", "component_id").join(copies.groupBy("same").agg(F.count("*").alias("n")), "same")
+    return joined_by_key(copies, table, "same", heavy_rows(copies.count())).select("doc_id", "component_id")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -468,7 +471,9 @@ def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, b
     text of the smallest number, which goes to each block: texts like it are one part of the group and need no comparing
     among themselves. What is left meets both that part and itself, block by block, so all links between parts are found."""
     sized = groups.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    held = materialize(_shingle_sets(rows, groups.join(sized, "group"), width), "candidate-sets")
+    heavy = heavy_rows(groups.count())
+    with_size = joined_by_key(groups, sized.withColumn("size", F.col("n")), "group", heavy).withColumnRenamed("size", "n")
+    held = materialize(_shingle_sets(rows, with_size, width), "candidate-sets")
     keys = ["group", "pair", "side", "node", "set"]
     small = held.where(F.col("n") <= block).select("group", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "node", "set")
     large = held.where(F.col("n") > block)
@@ -479,8 +484,8 @@ def _verified(rows: DataFrame, groups: DataFrame, width: int, at_least: float, b
     leaders = large.where("node = leader").select("group", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("pair"), F.lit(0).alias("side"), "node", "set")
     led = materialize(_led(leaders.unionByName(members), at_least), "led-links")
     part = large.join(led.select(F.col("b").alias("node"), F.lit(True).alias("led")), "node", "left").withColumn("led", F.coalesce("led", F.col("node") == F.col("leader")))
-    counts = part.groupBy("group").agg(F.ceil(F.count_if("led") / block).alias("led_blocks"), F.ceil(F.count_if(~F.col("led")) / block).alias("free_blocks"))
-    dealt = part.join(counts.where("free_blocks > 0"), "group").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("led"), F.col("led_blocks")).otherwise(F.col("free_blocks"))))
+    counts = part.groupBy("group").agg(F.ceil(F.count_if("led") / block).alias("led_blocks"), F.ceil(F.count_if(~F.col("led")) / block).alias("free_blocks"), F.count("*").alias("n"))
+    dealt = joined_by_key(part.drop("n"), counts.where("free_blocks > 0"), "group", heavy).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("led"), F.col("led_blocks")).otherwise(F.col("free_blocks"))))
     dealt = materialize(dealt.select("group", "node", "set", "led", "own", "led_blocks", "free_blocks"), "candidate-blocks")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("free_blocks") - 1)).alias("other")
     # Blocks of the rest against one another (pairs from 0 on) and against blocks of the leader's part (below 0).
