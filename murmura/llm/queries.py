@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from murmura.llm import bpe_count, chat, html_main, imatch, kd_sharding, mixing, pieces, quality, simhash, token_output
+from murmura.llm import bpe_count, chat, hard_negatives, html_main, imatch, kd_sharding, license_scan, mixing, pieces, quality, repair, simhash, token_output
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -80,11 +80,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", label.cast("int").alias("label"), hard_negatives.floored("embedding").alias("q"))
+    return hard_negatives.mined_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.repaired_conversations(repair.damaged(turns), turns)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licence_scans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_output, op2_curriculum_mix, op3_imatch, op4_adaptive_quality, op5_kd_shards, op6_token_counts, op7_chat_format,
-        op8_sentencepiece, op9_html_main, op10_simhash,
+        op8_sentencepiece, op9_html_main, op10_simhash, op11_hard_negatives, op12_repair,
+        op13_license_scan,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -136,6 +154,90 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-SQL = {"op2_curriculum_mix": _MIX_SQL, "op7_chat_format": _CHAT_SQL}
+#: Scores of every anchor against all rows.
+_NEGATIVES_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+#: Ways through the turns so far: five digits of cost, edits, chr(1), repaired text; the least such string is the best way.
+_ADDED = "lpad(CAST(CAST(left({way}, 5) AS INTEGER) + {cost} AS VARCHAR), 5, '0') || replace(substr({way}, 6), chr(1), '{edit}' || chr(1)) || {said}"
+
+
+def _added(way: str, cost: str, edit: str, said: str = "") -> str:
+    """SQL: ``way`` and one more edit; ``said``: the repaired turn."""
+    line = f"CASE WHEN {way} LIKE '%' || chr(1) THEN '' ELSE chr(10) END || {said}" if said else "''"
+    return _ADDED.format(way=way, cost=cost, edit=edit, said=line)
+
+
+def _moves(state: int, initial: str, sources: tuple[int, ...], role: str) -> str:
+    """SQL: the best way to ``state`` over one turn, kept or reroled from ``sources``, or deleted."""
+    kept = [f"CASE WHEN i = '{initial}' THEN {_added(f'w.q{q}', 't', 'K', chr(34) + 'role' + chr(34) + " || ':' || text")} END" for q in sources]
+    reroled = [_added(f"w.q{q}", "2 + t", "R", f"'{role}:' || text") for q in sources if role]
+    return f"least({_added(f'w.q{state}', '3', 'D')}, CASE WHEN fault NOT IN (1, 2) THEN least({', '.join(kept + reroled)}) END) AS q{state}"
+
+
+_BYTE = "CASE WHEN i % 8 = 0 THEN CAST(ascii(substr(k, CAST(i // 8 + 1 AS INTEGER), 1)) AS BIGINT) ELSE 0 END"
+_REPAIR_SQL = rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (
+  SELECT k, 4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen(k)), lambda i: CAST(i AS BIGINT))),
+    lambda r, i: CASE WHEN xor(r, {_BYTE}) & 1 = 1 THEN xor(xor(r, {_BYTE}) >> 1, 3988292384) ELSE xor(r, {_BYTE}) >> 1 END) AS crc
+  FROM (SELECT DISTINCT k FROM o)),
+d AS (
+  SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role,
+         CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM o JOIN crc USING (k), range(CASE WHEN crc % 20 = 3 THEN 2 ELSE 1 END) WHERE crc % 20 <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+f AS (
+  SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^ 	
+
+]') THEN 1
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][ 	
+
+]*\z') THEN 3 ELSE 0 END AS fault FROM p),
+s AS (SELECT *, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS t FROM f),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM f GROUP BY conv_id),
+-- q0 to q3: the best way to each state.
+w AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '00000' || chr(1) AS q0, NULL::VARCHAR AS q1, '00002I' || chr(1) || 'user:' AS q2,
+         '00004II' || chr(1) || 'user:' || chr(10) || 'assistant:' AS q3
+  FROM g
+  UNION ALL
+  SELECT conv_id, pos, q0, q1, q2, least(q3, {_added('q2', '2', 'I', "'assistant:'")}) AS q3
+  FROM (
+    SELECT conv_id, pos, q0, q1, q3, least(q2, {', '.join(_added(f'q{q}', '2', 'I', "'user:'") for q in (0, 1, 3))}) AS q2
+    FROM (
+      SELECT w.conv_id, s.pos, {_added('w.q0', '3', 'D')} AS q0, {_moves(1, 's', (0,), '')}, {_moves(2, 'u', (0, 1, 3), 'user')}, {_moves(3, 'a', (2,), 'assistant')}
+      FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.pos = w.pos + 1))),
+b AS (SELECT g.*, least(q0, q3) AS best FROM g JOIN w ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos = g.n)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(CAST(left(best, 5) AS INTEGER), 0) AS BIGINT) AS cost,
+       coalesce(substr(best, 6, strpos(best, chr(1)) - 6), '') AS audit, sha256(coalesce(substr(best, strpos(best, chr(1)) + 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+SQL = {"op12_repair": _REPAIR_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op2_curriculum_mix": _MIX_SQL, "op7_chat_format": _CHAT_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
