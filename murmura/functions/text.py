@@ -32,6 +32,8 @@ TITLE_FORMS = [
     (r"\bvice\s+president\b", "VP"),
 ]
 LEGAL_SUFFIX = r"(?i)(?:[\s,]+(?:inc|incorporated|corp|corporation|co|company|ltd|limited|llc|plc|pvt|private|group|holdings|ag|sa|gmbh)\.?)+$"
+# Pure legal forms, dropped from the end of a name where press copy leaves them out.
+LEGAL_WORDS = "limited ltd pvt private inc incorporated llc llp corporation corp co plc enterprises company".split()
 PLACEHOLDERS = re.compile(r"content content content|bench content text|\s*$|\s*<a href", re.IGNORECASE)
 LEAST_CHARS = 20
 
@@ -106,6 +108,14 @@ def strip_legal_suffix(name: Column) -> Column:
     return F.when((short != name) & (F.length(short) >= 4), short)
 
 
+def without_legal_words(name: Column) -> Column:
+    """Name without its trailing LEGAL_WORDS, whatever punctuation they carry; null if unchanged or under four characters."""
+    word = r"\W*(?:" + "|".join(r"\W*".join(w) for w in LEGAL_WORDS) + r")\W*"
+    kept = F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), rf"(?iU)(?:(?:^|(?<=\s)){word}(?:\s|$))+$", "")
+    short = F.regexp_replace(kept, r"^[ ,.&-]+|[ ,.&-]+$", "")
+    return F.when((short != F.trim(name)) & (F.length(short) >= 4), short)
+
+
 def entity_key(name: Column) -> Column:
     """Comparison key of a name: lower case, no possessive, no trailing punctuation or legal words."""
     n = F.regexp_replace(F.lower(F.trim(name)), r"['’]s\b", "")

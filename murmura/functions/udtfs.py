@@ -11,12 +11,12 @@ from pyspark.sql.functions import udtf
 
 
 class CalendarSlices:
-    """Half-open slices of ``months`` calendar months that tile [start, end)."""
+    """Half-open slices of ``months`` calendar months (a divisor of 12, counted from each year's start) that tile [start, end)."""
 
     def eval(self, start: date, end: date, months: int) -> Iterator[tuple[date, date]]:
         if start is None or end is None:
             return
-        at, month = start, start.year * 12 + start.month - 1
+        at, month = start, start.year * 12 + (start.month - 1) // months * months
         while at < end:
             month += months
             after = min(date(month // 12, month % 12 + 1, 1), end)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura import rules as R
+from murmura.functions.jsons import merged_json
 from murmura.operators.ranks import top_per_key
 
 RESCALE = 1.25
@@ -44,7 +45,8 @@ def alert_evidence(candidates: DataFrame, executive_events: DataFrame, threshold
 
 def merge_alerts(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Living alerts after new ones: a first one is NEW, severity only rises, documents unite, scores keep their maximum,
-    resolved and closed alerts reopen, histories grow by each change of status."""
+    resolved and closed alerts reopen, histories grow by each change of status. Where both tables have a column explainability
+    (JSON objects), it is merged key by key: entries of the new alert win, those it lacks stay."""
     key = ["client_id", "alert_type", "entity_id"]
     s, n = stored.alias("s"), new.alias("n")
     both = s.join(n, [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key], "full")
@@ -58,6 +60,7 @@ def merge_alerts(stored: DataFrame, new: DataFrame) -> DataFrame:
         F.sort_array(F.array_union(F.coalesce("s.documents", nothing), F.coalesce("n.documents", nothing))).alias("documents"),
         F.greatest("s.evidence_score", "n.evidence_score").alias("evidence_score"), F.greatest("s.confidence_score", "n.confidence_score").alias("confidence_score"),
         F.col("s.lifecycle_status").alias("was"), status.alias("lifecycle_status"), F.coalesce("s.history", F.array().cast("array<string>")).alias("history"),
+        *([merged_json(F.col("s.explainability"), F.col("n.explainability")).alias("explainability")] if "explainability" in stored.columns and "explainability" in new.columns else []),
     )
     moved = ~F.col("was").eqNullSafe(F.col("lifecycle_status"))
     step = F.array(F.concat_ws(">", "was", "lifecycle_status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.functions.jsons import folded_json
 from murmura.operators.components import heavy_rows, joined_by_key
 from murmura.scratch import materialize
 
@@ -45,11 +46,17 @@ def reject_reason(published: Column, url: Column, relevant: Column, as_of: str)
     return F.when(published.isNull(), "undated").when(late, "future").when(F.coalesce(url, F.lit("")) == "", "no_url").when(~relevant, "irrelevant")
 
 
-def merge_upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key (null keys match): the best by ``order``, new rows before stored ones on ties."""
+def merge_upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: list[Column], json: str | None = None) -> DataFrame:
+    """One row for each key (null keys match): the best by ``order``, new rows before stored ones on ties.
+
+    The JSON objects in the column ``json`` are merged key by key over all rows of a key, in the same order."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(*order, F.desc("_new"))
-    return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_new")
+    order = [*order, F.desc("_new")]
+    best = both.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k", "_new")
+    if json is None:
+        return best
+    merged = folded_json(both, keys, json, order).withColumnsRenamed({k: f"_{k}" for k in keys})
+    return best.withColumnRenamed(json, "_old").join(merged, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*best.columns)
 
 
 def archive_once(rows: DataFrame, path: str) -> None:

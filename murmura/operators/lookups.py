@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from murmura.operators.terms import self_reference_terms
+
 
 def hit_lookup(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Each hit (hit_id, url_key, hash_key) with the held document of its url, else of its content hash; smallest id on ties."""
@@ -73,12 +75,25 @@ def match_gap(documents: DataFrame, mentions: DataFrame, entities: DataFrame, ma
     return own.select("client_id", "document_id").distinct().join(matches.select("client_id", "document_id"), ["client_id", "document_id"], "left_anti").join(documents.select("document_id"), "document_id", "left_semi")
 
 
-def surname_attach(single: DataFrame, people: DataFrame) -> DataFrame:
-    """One-word names (client_id, word) with the only tracked person of that surname."""
-    surnames = people.select("client_id", "entity_id", F.lower(F.element_at(F.split("entity_name", " "), -1)).alias("surname"))
-    lone = surnames.groupBy("client_id", "surname").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id")).where("n = 1")
-    rows = single.withColumn("surname", F.lower("word"))
-    return rows.join(lone.drop("n"), ["client_id", "surname"]).select("client_id", "word", "entity_id")
+def own_words(entities: DataFrame) -> DataFrame:
+    """(client_id, word): the words of a client's brand and product names, and its self-reference terms, lower case."""
+    own = entities.where(F.lower("entity_type").isin("brand", "product"))
+    words = own.select("client_id", F.explode(F.split(F.lower("entity_name"), r"(?U)\W+")).alias("word"))
+    return words.unionByName(self_reference_terms(own).withColumnRenamed("key", "word")).where("word <> ''").distinct()
+
+
+def surname_attach(single: DataFrame, people: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """One-word names (client_id, word) with the only tracked person of that surname; people of one word have none.
+
+    ``refused`` (client_id, word) are words of the client's own names (see `own_words`): coverage of the firm would land on
+    a person who bears its name."""
+    parts = F.filter(F.split(F.trim("entity_name"), r"\s+"), lambda w: w != "")
+    surnames = people.where(F.size(parts) > 0).select("client_id", "entity_id", F.lower(F.element_at(parts, -1)).alias("surname"), (F.size(parts) > 1).alias("whole"))
+    lone = surnames.groupBy("client_id", "surname").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id"), F.max("whole").alias("whole")).where("n = 1 AND whole")
+    rows = single.withColumn("surname", F.lower(F.trim("word")))
+    if refused is not None:
+        rows = rows.join(refused.withColumnRenamed("word", "surname"), ["client_id", "surname"], "left_anti")
+    return rows.join(lone.drop("n", "whole"), ["client_id", "surname"]).select("client_id", "word", "entity_id")
 
 
 def discovered(names: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -185,3 +200,30 @@ def advised(clients: DataFrame, events: DataFrame) -> DataFrame:
     worst = F.struct(-F.col("risk_score"), "document_id")
     of = events.groupBy("client_id").agg(F.min_by("document_id", F.when(F.col("entity_type") == "person", worst)).alias("executive"), F.min_by("document_id", worst).alias("any"))
     return clients.select("client_id").join(of, "client_id", "left").select("client_id", F.coalesce("executive", "any").alias("document_id"))
+
+
+def ranked_peers(peers: DataFrame, key: str = "client_id") -> DataFrame:
+    """Proposed peers (key, name, tracked, seen_in, positions, news_count) with place: tracked ones first, then by the answers that
+    name them, the mean of the positions they gave it (99 if none), the news count, and the name."""
+    mean = F.when(F.size("positions") > 0, F.aggregate("positions", F.lit(0.0), lambda s, x: s + x) / F.size("positions")).otherwise(99.0)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    order = [F.desc(F.coalesce("tracked", F.lit(False))), F.desc(zero("seen_in")), mean, F.desc(zero("news_count")), F.lower("name"), "name"]
+    return peers.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+# Reliability of sources of unknown kind, of social ones at most, of feeds at most, and news hosts that are sure.
+UNKNOWN_SOURCE, SOCIAL_MOST, FEED_MOST = 0.65, 0.60, 0.80
+SOCIAL_TYPES = ["reddit", "forum", "social"]
+SURE_NEWS = ["reuters.com", "bloomberg.com", "wsj.com", "nytimes.com", "ft.com"]
+
+
+def source_reliability(known: Column, base: Column, source_type: Column, url: Column) -> Column:
+    """Reliability of a source: its category's ``base`` (1.0 if that is null or 0; UNKNOWN_SOURCE without a category), capped for social
+    sources and feeds; a feed of a sure news host is 1.0. ``known``: whether the source exists; ``base``: a struct with score, null
+    without a category."""
+    kind, where = F.lower(F.coalesce(source_type, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    holds = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    score = base["score"].cast("double")
+    start = F.when(base.isNull(), UNKNOWN_SOURCE).otherwise(F.when(F.coalesce(score, F.lit(0.0)) == 0, 1.0).otherwise(score))
+    feed = F.when(holds(where, SURE_NEWS), 1.0).otherwise(F.least(start, F.lit(FEED_MOST)))
+    return F.when(~known, UNKNOWN_SOURCE).when(holds(kind, SOCIAL_TYPES), F.least(start, F.lit(SOCIAL_MOST))).when(kind.contains("rss"), feed).otherwise(start)

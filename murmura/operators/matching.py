@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.functions.text import without_legal_words
+from murmura.operators.automaton import Keywords, of_worker
+
 # Match confidence.
 BUSINESS_WORDS = ["company", "corp", "inc", "ltd", "stock", "shares", "nasdaq", "nyse", "quarter", "revenue", "earnings"]
 OWN_CONTEXT_RULE = ["tesla", "meta", "tata"]
 SHORT_ALIASES = ["fsd", "tsla"]
 ACCEPT, AMBIGUOUS_GAP, HALF_WINDOW = 0.60, 0.15, 75
-_WORD = re.compile(r"[a-z0-9_]+")
 #: Tracked keywords that travel to the tasks (some 100 bytes each).
 MOST_KEYWORDS = 1_000_000
 
@@ -34,35 +36,23 @@ def keyword_spans(docs: DataFrame, keywords: list[str], key: str = "doc_id", tex
 
     Words are runs of a-z, digits and underscores; any other character bounds them, and a keyword that begins with one (an
     accented letter, another script) is sought wherever that character stands. Offsets count in the text as it is. The
-    roster, at most MOST_KEYWORDS, is broadcast by first word or character; texts stay where they are."""
-    by_first: dict[str, list[str]] = {}
-    for k in sorted({k.lower() for k in keywords if k}, key=len, reverse=True):
-        by_first.setdefault(m[0] if (m := _WORD.match(k)) else k[0], []).append(k)
-    others = "".join(re.escape(c) for c in sorted(c for c in by_first if not _WORD.match(c)))
-    starts_at = re.compile(_WORD.pattern + (f"|[{others}]" if others else ""))
+    roster, at most MOST_KEYWORDS, is broadcast once and compiled once a worker; a text is read once whatever the roster's
+    size, and stays where it is."""
     if len(keywords) > MOST_KEYWORDS:
         raise ValueError(f"{len(keywords)} keywords: match them in parts of {MOST_KEYWORDS}")
-    roster = docs.sparkSession.sparkContext.broadcast(by_first)
-    kind = docs.schema[key].dataType.simpleString()
+    roster = docs.sparkSession.sparkContext.broadcast(sorted({k.lower() for k in keywords if k}))
+    kind, name = docs.schema[key].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = roster.value
+        known = of_worker(Keywords, name, roster.value)
         for b in batches:
             ids, words, starts, ends, around = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                (low, places), done = lower_with_places(t or ""), 0
-                for m in starts_at.finditer(low):
-                    at = m.start()
-                    if at < done or m[0] not in known:
-                        continue
-                    for k in known[m[0]]:
-                        end = at + len(k)
-                        if low.startswith(k, at) and (end == len(low) or not _WORD.match(low[end - 1 : end]) or not _WORD.match(low[end : end + 1])):
-                            ids.append(i), words.append(k)
-                            starts.append(places[at] if places else at), ends.append(places[end] if places else end)
-                            around.append(low[max(0, at - HALF_WINDOW) : end + HALF_WINDOW])
-                            done = end
-                            break
+                low, places = lower_with_places(t or "")
+                for at, end, k in known.spans(low):
+                    ids.append(i), words.append(k)
+                    starts.append(places[at] if places else at), ends.append(places[end] if places else end)
+                    around.append(low[max(0, at - HALF_WINDOW) : end + HALF_WINDOW])
             cols = [pa.array(ids, b.column(0).type), pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(around, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[key, "keyword", "start_idx", "end_idx", "context"])
 
@@ -132,15 +122,29 @@ def accepted_mentions(matches: DataFrame, doc: str = "doc_id") -> DataFrame:
     return ok.groupBy(doc, "entity_id").agg(F.min("start_idx").alias("first_at"), F.count("*").alias("mention_count"))
 
 
+# Priorities and risk words of generated keywords, trailing legal words.
+KEYWORD_PRIORITY = {"PRIMARY": 10, "LOWER": 5, "JOINED": 5, "STRIPPED": 8, "EXECUTIVE": 7, "RISK": 9}
+KEYWORD_RISKS = ["lawsuit", "scandal", "fraud", "bankruptcy"]
+
+
 def generated_keywords(entities: DataFrame) -> DataFrame:
-    """Keyword rows of each entity: the name, its form without spaces and without legal suffix, risk phrases for brands."""
-    from murmura.functions.text import strip_legal_suffix
-
-    name = F.col("entity_name")
-    row = lambda text, kind, priority, ok=F.lit(True): F.when(ok & text.isNotNull(), F.struct(text.alias("keyword"), F.lit(kind).alias("category"), F.lit(priority).alias("priority")))
-    risky = [row(F.concat(name, F.lit(f" {w}")), "RISK", 4, F.coalesce(F.col("entity_type") == "brand", F.lit(False))) for w in ("fraud", "lawsuit", "scam")]
-    rows = F.array_compact(F.array(row(name, "PRIMARY", 1), row(F.replace(name, F.lit(" "), F.lit("")), "ALIAS", 2, name.contains(" ")), row(strip_legal_suffix(name), "ALIAS", 2), *risky))
-    return entities.select("entity_id", F.explode(rows).alias("k")).select("entity_id", "k.*").dropDuplicates(["entity_id", "keyword"])
+    """entity_id, keyword, category, priority of the keywords that each entity's name makes.
+
+    The name; as aliases its lower-case form, its form without spaces, and without trailing legal words (that one also without
+    spaces), each where no earlier form equals it; the head of the firm; the name with each risk word."""
+    name, none = F.col("entity_name"), F.lit(None).cast("string")
+    low, joined, bare = F.lower(name), F.replace(name, F.lit(" "), F.lit("")), without_legal_words(name)
+    aliases = [
+        ("LOWER", F.when(low != name, low)), ("JOINED", F.when(name.contains(" ") & (joined != low), joined)), ("STRIPPED", bare),
+        ("STRIPPED", F.when(bare.contains(" "), F.replace(bare, F.lit(" "), F.lit("")))),
+    ]
+    row = lambda text, kind, step: F.struct(text.alias("keyword"), F.lit(kind).alias("category"), F.lit(KEYWORD_PRIORITY[step]).alias("priority"))
+    own = F.array(row(name, "PRIMARY", "PRIMARY"), *(row(F.coalesce(c, none), "ALIAS", step) for step, c in aliases))
+    own = F.filter(own, lambda k: k["keyword"].isNotNull())
+    first = F.filter(own, lambda k, i: ~F.exists(F.slice(own, F.lit(1), i), lambda e: e["keyword"] == k["keyword"]))
+    more = F.array(row(F.concat(F.lit("CEO of "), name), "EXECUTIVE", "EXECUTIVE"), *(row(F.concat(name, F.lit(f" {w}")), "RISK", "RISK") for w in KEYWORD_RISKS))
+    named = entities.where(name.isNotNull())
+    return named.select("entity_id", F.explode(F.concat(first, more)).alias("k")).select("entity_id", "k.*")
 
 
 def phrase_hits(text_form: Column, terms: Column) -> Column:

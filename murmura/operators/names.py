@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.functions.jsons import stripped_json
 from murmura.functions.text import entity_key
 
 # Words of the name rules.
@@ -201,5 +202,5 @@ def grounded(answers: DataFrame, cited: DataFrame, least: int = 4) -> DataFrame:
 
 
 def without_trend_keys(payload: Column) -> Column:
-    """A JSON object's entries (as map) without keys that contain "trend"."""
-    return F.map_filter(F.from_json(payload, "map<string,string>"), lambda k, v: ~F.contains(F.lower(k), F.lit("trend")))
+    """A JSON text without the entries whose key contains "trend", at any depth."""
+    return stripped_json(payload, "trend")

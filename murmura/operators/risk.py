@@ -15,6 +15,8 @@ from murmura.functions.common import (
     risk_level,
     trust_modifier,
 )
+from murmura.functions.jsons import folded_json
+from murmura.operators.components import heavy_rows, joined_by_key
 
 
 def top_risk_topic(topics: DataFrame) -> DataFrame:
@@ -158,13 +160,28 @@ def collapse_events(events: DataFrame) -> DataFrame:
     return events.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def upsert_events(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows win over stored ones of their key unless the stored one's label is of a better tier or it is newer."""
+def upsert_events(stored: DataFrame, new: DataFrame, json: str | None = None) -> DataFrame:
+    """New rows win over stored ones of their key unless the stored one's label is of a better tier or it is newer.
+
+    ``json`` names a column of JSON objects that is merged key by key: every row that stood when it came (in order of
+    computed_at, on a tie the lesser tier first) leaves its entries, later ones win, entries that only earlier rows have stay."""
     tier = F.when(F.col("role_source") == "llm", 1).otherwise(0)
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy("client_id", F.coalesce(F.col("document_id").cast("string"), F.lit("")), F.coalesce(F.col("entity_id").cast("string"), F.lit("")))
-    w = w.orderBy(tier.desc(), F.desc("computed_at"), F.desc("_new"))
-    return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_new")
+    key = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("client_id", "document_id", "entity_id")))
+    both = both.withColumns({"_key": key, "_tier": tier})
+    order = [F.desc("_tier"), F.desc("computed_at"), F.desc("_new")]
+    best = both.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_k = 1")
+    if json is None:
+        return best.select(*stored.columns)
+    # With the stored row given, a row stood unless that one, or a better new one before it, ranks above it.
+    rank = F.struct("_tier", "computed_at")
+    marks = both.groupBy("_key").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("_new") == 0, rank)).alias("_held"), F.min(F.when((F.col("_new") == 1) & (F.col("_tier") == 1), F.col("computed_at"))).alias("_first")
+    )
+    rows = joined_by_key(both, marks, "_key", heavy_rows(both.count()))
+    stood = (F.col("_held").isNull() | (rank >= F.col("_held"))) & ((F.col("_tier") == 1) | F.coalesce(F.col("computed_at") <= F.col("_first"), F.lit(True)))
+    merged = folded_json(rows.where((F.col("_new") == 0) | stood), ["_key"], json, order)
+    return best.drop(json).join(merged, "_key", "left").select(*stored.columns)
 
 
 def parse_status(text: Column) -> tuple[Column, Column]:

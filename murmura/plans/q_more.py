@@ -133,9 +133,6 @@ SELECT source_id, client_id, CAST(floor((row_number() OVER (PARTITION BY client_
         star_sql("i AS (SELECT DISTINCT document_id, entity_id FROM events WHERE risk_score > 50) SELECT d.document_id, CASE WHEN count(i.entity_id) > 0 THEN 'matched' ELSE 'open' END AS status, count(i.entity_id) AS incidents FROM docs d LEFT JOIN i USING (document_id) GROUP BY 1")),
     "m6_best_match_per_entity": (lambda s: best_match_per_entity(match_confidence(matches(s))).select("doc_id", "entity_id", "start_idx", "keyword", "confidence"),
         None),
-    "m10_surname_attach": (lambda s: lookups.surname_attach(s.entities.select("client_id", F.concat(F.lit("p"), (F.col("entity_id") % 9).cast("string")).alias("word")).distinct(), s.entities.where("entity_type = 'person'").select("client_id", "entity_id", F.concat(F.lit("Ann P"), (F.col("entity_id") % 9).cast("string")).alias("entity_name"))),
-        with_star("""p AS (SELECT client_id, 'p' || (entity_id % 9) AS w, count(*) AS n, min(entity_id) AS entity_id FROM entities WHERE entity_type = 'person' GROUP BY 1, 2), s AS (SELECT DISTINCT client_id, 'p' || (entity_id % 9) AS word FROM entities)
-SELECT s.client_id, word, p.entity_id FROM s JOIN p ON p.client_id = s.client_id AND p.w = s.word AND n = 1""")),
     "m11_discover_candidates": (lambda s: lookups.discovered(name_facts(s), s.spark.createDataFrame([("en", "the"), ("de", "die"), ("fr", "de")], "client_id string, name_key string")),
         f"WITH {NAMES_SQL} SELECT client_id, name_key, count(DISTINCT document_id) AS documents, count(*) AS mentions, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM nf WHERE (client_id, name_key) NOT IN (('en', 'the'), ('de', 'die'), ('fr', 'de')) GROUP BY 1, 2"),
     "m12_person_confidence": (lambda s: rounded(lookups.person_confidence(s.mentions.groupBy("entity_id").agg(F.count("*").alias("mentions"), F.countDistinct("document_id").alias("documents")).withColumns({"parts": F.lit(2), "title_nearby": F.col("entity_id") % 2 == 0, "tracked_surname": F.col("entity_id") % 3 == 0})).select("entity_id", "confidence")),
@@ -145,9 +142,6 @@ SELECT s.client_id, word, p.entity_id FROM s JOIN p ON p.client_id = s.client_id
 g AS (SELECT CASE WHEN n < 2 THEN 'mentions' WHEN d < 2 THEN 'documents' WHEN c < 0.65 THEN 'confidence' WHEN r < 2 THEN 'related documents' WHEN part_id % 4 = 0 THEN 'title evidence' END AS held_reason FROM m) SELECT held_reason, count(*) AS candidates FROM g GROUP BY 1""")),
     "m17_bare_alias_measure": (lambda s: rounded(lookups.alias_measure(docs(s).select(F.col("source").alias("alias"), (F.col("doc_id") % 11 == 0).alias("false_match")))),
         "WITH a AS (SELECT source AS alias, count(*) AS documents, count(*) FILTER (doc_id % 11 = 0) AS false_matches FROM documents GROUP BY 1) SELECT *, round(false_matches / documents::DOUBLE, 6) AS rate, documents >= 20 AND false_matches / documents::DOUBLE <= 0.10 AS enabled FROM a"),
-    "x11_keyword_mention_filter": (lambda s: docs(s).where(F.contains(F.lower(F.concat_ws(" ", "title", "text", "source")), F.lit("src7"))).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, source)), 'src7')"),
-    "x12_explainability_strip": (lambda s: s.documents.select("document_id", F.array_join(F.array_sort(F.map_keys(names.without_trend_keys(F.to_json(F.struct("title", F.col("view_count").alias("trend_views"), F.col("comment_count").alias("myTrend"), F.col("source_id")))))), ",").alias("keys")),
-        with_star("x AS (SELECT 1) SELECT document_id, 'source_id,title' AS keys FROM docs")),
     "x14_person_name_validity": (
         lambda s: s.mentions.groupBy("label", "line").agg(F.count("*").alias("rows")).withColumn("tail", F.element_at(F.array(*map(F.lit, NAME_TAILS)), F.col("line"))).select(F.concat("label", "tail").alias("name"), "rows").select("name", "rows", names.person_name(F.col("name"), F.array(F.lit("neutral")))[1].alias("layer")),
         with_star(f"""n AS (SELECT label, line, count(*) AS rows FROM mentions GROUP BY 1, 2) SELECT label || {_case("line - 1", NAME_TAILS)} AS name, rows,
@@ -162,13 +156,8 @@ CASE line WHEN 1 THEN CASE WHEN label = 'Neutral' THEN 'self reference' END WHEN
         lambda s: owner_pages(s).select("document_id", names.ownership(F.col("text"), F.lit("Orris Homes"), F.lit("Acme Group")).alias("owned")),
         with_star("x AS (SELECT 1) SELECT document_id, document_id % 200 <= 144 AND document_id % 7 <> 0 AS owned FROM docs")),
     "x21_text_grounding": (lambda s: names.grounded(answers(s).select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), "text"), s.table("conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("answer_id"), F.col("text").alias("record"))), None),
-    "l3_dynamic_source_reliability": (lambda s: rounded(s.sources.select("source_id", F.least(F.coalesce(F.col("base_reliability").cast("double"), F.lit(0.65)), F.when(F.col("category") == "furniture", 0.60).otherwise(1.0)).alias("reliability"), reliability_modifier(F.col("category")).alias("modifier"))),
-        with_star("x AS (SELECT 1) SELECT source_id, round(least(coalesce(base_reliability::DOUBLE, 0.65), CASE WHEN category = 'furniture' THEN 0.60 ELSE 1.0 END), 6) AS reliability, 1.0::DOUBLE AS modifier FROM sources")),
     "l10_topic_explain": (lambda s: s.topics.groupBy("document_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set(F.when((F.col("topic_confidence") < 0.5) & (F.col("topic_confidence") >= 0.15), F.col("topic")))), 1, 3), ",").alias("competing")),
         with_star("t AS (SELECT document_id, list_sort(list(DISTINCT CASE WHEN topic_confidence < 0.5 AND topic_confidence >= 0.15 THEN topic END) FILTER (topic_confidence < 0.5 AND topic_confidence >= 0.15))[1:3] AS l FROM topics GROUP BY 1) SELECT document_id, coalesce(array_to_string(l, ','), '') AS competing FROM t")),
-    "r17_risk_upsert": (lambda s: risk.upsert_events(*(s.documents.where(f"document_id % 3 {op} 0").select((F.col("document_id") % 25).alias("client_id"), (F.col("source_id") % 400).alias("document_id"), F.lit(None).cast("long").alias("entity_id"), F.when(F.col("document_id") % 7 == 0, "llm").otherwise("rule").alias("role_source"), F.struct("collected_at", "document_id").alias("computed_at")) for op in ("<>", "="))).select("client_id", "document_id", "role_source", F.col("computed_at.document_id").alias("winner")),
-        with_star("""r AS (SELECT document_id % 25 AS client_id, source_id % 400 AS k, CASE WHEN document_id % 7 = 0 THEN 'llm' ELSE 'rule' END AS role_source, collected_at, document_id AS winner FROM docs),
-n AS (SELECT *, row_number() OVER (PARTITION BY client_id, k ORDER BY role_source = 'llm' DESC, collected_at DESC, winner DESC) AS x FROM r) SELECT client_id, k AS document_id, role_source, winner FROM n WHERE x = 1""")),
     "g14_telemetry": (telemetry, star_sql(f"""{VISIBLE_SQL}, p AS (SELECT client_id, document_id, max(risk_score) AS score FROM events GROUP BY ALL)
 SELECT v.client_id, count(*) AS documents, count(sentiment_score) AS with_sentiment, count(score) AS with_risk, round(count(*) FILTER (score > 0) / count(*)::DOUBLE * 100, 6) AS scored_rate, max(collected_at) AS last_seen
 FROM visible v LEFT JOIN docs d ON d.document_id = v.document_id LEFT JOIN p ON p.client_id = v.client_id AND p.document_id = v.document_id GROUP BY 1""")),
@@ -178,8 +167,6 @@ FROM visible v LEFT JOIN docs d ON d.document_id = v.document_id LEFT JOIN p ON
         with_star("x AS (SELECT 1) SELECT round(avg(confidence), 6) AS mean FROM mentions WHERE line IN (1, 2)")),
     "g24_exec_stats": (lambda s: (e := scores.executive_score(s.entities, s.documents, s.mentions, _events(s), as_of=AS_OF).withColumn("score", F.round("score", 6))).agg(F.min_by("entity_id", F.struct(-F.col("documents"), F.col("entity_id"))).alias("most_mentioned"), F.min_by("entity_id", F.struct(-F.col("score"), F.col("entity_id"))).alias("highest"), F.min_by("entity_id", F.struct("score", "entity_id")).alias("lowest")),
         _EXECUTIVE_SQL.rpartition("SELECT client_id, entity_id, documents")[0] + "SELECT arg_min(entity_id, (-documents, entity_id)) AS most_mentioned, arg_min(entity_id, (-round(score, 6), entity_id)) AS highest, arg_min(entity_id, (round(score, 6), entity_id)) AS lowest FROM z"),
-    "g29_domain_tier": (lambda s: s.table("pages").select("page_id", F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "").alias("host")).groupBy(F.when(F.col("host").endswith(".org"), "official").when(F.col("host").startswith("m."), "user_generated").when(F.col("host").endswith(".com"), "medium").otherwise("unrated").alias("tier")).agg(F.count("*").alias("pages")),
-        r"WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages) SELECT CASE WHEN host LIKE '%.org' THEN 'official' WHEN host LIKE 'm.%' THEN 'user_generated' WHEN host LIKE '%.com' THEN 'medium' ELSE 'unrated' END AS tier, count(*) AS pages FROM h GROUP BY 1"),
     "g30_baseline_snapshot": (snapshot, with_star("x AS (SELECT 1) SELECT 'entity type' AS kind, coalesce(entity_type, 'none') AS name, count(*) AS rows FROM entities GROUP BY 2 UNION ALL SELECT 'document type', document_type, count(*) FROM docs GROUP BY 2 UNION ALL SELECT 'source category', category, count(*) FROM docs JOIN sources USING (source_id) GROUP BY 2")),
     "g37_gn_count": (lambda s: s.documents.groupBy("source_id", F.expr("make_date(year(collected_at), CASE WHEN month(collected_at) <= 6 THEN 1 ELSE 7 END, 1)").alias("slice")).agg(F.count("*").alias("n")).groupBy("source_id").agg(F.sum("n").alias("items"), F.bool_or(F.col("n") >= 4).alias("capped")),
         with_star("h AS (SELECT source_id, make_date(CAST(year(collected_at) AS INT), CASE WHEN month(collected_at) <= 6 THEN 1 ELSE 7 END, 1) AS slice, count(*) AS n FROM docs GROUP BY ALL) SELECT source_id, sum(n)::BIGINT AS items, bool_or(n >= 4) AS capped FROM h GROUP BY 1")),
@@ -203,7 +190,6 @@ SELECT client_id, CASE WHEN client_id % 9 = 0 THEN 'alert' WHEN critical > 0 THE
         with_star(f"{VISIBLE_SQL}, t AS (SELECT client_id, document_id, row_number() OVER (PARTITION BY client_id ORDER BY sentiment_label = 'Negative' DESC, published_at DESC NULLS LAST, document_id) AS place FROM visible JOIN docs USING (document_id)) SELECT * FROM t WHERE place <= 40")),
     "k11_benchmark_listing": (lambda s: _benchmark("competitor", 365, True)(s).withColumn("place", F.row_number().over(Window.partitionBy("client_id").orderBy(F.col("rank") == 0, "rank", "entity_name"))).where("place <= 10").select("client_id", "entity_id", "place"),
         star_sql(_benchmark_sql("competitor", 365, True) + ", t AS (SELECT client_id, entity_id, row_number() OVER (PARTITION BY client_id ORDER BY rank = 0, rank, entity_name) AS place FROM bench)\nSELECT * FROM t WHERE place <= 10")),
-    "k13_competitor_ranking": (lambda s: rounded(cited(s).groupBy("host").agg(F.countDistinct("conv_id").alias("answers"), F.avg("turn").alias("mean_position"))), f"WITH {CITED_SQL} SELECT host, count(DISTINCT conv_id) AS answers, round(avg(turn), 6) AS mean_position FROM c GROUP BY 1"),
     "k14_stale_pending": (lambda s: s.documents.where(f"published_at IS NULL AND collected_at < {TS} - INTERVAL 1 HOUR").orderBy("collected_at", "document_id").limit(200).select("document_id"),
         with_star(f"x AS (SELECT 1) SELECT document_id FROM docs WHERE published_at IS NULL AND collected_at < {TS} - INTERVAL 1 HOUR ORDER BY collected_at, document_id LIMIT 200")),
     "o1_term_union": (lambda s: s.entities.where("entity_type = 'brand'").select(F.lower("entity_name").alias("term")).union(s.entities.where("entity_type = 'product'").select(F.lower("entity_name"))).distinct(), with_star("x AS (SELECT 1) SELECT lower(entity_name) AS term FROM entities WHERE entity_type = 'brand' UNION SELECT lower(entity_name) FROM entities WHERE entity_type = 'product'")),

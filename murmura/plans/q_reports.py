@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.operators import alerts, gates, planning, ranks, reports, risk
+from murmura.operators.intervals import interval_totals
 from murmura.plans.q_scores import TS, _events, gated_sql, rounded, star_sql
 from murmura.plans.star import AS_OF, Star, with_star
 
@@ -155,11 +156,11 @@ def due(s: Star) -> DataFrame:
 
 
 def interval_costs(s: Star) -> DataFrame:
-    """Calls inside runs of the same user, by hour bucket plus exact bounds."""
-    runs = daily_runs(s).select("user_id", "day", "started_at", "finished_at", F.explode(F.sequence(F.date_trunc("hour", "started_at"), F.date_trunc("hour", "finished_at"), F.expr("INTERVAL 1 HOUR"))).alias("hour"))
-    c = s.table("events").select("user_id", "ts", F.col("value").cast("long").alias("tokens"), F.date_trunc("hour", "ts").alias("hour"))
-    inside = c.join(runs, ["user_id", "hour"]).where("ts BETWEEN started_at AND finished_at")
-    return inside.groupBy("user_id", "day").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+    """Calls inside runs of the same user: those of a day, and one of the user's whole time."""
+    runs = daily_runs(s).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("run"), "started_at", "finished_at")
+    whole = s.table("events").groupBy("user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("finished_at")).withColumn("run", F.lit("whole"))
+    calls = s.table("events").select("user_id", "ts", F.col("value").cast("long").alias("tokens"))
+    return interval_totals(calls, runs.unionByName(whole), "user_id", at="ts", start="started_at", end="finished_at", by=["user_id", "run"], sums={"tokens": "tokens"}).withColumnRenamed("n", "calls")
 
 
 def _seconds(name: str) -> Column:
@@ -181,7 +182,8 @@ FROM docs d LEFT JOIN rk USING (document_id) LEFT JOIN tt USING (document_id) LE
         lambda s: s.documents.where("document_type = 'youtube'").select("document_id").join(s.mentions.select("document_id"), "document_id", "left_anti"),
         with_star("d AS (SELECT document_id FROM docs WHERE document_type = 'youtube') SELECT document_id FROM d WHERE document_id NOT IN (SELECT document_id FROM mentions)"),
     ),
-    "j5_range_run_window": (interval_costs, f"WITH {RUNS_SQL} SELECT r.user_id, r.day, count(*) AS calls, sum(CAST(trunc(value) AS BIGINT))::BIGINT AS tokens FROM events e JOIN runs r ON e.user_id = r.user_id AND e.ts BETWEEN started_at AND finished_at GROUP BY 1, 2"),
+    "j5_range_run_window": (interval_costs, f"""WITH {RUNS_SQL}, r AS (SELECT user_id, CAST(CAST(day AS DATE) AS VARCHAR) AS run, started_at, finished_at FROM runs UNION ALL SELECT user_id, 'whole', min(ts), max(ts) FROM events GROUP BY 1)
+SELECT r.user_id, r.run, count(*) AS calls, sum(CAST(trunc(value) AS BIGINT))::BIGINT AS tokens FROM events e JOIN r ON e.user_id = r.user_id AND e.ts BETWEEN started_at AND finished_at GROUP BY 1, 2"""),
     "j23_orphan_rows": (
         lambda s: gates.orphans(s.documents.select("document_id"), s.mentions, "document_id").agg(F.count("*").alias("rows")).withColumn("check_name", F.lit("documents without mentions"))
         .unionByName(gates.orphans(s.mentions, s.documents, "document_id").agg(F.count("*").alias("rows")).withColumn("check_name", F.lit("mentions without document"))),
@@ -360,7 +362,7 @@ FROM entities WHERE entity_id % 3 <> 0 AND entity_id IN (SELECT entity_id FROM m
         lambda s: alerts.summary_signature(s.entities, ["client_id", "entity_name", "entity_type"]).select("entity_id", "signature"),
         with_star("x AS (SELECT 1) SELECT entity_id, sha256(concat_ws(chr(31), CAST(client_id AS VARCHAR), entity_name, coalesce(entity_type, ''))) AS signature FROM entities"),
     ),
-    "p1_calendar_slices": (lambda s: slices(s, months=3), with_star(f"""{_RANGE_SQL}, m AS (SELECT source_id, a, b, CAST(unnest(generate_series(date_trunc('month', a)::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 3 MONTH)) AS DATE) AS d FROM rg WHERE a < b)
+    "p1_calendar_slices": (lambda s: slices(s, months=3), with_star(f"""{_RANGE_SQL}, m AS (SELECT source_id, a, b, CAST(unnest(generate_series(date_trunc('quarter', a)::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 3 MONTH)) AS DATE) AS d FROM rg WHERE a < b)
 SELECT source_id, greatest(d, a) AS slice_start, least(CAST(d + INTERVAL 3 MONTH AS DATE), b) AS slice_end FROM m""")),
     "p2_fixed_day_slices": (lambda s: slices(s, days=30), with_star(f"""{_RANGE_SQL}, m AS (SELECT source_id, a, b, CAST(unnest(generate_series(a::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 30 DAY)) AS DATE) AS d FROM rg WHERE a < b)
 SELECT source_id, d AS slice_start, least(d + 30, b) AS slice_end FROM m""")),

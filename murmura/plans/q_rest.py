@@ -67,11 +67,8 @@ WHEN regexp_matches(h, 'reddit\.com|twitter\.com|facebook\.com|t\.co') THEN 0.7
     "g38_merge_proposals": (proposals, """WITH r AS (SELECT s_suppkey % 6 AS client_id, 'acme ' || (s_suppkey % 7) AS key, s_suppkey % 4 AS answer, s_suppkey % 3 AS slot, unnest([CAST(s_suppkey % 5 AS VARCHAR), CAST(s_suppkey % 2 AS VARCHAR)]) AS url FROM supplier)
 SELECT client_id, key, min(slot) AS slot, count(DISTINCT answer) AS answers, array_to_string(list_sort(list(DISTINCT url)), ',') AS urls FROM r GROUP BY 1, 2"""),
     "k7_slice_priority": (lambda s: terms.slice_priority(_kinds(s), KINDS, "kind").where("place <= 50").select("kind", "slice_start", "place").groupBy("kind", "place").agg(F.max("slice_start").alias("slice_start")),
-        with_star(f"""{_RANGE_SQL}, m AS (SELECT source_id, a, b, CAST(unnest(generate_series(date_trunc('month', a)::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 12 MONTH)) AS DATE) AS d FROM rg WHERE a < b),
+        with_star(f"""{_RANGE_SQL}, m AS (SELECT source_id, a, b, CAST(unnest(generate_series(date_trunc('year', a)::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 12 MONTH)) AS DATE) AS d FROM rg WHERE a < b),
 n AS (SELECT ['brand', 'risk', 'executive', 'competitor', 'product'][CAST(source_id % 5 + 1 AS INT)] AS kind, greatest(d, a) AS slice_start FROM m), p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY slice_start DESC) AS place FROM n) SELECT kind, place, slice_start FROM p WHERE place <= 50""")),
-    "p3_plan_slices": (lambda s: planning.calendar_slices(s.documents.agg(F.min("collected_at").cast("date").alias("start_date"), F.max("collected_at").cast("date").alias("end_date")).select("*", F.explode(F.array(*map(F.lit, ["brand", "competitor", "product"]))).alias("kind")), 6).join(s.documents.select(F.trunc("collected_at", "MM").alias("slice_start")).distinct(), "slice_start", "left_semi").groupBy("kind").agg(F.count("*").alias("slices")),
-        with_star("""r AS (SELECT min(collected_at)::DATE AS a, max(collected_at)::DATE AS b FROM docs), m AS (SELECT a, CAST(unnest(generate_series(date_trunc('month', a)::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 6 MONTH)) AS DATE) AS d FROM r), g AS (SELECT greatest(d, a) AS s FROM m),
-k AS (SELECT unnest(['brand', 'competitor', 'product']) AS kind) SELECT kind, count(*) AS slices FROM g, k WHERE s IN (SELECT CAST(date_trunc('month', collected_at) AS DATE) FROM docs) GROUP BY 1""")),
     "p5_expected_items": (lambda s: slices(s, months=6).groupBy("source_id").agg(F.sum(F.round(F.datediff("slice_end", "slice_start") * 0.5, 3)).alias("items")),
         with_star(f"{_RANGE_SQL} SELECT source_id, (b - a) * 0.5::DOUBLE AS items FROM rg WHERE a < b")),
     "r15_risk_confidence": (lambda s: rounded(_events(s).groupBy("client_id").agg(F.avg("confidence_score").alias("mean"), F.max("confidence_score").alias("top"))), star_sql("SELECT client_id, round(avg(confidence_score), 6) AS mean, round(max(confidence_score), 6) AS top FROM events GROUP BY 1")),

@@ -163,10 +163,6 @@ QUERIES = {
     "s6_normalize_reddit": (_norm("reddit", phrase="of the"), _norm_sql("reddit", _URL, "length(text)", "at0", "CAST(doc_id % 90 AS INT)", "CAST(doc_id % 30 AS INT)", where=rf"position(' of the ' IN ' ' || regexp_replace(lower({FIRST_LINE} || ' ' || text || ' ' || {_URL}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g') || ' ') > 0")),
     "s1_normalize_rss": (lambda s: _norm("rss")(s).select("doc_id", "title", "url", "author", "published_at"), f"SELECT doc_id, {FIRST_LINE} AS title, {_URL} AS url, source AS author, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at FROM documents"),
     "s7_dispatch_by_format": (dispatched, _DISPATCH_SQL),
-    "s9_merge_upsert": (
-        lambda s: ingest.merge_upsert(s.documents.where("document_id % 3 <> 0").select("source_id", "view_count", "document_id"), s.documents.where("document_id % 3 = 0").select("source_id", "view_count", "document_id"), ["source_id"], [F.col("view_count").desc_nulls_last(), F.desc("document_id")]),
-        with_star("t AS (SELECT source_id, view_count, document_id, row_number() OVER (PARTITION BY source_id ORDER BY view_count DESC NULLS LAST, document_id DESC) AS k FROM docs) SELECT source_id, view_count, document_id FROM t WHERE k = 1"),
-    ),
     "x1_canonical_url": (lambda s: s.table("pages").select("page_id", text.canonical_url(F.col("url")).alias("url")), "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages"),
     "x2_content_hash": (lambda s: docs(s).select("doc_id", text.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE sha256(text) END AS hash FROM documents"),
     "x3_clean_document": (lambda s: s.table("pages").select("page_id", text.clean_document("html").alias("content")), None),
@@ -179,11 +175,6 @@ QUERIES = {
         with_star("""x AS (SELECT CASE WHEN published_at IS NULL THEN 'undated' WHEN published_at > TIMESTAMP '1999-01-01' + INTERVAL 2 DAY THEN 'future' WHEN document_id % 23 = 0 THEN 'no_url' WHEN NOT contains(title, 'Story 1') THEN 'irrelevant' ELSE 'kept' END AS reason FROM docs)
 SELECT reason, count(*) AS rows FROM x GROUP BY 1"""),
     ),
-    "x9_relevance_filter": (
-        lambda s: docs(s).where(F.exists(F.array(F.lit(" of the "), F.lit(" de la ")), lambda t: F.contains(common.phrase_form(F.col("text")), t))).select("doc_id"),
-        r"""WITH n AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g') || ' ' AS t FROM documents) SELECT doc_id FROM n WHERE contains(t, ' of the ') OR contains(t, ' de la ')""",
-    ),
-    "x10_risk_term_flag": (lambda s: docs(s).select("doc_id", F.col("text").rlike(r"(?i)\b(fraud|lawsuit|worthless|hate)\b").alias("flag")), r"SELECT doc_id, regexp_matches(text, '(?i)\b(fraud|lawsuit|worthless|hate)\b') AS flag FROM documents"),
     "x16_normalize_entity_name": (lambda s: s.entities.select("entity_id", text.entity_key(F.concat("entity_name", F.lit("'s Works Pvt. Ltd."))).alias("key")), with_star("x AS (SELECT 1) SELECT entity_id, lower(entity_name) || ' works' AS key FROM entities")),
     "x18_short_answer": (lambda s: answers(s).select("conv_id", "turn", text.short_answer(F.col("text")).alias("answer")), None),
     "j1_keyword_match": (lambda s: matching.keyword_spans(docs(s), ROSTER).groupBy("doc_id", "keyword").agg(F.count("*").alias("n")), f"WITH m AS (SELECT doc_id, unnest({_KEEP}) AS keyword FROM documents) SELECT doc_id, keyword, count(*) AS n FROM m GROUP BY ALL"),
@@ -198,8 +189,6 @@ SELECT doc_id, phrase, CAST(least((length(t) - length(replace(t, ' ' || phrase |
     "m5_resolve_ambiguity": (lambda s: matching.resolve_ambiguity(matching.match_confidence(matches(s))).select("doc_id", "start_idx", "keyword", "entity_id", "status"), None),
     "m7_document_match_state": (lambda s: matching.document_state(matching.resolve_ambiguity(matching.match_confidence(matches(s)))), None),
     "m8_accept_mentions": (lambda s: matching.accepted_mentions(matching.resolve_ambiguity(matching.match_confidence(matches(s)))), None),
-    "m9_keyword_generation": (lambda s: matching.generated_keywords(s.entities), with_star("""x AS (SELECT entity_id, entity_name AS keyword, 'PRIMARY' AS category, 1 AS priority FROM entities UNION ALL
-SELECT entity_id, entity_name || ' ' || w, 'RISK', 4 FROM entities, (SELECT unnest(['fraud', 'lawsuit', 'scam']) AS w) WHERE entity_type = 'brand') SELECT * FROM x""")),
     "l1_orm_sentiment_rules": (lambda s: rounded(labels.calibrated_sentiment(sentiment_input(s)).select("doc_id", "label", "score", "rule", F.array_join("trigger_words", ",").alias("words"))), None),
     "l2_label_to_score": (lambda s: rounded(s.documents.select("document_id", (common.lookup(F.col("sentiment_label"), {"Positive": 1.0, "Neutral": 0.0, "Negative": -1.0}, 0.0) * 0.65).alias("weighted"))), with_star("x AS (SELECT 1) SELECT document_id, round(sentiment_score * 0.65, 6) AS weighted FROM docs")),
     "l4_entity_context_window": (lambda s: docs(s).select("doc_id", F.length(text.context_window(F.col("text"), F.lit("ertion"), 200)).alias("n")), """WITH p AS (SELECT doc_id, text, instr(lower(text), 'ertion') AS a FROM documents)

@@ -206,7 +206,7 @@ SELECT document_id, entity_id, round(CASE WHEN c > 50 AND (case_status = 'settle
     "x17_strip_legal_suffix": (lambda s: s.entities.select("entity_id", text.strip_legal_suffix(F.concat("entity_name", F.element_at(F.array(*map(F.lit, [" Ltd", " Pvt. Ltd.", ", Inc", ""])), (F.col("entity_id") % 4 + 1).cast("int")))).alias("name")),
         with_star("x AS (SELECT 1) SELECT entity_id, CASE WHEN entity_id % 4 <> 3 THEN entity_name END AS name FROM entities")),
     "u3_score_batch": (lambda s: labels.score_batches(docs(s).select("doc_id", "text"), "text", lambda: counted).select("doc_id", "score"), "SELECT doc_id, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS score FROM documents"),
-    "u5_calendar_slices": (sliced, with_star("""rg AS (SELECT source_id, min(collected_at)::DATE AS a, max(collected_at)::DATE AS b FROM docs GROUP BY 1), m AS (SELECT source_id, a, b, CAST(unnest(generate_series(date_trunc('month', a)::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 12 MONTH)) AS DATE) AS d FROM rg WHERE a < b)
+    "u5_calendar_slices": (sliced, with_star("""rg AS (SELECT source_id, min(collected_at)::DATE AS a, max(collected_at)::DATE AS b FROM docs GROUP BY 1), m AS (SELECT source_id, a, b, CAST(unnest(generate_series(date_trunc('year', a)::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 12 MONTH)) AS DATE) AS d FROM rg WHERE a < b)
 SELECT source_id, greatest(d, a) AS slice_start, least(CAST(d + INTERVAL 12 MONTH AS DATE), b) AS slice_end FROM m""")),
     "u5_sentences": (sentence_rows, None),
 }

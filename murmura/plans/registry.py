@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from murmura.plans.star import Star
 
-GROUPS = ["q_scores", "q_reports", "q_text", "q_streams", "q_more", "q_rest", "q_views"]
+GROUPS = ["q_scores", "q_reports", "q_text", "q_streams", "q_more", "q_rest", "q_views", "q_rules"]
 
 
 def _entries() -> dict[str, tuple[Callable[[Star], DataFrame], str | None]]:
