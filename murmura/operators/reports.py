@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions.common import risk_level
+from murmura.functions.jsons import stripped_json
 
 
 def topic_of_document(topics: DataFrame) -> DataFrame:
@@ -110,6 +111,31 @@ def document_enrichment(visible: DataFrame, documents: DataFrame, sources: DataF
     return rows.select("client_id", "document_id", "source_name", "risk_score", "entity_id", F.coalesce("label", "sentiment_label").alias("label"), F.coalesce("topic", F.lit("General")).alias("topic"), "mentions")
 
 
+def document_feed(visible: DataFrame, documents: DataFrame, sources: DataFrame, events: DataFrame, topics: DataFrame, mentions: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each (client_id, document_id) of ``visible`` as readers are shown it.
+
+    ``events`` (client_id, document_id, entity_id, risk_score, explainability) holds no competitors; of a document's the highest counts, the
+    smallest entity on ties. ``mentions`` (document_id, entity_id, entity_name, entity_type), ``labels`` (document_id, entity_id, label). A
+    document without a score shows risk 0 and scored false. risk rounds half to even, bands and risk_exact are of the score as it is.
+    Every side is one row a document before it is joined."""
+    best = events.groupBy("client_id", "document_id").agg(F.min_by(F.struct("risk_score", "entity_id", "explainability"), F.struct(-F.col("risk_score"), F.col("entity_id"))).alias("r"))
+    entity = F.struct(F.coalesce("entity_name", F.lit("Unknown")).alias("name"), F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"))
+    said = mentions.select("document_id", "entity_id", entity.alias("e")).distinct().groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "e"))), lambda x: x["e"]).alias("extracted_entities"))
+    rows = visible.select("client_id", "document_id").join(documents, "document_id").join(best, ["client_id", "document_id"], "left").select("*", "r.*").drop("r")
+    rows = rows.join(labels.select("document_id", "entity_id", "label"), ["document_id", "entity_id"], "left").join(topic_of_document(topics), "document_id", "left").join(said, "document_id", "left")
+    rows = rows.join(sources.select("source_id", "source_name"), "source_id", "left")
+    source, score, sentiment = F.coalesce("source_name", F.lit("RSS Feed")), F.col("risk_score"), F.coalesce("sentiment_score", F.lit(0.0))
+    scored = score.isNotNull()
+    return rows.select(
+        "client_id", "document_id", F.coalesce(F.nullif("title", F.lit("")), source).alias("title"), source.alias("source"), "document_type", F.coalesce("published_at", "collected_at").alias("timestamp"),
+        F.coalesce("processing_status", F.lit("COMPLETED")).alias("status"), sentiment.alias("sentiment"), F.bround(F.coalesce(score, F.lit(0.0))).alias("risk"), scored.alias("scored"),
+        risk_level(score).alias("risk_level"), score.alias("risk_exact"), F.when(scored, F.coalesce("label", "sentiment_label")).alias("risk_sentiment"),
+        F.when(F.col("published_at").isNotNull(), "published").when(F.col("collected_at").isNotNull(), "collected").alias("date_basis"), stripped_json(F.col("explainability"), "trend").alias("risk_explainability"),
+        F.col("normalized_content").alias("original_content"), F.coalesce("extracted_entities", F.array().cast("array<struct<name:string,entity_type:string>>")).alias("extracted_entities"),
+        F.coalesce("topic", F.lit("General")).alias("topic"), F.concat(F.when(sentiment >= 0, "+").otherwise(""), F.format_string("%.1f", sentiment * 10)).alias("reputation_impact"),
+    )
+
+
 def matching_metrics(rows: DataFrame, at: str, matched: Column, took: str, width: str = "5 minutes") -> DataFrame:
     """Documents, matches and mean time of each flush interval."""
     per = rows.groupBy(F.window(F.col(at).cast("timestamp"), width).alias("w")).agg(F.count("*").alias("documents"), F.count_if(matched).alias("matches"), F.avg(took).alias("mean_time"))

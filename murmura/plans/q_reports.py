@@ -38,22 +38,6 @@ def labelled(s: Star) -> DataFrame:
     return risk.entity_sentiment(s.mentions).join(s.entities, "entity_id")
 
 
-def document_feed(s: Star) -> DataFrame:
-    """One row for each document with its best risk, topic and mention count; every side has one row a document."""
-    best = _events(s).groupBy("document_id").agg(F.max("risk_score").alias("risk_score"))
-    said = s.mentions.groupBy("document_id").agg(F.sum("mention_count").alias("mentions"), F.countDistinct("entity_id").alias("entities"))
-    rows = s.documents.join(best, "document_id", "left").join(reports.topic_of_document(s.topics), "document_id", "left").join(said, "document_id", "left")
-    rows = rows.join(s.sources.select("source_id", "source_name"), "source_id", "left")
-    return rounded(
-        rows.select(
-            "document_id", "document_type", "source_name", "sentiment_label", F.coalesce("topic", F.lit("General")).alias("topic"), "risk_score",
-            F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce("entities", F.lit(0)).alias("entities"), F.col("risk_score").isNotNull().alias("scored"),
-            F.format_string("%.1f", F.col("sentiment_score") * 10).alias("reputation_impact"),
-            F.when(F.col("published_at").isNotNull(), "published").otherwise("collected").alias("date_basis"),
-        )
-    )
-
-
 def alert_rows(s: Star) -> DataFrame:
     events = gates.without_competitors(_events(s))
     people = gates.brand_gate(events.where("entity_type = 'person' AND risk_score > 50"), gates.brand_documents(s.mentions, s.entities), s.entities)
@@ -168,12 +152,6 @@ def _seconds(name: str) -> Column:
 
 
 QUERIES = {
-    "x13_doc_feed": (document_feed, star_sql("""
-tt AS (SELECT document_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY topic_confidence DESC, line, topic) AS k FROM topics) WHERE k = 1),
-rk AS (SELECT document_id, max(risk_score) AS risk_score FROM events GROUP BY 1), mn AS (SELECT document_id, sum(mention_count)::BIGINT AS mentions, count(DISTINCT entity_id) AS entities FROM mentions GROUP BY 1)
-SELECT d.document_id, document_type, source_name, sentiment_label, coalesce(topic, 'General') AS topic, round(risk_score, 6) AS risk_score, coalesce(mentions, 0) AS mentions, coalesce(entities, 0) AS entities,
-  risk_score IS NOT NULL AS scored, printf('%.1f', sentiment_score * 10) AS reputation_impact, CASE WHEN published_at IS NULL THEN 'collected' ELSE 'published' END AS date_basis
-FROM docs d LEFT JOIN rk USING (document_id) LEFT JOIN tt USING (document_id) LEFT JOIN mn USING (document_id) LEFT JOIN sources USING (source_id)""")),
     "j8_visible_documents": (
         lambda s: gates.brand_gate(visible(s), gates.brand_documents(s.mentions, s.entities), s.entities).groupBy("client_id").agg(F.count("*").alias("documents")),
         star_sql(f"{VISIBLE_SQL} SELECT client_id, count(*) AS documents FROM {gated_sql('visible')} GROUP BY 1"),

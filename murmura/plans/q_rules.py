@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.operators import domains, ingest, lookups, matching, names, planning, relevance, risk
-from murmura.plans.q_scores import rounded
+from murmura.operators import domains, gates, ingest, lookups, matching, names, planning, relevance, reports, risk
+from murmura.plans.q_reports import VISIBLE_SQL, visible
+from murmura.plans.q_scores import _events, rounded, star_sql
 from murmura.plans.q_text import docs
 from murmura.plans.star import AS_OF, Star, _case, with_star
 
@@ -222,7 +223,33 @@ def keywords(s: Star) -> DataFrame:
     return matching.generated_keywords(s.entities.select("entity_id", F.concat("entity_name", tail).alias("entity_name")))
 
 
+def document_feed(s: Star) -> DataFrame:
+    """Every document that a client sees, with all that readers are shown."""
+    k = F.col("document_id")
+    own = gates.without_competitors(_events(s)).withColumn("explainability", F.to_json(F.struct(F.struct(F.lit(1).alias("trend"), F.col("entity_id").alias("by")).alias("weights"))))
+    rows = s.documents.withColumns({"normalized_content": F.concat("title", F.lit(" text")), "processing_status": F.when(k % 4 != 0, "PROCESSED"), "title": F.when(k % 19 != 0, F.col("title")).otherwise("")})
+    named = s.mentions.select("document_id", "entity_id").join(s.entities.select("entity_id", "entity_name", "entity_type"), "entity_id")
+    feed = reports.document_feed(visible(s), rows, s.sources, own, s.topics, named, risk.entity_sentiment(s.mentions))
+    said = F.array_join(F.transform("extracted_entities", lambda e: F.concat_ws("/", e["name"], e["entity_type"])), ",")
+    return rounded(feed.withColumns({"extracted_entities": said, "timestamp": F.col("timestamp").cast("timestamp_ntz")}))
+
+
+_FEED_SQL = star_sql(f"""{VISIBLE_SQL},
+tt AS (SELECT document_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY topic_confidence DESC, line, topic) AS k FROM topics) WHERE k = 1),
+rr AS (SELECT client_id, document_id, risk_score, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY client_id, document_id ORDER BY risk_score DESC, entity_id) AS k FROM events WHERE entity_type IS DISTINCT FROM 'competitor') WHERE k = 1),
+nn AS (SELECT document_id, string_agg(entity_name || '/' || coalesce(entity_type, 'unknown'), ',' ORDER BY entity_id) AS said FROM (SELECT DISTINCT document_id, entity_id FROM mentions) JOIN entities USING (entity_id) GROUP BY 1)
+SELECT v.client_id, v.document_id, CASE WHEN v.document_id % 19 <> 0 THEN title ELSE coalesce(source_name, 'RSS Feed') END AS title, coalesce(source_name, 'RSS Feed') AS source, document_type, coalesce(published_at, collected_at) AS "timestamp",
+  CASE WHEN v.document_id % 4 <> 0 THEN 'PROCESSED' ELSE 'COMPLETED' END AS status, sentiment_score AS sentiment, round_even(coalesce(risk_score, 0), 0)::DOUBLE AS risk, risk_score IS NOT NULL AS scored,
+  CASE WHEN risk_score <= 25 THEN 'LOW' WHEN risk_score <= 50 THEN 'MEDIUM' WHEN risk_score <= 75 THEN 'HIGH' WHEN risk_score IS NOT NULL THEN 'CRITICAL' END AS risk_level, round(risk_score, 6) AS risk_exact,
+  CASE WHEN risk_score IS NOT NULL THEN coalesce(fl.label, sentiment_label) END AS risk_sentiment, CASE WHEN published_at IS NULL THEN 'collected' ELSE 'published' END AS date_basis,
+  CASE WHEN risk_score IS NOT NULL THEN '{{"weights":{{"by":' || rr.entity_id || '}}}}' END AS risk_explainability, title || ' text' AS original_content, coalesce(said, '') AS extracted_entities, coalesce(topic, 'General') AS topic,
+  CASE WHEN sentiment_score >= 0 THEN '+' ELSE '' END || printf('%.1f', sentiment_score * 10) AS reputation_impact
+FROM visible v JOIN docs d ON d.document_id = v.document_id LEFT JOIN sources so ON so.source_id = d.source_id LEFT JOIN rr ON rr.client_id = v.client_id AND rr.document_id = v.document_id
+LEFT JOIN first_label fl ON fl.document_id = v.document_id AND fl.entity_id = rr.entity_id LEFT JOIN tt ON tt.document_id = v.document_id LEFT JOIN nn ON nn.document_id = v.document_id""")
+
+
 QUERIES = {
+    "x13_doc_feed": (document_feed, _FEED_SQL),
     "s9_merge_upsert": (merged_sources, _SOURCES_SQL),
     "r17_risk_upsert": (upserted_risks, _RISKS_SQL),
     "x12_explainability_strip": (stripped, _STRIPPED_SQL),
