@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +34,59 @@ def heavy_rows(total: int) -> float | None:
     return heavy if total > heavy else None
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Nodes that a task holds at once when it joins links by itself.
+LOCAL_NODES = 500_000
+
+
+def local_stars(edges: DataFrame, near: str) -> DataFrame:
+    """``edges`` (a, b) as fewer ones that join the same nodes: links that share ``near`` come together, as far as partitions of
+    even size allow, and each task puts what it joins in stars around the smallest node."""
+    kind = edges.schema["a"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        types: list = []
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            pairs = [(top(x), x) for x in parent]
+            plain = lambda i: [dict(zip((f.name for f in types[0]), p[i])) if pa.types.is_struct(types[0]) else p[i] for p in pairs if p[0] != p[1]]
+            return pa.RecordBatch.from_arrays([pa.array(plain(0), types[0]), pa.array(plain(1), types[0])], names=["a", "b"])
+
+        for batch in batches:
+            types[:] = [batch.column("a").type]
+            sides = [[tuple(x.values()) for x in c.to_pylist()] if pa.types.is_struct(types[0]) else c.to_pylist() for c in (batch.column("a"), batch.column("b"))]
+            for a, b in zip(*sides):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                a, b = top(a), top(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > LOCAL_NODES:
+                yield stars()
+                parent.clear()
+        if parent:
+            yield stars()
+
+    fields = f"a {kind.simpleString()}, b {kind.simpleString()}"
+    return edges.hint("rebalance", near).select("a", "b").mapInArrow(run, fields)
+
+
+def components(edges: DataFrame, near: str | None = None) -> DataFrame:
     """node, root (the smallest node reachable) of every node of the undirected ``edges`` (a, b).
 
+    ``near`` names a column of the links (its links mostly join each other) over which tasks join links by themselves first;
+    nodes have no nulls then.
+
     Large-star and small-star steps in turn; each step's edges are written to the shared folder, and the loop ends when
     a step changes none; the step before goes then. Minima are taken before the shuffle, and a hub's edges stay spread over all tasks. Only nodes with
     an edge to another node come back."""
+    if near is not None:
+        edges = local_stars(edges, near)
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     now, seen = _state(edges), None
     while now != seen:

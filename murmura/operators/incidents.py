@@ -77,50 +77,82 @@ def story_runs(items: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFram
     return times.select("run", *key, "start", "end").distinct(), rows.join(times, same).select(rows["item_id"], "run")
 
 
-def _rare_tokens(runs: DataFrame, kind: str, least: Column) -> DataFrame:
-    """run, entity_id, token, n (tokens), place: the rarest tokens of each run, as many as a pair that shares ``least`` of
-    them must meet in; rarity is counted within the entity."""
+#: Rows of one key that meet in one task at most: keys of more are dealt as pairs of blocks.
+BLOCK = 2048
+
+
+def _rare_keys(runs: DataFrame, kind: str, least: Column, together: int) -> DataFrame:
+    """run, entity_id, kind, key, n (tokens), k: every ``together`` of the rarest tokens of a run, k the place of the last.
+
+    Two sets that share s tokens share ``together`` of the rarest n - s + ``together`` of each (s is at least ``least``, and
+    ``together`` no more than that); rarity is counted within the entity, in one order for all its runs."""
     tokens = runs.select("run", "entity_id", F.size(kind).alias("n"), F.explode(kind).alias("token"))
     rarity = tokens.groupBy("entity_id", "token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("run").orderBy("df", "token"))
-    return tokens.join(rarity, ["entity_id", "token"]).withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).drop("df")
+    rare = tokens.join(rarity, ["entity_id", "token"]).withColumn("place", place).where(F.col("place") <= F.col("n") - least + together)
+    listed = rare.groupBy("run", "entity_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("rarest"))
+    if together == 1:
+        keyed = listed.select("run", "entity_id", "n", F.posexplode("rarest").alias("k", "key")).withColumn("k", F.col("k") + 1)
+    else:
+        later = listed.select("run", "entity_id", "n", "rarest", F.posexplode("rarest").alias("k", "token")).where("k > 0")
+        keyed = later.select("run", "entity_id", "n", (F.col("k") + 1).alias("k"), F.explode(F.transform(F.slice("rarest", F.lit(1), F.col("k")), lambda t: F.concat_ws(" ", t, "token"))).alias("key"))
+    return keyed.withColumn("kind", F.lit(kind))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], fits: Column) -> DataFrame:
+    """a, b of the rows of ``left`` and ``right`` (run, n, k) that share ``keys`` and fit.
+
+    A key of more than BLOCK rows on a side is dealt: its rows go to blocks by a hash, each block of the left with each of the
+    right, so that no task reads more of it than two blocks."""
+    sized = right.groupBy(*keys).agg(F.count("*").alias("m")).join(left.groupBy(*keys).agg(F.count("*").alias("l")), keys)
+    heavy = materialize(sized.where((F.col("m") > BLOCK) | (F.col("l") > BLOCK)).select(*keys, F.ceil(F.col("l") / BLOCK).cast("int").alias("la"), F.ceil(F.col("m") / BLOCK).cast("int").alias("lb")), "story-heavy-keys")
+    side = lambda df, x: df.select(*keys, F.col("run").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"), F.hash("run").alias(f"h{x}"))
+    x, y = side(left, "a"), side(right, "b")
+    found = x.join(heavy, keys, "left_anti").join(y, keys).where(fits)
+    found = found.select("a", "b")
+    if not heavy.isEmpty():
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = x.join(heavy, keys).withColumns({"ba": F.pmod("ha", "la"), "bb": every("lb")}).drop("la", "lb")
+        y = y.join(heavy, keys).withColumns({"bb": F.pmod("hb", "lb"), "ba": every("la")}).drop("la", "lb")
+        found = found.unionByName(x.join(y, [*keys, "ba", "bb"]).where(fits).select("a", "b"))
+    return found
 
 
 def same_story_pairs(runs: DataFrame) -> DataFrame:
     """Pairs (a < b) of runs of one entity that report one story.
 
-    Exact prefix filter: two sets that share s tokens meet among the rarest n - s + 1 of each, so runs meet over those only,
-    within neighbouring spans of the largest gap (undated ones over all), and are verified once on their whole sets."""
+    Exact prefix filter: titles must share several tokens, so they meet over pairs of their rarest ones, events over single
+    ones, within neighbouring spans of the largest gap (undated runs with all); pairs are verified once on their whole sets."""
     least = {"title": F.lit(R.TITLE_SHARED), "event": F.least(F.ceil(F.col("n") / 2), F.lit(R.EVENT_SHARED))}
+    together = {"title": 2, "event": 1}
     smaller = F.least("na", "nb")
-    needed = {
-        "title": F.greatest(F.lit(R.TITLE_SHARED), F.ceil(smaller * R.TITLE_OVERLAP - 1e-9)),
-        "event": F.least(F.ceil((F.col("na") + F.col("nb")) * R.EVENT_JACCARD / (1 + R.EVENT_JACCARD) - 1e-9), F.greatest(F.lit(R.EVENT_SHARED), F.ceil(smaller * R.EVENT_OVERLAP - 1e-9))),
-    }
+    needed = F.when(F.col("kind") == "title", F.greatest(F.lit(R.TITLE_SHARED), F.ceil(smaller * R.TITLE_OVERLAP - 1e-9)) - together["title"]).otherwise(
+        F.least(F.ceil((F.col("na") + F.col("nb")) * R.EVENT_JACCARD / (1 + R.EVENT_JACCARD) - 1e-9), F.greatest(F.lit(R.EVENT_SHARED), F.ceil(smaller * R.EVENT_OVERLAP - 1e-9))) - together["event"]
+    )
     width = R.INCIDENT_DAYS * 86400
     span = lambda c: F.floor(F.col(c) / width)
-    found = None
+    rows = None
     for kind in ("title", "event"):
-        rows = _rare_tokens(runs, kind, least[kind]).join(runs.select("run", "start", "end"), "run")
-        side = lambda df, x: df.select("entity_id", "token", "span", *(F.col(c).alias(f"{n}{x}") for c, n in (("run", ""), ("n", "n"), ("place", "k"))))
-        dated = rows.where("start IS NOT NULL")
-        a = side(dated.withColumn("span", F.explode(F.sequence(span("start"), span("end")))), "a")
-        b = side(dated.withColumn("span", F.explode(F.sequence(span("start") - 1, span("end") + 1))), "b")
-        open_, all_ = rows.where("start IS NULL").withColumn("span", F.lit(0)), rows.withColumn("span", F.lit(0))
-        for x, y in ((a, b), (side(open_, "a"), side(all_, "b"))):
-            met = x.join(y, ["entity_id", "token", "span"]).where("a <> b")
-            met = met.where((F.col("ka") <= F.col("na") - needed[kind] + 1) & (F.col("kb") <= F.col("nb") - needed[kind] + 1))
-            met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            found = met if found is None else found.unionByName(met)
+        keyed = _rare_keys(runs, kind, least[kind], together[kind])
+        rows = keyed if rows is None else rows.unionByName(keyed)
+    rows = materialize(rows.join(runs.select("run", "start", "end"), "run"), "story-keys")
+    dated, undated = rows.where("start IS NOT NULL"), rows.where("start IS NULL")
+    near = lambda df, a, b: df.withColumn("span", F.explode(F.sequence(a, b)))
+    every = lambda df: df.withColumn("span", F.lit(None).cast("long"))
+    left = near(dated, span("start"), span("end")).unionByName(every(undated)).withColumn("span", F.coalesce("span", F.lit(-(1 << 62))))
+    right = near(dated, span("start") - 1, span("end") + 1).unionByName(every(rows)).withColumn("span", F.coalesce("span", F.lit(-(1 << 62))))
+    fits = (F.col("a") != F.col("b")) & (F.col("ka") <= F.col("na") - needed) & (F.col("kb") <= F.col("nb") - needed)
+    met = _met(left, right, ["entity_id", "kind", "key", "span"], fits)
+    found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x = runs.toDF(*(f"a_{c}" for c in runs.columns)).withColumnRenamed("a_run", "a")
     y = runs.toDF(*(f"b_{c}" for c in runs.columns)).withColumnRenamed("b_run", "b")
-    both = found.distinct().join(x, "a").join(y, "b")
-    near = F.coalesce((F.col("a_start") <= F.col("b_end") + width) & (F.col("b_start") <= F.col("a_end") + width), F.lit(True))
+    both = found.join(x, "a").join(y, "b")
+    close = F.coalesce((F.col("a_start") <= F.col("b_end") + width) & (F.col("b_start") <= F.col("a_end") + width), F.lit(True))
     share = lambda k: (F.size(F.array_intersect(f"a_{k}", f"b_{k}")), F.size(f"a_{k}"), F.size(f"b_{k}"))
     (t, ta, tb), (e, ea, eb) = share("title"), share("event")
     title = (t >= R.TITLE_SHARED) & (t / F.least(ta, tb) >= R.TITLE_OVERLAP)
     event = (e > 0) & ((e / (ea + eb - e) >= R.EVENT_JACCARD) | ((e >= R.EVENT_SHARED) & (e / F.least(ea, eb) >= R.EVENT_OVERLAP)))
-    return both.where(near & (title | event)).select("a", "b")
+    return both.where(close & (title | event)).select("a", "b", F.col("a_entity_id").alias("entity_id"))
 
 
 def incidents(items: DataFrame) -> DataFrame:
@@ -129,7 +161,7 @@ def incidents(items: DataFrame) -> DataFrame:
     items = materialize(items.select("item_id", "entity_id", "entity_name", "title", "event", "published_at"), "incident-items")
     runs, members = story_runs(items, incident_tokens(items))
     runs = materialize(runs, "story-runs")
-    found = components(same_story_pairs(runs)).distinct().toDF("run", "root")
+    found = components(same_story_pairs(runs), near="entity_id").distinct().toDF("run", "root")
     placed = members.join(found, "run", "left").select("item_id", F.coalesce("root", "run").alias("incident_id"))
     return items.select("item_id").join(placed, "item_id", "left").select("item_id", F.coalesce("incident_id", "item_id").alias("incident_id"))
 
@@ -158,35 +190,40 @@ def incident_summary(items: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _letters(rows: DataFrame, c: str, keys: list[str]) -> DataFrame:
-    """keys, the name ``c`` and its letters, the second, third ... of one kind told apart."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    told = F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-    return rows.select(*keys, c, F.explode(told).alias("letter"))
+def _edits(limit: Column, a: Column, b: Column) -> Column:
+    """Letters to insert or delete at most between names of lengths a and b whose likeness reaches ``limit``.
+
+    The blocks that likeness r counts follow one another in both names, so r (a + b) / 2 letters stay and the others go or
+    come; their number is odd or even as a + b is."""
+    most = F.floor((F.lit(1.0) - limit) * (a + b) + 1e-6).cast("int")
+    return most - (most + a + b) % 2
 
 
 def likely_pairs(left: DataFrame, right: DataFrame, keys: list[str], limit: Column) -> DataFrame:
     """Pairs (keys, name, other) of the distinct lower-case ``name`` of ``left`` and ``other`` of ``right`` that share ``keys``
-    and enough letters for a likeness of ``limit``, a column over ``keys``.
-
-    A likeness r over lengths a and b needs r (a + b) / 2 common letters, wherever they stand. Exact prefix filter: names
-    that share s of n letters meet among the rarest n - s + 1 of each, so pairs meet over those only. No pair is lost."""
-    left, right = left.select(*keys, "name").distinct(), right.select(*keys, "other").distinct()
-    x, y = _letters(left, "name", keys), _letters(right, "other", keys)
-    rarity = x.select(*keys, "letter").unionByName(y.select(*keys, "letter")).groupBy(*keys, "letter").agg(F.count("*").alias("df"))
-
-    def rare(df: DataFrame, c: str, side: str) -> DataFrame:
-        n = F.length(c)
-        fewest = F.ceil(limit * (n + F.ceil(n * limit / (2 - limit) - 1e-9)) / 2 - 1e-9)
-        place = F.row_number().over(Window.partitionBy(*keys, c).orderBy("df", "letter"))
-        rows = df.join(rarity, [*keys, "letter"]).withColumn(f"k_{side}", place).where(F.col(f"k_{side}") <= n - fewest + 1)
-        return rows.select(*keys, "letter", c, n.alias(f"n_{side}"), f"k_{side}")
-
-    met = rare(x, "name", "a").join(rare(y, "other", "b"), [*keys, "letter"])
-    both = F.col("n_a") + F.col("n_b")
-    needed = F.ceil(limit * both / 2 - 1e-9)
-    fits = (2 * F.least("n_a", "n_b") / both >= limit - 1e-9) & (F.col("k_a") <= F.col("n_a") - needed + 1) & (F.col("k_b") <= F.col("n_b") - needed + 1)
-    return met.where(fits).select(*keys, "name", "other").distinct()
+    and may reach a likeness of ``limit``, a column over ``keys``; no such pair is lost.
+
+    Names of lengths a and b differ in at most k inserted and deleted letters (see `_edits`). ``other`` is cut into k + 1 segments
+    for each length that a partner may have; at least one stands whole in the partner, moved by no more than the edits before and
+    after it allow. Names meet over such segments and their place; what has more than k edits by Levenshtein's count goes."""
+    x = left.select(*keys, "name").distinct().withColumn("la", F.length("name")).where("la > 0")
+    y = right.select(*keys, "other").distinct().withColumn("lb", F.length("other")).where("lb > 0")
+    la, lb = F.col("la"), F.col("lb")
+    low, high = limit / (F.lit(2.0) - limit), (F.lit(2.0) - limit) / limit
+    lengths = lambda own: F.sequence(F.greatest(F.ceil(own * low - 1e-6), F.lit(1)).cast("int"), F.greatest(F.floor(own * high + 1e-6), F.lit(1)).cast("int"))
+    cut = lambda df: df.withColumn("edits", _edits(limit, la, lb)).where("edits >= abs(la - lb)").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("edits") + 1)))
+    short = F.floor(lb / (F.col("edits") + 1)).cast("int")
+    longer = lb % (F.col("edits") + 1)  # so many last segments are longer by one
+    before = F.greatest(F.col("i") - 1 - (F.col("edits") + 1 - longer), F.lit(0))
+    at, width = (F.col("i") - 1) * short + before, short + (F.col("i") > F.col("edits") + 1 - longer).cast("int")
+    held = cut(y.withColumn("la", F.explode(lengths(lb)))).withColumn("part", F.substr("other", at + 1, width))
+    moved = la - lb
+    first, last = F.greatest(1 - F.col("i"), moved - (F.col("edits") + 1 - F.col("i"))), F.least(F.col("i") - 1, moved + (F.col("edits") + 1 - F.col("i")))
+    sought = cut(x.withColumn("lb", F.explode(lengths(la)))).withColumns({"at": at, "width": width, "first": first, "last": last}).where("first <= last")
+    sought = sought.withColumn("from", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("last") + F.col("at")))).where("from >= 0 AND from + width <= la").withColumn("part", F.substr("name", F.col("from") + 1, F.col("width")))
+    on = [*keys, "la", "lb", "i", "part"]
+    met = sought.select(*on, "name", "edits").join(held.select(*on, "other"), on).where(F.levenshtein("name", "other") <= F.col("edits"))
+    return met.select(*keys, "name", "other").distinct()
 
 
 def near_duplicate_names(candidates: DataFrame, tracked: DataFrame, *, person: float = 0.93, other: float = 0.88, head: float = 0.85) -> DataFrame:

@@ -10,19 +10,22 @@ from murmura.operators.components import heavy_rows, joined_by_key
 from murmura.scratch import materialize
 
 
-def ingest_dedupe(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def ingest_dedupe(new: DataFrame, stored: DataFrame | None = None, stored_keys: dict[str, DataFrame] | None = None) -> DataFrame:
     """Rows of ``new`` (id, url_key, hash_key, collected_at) that arrival in order would store.
 
     A row is stored if no stored row has its url or its hash; a suppressed row suppresses nothing. Rounds: rows that
     come first in both of their groups are accepted, then rows that share a key with an accepted one go; what is left
     starts the next round. Null keys count as one value. Firsts are found by sums that tasks make before the shuffle, and
-    the rows of a heavy key (the null one, say) stay spread over all tasks."""
+    the rows of a heavy key (the null one, say) stay spread over all tasks. ``stored`` are rows stored before, ``stored_keys`` their keys in
+    a table for each key."""
     keys = ("url_key", "hash_key")
     held = lambda df: df.withColumns({f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys})
     left, accepted = held(new).withColumn("_at", F.struct("collected_at", "id")), None
-    if stored is not None:
-        for k in keys:
-            left = left.join(held(stored).select(f"_{k}").distinct(), f"_{k}", "left_anti")
+    for k in keys:
+        for before in (stored, (stored_keys or {}).get(k)):
+            if before is not None:
+                taken = before.select(F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(f"_{k}"))
+                left = left.join(taken.distinct(), f"_{k}", "left_anti")
     left = materialize(left, "dedupe-left")
     while not left.isEmpty():
         heavy = heavy_rows(left.count())

@@ -43,9 +43,8 @@ def risk_stream(s: Star) -> DataFrame:
         (F.col("user_id") % 25).alias("client_id"), F.col("user_id").alias("document_id"), F.lit(None).cast("long").alias("entity_id"),
         F.when(F.col("event_id") % 7 == 0, "llm").otherwise("rule").alias("role_source"), F.struct("ts", "event_id").alias("computed_at"),
     )
-    keep = lambda held, batch: risk.upsert_events(held, batch)
-    first = jobs.run_available(rows, mode="append", merge=keep)
-    return risk.upsert_events(first.where("false"), first).select("client_id", "document_id", "role_source", F.col("computed_at.event_id").alias("winner"))
+    held = jobs.run_available(rows, mode="append", merge=risk.upsert_events, keys=["client_id", "document_id", "entity_id"])
+    return held.select("client_id", "document_id", "role_source", F.col("computed_at.event_id").alias("winner"))
 
 
 QUERIES = {

@@ -22,8 +22,10 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def dedupe(s: Star) -> DataFrame:
-    items = _events(s).select("event_id", "ts", (F.col("event_id") % 700).alias("url_key"), (F.col("event_id") % 900).alias("hash_key"))
-    return jobs.run_available(jobs.ingest_dedupe(items, "60 days"), mode="append").agg(F.count("*").alias("stored"), F.countDistinct("url_key").alias("urls"))
+    """Every event as an item that shares its url with some and its content with others."""
+    k = F.col("event_id")
+    items = _events(s).select(k.alias("id"), F.concat(F.lit("u"), F.when(k % 3 != 0, k % 701).otherwise(k)).alias("url_key"), F.concat(F.lit("h"), F.when(k % 5 != 0, k % 907).otherwise(k)).alias("hash_key"), F.col("ts").alias("collected_at"))
+    return jobs.ingest_dedupe(items).select("id", "url_key", "hash_key")
 
 
 def cursor(s: Star) -> DataFrame:
@@ -53,7 +55,7 @@ SELECT start, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM e GRO
 s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
     ),
     "t6_source_health_state": (
-        lambda s: jobs.run_available(jobs.source_health(_events(s)), mode="update", merge=jobs.newest_per_key).select("user_id", "failures", "broken"),
+        lambda s: jobs.run_available(jobs.source_health(_events(s)), mode="update", merge=jobs.newest_per_key, keys=["user_id"]).select("user_id", "failures", "broken"),
         """WITH m AS (SELECT *, max(CASE WHEN event_type <> 'error' THEN ts END) OVER (PARTITION BY user_id) AS ok FROM events)
 SELECT user_id, count(*) FILTER (ok IS NULL OR ts > ok) AS failures, count(*) FILTER (ok IS NULL OR ts > ok) >= 5 AS broken FROM m GROUP BY 1""",
     ),

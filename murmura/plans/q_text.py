@@ -106,14 +106,17 @@ def titled(s: Star) -> DataFrame:
 
 
 def incident_items(s: Star) -> DataFrame:
-    """Flagged documents of each entity as items; titles out of a few stories, dated by publication."""
+    """Flagged documents of each entity as items; titles out of a few stories, some with an event, dated by publication."""
     words = ["bridge", "harbour", "turbine", "ledger", "warehouse", "signal", "pipeline", "voucher", "orchard", "tunnel", "reactor", "satellite"]
     k = F.col("document_id")
     pick = lambda i: F.element_at(F.array(*map(F.lit, words)), (F.pmod(i, F.lit(len(words))) + 1).cast("int"))
     title = F.concat_ws(" ", pick(k % 5), pick(k % 5 + 3), pick(k % 7 + 5), pick(k % 3 + 1), F.lit("closes"))
+    acts = ["raid", "office", "search", "refund", "order", "betting", "license", "dispute"]
+    act = lambda i: F.element_at(F.array(*map(F.lit, acts)), (F.pmod(i, F.lit(len(acts))) + 1).cast("int"))
+    event = F.when(k % 6 == 0, F.concat_ws(" ", act(k % 11), act(k % 11 + 2), act(k % 13 + 1))).when(k % 17 == 0, act(k % 11))
     rows = _events(s).where("risk_score > 50")
     item = F.struct("document_id", "entity_id").alias("item_id")
-    return rows.select(item, "entity_id", "entity_name", F.concat(title, F.lit(" - Reuters")).alias("title"), F.lit(None).cast("string").alias("event"), "published_at", F.col("risk_score").alias("score"))
+    return rows.select(item, "entity_id", "entity_name", F.concat(title, F.lit(" - Reuters")).alias("title"), event.alias("event"), "published_at", F.col("risk_score").alias("score"))
 
 
 def _ids(df: DataFrame, *columns: str) -> DataFrame:

@@ -68,7 +68,7 @@ def alert_state(s: Star) -> DataFrame:
     held = s.table("events").select("user_id").distinct().where("user_id % 2 = 0").select(
         (F.col("user_id") % 25).alias("client_id"), F.lit("Multi-Signal Incident").alias("alert_type"), F.col("user_id").alias("entity_id"), F.lit("HIGH").alias("severity"), F.array(F.lit(-1).cast("long")).alias("documents"),
         F.lit(10.0).alias("evidence_score"), F.lit(20.0).alias("confidence_score"), F.when(F.col("user_id") % 4 == 0, "RESOLVED").otherwise("ACTIVE").alias("lifecycle_status"), F.array(F.lit("seed")).alias("history"))
-    out = jobs.run_available(signals, mode="append", merge=lambda old, batch: alerts.merge_alerts(old, alerts.alert_batch(batch)), start=held)
+    out = jobs.run_available(signals, mode="append", merge=lambda old, batch: alerts.merge_alerts(old, alerts.alert_batch(batch)), start=held, keys=["client_id", "alert_type", "entity_id"])
     return rounded(out.select("client_id", "entity_id", "severity", F.size("documents").alias("documents"), "evidence_score", "confidence_score", "lifecycle_status", F.element_at("history", -1).alias("last_step")))
 
 

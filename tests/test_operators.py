@@ -31,6 +31,22 @@ def test_components_equal_closure(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_tasks_joining_links_first(spark, monkeypatch):
+    from murmura.operators import components as module
+
+    monkeypatch.setattr(module, "LOCAL_NODES", 7)  # tasks put out their stars again and again
+    rng = random.Random(3)
+    edges = [((g, rng.randrange(25)), (g, rng.randrange(25)), g) for g in range(6) for _ in range(22)]
+    root = {n: n for a, b, _ in edges for n in (a, b)}
+    for _ in range(40):
+        for a, b, _ in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a struct<g:int,i:int>, b struct<g:int,i:int>, g int")
+    got = {tuple(r.node): tuple(r.root) for r in components(df, near="g").distinct().collect()}
+    assert got == {n: r for n, r in root.items() if any(n in e[:2] and e[0] != e[1] for e in edges)}
+    assert components(df.where("false"), near="g").count() == 0
+
+
 def item(i, entity, title, at, event=None, name="EaseTravel"):
     return (i, entity, name, title, event, at, 60.0)
 
