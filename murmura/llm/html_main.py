@@ -1,15 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
 Pass one weighs each block's evidence: stop-word density as far as the block is long, against link density, plus a prior
-of where the block stands (in an article, in page furniture, in the open). What stays ambiguous, short blocks above all,
-takes in pass two the label of the nearest decided neighbour.
+of where the block stands (in an article, in page furniture, in the open). Priors are bounded: long blocks of links within an article are
+decided against it, and long running text in loosely named furniture of an article is left open. What stays ambiguous, short
+blocks above all, takes in pass two the label of the nearest decided neighbour.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,6 +32,8 @@ FURNITURE_WORDS = frozenset(
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination "
     "pager skip search form copyright".split()
 )
+#: Of these, the words that name a place in a layout more than what stands there.
+LOOSE_WORDS = frozenset("widget toolbar skip share sharing search copyright".split())
 COMMENT_WORDS = frozenset("comment comments reply replies ad ads advert sponsored related".split())
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has he in is it its of on or that the this to was were will with not but they you "
@@ -54,12 +57,19 @@ class Rules:
     link_free: float = 0.2
     link_slope: float = 4.0
     sure: float = 0.5
-    #: Priors. Within an article few stop words tell nothing (tables, names, formulas) and links a fifth of the usual.
+    #: Priors. Within an article few stop words tell nothing (tables, names, formulas), and links count as far as a block is long:
+    #: linked items and headings belong to it, a long block of nothing but links is a menu.
     article: float = 0.4
-    article_links: float = 0.2
+    article_links: float = 0.6
     furniture: float = -3.0
+    #: Of furniture within an article that only a loose class word tells: long text of many stop words makes it ambiguous.
+    loose: float = -0.9
     #: In the open, times the share of the page's text outside furniture that articles hold.
     beside_article: float = -2.0
+    #: Rules that can be switched off, to see what each of them decides (see `rule_effects`).
+    stop_words: bool = True
+    link_density: bool = True
+    neighbours: bool = True
 
 
 @dataclass
@@ -70,6 +80,7 @@ class Block:
     furniture: bool
     article: bool
     parent: int
+    loose: bool = False  # furniture by a loose class word only
     label: bool | None = field(default=None)  # True: main text, False: not, None: ambiguous
     rule: str = ""  # what decided: stop words, links, prior, neighbour, alone
 
@@ -79,7 +90,7 @@ class _Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, furniture, article, number
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, furniture (1: by a loose word only), article, number
         self.opened = 0
         self.silent = 0
         self.silent_tag = ""
@@ -92,8 +103,8 @@ class _Blocks(HTMLParser):
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, furniture, article, parent = self.open[-1] if self.open else ("", False, False, 0)
-            self.blocks.append(Block(text, self.link_chars, self.tag, furniture, article, parent))
+            _, furniture, article, parent = self.open[-1] if self.open else ("", 0, False, 0)
+            self.blocks.append(Block(text, self.link_chars, self.tag, furniture > 0, article, parent, furniture == 1))
         self.parts, self.link_chars = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -114,22 +125,23 @@ class _Blocks(HTMLParser):
         named = dict(attrs)
         words = set(re.split(r"[^a-z0-9]+", f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
         role = (named.get("role") or "").lower()
-        inside = self.open[-1] if self.open else ("", False, False, 0)
+        inside = self.open[-1] if self.open else ("", 0, False, 0)
         article = inside[2] or tag in ("article", "main") or role in ("main", "article") or named.get("itemprop") == "articleBody"
-        if tag in ("html", "body", "main"):
-            own = False
-        elif tag == "article":
+        own, loose = False, False
+        if tag == "article":
             own = bool(words & COMMENT_WORDS)
-        else:
-            own = tag in FURNITURE_TAGS or tag == "header" and not inside[2] or role in FURNITURE_ROLES or bool(words & FURNITURE_WORDS)
+        elif tag not in ("html", "body", "main"):
+            own = tag in FURNITURE_TAGS or tag == "header" and not inside[2] or role in FURNITURE_ROLES or bool(words & FURNITURE_WORDS - LOOSE_WORDS)
+            loose = bool(words & LOOSE_WORDS)
             own = own or "hidden" in named or (named.get("aria-hidden") or "").lower() == "true" or "display:none" in (named.get("style") or "").replace(" ", "").lower()
-        if tag in BLOCK_TAGS or own and tag not in VOID_TAGS:
+        level = 2 if own else 1 if loose else 0
+        if tag in BLOCK_TAGS or level and tag not in VOID_TAGS:
             self.end_block()
             self.tag = tag
             # Headings and paragraphs that are no furniture enclose no other blocks.
-            if tag not in VOID_TAGS and (own or tag != "p" and not (tag[:1] == "h" and tag[1:].isdigit())):
+            if tag not in VOID_TAGS and (level or tag != "p" and not (tag[:1] == "h" and tag[1:].isdigit())):
                 self.opened += 1
-                self.open.append((tag, inside[1] or own, article, self.opened))
+                self.open.append((tag, max(inside[1], level), article, self.opened))
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
@@ -169,14 +181,19 @@ def text_evidence(text: str, rules: Rules) -> float:
     return max(-1.0, min(1.0, (stops - middle) / half)) * min(1.0, len(text) / rules.long)
 
 
+def _heading(tag: str) -> bool:
+    return tag[:1] == "h" and tag[1:].isdigit()
+
+
 def first_pass(b: Block, share: float, rules: Rules) -> None:
     """Label and rule of a block where its evidence suffices; ``share`` of the page's text stands in articles."""
-    words = text_evidence(b.text, rules)
-    links = -min(2.0, rules.link_slope * max(0.0, b.links / len(b.text) - rules.link_free))
+    words = text_evidence(b.text, rules) if rules.stop_words else 0.0
+    links = -min(2.0, rules.link_slope * max(0.0, b.links / len(b.text) - rules.link_free)) if rules.link_density else 0.0
     if b.furniture:
-        prior = rules.furniture
+        prior = rules.loose if b.loose and b.article else rules.furniture
     elif b.article:
-        prior, words, links = rules.article, max(0.0, words), links * rules.article_links
+        told = 0.0 if _heading(b.tag) else rules.article_links * min(1.0, len(b.text) / rules.long)
+        prior, words, links = rules.article, max(0.0, words), links * told
     else:
         prior = rules.beside_article * share
     total = words + links + prior
@@ -188,12 +205,12 @@ def first_pass(b: Block, share: float, rules: Rules) -> None:
 
 
 def second_pass(blocks: list[Block]) -> None:
-    """Ambiguous blocks take the label of the nearest decided one; within an article, of the nearest one of an article.
+    """Ambiguous blocks take the label of the nearest decided one; within an article, of the nearest one of that kind.
 
     The nearer side rules. At equal distance, headings take what follows, others what stands in the same element, else
     what follows. Without a decided neighbour, or if the page had no main text at all, a block is main text."""
     decided = [b.label for b in blocks]
-    inside = [b.label if b.article and not b.furniture else None for b in blocks]
+    inside = [b.label if b.article and (b.loose or not b.furniture) else None for b in blocks]
     near = {False: (_nearest(decided), _nearest(decided[::-1])[::-1]), True: (_nearest(inside), _nearest(inside[::-1])[::-1])}
     empty = True not in decided
     for i, b in enumerate(blocks):
@@ -201,7 +218,7 @@ def second_pass(blocks: list[Block]) -> None:
             continue
         before, after = near[b.article]
         (back, x), (ahead, y) = before[i], after[i]
-        heading = b.tag[:1] == "h" and b.tag[1:].isdigit()
+        heading = _heading(b.tag)
         same = back == ahead and i >= back and blocks[i - back].parent == b.parent and blocks[min(i + ahead, len(blocks) - 1)].parent != b.parent
         first, other = (y, x) if heading or ahead < back or ahead == back and not same else (x, y)
         found = first if first is not None else other
@@ -215,7 +232,11 @@ def label_blocks(blocks: list[Block], rules: Rules) -> None:
     share = held[True] / max(1, held[True] + held[False])
     for b in blocks:
         first_pass(b, share, rules)
-    second_pass(blocks)
+    if rules.neighbours:
+        second_pass(blocks)
+    else:  # what is left stands alone
+        for b in blocks:
+            b.label, b.rule = (b.label, b.rule) if b.label is not None else (not b.furniture, "alone")
 
 
 def _nearest(decided: list[bool | None]) -> list[tuple[int, bool | None]]:
@@ -250,6 +271,31 @@ def extract_pages(pages: DataFrame, *, rules: Rules = Rules()) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
+def rule_effects(pages: DataFrame, *, rules: Rules = Rules()) -> DataFrame:
+    """rule, blocks, labels, texts: how many of all blocks change their label, and of all pages their text, when a rule (stop words,
+    links, neighbours) is switched off. What stays the same without a rule was not decided by it alone."""
+    off = {"stop words": replace(rules, stop_words=False), "links": replace(rules, link_density=False), "neighbours": replace(rules, neighbours=False)}
+    schema = pa.schema([("rule", pa.string()), ("blocks", pa.int64()), ("labels", pa.int64()), ("texts", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {k: [0, 0, 0] for k in off}
+        for batch in batches:
+            for html in batch.column("html").to_pylist():
+                blocks = page_blocks(html or "")
+                label_blocks(blocks, rules)
+                held = [b.label for b in blocks]
+                for k, other in off.items():
+                    for b in blocks:
+                        b.label, b.rule = None, ""
+                    label_blocks(blocks, other)
+                    changed = sum(b.label != x for b, x in zip(blocks, held))
+                    found[k] = [found[k][0] + len(blocks), found[k][1] + changed, found[k][2] + (changed > 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((k, *n) for k, n in found.items())), schema)], schema=schema)
+
+    tasks = pages.select("html").mapInArrow(run, "rule string, blocks long, labels long, texts long")
+    return tasks.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("blocks", "labels", "texts")))
+
+
 def block_report(pages: DataFrame, *, rules: Rules = Rules()) -> DataFrame:
     """page_id, block (number in the page), place (article, furniture, open), rule that decided, label and n_chars of every
     block of ``pages``."""

@@ -104,15 +104,15 @@ def labelled(blocks):
         text = min(1, max(-1, (density - 0.095) / 0.055)) * min(1, len(b.text) / 140)
         links = -min(2, 4 * max(0, b.links / len(b.text) - 0.2))
         if b.furniture:
-            score = text + links - 3
+            score = text + links - (0.9 if b.loose and b.article else 3)
         elif b.article:
-            score = max(0, text) + links / 5 + 0.4
+            score = max(0, text) + links * (0 if re.fullmatch("h[0-9]", b.tag) else 0.6 * min(1, len(b.text) / 140)) + 0.4
         else:
             score = text + links - 2 * article / max(1, article + open_)
         first.append(None if abs(score) < r.sure else score > 0)
     out = []
     for i, b in enumerate(blocks):
-        known = [(abs(j - i), j) for j, x in enumerate(first) if x is not None and (not b.article or blocks[j].article and not blocks[j].furniture)]
+        known = [(abs(j - i), j) for j, x in enumerate(first) if x is not None and (not b.article or blocks[j].article and (blocks[j].loose or not blocks[j].furniture))]
         if first[i] is not None:
             out.append(first[i])
         elif not known or True not in first:
@@ -135,6 +135,7 @@ def test_labels_equal_the_definitions():
     pages += [PAGE % f"<div><h2>A</h2><p>{PROSE}</p><p>s</p></div><div><p>t</p><a href=x>{'links ' * 30}</a></div><p>u</p><h3>B</h3><p>{PROSE}</p>"]
     rng = random.Random(2)
     part = ["<p>Short line</p>", f"<p>{PROSE}</p>", "<h2>Head</h2>", "<div><a href=x>to a page</a></div>", f"<div>{'zz ' * 60}</div>", "<nav>Menu</nav>", f"<article><p>word</p><p>{PROSE}</p></article>", "<article><h4>One</h4></article>"]
+    part += [f"<article><p>{PROSE}</p><div><a href=x>{'links ' * 30}</a></div><p>w</p></article>", f"<article><p>word</p><div class=share>{PROSE}</div><div class=share>Send</div></article>"]
     pages += ["".join(rng.choice(part) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
     rows = duckdb.connect().execute(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()
     pages += [h or "" for (h,) in rows]
@@ -149,6 +150,52 @@ def test_labels_equal_the_definitions():
     assert rules == {"stop words", "links", "prior", "neighbour", "alone"}
 
 
+def planted_pages(seed, n):
+    """Pages whose markup says nothing (plain divs) with the main text that they should give: running text with its headings and
+    short lines, then menus of links with their headings and short labels, before and behind it."""
+    rng = random.Random(seed)
+    words = "bridge river council harbour market school garden station museum winter letters engine village forest letter window".split()
+    stops = "the of and to in is that it was for on with as by at from this be are not".split()
+    sentence = lambda: " ".join(rng.choice(stops) if rng.random() < 0.45 else rng.choice(words) for _ in range(rng.randrange(28, 40))).capitalize() + "."
+    name = lambda: " ".join(rng.sample(words, rng.randrange(1, 4))).capitalize()
+    menu = lambda: [f"<h3>{name()}</h3>"] + [f"<div><a href='/{rng.choice(words)}'>{' '.join(rng.sample(words, 6))}</a></div>" for _ in range(rng.randrange(3, 7))] + [f"<div>{name()}</div>"]
+    out = []
+    for _ in range(n):
+        main, text = [f"<h2>{(title := name())}</h2>"], [title]
+        for _ in range(rng.randrange(2, 6)):
+            main.append(f"<p>{(said := sentence())}</p>")
+            text.append(said)
+            if rng.random() < 0.5:
+                main.append(f"<p>{(short := name())}.</p>")
+                text.append(short + ".")
+        main.append(f"<p>{(last := sentence())}</p>")
+        out.append(("".join([*menu(), *main, *menu()]), " ".join([*text, last])))
+    return out
+
+
+def test_each_rule_decides_pages_without_markup():
+    pages = planted_pages(11, 200)
+    right = lambda **off: sum(html_main.main_text(h, html_main.Rules(**off)) == want for h, want in pages)
+    assert right() >= 190
+    assert all(right(**{k: False}) < 20 for k in ("stop_words", "link_density", "neighbours"))
+
+
+def test_rule_effects(spark):
+    pages = spark.createDataFrame([(h,) for h, _ in planted_pages(12, 60)], "html string")
+    got = {r.rule: r for r in html_main.rule_effects(pages).collect()}
+    assert set(got) == {"stop words", "links", "neighbours"} and len({r.blocks for r in got.values()}) == 1
+    assert all(r.labels > 60 and r.texts >= 50 for r in got.values())
+    assert sum(r.blocks for r in html_main.rule_effects(pages.where("false")).collect()) == 0
+
+
+def test_priors_can_be_overturned():
+    links = f"<ul><li><a href=x>{'town news ' * 20}</a></li></ul>"
+    assert html_main.main_text(f"<article><p>{PROSE}</p>{links}<h3><a href=y>Linked head</a></h3><p>{PROSE}</p></article>") == f"{PROSE}Linked head {PROSE}".strip()
+    loose = f"<article><p>{PROSE}</p><div class='share-note'>{PROSE}</div><p>{PROSE}</p><div class='share-bar'>Send it on</div></article>"
+    assert html_main.main_text(loose) == f"{PROSE}{PROSE}{PROSE}".strip()
+    assert html_main.main_text(loose.replace("share-note", "comment-note")) == f"{PROSE}{PROSE}".strip()
+
+
 def test_block_report(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {(r.rule, r.label): r["count"] for r in html_main.block_report(pages).groupBy("rule", "label").count().collect()}
