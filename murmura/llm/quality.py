@@ -34,6 +34,8 @@ MEASURES = {
 GROWTH, ZERO = 1.002, -(2**30)
 #: Documents in a group with fences of its own; thinner ones take those of their language, thin languages the corpus's.
 LEAST_GROUP = 100
+#: Standard deviations beyond a fence that reject a document.
+SURE = 3.0
 
 
 def with_word_counts(docs: DataFrame) -> DataFrame:
@@ -77,15 +79,50 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _measures() -> dict[str, tuple[Column, Column]]:
-    """Each measure with its noise in one document: two symbols, a line, a window met twice, three standard errors."""
-    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
-    return {
-        "symbol_ratio": (F.col("n_symbols") / chars, 2 / chars),
-        "dup_line_ratio": (F.col("n_dup_lines") / lines, 1 / lines),
-        "repeat_ratio": (F.col("n_repeat_words") / words, 2 * WINDOW / words),
-        "mean_word_chars": (F.col("word_chars") / words, 7.5 / F.sqrt(words)),
-    }
+#: Measures that count something of a document: the count, what it is out of, and how many go by at once (a window that is
+#: met twice repeats ten words).
+COUNTS = {"symbol_ratio": ("n_symbols", "word_chars", 1), "dup_line_ratio": ("n_dup_lines", "n_lines", 1), "repeat_ratio": ("n_repeat_words", "n_words", 2 * WINDOW)}
+
+
+def _measures() -> dict[str, Column]:
+    size = lambda c: F.greatest(F.col(c), F.lit(1))
+    return {k: F.col(n) / size(of) for k, (n, of, _) in COUNTS.items()} | {"mean_word_chars": F.col("word_chars") / size("n_words")}
+
+
+def spreads(rows: DataFrame, counted: DataFrame, least_group: int) -> DataFrame:
+    """s_lang, s_source and, for every group of ``counted``, what its documents differ by: the rate of each count and the deviation of
+    word lengths; over ``rows`` of the group, else of its language, else of all.
+
+    Both come from sums that tasks and groups add up. rate: the count out of its size, three more than were seen, so that a group
+    without any is not taken to be sure. deviation: of a word's length, as documents' means show it over their numbers of words."""
+    sums = [F.count("*").alias("n")]
+    for k, (n, of, unit) in COUNTS.items():
+        x, size = F.col(n) / unit, F.greatest(F.col(of), F.lit(1))
+        sums += [F.sum(x).alias(f"x_{k}"), F.sum(size).cast("double").alias(f"o_{k}")]
+    words = F.greatest(F.col("n_words"), F.lit(1))
+    sums += [F.sum("word_chars").cast("double").alias("chars"), F.sum(words).cast("double").alias("words"), F.sum(F.col("word_chars") * F.col("word_chars") / words).alias("squares")]
+    held = materialize(rows.groupBy("lang", "source").agg(*sums), "quality-sums")
+    more = [F.sum(c).alias(c) for c in held.columns[2:]]
+    stats = [((F.col(f"x_{k}") + 3) / F.col(f"o_{k}")).alias(f"rate_{k}") for k in COUNTS]
+    stats.append(F.sqrt(F.greatest((F.col("squares") - F.col("chars") * F.col("chars") / F.col("words")) / F.col("n"), F.lit(0.0))).alias("deviation"))
+    stat = F.struct("n", *stats)
+    own, lang = held.select("lang", "source", stat.alias("s")).alias("b"), held.groupBy("lang").agg(*more).select("lang", stat.alias("s")).alias("l")
+    top = held.agg(*more).select(stat.alias("s")).first()["s"]  # one row
+    groups = counted.select("lang", "source").distinct().alias("g")
+    same_lang, same_source = F.col("g.lang").eqNullSafe(F.col("b.lang")), F.col("g.source").eqNullSafe(F.col("b.source"))
+    up = groups.join(own, same_lang & same_source, "left").join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
+    own_n, lang_n = F.col("b.s.n") >= least_group, F.col("l.s.n") >= least_group
+    pick = lambda c: F.when(own_n, F.col(f"b.s.{c}")).when(lang_n, F.col(f"l.s.{c}")).otherwise(F.lit(top[c]).cast("double")).alias(c)
+    return up.select(F.col("g.lang").alias("s_lang"), F.col("g.source").alias("s_source"), *(pick(c) for c in [f"rate_{k}" for k in COUNTS] + ["deviation"]))
+
+
+def _above(k: str, fence: Column, sure: float) -> Column:
+    """Whether a document's count lies above what its group's fence, or at least its rate, lets one of its size have, by more than
+    ``sure`` deviations on the scale on which counts of any mean vary alike (square roots)."""
+    n, of, unit = COUNTS[k]
+    x, size = F.col(n) / unit, F.greatest(F.col(of), F.lit(1))
+    due = size * F.greatest(fence / unit, F.col(f"rate_{k}"))
+    return F.sqrt(x) + F.sqrt(x + 1) - F.sqrt(4 * due + 1) > sure
 
 
 def sketches(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
@@ -133,36 +170,47 @@ def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def sound(counted: DataFrame, *, reach: float = 3.0, least_group: int = LEAST_GROUP) -> DataFrame:
-    """The rows of ``counted`` that pass the base rule and stand, but for noise, within ``reach`` times the distance of the
-    outer decile from their group's median in symbols and word length. Up to a tenth of bad documents moves neither."""
-    body = {k: (c, noise) for k, (c, noise) in _measures().items() if MEASURES[k][2]}
+    """The rows of ``counted`` that pass the base rule and stand within ``reach`` times the distance of the outer decile from their
+    group's median in symbols and word length. Up to a tenth of bad documents moves neither. Where the deciles of a
+    group are equal, documents with more than that are left out here; they are judged with the others."""
+    body = {k: c for k, c in _measures().items() if MEASURES[k][2]}
     passed = counted.where(~base_failed())
-    deciles = _by_group(passed, counted, {k: c for k, (c, _) in body.items()}, [0.1, 0.5, 0.9], "quality-deciles", least_group)
+    deciles = _by_group(passed, counted, body, [0.1, 0.5, 0.9], "quality-deciles", least_group)
     inside = F.lit(True)
-    for k, (c, noise) in body.items():
+    for k, c in body.items():
         q = F.col(f"q_{k}")
-        inside = inside & (c - noise <= q[1] + reach * (q[2] - q[1])) & (c + noise >= q[1] - reach * (q[1] - q[0]))
+        near = 1e-9 + q[1] * (GROWTH - 1)  # a sketch's own error
+        inside = inside & (c <= q[1] + reach * (q[2] - q[1]) + near) & (c >= q[1] - reach * (q[1] - q[0]) - near)
     return _joined(passed, deciles).where(inside).select(*counted.columns)
 
 
 def fences(counted: DataFrame, *, reach: float = 3.0, tail: float = 0.01, least_group: int = LEAST_GROUP) -> DataFrame:
-    """f_lang, f_source, and low_ and high_ fences of each measure: the quantiles ``tail`` and 1 - ``tail`` of the group's
-    sound documents (see `sound`), from mergeable sketches. Groups of under ``least_group`` sound documents take the
-    fences of their language, thin languages those of the corpus; without any sound document there are none."""
-    good = sound(counted, reach=reach, least_group=least_group)
-    found = _by_group(good, counted, {k: c for k, (c, _) in _measures().items()}, [tail, 1 - tail], "quality-tails", least_group)
+    """f_lang, f_source, low_ and high_ fences of each measure, and the spreads of the group (see `spreads`): the quantiles
+    ``tail`` and 1 - ``tail`` of the group's sound documents (see `sound`), from mergeable sketches. Groups of under
+    ``least_group`` sound documents take the fences of their language, thin languages those of the corpus; without any
+    sound document there are none."""
+    good = materialize(sound(counted, reach=reach, least_group=least_group), "quality-sound")
+    found = _by_group(good, counted, _measures(), [tail, 1 - tail], "quality-tails", least_group)
     none = F.lit(None).cast("double")
     out = [(F.col(f"q_{k}")[i] if wanted else none).alias(f"{side}_{k}") for k, (low, high, _) in MEASURES.items() for i, side, wanted in ((0, "low", low), (1, "high", high))]
-    return found.select("f_lang", "f_source", *out)
+    limits, more = found.select("f_lang", "f_source", *out), spreads(good, counted, least_group)
+    return limits.join(more, limits.f_lang.eqNullSafe(more.s_lang) & limits.f_source.eqNullSafe(more.s_source), "left").drop("s_lang", "s_source")
 
 
-def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """``counted`` with base_failed and kept: a document passes the base rule and, but for noise, every fence of its group."""
-    inside = F.lit(True)
-    for k, (c, noise) in _measures().items():
-        inside = inside & F.coalesce(c + noise >= F.col(f"low_{k}"), F.lit(True)) & F.coalesce(c - noise <= F.col(f"high_{k}"), F.lit(True))
-    both = _joined(counted, limits).withColumn("base_failed", base_failed())
-    return both.withColumn("kept", ~F.col("base_failed") & inside).drop(*limits.columns)
+def failed_fences(sure: float) -> dict[str, Column]:
+    """Whether a document lies outside the fences of its group by more than the group's spread, for each measure."""
+    failed = {k: F.coalesce(_above(k, F.col(f"high_{k}"), sure), F.lit(False)) for k in COUNTS}
+    noise = sure * F.col("deviation") / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    c = _measures()["mean_word_chars"]
+    failed["mean_word_chars"] = F.coalesce((c - noise > F.col("high_mean_word_chars")) | (c + noise < F.col("low_mean_word_chars")), F.lit(False))
+    return failed
+
+
+def judged(counted: DataFrame, limits: DataFrame, *, sure: float = SURE) -> DataFrame:
+    """``counted`` with base_failed, failed (the measures whose fences a document fails) and kept: it passes the base rule and fails none."""
+    failed = F.array_compact(F.array(*(F.when(c, k) for k, c in failed_fences(sure).items())))
+    both = _joined(counted, limits).withColumns({"base_failed": base_failed(), "failed": failed})
+    return both.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop(*limits.columns)
 
 
 def quality_verdicts(docs: DataFrame, *, reach: float = 3.0, tail: float = 0.01) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from murmura.llm import imatch, kd_sharding, mixing, quality, simhash
@@ -95,7 +96,7 @@ def test_fences_are_tails_of_sound_documents(spark):
     frame = pd.DataFrame(rows, columns=["lang", "source", *names])
     got = quality.fences(spark.createDataFrame(frame, "lang string, source string, " + ", ".join(f"{c} long" for c in names))).toPandas().set_index(["f_lang", "f_source"])
     w, c = frame.n_words, frame.word_chars
-    measure = {"symbol_ratio": (frame.n_symbols / c, 2 / c), "dup_line_ratio": (frame.n_dup_lines / frame.n_lines, 1 / frame.n_lines), "repeat_ratio": (frame.n_repeat_words / w, 10 / w), "mean_word_chars": (c / w, 7.5 / np.sqrt(w))}
+    measure = {"symbol_ratio": frame.n_symbols / c, "dup_line_ratio": frame.n_dup_lines / frame.n_lines, "repeat_ratio": frame.n_repeat_words / w, "mean_word_chars": c / w}
     passed = (w >= 10) & (100 * frame.n_repeat_words <= 20 * w)
     exact = lambda x, q: np.sort(x)[max(0, int(np.ceil(q * len(x))) - 1)]
 
@@ -109,19 +110,36 @@ def test_fences_are_tails_of_sound_documents(spark):
     for (lang, source), _ in frame.groupby(["lang", "source"]):
         own = (frame.lang == lang) & (frame.source == source)
         for k in ("symbol_ratio", "mean_word_chars"):
-            x, noise = measure[k]
+            x = measure[k]
             lo, mid, hi = (exact(x[standing_for(passed, lang, source)], q) for q in (0.1, 0.5, 0.9))
-            sound &= ~own | ((x - noise <= mid + 3 * (hi - mid)) & (x + noise >= mid - 3 * (mid - lo)))
+            sound &= ~own | ((x <= mid * 1.002 + 3 * (hi - mid)) & (x >= mid * 0.998 - 3 * (mid - lo)))
     assert 0.8 < sound.sum() / passed.sum() < 0.97
     for (lang, source), _ in frame.groupby(["lang", "source"]):
         for k, (low, high, _) in quality.MEASURES.items():
-            x = measure[k][0][standing_for(sound, lang, source)]
+            x = measure[k][standing_for(sound, lang, source)]
             near = lambda a, b: abs(a - b) <= 0.00101 * b
             assert not high or near(got.loc[lang, source][f"high_{k}"], exact(x, 0.99)), (lang, source, k)
             assert not low or near(got.loc[lang, source][f"low_{k}"], exact(x, 0.01))
     for k in ("high_symbol_ratio", "high_dup_line_ratio", "high_repeat_ratio", "high_mean_word_chars", "low_mean_word_chars"):
         assert got.loc["en", "a"][k] != got.loc["en", "b"][k]  # fences differ between groups
     assert (got.high_repeat_ratio < 0.2).all()  # and stand within the base rule
+    for (lang, source), _ in frame.groupby(["lang", "source"]):  # rates and deviations by their definitions
+        part = frame[standing_for(sound, lang, source)]
+        mean = part.word_chars.sum() / part.n_words.sum()
+        spread = np.sqrt((part.n_words * (part.word_chars / part.n_words - mean) ** 2).mean())
+        row = got.loc[lang, source]
+        assert abs(row.deviation - spread) < 0.02 * spread and abs(row.rate_symbol_ratio - (part.n_symbols.sum() + 3) / part.word_chars.sum()) < 0.02 * row.rate_symbol_ratio
+        assert abs(row.rate_repeat_ratio - (part.n_repeat_words.sum() / 10 + 3) / part.n_words.sum()) < 0.02 * row.rate_repeat_ratio
+
+
+def test_what_a_fence_allows_depends_on_group_and_size(spark):
+    cut = {}
+    for rate in (1e-6, 1e-3):
+        rows = [(n, size, 0.0, rate) for size in (300, 30_000) for n in range(80)]
+        df = spark.createDataFrame(rows, "n_symbols long, word_chars long, high_symbol_ratio double, rate_symbol_ratio double")
+        for r in df.withColumn("above", quality._above("symbol_ratio", F.col("high_symbol_ratio"), 3.0)).where("above").groupBy("word_chars").agg(F.min("n_symbols").alias("n")).collect():
+            cut[rate, r.word_chars] = r.n
+    assert cut[1e-6, 300] == cut[1e-6, 30_000] == 4 and 4 < cut[1e-3, 300] < 10 and cut[1e-3, 30_000] > 45
 
 
 def test_each_fence_rejects_what_its_group_does_not_hold(spark):
