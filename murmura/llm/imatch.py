@@ -62,9 +62,10 @@ def lexicon(docs: DataFrame, *, low: float = 0.0005, high: float = 0.2, most: in
     most 256 MB) at the driver and in each worker, where terms are looked up by binary search."""
     n = docs.count()
     band = document_frequencies(docs).where(F.col("df").between(math.ceil(low * n), math.floor(high * n))).select("term")
+    band = materialize(band, "lexicon")
+    if (held := band.count()) > most:
+        raise ValueError(f"{held} terms in the band: raise `low`")
     found = np.asarray(band.toArrow().column("term"), np.int64)
-    if len(found) > most:
-        raise ValueError(f"{len(found)} terms in the band: raise `low`")
     return np.sort(found.view(np.uint64))
 
 

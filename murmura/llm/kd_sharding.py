@@ -16,16 +16,20 @@ from pyspark.sql import functions as F
 from murmura.scratch import materialize
 
 DIGIT, ROUNDS = 12, 5
+#: A column of this name in the documents is taken as the number of each row.
+PLACE = "kd place"
 HALF = 24  # bits of the dimension, and of the tie; one more digit parts equal rows
 
 
 def metadata(docs: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32, tie, place (number of the row) and the dimensions as doubles."""
+    """doc_id, size (UTF-8 bytes plus 1), text_crc32, tie, place (number of the row, that of ``docs`` if it has one) and the
+    dimensions as doubles."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *(c.cast("double").alias(f"dim_{k}") for k, c in dimensions.items()))
+    place = F.col(PLACE) if PLACE in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), place.alias("place"), *(c.cast("double").alias(f"dim_{k}") for k, c in dimensions.items()))
     tie = F.xxhash64("doc_id", "text_crc32", "size").bitwiseAND(F.lit((1 << HALF) - 1))
-    return rows.withColumns({"tie": tie, "place": F.monotonically_increasing_id()})
+    return rows.withColumn("tie", tie)
 
 
 def with_copies(rows: DataFrame, run: int) -> DataFrame:
@@ -34,7 +38,7 @@ def with_copies(rows: DataFrame, run: int) -> DataFrame:
     At most rows / run ties are that heavy; Spark broadcasts them below its size threshold."""
     heavy = rows.groupBy("tie").count().where(F.col("count") > run).select("tie", F.lit(True).alias("heavy"))
     copy = F.xxhash64("place").bitwiseAND(F.lit((1 << DIGIT) - 1))
-    return rows.join(heavy, "tie", "left").withColumn("copy", F.when(F.col("heavy"), copy).otherwise(F.lit(0).cast("long"))).drop("heavy", "place")
+    return rows.join(heavy, "tie", "left").withColumn("copy", F.when(F.col("heavy"), copy).otherwise(F.lit(0).cast("long"))).drop("heavy")
 
 
 def default_dimensions() -> dict[str, Column]:
@@ -68,11 +72,13 @@ def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int |
     scale = {d: ((whole[f"hi_{d}"] or 0) - (whole[f"lo_{d}"] or 0)) or 1.0 for d in dims}
     top = (1 << HALF) - 1
     rows = rows.withColumns({d: F.floor((F.col(d) - F.lit(whole[f"lo_{d}"] or 0.0)) / scale[d] * top).cast("long") for d in dims})
-    rows = with_copies(rows, max(run, 16 * whole["n"] >> HALF)).withColumn("node", F.lit(0).cast("long"))
+    rows = with_copies(rows, max(run, 16 * whole["n"] >> HALF))
+    rows = (rows if PLACE in docs.columns else rows.drop("place")).withColumn("node", F.lit(0).cast("long"))
     nodes = spark.range(1).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("first"), F.lit(leaves).cast("long").alias("k"))
     for _ in range(math.ceil(math.log2(leaves))):
         rows, nodes = split_level(rows, nodes, dims)
-    return rows.join(nodes, "node").select("doc_id", "size", "text_crc32", "tie", "copy", F.col("first").cast("int").alias("shard"))
+    kept = ["doc_id", "size", "text_crc32", "tie", "copy", *(["place"] if PLACE in docs.columns else [])]
+    return rows.join(nodes, "node").select(*kept, F.col("first").cast("int").alias("shard"))
 
 
 def split_level(rows: DataFrame, nodes: DataFrame, dims: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -121,6 +127,18 @@ def with_slots(placed: DataFrame) -> DataFrame:
     return placed.withColumn("rank", local).join(base, ["shard", "bucket"]).withColumn("slot", F.col("base") + F.col("rank") - 1).drop("bucket", "rank", "base")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write whole documents under ``path``/shard=N."""
-    docs.join(placed.select("doc_id", "shard"), "doc_id").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, **how: object) -> str:
+    """Write every row of ``docs``, with all its columns, once under ``path``/shard=N, and return the name of that column.
+
+    ``how`` goes to `kd_shards`. Rows are numbered before the tree is built and find their shard by number, so null and repeated
+    doc_ids do; a column of ``docs`` called shard gets the new one an underscore in front. A shard's rows go by number to as many
+    files as tasks wrote, and each of them to one file."""
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    held = materialize(docs.select(whole, "doc_id", "text", "lang", "source").withColumn(PLACE, F.monotonically_increasing_id()), "kd-rows")
+    placed = kd_shards(held, **how).select("place", F.col("shard").alias(name))
+    rows = held.join(placed, F.col(f"`{PLACE}`") == F.col("place")).withColumn("spread", F.pmod(F.xxhash64("place"), F.lit(64)))
+    rows.repartition(name, "spread").select("row.*", name).write.partitionBy(name).parquet(path)
+    return name

@@ -415,3 +415,32 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path, frame):
         assert all([r[c] for c in CLASHES] == CLASHES for r in docs.collect())
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 0
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(1, "a", "en", "s"), (1, "b", "en", "s"), (None, "c", None, "s"), (None, "c", None, "s"), (3, None, "de", None)] + [(10 + i, "text " * (i % 9), "en", f"s{i % 3}") for i in range(200)]
+    df = spark.createDataFrame([(*r, "clash", i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, shard string, node int")
+    name = kd_sharding.write_shards(df, str(tmp_path / "out"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "_shard" and sorted(back.columns) == sorted([*df.columns, "_shard"])
+    assert sorted(map(repr, (tuple(r) for r in back.select(*df.columns).collect()))) == sorted(map(repr, (tuple(r) for r in df.collect())))
+    sizes = [r.b for r in back.groupBy("_shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.3 * min(sizes)
+
+
+def test_a_lexicon_above_its_bound_is_refused(spark):
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} common") for i in range(70)], "doc_id long, text string")
+    assert len(imatch.lexicon(docs, low=0.1, high=0.3)) == 12
+    with pytest.raises(ValueError, match="12 terms"):
+        imatch.lexicon(docs, low=0.1, high=0.3, most=11)
+
+
+def test_null_ids_in_mixing_and_verdicts(spark):
+    rows = [(None, "one two three four five six seven eight nine ten eleven.", "en", "a"), (None, "one two three four five six seven eight nine ten twelve.", "en", "a"), (None, None, None, None), (5, "x", "en", "b")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, taken int")
+    mixed = mixing.mixed_documents(df).collect()
+    assert sorted((r.doc_id is None, r["size"]) for r in mixed) == [(False, 1), (True, 0), (True, 11), (True, 11)] and all(0 <= r.taken <= 2 * r["size"] for r in mixed)
+    verdicts = quality.quality_verdicts(df).collect()
+    assert sorted(r.n_words for r in verdicts) == [0, 1, 11, 11] and sum(r.doc_id is None for r in verdicts) == 3
+    found = simhash.near_duplicates(df).collect()
+    assert len(found) == 4 and sum(r.doc_id is None for r in found) == 3
