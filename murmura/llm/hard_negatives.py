@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from murmura.scratch import discard, materialize
 
 #: Split points of a node; rows that a leaf should hold; most leaves (the tree stays of this size, leaves then grow).
-FANOUT, LEAF_ROWS, MOST_LEAVES = 16, 1024, 256
+FANOUT, LEAF_ROWS, MOST_LEAVES = 16, 64, 512
 #: About so many rows, drawn by a hash, give the split points. All rows are indexed and give the distance ranges.
-SAMPLE = 4096
+SAMPLE = 8192
 #: Rows and queries that meet in one call at most: a leaf's rows and the queries that visit it are dealt into blocks.
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 #: Scores are exact as doubles below this; beyond it nothing is eliminated and scores wrap as Spark's long sums do.
