@@ -70,7 +70,24 @@ class Phrases:
         return {p for _, p in self.tree.iter(form)} if self.some else set()
 
 
-def of_worker(kind: type, key: object, phrases: list[str]) -> Keywords | Phrases:
+class Parts:
+    """Texts sought anywhere in another: every one that it holds."""
+
+    def __init__(self, parts: list[str]) -> None:
+        self.empty = "" in parts
+        self.tree = ahocorasick.Automaton()
+        for p in filter(None, parts):
+            self.tree.add_word(p, p)
+        self.some = len(self.tree) > 0
+        if self.some:
+            self.tree.make_automaton()
+
+    def held(self, low: str) -> set[str]:
+        found = {p for _, p in self.tree.iter(low)} if self.some else set()
+        return found | {""} if self.empty else found
+
+
+def of_worker(kind: type, key: object, phrases: list[str]) -> Keywords | Phrases | Parts:
     """The worker's automaton of a broadcast roster, built on first use; the store holds the last few rosters."""
     store = worker_store().setdefault("rosters", {})
     if (kind.__name__, key) not in store:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from murmura.operators.automaton import Parts, of_worker
 from murmura.operators.terms import self_reference_terms
 
 
@@ -27,22 +32,31 @@ def hit_attribution(hits: DataFrame, mentions: DataFrame, guard: Column) -> Data
     return hits.join(known, ["document_id", "entity_id"], "left").withColumn("outcome", outcome).drop("known")
 
 
-#: Names asked for at a time; they travel as one small broadcast table.
-MOST_ASKED = 10_000
+#: Names asked for at a time; they are broadcast and compiled once a worker.
+MOST_ASKED = 1_000_000
 
 
 def name_lookup(asked: list[str], spark: SparkSession, tracked: DataFrame) -> DataFrame:
     """query -> found name and how: exact (any case), the only partial match, ambiguous or none.
 
-    The asked names, at most MOST_ASKED, are broadcast over the roster, which is read once and never shuffled: each of its
-    names says which asked ones it equals or contains, and only counts meet."""
+    The asked names, at most MOST_ASKED, are one automaton, through which each tracked name goes once: it says which asked ones it
+    contains, whatever their number, and only counts meet. An empty query is in every name."""
     if len(asked) > MOST_ASKED:
         raise ValueError(f"{len(asked)} names asked; ask for {MOST_ASKED} at a time")
-    low = sorted({a.strip().lower() for a in asked})
-    words = F.array(*map(F.lit, low)) if low else F.array().cast("array<string>")
-    hits = tracked.select("name", F.explode(F.filter(words, lambda q: F.contains(F.lower("name"), q))).alias("q"))
-    exact = F.lower("name") == F.col("q")
-    found = hits.groupBy("q").agg(F.min(F.when(exact, F.col("name"))).alias("exact"), F.count("*").alias("n"), F.min("name").alias("partial"))
+    roster, token = spark.sparkContext.broadcast(sorted({a.strip().lower() for a in asked})), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = of_worker(Parts, token, roster.value)
+        for b in batches:
+            names, found, exact = [], [], []
+            for name in b.column("name").to_pylist():
+                low = (name or "").lower()
+                for q in known.held(low) if name is not None else ():
+                    names.append(name), found.append(q), exact.append(q == low)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string()), pa.array(exact, pa.bool_())], names=["name", "q", "exact"])
+
+    hits = tracked.select("name").mapInArrow(run, "name string, q string, exact boolean")
+    found = hits.groupBy("q").agg(F.min(F.when(F.col("exact"), F.col("name"))).alias("exact"), F.count("*").alias("n"), F.min("name").alias("partial"))
     rows = spark.createDataFrame([(a, a.strip().lower()) for a in asked], "query string, q string").join(found, "q", "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "partial").when(F.col("n") > 1, "ambiguous").otherwise("none")
     return rows.select("query", how.alias("how"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("partial"))).alias("name"))
@@ -139,12 +153,31 @@ def alias_measure(sample: DataFrame) -> DataFrame:
     return per.withColumns({"rate": rate, "enabled": (F.col("documents") >= 20) & (rate <= 0.10)})
 
 
-def same_company(names: DataFrame, generic: list[str]) -> DataFrame:
-    """Pairs (a < b) of names of one client with one core, or where one is the other and generic words."""
-    words = F.split(F.lower("name"), r"\W+")
-    core = F.array_join(F.array_sort(F.array_except(words, F.array(*map(F.lit, generic)))), " ")
-    rows = names.withColumn("core", core).where("core <> ''")
-    return rows.alias("x").join(rows.alias("y"), ["client_id", "core"]).where("x.name < y.name").select("client_id", F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+# Words that are no part of a company's core name, and words that a longer spelling of it may add.
+NOISE_WORDS = ["limited", "ltd", "pvt", "private", "public", "inc", "corp", "corporation", "company", "co", "group", "holdings", "projects", "developers", "com"]
+EXTRA_WORDS = ["estates", "projects", "online", "group", "developers", "realty", "properties", "enterprises", "limited", "ltd", "com"]
+
+
+def core_words(name: Column) -> Column:
+    """Words of a company's name without NOISE_WORDS, "&" read as and."""
+    words = F.regexp_extract_all(F.lower(F.replace(name, F.lit("&"), F.lit(" and "))), F.lit(r"(?U)[\p{IsAlphabetic}\p{IsDigit}]+"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*NOISE_WORDS))
+
+
+def same_company(names: DataFrame) -> DataFrame:
+    """client_id, a, b, basis: spellings (client_id, name) of one company.
+
+    basis core: b has the core of a, the least name of that core. basis extra: a and b are the least names of two cores, of which one
+    is the other and EXTRA_WORDS behind it. So a core of many names gives one row a name and not all pairs; a core meets
+    the shorter ones it may stem from by equality, some per core, and nothing else."""
+    rows = names.select("client_id", "name", core_words(F.col("name")).alias("core")).where(F.size("core") > 0).distinct()
+    cores = rows.groupBy("client_id", "core").agg(F.min("name").alias("a"))
+    core = rows.join(cores, ["client_id", "core"]).where("name <> a").select("client_id", "a", F.col("name").alias("b"), F.lit("core").alias("basis"))
+    extras = F.filter(F.sequence(F.lit(1), F.size("core")), lambda k: F.forall(F.slice("core", k + 1, F.size("core")), lambda w: w.isin(*EXTRA_WORDS)))
+    shorter = cores.select("client_id", F.col("core").alias("whole"), F.col("a").alias("longer"), F.explode(F.filter(extras, lambda k: k < F.size("core"))).alias("k"))
+    stems = shorter.select("client_id", "longer", F.slice("whole", F.lit(1), F.col("k")).alias("core"))
+    extra = stems.join(cores, ["client_id", "core"]).select("client_id", F.least("a", "longer").alias("a"), F.greatest("a", "longer").alias("b"), F.lit("extra").alias("basis"))
+    return core.unionByName(extra)
 
 
 def due_feeds(feeds: DataFrame, jobs: DataFrame, as_of: str, batch: int = 5) -> DataFrame:

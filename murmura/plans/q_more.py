@@ -113,8 +113,6 @@ SELECT hit_id, coalesce(by_url, by_hash) AS document_id, CASE WHEN by_url IS NOT
         with_star(f"{VISIBLE_SQL} SELECT client_id, document_id FROM visible WHERE document_id IN (SELECT document_id FROM docs WHERE collected_at >= {TS} - INTERVAL 30 DAY) AND document_id NOT IN (SELECT document_id FROM mentions WHERE entity_id = 5)")),
     "j18_parent_self_join": (lambda s: s.entities.where("entity_type = 'product'").alias("p").join(s.entities.where("entity_type IN ('brand', 'competitor')").alias("q"), "client_id").groupBy("client_id", F.col("p.entity_id").alias("product")).agg(F.min("q.entity_id").alias("parent")),
         with_star("x AS (SELECT 1) SELECT p.client_id, p.entity_id AS product, min(q.entity_id) AS parent FROM entities p JOIN entities q USING (client_id) WHERE p.entity_type = 'product' AND q.entity_type IN ('brand', 'competitor') GROUP BY ALL")),
-    "j20_same_company_pairs": (lambda s: lookups.same_company(s.entities.select("client_id", F.concat(F.lit("Acme "), (F.col("entity_id") % 3).cast("string"), F.when(F.col("entity_id") % 2 == 0, " Group").otherwise("")).alias("name")).distinct(), ["group", "ltd", "inc"]),
-        with_star("n AS (SELECT DISTINCT client_id, 'Acme ' || (entity_id % 3) || CASE WHEN entity_id % 2 = 0 THEN ' Group' ELSE '' END AS name FROM entities) SELECT a.client_id, a.name AS a, b.name AS b FROM n a JOIN n b ON a.client_id = b.client_id AND a.name < b.name AND replace(a.name, ' Group', '') = replace(b.name, ' Group', '')")),
     "j21_hidden_duplicates": (lambda s: (e := s.entities.withColumn("name_key", F.col("entity_id") % 40)).where("entity_id % 3 <> 0").join(e.where("entity_id % 3 = 0").select("client_id", "name_key"), ["client_id", "name_key"], "left_semi").select("entity_id"),
         with_star("e AS (SELECT *, entity_id % 40 AS k FROM entities) SELECT entity_id FROM e WHERE entity_id % 3 <> 0 AND (client_id, k) IN (SELECT (client_id, k) FROM e WHERE entity_id % 3 = 0)")),
     "j24_brand_docs_by_text": (lambda s: gates.brand_documents(s.mentions, s.entities).union(s.documents.where(F.contains("title", F.lit("item 7"))).select((F.col("document_id") % 25).alias("client_id"), "document_id")).distinct().groupBy("client_id").agg(F.count("*").alias("documents")),

@@ -248,7 +248,23 @@ FROM visible v JOIN docs d ON d.document_id = v.document_id LEFT JOIN sources so
 LEFT JOIN first_label fl ON fl.document_id = v.document_id AND fl.entity_id = rr.entity_id LEFT JOIN tt ON tt.document_id = v.document_id LEFT JOIN nn ON nn.document_id = v.document_id""")
 
 
+_COMPANIES = [" Ltd", " Group", "", " Realty", " Online Ltd", " Estates Projects", " Retail"]
+
+
+def companies(s: Star) -> DataFrame:
+    """Spellings of a few companies of each client."""
+    tail = F.element_at(F.array(*map(F.lit, _COMPANIES)), (F.col("entity_id") % len(_COMPANIES) + 1).cast("int"))
+    return lookups.same_company(s.entities.select("client_id", F.concat(F.lit("Acme & "), (F.col("entity_id") % 3).cast("string"), tail).alias("name")))
+
+
 QUERIES = {
+    "j20_same_company_pairs": (
+        companies,
+        with_star(f"""n AS (SELECT DISTINCT client_id, 'Acme & ' || (entity_id % 3) || {_case(f"entity_id % {len(_COMPANIES)}", _COMPANIES)} AS name, 'acme and ' || (entity_id % 3) AS stem, {_case(f"entity_id % {len(_COMPANIES)}", ["", "", "", "realty", "online", "estates", "retail"])} AS extra FROM entities),
+c AS (SELECT client_id, stem, extra, min(name) AS a FROM n GROUP BY ALL)
+SELECT client_id, a, name AS b, 'core' AS basis FROM n JOIN c USING (client_id, stem, extra) WHERE name <> a
+UNION ALL SELECT x.client_id, least(x.a, y.a), greatest(x.a, y.a), 'extra' FROM c x JOIN c y USING (client_id, stem) WHERE x.extra = '' AND y.extra IN ('realty', 'online', 'estates')"""),
+    ),
     "x13_doc_feed": (document_feed, _FEED_SQL),
     "s9_merge_upsert": (merged_sources, _SOURCES_SQL),
     "r17_risk_upsert": (upserted_risks, _RISKS_SQL),

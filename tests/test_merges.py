@@ -264,3 +264,20 @@ def test_trailing_legal_words(spark):
 
     df = spark.createDataFrame([(n,) for n in cases], "n string")
     assert [r[0] for r in df.select(without_legal_words(F.col("n"))).collect()] == list(cases.values())
+
+
+def test_spellings_of_one_company(spark):
+    names = ["Prestige", "Prestige Estates Projects Limited", "Prestige Ltd", "PRESTIGE, Inc", "Yatra.com", "Yatra Online Limited", "Reliance", "Reliance Retail", "Ltd", "A & B", "A and B Group", "Prestige Projects Estates Online", "Estates"]
+    df = spark.createDataFrame([(1, n) for n in names] + [(2, "Prestige"), (1, None), (1, "Prestige")], "client_id int, name string")
+    got = {(r.a, r.b, r.basis) for r in lookups.same_company(df).collect()}
+    assert got == {
+        ("PRESTIGE, Inc", "Prestige", "core"), ("PRESTIGE, Inc", "Prestige Ltd", "core"), ("A & B", "A and B Group", "core"), ("PRESTIGE, Inc", "Prestige Estates Projects Limited", "extra"),
+        ("PRESTIGE, Inc", "Prestige Projects Estates Online", "extra"), ("Prestige Estates Projects Limited", "Prestige Projects Estates Online", "extra"), ("Yatra Online Limited", "Yatra.com", "extra"),
+    }
+
+
+def test_name_lookup(spark):
+    tracked = spark.createDataFrame([("Ann Rao",), ("ann rao",), ("Joanna Lee",), ("Bo",), (None,)], "name string")
+    got = {r["query"]: (r.how, r.name) for r in lookups.name_lookup(["ANN RAO ", "lee", "ann", "zz", "bo"], spark, tracked).collect()}
+    assert got == {"ANN RAO ": ("exact", "Ann Rao"), "lee": ("partial", "Joanna Lee"), "ann": ("ambiguous", None), "zz": ("none", None), "bo": ("exact", "Bo")}
+    assert {r.how for r in lookups.name_lookup(["x"], spark, tracked.where("false")).collect()} == {"none"} and lookups.name_lookup([], spark, tracked).count() == 0
