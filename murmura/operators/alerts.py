@@ -80,7 +80,7 @@ def invalid_transitions(changes: DataFrame) -> DataFrame:
     """Changes (old_status, new_status) outside the transition table."""
     pairs = [(a, b) for a, bs in R.ALERT_TRANSITIONS.items() for b in bs]
     allowed = changes.sparkSession.createDataFrame(pairs, "old_status string, new_status string")
-    return changes.join(F.broadcast(allowed), ["old_status", "new_status"], "left_anti")
+    return changes.join(allowed, ["old_status", "new_status"], "left_anti")
 
 
 def summary_signature(rows: DataFrame, fields: list[str]) -> DataFrame:

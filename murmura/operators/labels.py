@@ -71,7 +71,7 @@ def dual_scores(rows: DataFrame, logits: str) -> DataFrame:
 
 def topic_threshold(scores: DataFrame, thresholds: DataFrame, doc: str, default: float = 0.5) -> DataFrame:
     """Labels at or above their threshold, ranked by score, then label."""
-    passed = scores.join(F.broadcast(thresholds), "label", "left").where(F.col("score") >= F.coalesce("threshold", F.lit(default)))
+    passed = scores.join(thresholds, "label", "left").where(F.col("score") >= F.coalesce("threshold", F.lit(default)))
     return passed.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "label")))
 
 

@@ -136,7 +136,7 @@ def due(s: Star) -> DataFrame:
     rows = s.sources.select("source_id", "category").join(last, "source_id", "left")
     words = s.spark.createDataFrame([("automobile", "car"), ("building", "house"), ("machinery", "tool"), ("building", "site")], "category string, keyword string")
     late = F.col("last_search").isNull() | (F.col("last_search") < F.expr(f"{TS} - INTERVAL 30 DAYS"))
-    return rows.join(F.broadcast(words), "category").where(late).select("source_id", "keyword", "last_search")
+    return rows.join(words, "category").where(late).select("source_id", "keyword", "last_search")
 
 
 def interval_costs(s: Star) -> DataFrame:

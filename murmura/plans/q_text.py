@@ -74,7 +74,7 @@ def matches(s: Star) -> DataFrame:
     """Spans of the roster with owners and what each document says about them."""
     owners = [(k, i, i % 3, "PRIMARY" if i % 2 == 0 else "ALIAS") for i, k in enumerate(ROSTER)] + [("ertion", 100, 1, "ALIAS")]
     roster = s.spark.createDataFrame(owners, "keyword string, entity_id int, client_id int, category string")
-    rows = matching.with_owners(matching.keyword_spans(docs(s), ROSTER), F.broadcast(roster)).withColumn("entity_name", F.initcap("keyword"))
+    rows = matching.with_owners(matching.keyword_spans(docs(s), ROSTER), roster).withColumn("entity_name", F.initcap("keyword"))
     pairs = rows.select("doc_id", "entity_id", "entity_name").distinct().join(docs(s).select("doc_id", "text"), "doc_id")
     pairs = pairs.withColumns({"domain": F.lit(None).cast("string"), "industry": F.lit("edble"), "executive_terms": F.array(F.lit("thand"), F.lit("onre")), "product_terms": F.array(F.lit("ingwh"))})
     return rows.join(matching.entity_context(pairs).drop("entity_name"), ["doc_id", "entity_id"])

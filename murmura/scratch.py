@@ -40,3 +40,10 @@ def discard(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written between jobs; results that read them must be written first."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/murmura/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -281,3 +281,16 @@ def test_name_lookup(spark):
     got = {r["query"]: (r.how, r.name) for r in lookups.name_lookup(["ANN RAO ", "lee", "ann", "zz", "bo"], spark, tracked).collect()}
     assert got == {"ANN RAO ": ("exact", "Ann Rao"), "lee": ("partial", "Joanna Lee"), "ann": ("ambiguous", None), "zz": ("none", None), "bo": ("exact", "Bo")}
     assert {r.how for r in lookups.name_lookup(["x"], spark, tracked.where("false")).collect()} == {"none"} and lookups.name_lookup([], spark, tracked).count() == 0
+
+
+def test_scratch_tables_can_be_cleared(spark, monkeypatch, tmp_path):
+    import os
+
+    from murmura import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    held = scratch.materialize(spark.range(3), "numbers")
+    assert held.count() == 3 and os.listdir(tmp_path / "murmura")
+    scratch.clear(spark)
+    assert not os.listdir(tmp_path / "murmura")
+    scratch.clear(spark)
