@@ -38,32 +38,35 @@ def story_words(text: Column) -> Column:
     return F.array_distinct(F.transform(words, cut))
 
 
-def incident_tokens(items: DataFrame) -> DataFrame:
-    """item_id, entity_id, kind (title or event), token. Tokens like the entity's name are dropped; likeness is computed
-    once for each distinct (token, name)."""
-    both = items.select(
-        "item_id", "entity_id", "entity_name",
-        F.explode(F.array(F.struct(F.lit("title").alias("kind"), story_words(headline(F.col("title"))).alias("words")), F.struct(F.lit("event").alias("kind"), story_words(F.col("event")).alias("words")))).alias("s"),
-    )
-    rows = both.select("item_id", "entity_id", "entity_name", "s.kind", F.explode("s.words").alias("token"))
-    pairs = rows.select("entity_name", "token").distinct()
+def incident_sets(items: DataFrame) -> DataFrame:
+    """``items`` with title and event as sorted arrays of their distinct story words, less those like the entity's name; likeness
+    is computed once for each distinct (word, name), and items keep their row."""
+    rest = [c for c in items.columns if c not in ("title", "event")]
+    both = items.select(*rest, story_words(headline(F.col("title"))).alias("title"), story_words(F.col("event")).alias("event"))
+    pairs = both.select("entity_name", F.explode(F.array_union("title", "event")).alias("token")).distinct()
     words = F.filter(F.split(F.lower("entity_name"), r"(?U)\W+"), lambda w: w != "")
     names = F.array_append(F.filter(words, lambda w: F.length(w) >= 4), F.array_join(words, ""))
     alike = pairs.select("entity_name", "token", F.explode(names).alias("name")).where(difflib_ratio("token", "name") >= R.ENTITY_WORD_RATIO)
-    alike = alike.select(F.col("entity_name").alias("n"), F.col("token").alias("t")).distinct()
-    on = F.col("entity_name").eqNullSafe(F.col("n")) & (F.col("token") == F.col("t"))
-    return rows.join(alike, on, "left_anti").select("item_id", "entity_id", "kind", "token")
+    alike = alike.groupBy(F.col("entity_name").alias("_n")).agg(F.collect_set("token").alias("_alike"))
+    rows = both.join(alike, F.col("entity_name").eqNullSafe(F.col("_n")), "left")
+    less = lambda c: F.array_sort(F.array_except(c, F.coalesce("_alike", F.array().cast("array<string>")))).alias(c)
+    return rows.select(*rest, less("title"), less("event"))
+
+
+def incident_tokens(items: DataFrame) -> DataFrame:
+    """item_id, entity_id, kind (title or event), token of every story word of `incident_sets`."""
+    sets = incident_sets(items.select("item_id", "entity_id", "entity_name", "title", "event"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("words")) for k in ("title", "event")))).alias("s")
+    return sets.select("item_id", "entity_id", kinds).select("item_id", "entity_id", "s.kind", F.explode("s.words").alias("token"))
 
 
-def story_runs(items: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs, members): items of one entity with equal token sets, chained over gaps of at most INCIDENT_DAYS, are one run.
+def story_runs(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, members): items of one entity with equal word sets, chained over gaps of at most INCIDENT_DAYS, are one run.
 
-    runs: run (its smallest item), entity_id, title and event (sorted tokens), start, end (null: undated). members: item_id,
-    run. Equal reports are one story wherever their tokens could link them at all; items whose tokens can't are left out.
+    runs: run (its smallest item), entity_id, title and event (sorted words), start, end (null: undated). members: item_id,
+    run. Equal reports are one story wherever their words could link them at all; items whose words can't are left out.
     Two runs are near if their spans are within the gap: then some two of their items are."""
-    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("token")))).alias(k)
-    sets = tokens.groupBy("item_id").agg(of("title"), of("event"))
-    rows = items.select("item_id", "entity_id", F.col("published_at").cast("timestamp").cast("double").alias("at")).join(sets, "item_id")
+    rows = sets.select("item_id", "entity_id", F.col("published_at").cast("timestamp").cast("double").alias("at"), "title", "event")
     rows = materialize(rows.where((F.size("title") >= R.TITLE_SHARED) | (F.size("event") > 0)), "story-items")
     key = ["entity_id", "title", "event"]
     # Tasks reduce a story to its distinct times before the shuffle.
@@ -159,7 +162,7 @@ def incidents(items: DataFrame) -> DataFrame:
     """item_id, incident_id (smallest item of the incident) of every item (item_id, entity_id, entity_name, title, event,
     published_at)."""
     items = materialize(items.select("item_id", "entity_id", "entity_name", "title", "event", "published_at"), "incident-items")
-    runs, members = story_runs(items, incident_tokens(items))
+    runs, members = story_runs(incident_sets(items))
     runs = materialize(runs, "story-runs")
     found = components(same_story_pairs(runs), near="entity_id").distinct().toDF("run", "root")
     placed = members.join(found, "run", "left").select("item_id", F.coalesce("root", "run").alias("incident_id"))
