@@ -104,14 +104,16 @@ class Scanner:
         ids: dict[str, int] = {}
         coded = [[ids.setdefault(w, len(ids)) for w in words_of(t)] for t in [*(t for _, t in templates), *phrases]]
         self.ids, self.lengths = ids, [len(c) for c in coded[: len(templates)]]
+        self.least = min([2, rules.shortest, *map(len, coded[len(templates) :])])
         self.automaton = Automaton(coded[: len(templates)], coded[len(templates) :])
 
     def runs(self, words: list[str]) -> Iterator[tuple[int, list[int]]]:
-        """(first, ids) of the runs of two or more words that all stand in some template; matches cross no other word."""
+        """(first, ids) of the runs of words that all stand in some template, of two words or more unless a phrase or an anchor
+        may be one; matches cross no other word."""
         codes = list(map(self.ids.get, words))
         first = 0
         for stop in [i for i, c in enumerate(codes) if c is None] + [len(codes)]:
-            if stop - first > 1:
+            if stop - first >= max(1, self.least):
                 yield first, codes[first:stop]
             first = stop + 1
 
