@@ -153,7 +153,9 @@ CASE line WHEN 1 THEN CASE WHEN label = 'Neutral' THEN 'self reference' END WHEN
     "x20_ownership_evidence": (
         lambda s: owner_pages(s).select("document_id", names.ownership(F.col("text"), F.lit("Orris Homes"), F.lit("Acme Group")).alias("owned")),
         with_star("x AS (SELECT 1) SELECT document_id, document_id % 200 <= 144 AND document_id % 7 <> 0 AS owned FROM docs")),
-    "x21_text_grounding": (lambda s: names.grounded(answers(s).select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), "text"), s.table("conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("answer_id"), F.col("text").alias("record"))), None),
+    "x21_text_grounding": (lambda s: names.grounded(answers(s).select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), "text"), s.table("conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("answer_id"), F.col("text").alias("record"))), r"""WITH a AS (SELECT conv_id || '-' || turn AS answer_id, text, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}\p{M}_]+')), lambda w: length(w) >= 4) AS w FROM conversations WHERE role = 'assistant'),
+u AS (SELECT conv_id || '-' || (turn + 1) AS answer_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}\p{M}_]+')) AS w FROM conversations WHERE role = 'user'), c AS (SELECT answer_id, list(DISTINCT w) AS cited FROM u WHERE length(w) >= 4 GROUP BY 1)
+SELECT answer_id, coalesce(bool_or(len(list_intersect(w, cited)) > 0), FALSE) OR bool_or(trim(coalesce(text, '')) = '') AS grounded FROM a LEFT JOIN c USING (answer_id) GROUP BY 1"""),
     "l10_topic_explain": (lambda s: s.topics.groupBy("document_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set(F.when((F.col("topic_confidence") < 0.5) & (F.col("topic_confidence") >= 0.15), F.col("topic")))), 1, 3), ",").alias("competing")),
         with_star("t AS (SELECT document_id, list_sort(list(DISTINCT CASE WHEN topic_confidence < 0.5 AND topic_confidence >= 0.15 THEN topic END) FILTER (topic_confidence < 0.5 AND topic_confidence >= 0.15))[1:3] AS l FROM topics GROUP BY 1) SELECT document_id, coalesce(array_to_string(l, ','), '') AS competing FROM t")),
     "g14_telemetry": (telemetry, star_sql(f"""{VISIBLE_SQL}, p AS (SELECT client_id, document_id, max(risk_score) AS score FROM events GROUP BY ALL)

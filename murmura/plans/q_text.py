@@ -179,7 +179,9 @@ QUERIES = {
 SELECT reason, count(*) AS rows FROM x GROUP BY 1"""),
     ),
     "x16_normalize_entity_name": (lambda s: s.entities.select("entity_id", text.entity_key(F.concat("entity_name", F.lit("'s Works Pvt. Ltd."))).alias("key")), with_star("x AS (SELECT 1) SELECT entity_id, lower(entity_name) || ' works' AS key FROM entities")),
-    "x18_short_answer": (lambda s: answers(s).select("conv_id", "turn", text.short_answer(F.col("text")).alias("answer")), None),
+    "x18_short_answer": (lambda s: answers(s).select("conv_id", "turn", text.short_answer(F.col("text")).alias("answer")), r"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_#`>|]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'assistant'),
+q AS (SELECT *, substr(t, 1, 320) AS cut, regexp_extract(substr(t, 1, 320), '^(.*[.!?])(?:\s|$)', 1) AS s FROM p)
+SELECT conv_id, turn, CASE WHEN length(t) <= 320 THEN t WHEN s <> '' THEN s ELSE trim(cut) || '…' END AS answer FROM q"""),
     "j1_keyword_match": (lambda s: matching.keyword_spans(docs(s), ROSTER).groupBy("doc_id", "keyword").agg(F.count("*").alias("n")), f"WITH m AS (SELECT doc_id, unnest({_KEEP}) AS keyword FROM documents) SELECT doc_id, keyword, count(*) AS n FROM m GROUP BY ALL"),
     "j16_seeded_rematch": (
         lambda s: docs(s).select("doc_id", F.explode(F.array(*(F.struct(F.lit(w).alias("phrase"), (F.size(F.split(common.phrase_form(F.col("text")), f" {w} ")) - 1).alias("n")) for w in ("ertion", "onre", "ouon")))).alias("h")).select("doc_id", "h.phrase", F.least("h.n", F.lit(10)).alias("mention_count")).where("mention_count > 0"),
@@ -196,7 +198,8 @@ SELECT doc_id, phrase, CAST(least((length(t) - length(replace(t, ' ' || phrase |
     "l2_label_to_score": (lambda s: rounded(s.documents.select("document_id", (common.lookup(F.col("sentiment_label"), {"Positive": 1.0, "Neutral": 0.0, "Negative": -1.0}, 0.0) * 0.65).alias("weighted"))), with_star("x AS (SELECT 1) SELECT document_id, round(sentiment_score * 0.65, 6) AS weighted FROM docs")),
     "l4_entity_context_window": (lambda s: docs(s).select("doc_id", F.length(text.context_window(F.col("text"), F.lit("ertion"), 200)).alias("n")), """WITH p AS (SELECT doc_id, text, instr(lower(text), 'ertion') AS a FROM documents)
 SELECT doc_id, CAST(length(CASE WHEN a > 0 THEN substr(text, greatest(a - 200, 1), a - greatest(a - 200, 1) + 206) ELSE substr(text, 1, 400) END) AS INT) AS n FROM p"""),
-    "l5_supporting_sentence": (lambda s: docs(s).select("doc_id", text.supporting_sentence(F.col("text"), F.array(F.lit("onre"), F.lit("eaux"))).alias("sentence")), None),
+    "l5_supporting_sentence": (lambda s: docs(s).select("doc_id", text.supporting_sentence(F.col("text"), F.array(F.lit("onre"), F.lit("eaux"))).alias("sentence")), r"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents)
+SELECT doc_id, coalesce(list_filter(s, lambda x: contains(lower(x), 'onre') OR contains(lower(x), 'eaux'))[1], s[1]) AS sentence FROM p"""),
     "l6_dual_topic_scores": (
         lambda s: rounded(labels.dual_scores(s.table("embeddings"), "embedding").select("vec_id", F.get("independent", F.lit(0)).alias("first_independent"), F.array_max("softmax").alias("top_softmax"))),
         """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), t AS (SELECT vec_id, max(x) AS m, sum(exp(x)) AS z, max(x) FILTER (i = 0) AS f FROM e GROUP BY 1)

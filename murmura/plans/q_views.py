@@ -208,5 +208,6 @@ SELECT document_id, entity_id, round(CASE WHEN c > 50 AND (case_status = 'settle
     "u3_score_batch": (lambda s: labels.score_batches(docs(s).select("doc_id", "text"), "text", lambda: counted).select("doc_id", "score"), "SELECT doc_id, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS score FROM documents"),
     "u5_calendar_slices": (sliced, with_star("""rg AS (SELECT source_id, min(collected_at)::DATE AS a, max(collected_at)::DATE AS b FROM docs GROUP BY 1), m AS (SELECT source_id, a, b, CAST(unnest(generate_series(date_trunc('year', a)::TIMESTAMP, (b - 1)::TIMESTAMP, INTERVAL 12 MONTH)) AS DATE) AS d FROM rg WHERE a < b)
 SELECT source_id, greatest(d, a) AS slice_start, least(CAST(d + INTERVAL 12 MONTH AS DATE), b) AS slice_end FROM m""")),
-    "u5_sentences": (sentence_rows, None),
+    "u5_sentences": (sentence_rows, r"""WITH r AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM conversations)
+SELECT conv_id, turn, count(*) AS sentences, sum(length(s))::BIGINT AS chars FROM r WHERE regexp_matches(s, '\S') GROUP BY 1, 2"""),
 }
