@@ -10,7 +10,7 @@ from murmura.operators import alerts, gates, incidents, lookups, names, ranks, r
 from murmura.operators.matching import best_match_per_entity, match_confidence
 from murmura.plans.q_reports import RUNS_SQL, VISIBLE_SQL, calls, calls_sql, daily_runs, stored_alerts, visible
 from murmura.plans.q_scores import _EXECUTIVE_SQL, TS, _benchmark, _benchmark_sql, _events, gated_sql, rounded, star_sql
-from murmura.plans.q_text import CITED_SQL, answers, cited, docs, incident_items, matches
+from murmura.plans.q_text import CITED_SQL, MATCHED_SQL, answers, cited, docs, incident_items, matches
 from murmura.plans.star import AS_OF, Star, _case, with_star
 
 HITS_SQL = "hits AS (SELECT c_custkey AS hit_id, 'https://site' || (c_custkey % 9) || '.example.com/a/' || (c_custkey % 5000) AS url_key, sha256(CAST(c_custkey % 4500 AS VARCHAR)) AS hash_key FROM customer)"
@@ -130,7 +130,7 @@ SELECT source_id, client_id, CAST(floor((row_number() OVER (PARTITION BY client_
     "j22_claim_to_incident": (lambda s: lookups.claim_status(s.documents.select("document_id"), incidents.incidents(incident_items(s)).select("item_id.document_id", "incident_id")).select("document_id", "status", "incidents"),
         star_sql("i AS (SELECT DISTINCT document_id, entity_id FROM events WHERE risk_score > 50) SELECT d.document_id, CASE WHEN count(i.entity_id) > 0 THEN 'matched' ELSE 'open' END AS status, count(i.entity_id) AS incidents FROM docs d LEFT JOIN i USING (document_id) GROUP BY 1")),
     "m6_best_match_per_entity": (lambda s: best_match_per_entity(match_confidence(matches(s))).select("doc_id", "entity_id", "start_idx", "keyword", "confidence"),
-        None),
+        f"WITH {MATCHED_SQL} SELECT doc_id, entity_id, start_idx, keyword, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_id ORDER BY confidence DESC, start_idx, keyword) AS k FROM s) WHERE k = 1"),
     "m11_discover_candidates": (lambda s: lookups.discovered(name_facts(s), s.spark.createDataFrame([("en", "the"), ("de", "die"), ("fr", "de")], "client_id string, name_key string")),
         f"WITH {NAMES_SQL} SELECT client_id, name_key, count(DISTINCT document_id) AS documents, count(*) AS mentions, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM nf WHERE (client_id, name_key) NOT IN (('en', 'the'), ('de', 'die'), ('fr', 'de')) GROUP BY 1, 2"),
     "m12_person_confidence": (lambda s: rounded(lookups.person_confidence(s.mentions.groupBy("entity_id").agg(F.count("*").alias("mentions"), F.countDistinct("document_id").alias("documents")).withColumns({"parts": F.lit(2), "title_nearby": F.col("entity_id") % 2 == 0, "tracked_surname": F.col("entity_id") % 3 == 0})).select("entity_id", "confidence")),

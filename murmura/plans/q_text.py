@@ -158,6 +158,19 @@ def sentences(s: Star) -> DataFrame:
 
 _KEEP = "regexp_extract_all(lower(text), '" + _SPAN + "')"
 
+#: Every match with its place, owners, confidence and status: what stands between matches tells their places.
+_OWNERS = [(k, i, i % 3, "PRIMARY" if i % 2 == 0 else "ALIAS") for i, k in enumerate(ROSTER)] + [("ertion", 100, 1, "ALIAS")]
+MATCHED_SQL = rf"""x AS (SELECT doc_id, lower(text) AS low, {_KEEP} AS k, string_split_regex(lower(text), '{_SPAN}') AS p FROM documents),
+y AS (SELECT doc_id, low, k, p, unnest(range(1, len(k) + 1)) AS i FROM x),
+z AS (SELECT doc_id, low, k[i] AS keyword, CAST(coalesce(list_sum(list_transform(p[1:i], lambda t: length(t))), 0) + coalesce(list_sum(list_transform(k[1:i - 1], lambda t: length(t))), 0) AS INTEGER) AS start_idx FROM y),
+o(keyword, entity_id, category) AS (VALUES {", ".join(f"('{k}', {e}, '{c}')" for k, e, _, c in _OWNERS)}),
+f AS (SELECT doc_id, start_idx, z.keyword, entity_id, CASE WHEN category = 'PRIMARY' THEN 0.85 ELSE 0.75 END::DOUBLE AS base, contains(low, 'thand') OR contains(low, 'onre') AS e, contains(low, 'ingwh') AS p, contains(low, 'edble') AS i,
+  regexp_matches(substr(low, greatest(start_idx - 75, 0) + 1, start_idx + length(z.keyword) + 75 - greatest(start_idx - 75, 0)), '{"|".join(matching.BUSINESS_WORDS)}') AS n, length(z.keyword) <= 4 AS g FROM z JOIN o USING (keyword)),
+c AS (SELECT doc_id, start_idx, keyword, CAST(entity_id AS INTEGER) AS entity_id, round(least(greatest(base + CASE WHEN e THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN p THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN i THEN 0.10::DOUBLE ELSE 0 END
+  + CASE WHEN n THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN g AND NOT (e OR p) THEN -0.30::DOUBLE ELSE 0 END, 0.0), 1.0), 2)::DOUBLE AS confidence FROM f),
+s AS (SELECT *, confidence >= 0.60 AS accepted, CASE WHEN max(confidence) OVER w - nth_value(confidence, 2) OVER (w ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) <= 0.15 + 1e-9 THEN 'ambiguous'
+  WHEN confidence >= 0.60 THEN 'accepted' ELSE 'rejected' END AS status FROM c WINDOW w AS (PARTITION BY doc_id, start_idx, keyword))"""
+
 QUERIES = {
     "s2_normalize_gdelt": (_norm("gdelt"), _norm_sql("gdelt", _URL, f"length({FIRST_LINE})", "CASE WHEN doc_id % 7 <> 0 THEN at0 END", author="NULL::VARCHAR")),
     "s3_normalize_hn": (_norm("hn"), _norm_sql("hn", f"CASE WHEN doc_id % 3 <> 0 THEN {_URL} ELSE 'https://news.ycombinator.com/item?id=' || doc_id END", f"CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE length({FIRST_LINE}) END", "at0")),
@@ -190,10 +203,12 @@ SELECT doc_id, phrase, CAST(least((length(t) - length(replace(t, ' ' || phrase |
     ),
     "j19_near_duplicate_names": (lambda s: incidents.near_duplicate_names(s.entities.select("client_id", F.col("entity_name").alias("name"), F.coalesce("entity_type", F.lit("other")).alias("kind")), s.entities.select("client_id", F.col("entity_name").alias("name"), F.coalesce("entity_type", F.lit("other")).alias("kind"))), None),
     "m1_normalize_titles": (lambda s: s.documents.select("document_id", text.executive_titles(F.concat("title", F.lit(" by Chief Executive Officer and Senior Vice President"))).alias("title")), with_star("x AS (SELECT 1) SELECT document_id, title || ' by CEO and SVP' AS title FROM docs")),
-    "m3_match_confidence": (lambda s: matching.match_confidence(matches(s)).select("doc_id", "start_idx", "keyword", "entity_id", "confidence", "accepted"), None),
-    "m5_resolve_ambiguity": (lambda s: matching.resolve_ambiguity(matching.match_confidence(matches(s))).select("doc_id", "start_idx", "keyword", "entity_id", "status"), None),
-    "m7_document_match_state": (lambda s: matching.document_state(matching.resolve_ambiguity(matching.match_confidence(matches(s)))), None),
-    "m8_accept_mentions": (lambda s: matching.accepted_mentions(matching.resolve_ambiguity(matching.match_confidence(matches(s)))), None),
+    "m3_match_confidence": (lambda s: matching.match_confidence(matches(s)).select("doc_id", "start_idx", "keyword", "entity_id", "confidence", "accepted"), f"WITH {MATCHED_SQL} SELECT doc_id, start_idx, keyword, entity_id, confidence, accepted FROM s"),
+    "m5_resolve_ambiguity": (lambda s: matching.resolve_ambiguity(matching.match_confidence(matches(s))).select("doc_id", "start_idx", "keyword", "entity_id", "status"), f"WITH {MATCHED_SQL} SELECT doc_id, start_idx, keyword, entity_id, status FROM s"),
+    "m7_document_match_state": (lambda s: matching.document_state(matching.resolve_ambiguity(matching.match_confidence(matches(s)))),
+        f"WITH {MATCHED_SQL} SELECT doc_id, CASE WHEN bool_or(status = 'accepted') THEN 'MATCHED' WHEN bool_or(status = 'ambiguous') THEN 'AMBIGUOUS' ELSE 'SKIPPED' END AS state FROM s GROUP BY 1"),
+    "m8_accept_mentions": (lambda s: matching.accepted_mentions(matching.resolve_ambiguity(matching.match_confidence(matches(s)))),
+        f"WITH {MATCHED_SQL} SELECT doc_id, entity_id, min(start_idx) AS first_at, count(*) AS mention_count FROM s WHERE status = 'accepted' GROUP BY 1, 2"),
     "l1_orm_sentiment_rules": (lambda s: rounded(labels.calibrated_sentiment(sentiment_input(s)).select("doc_id", "label", "score", "rule", F.array_join("trigger_words", ",").alias("words"))), None),
     "l2_label_to_score": (lambda s: rounded(s.documents.select("document_id", (common.lookup(F.col("sentiment_label"), {"Positive": 1.0, "Neutral": 0.0, "Negative": -1.0}, 0.0) * 0.65).alias("weighted"))), with_star("x AS (SELECT 1) SELECT document_id, round(sentiment_score * 0.65, 6) AS weighted FROM docs")),
     "l4_entity_context_window": (lambda s: docs(s).select("doc_id", F.length(text.context_window(F.col("text"), F.lit("ertion"), 200)).alias("n")), """WITH p AS (SELECT doc_id, text, instr(lower(text), 'ertion') AS a FROM documents)
