@@ -171,6 +171,37 @@ c AS (SELECT doc_id, start_idx, keyword, CAST(entity_id AS INTEGER) AS entity_id
 s AS (SELECT *, confidence >= 0.60 AS accepted, CASE WHEN max(confidence) OVER w - nth_value(confidence, 2) OVER (w ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) <= 0.15 + 1e-9 THEN 'ambiguous'
   WHEN confidence >= 0.60 THEN 'accepted' ELSE 'rejected' END AS status FROM c WINDOW w AS (PARTITION BY doc_id, start_idx, keyword))"""
 
+def _holds(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+#: Which words of the lexicon count, and where.
+_WHERE = {
+    "court": _holds(labels.LITIGATION), "fine": _holds(labels.LITIGATION), "crash": f"NOT {_holds(labels.BENIGN_CRASH)}", "safety data": _holds(labels.SAFETY_CONCERN),
+    "beat": rf"regexp_matches(t, '\bbeat\b') AND NOT {_holds(labels.BEAT_NEGATIVE)}", "record": f"NOT {_holds(labels.RECORD_NEGATIVE)}",
+}
+
+
+def _counted(words: list[str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN contains(t, '{w}') AND {_WHERE.get(w, 'TRUE')} THEN '{w}' END" for w in words) + "], lambda w: w IS NOT NULL)"
+
+
+_SENTIMENT_SQL = f"""WITH r AS (SELECT doc_id, lower(text || (['', ' fine', ' court case', ' lawsuit', ' profit up', ' record debt', ' crash course', ' beat', ' safety data issue'])[CAST(doc_id % 9 + 1 AS INT)]) AS t,
+  (['neutral', 'negative', 'positive'])[CAST(doc_id % 3 + 1 AS INT)] AS label, ((doc_id % 50) / 100.0::DOUBLE + 0.5)::DOUBLE AS score FROM documents),
+w AS (SELECT *, {_counted(labels.NEGATIVE_WORDS)} AS bad, {_counted(labels.POSITIVE_WORDS)} AS good FROM r),
+u AS (SELECT *, CASE WHEN len(bad) > 0 THEN CASE label WHEN 'neutral' THEN 'Negative-Risk Upgrade' WHEN 'negative' THEN 'Negative-Risk Boost' END
+  WHEN len(good) > 0 THEN CASE label WHEN 'neutral' THEN 'Positive-Milestone Upgrade' WHEN 'positive' THEN 'Positive-Milestone Boost' END END AS rule FROM w),
+v AS (SELECT *, least(score + CASE WHEN rule LIKE 'Negative%' THEN 0.15 WHEN rule LIKE 'Positive%' THEN 0.10 ELSE 0 END::DOUBLE, greatest(score, 1.0)) AS final FROM u)
+SELECT doc_id, CASE WHEN rule IS NULL AND final < 0.65 THEN 'neutral' WHEN rule = 'Negative-Risk Upgrade' THEN 'negative' WHEN rule = 'Positive-Milestone Upgrade' THEN 'positive' ELSE label END AS label, round(final, 6) AS score,
+  CASE WHEN rule IS NULL AND final < 0.65 THEN 'Low-Confidence Neutral Calibration' ELSE rule END AS rule, array_to_string((CASE WHEN len(bad) > 0 THEN bad ELSE good END)[1:3], ',') AS words FROM v"""
+
+_SEGMENTS_SQL = r"""WITH p AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
+a AS (SELECT doc_id, ps[3:] AS later, (CASE WHEN title <> '' THEN ['Title: ' || title] ELSE [] END) || ps[1:2] || (list_filter(ps[3:], lambda x: contains(lower(x), 'ertion') OR contains(lower(x), 'onre') OR contains(lower(x), 'eaux')))[1:4] AS l FROM p),
+b AS (SELECT doc_id, later, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM a),
+c AS (SELECT doc_id, CASE WHEN len(l) <= 3 THEN l || later[1:3] ELSE l END AS l FROM b), d AS (SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10) || chr(10)) AS w FROM c),
+e AS (SELECT *, substr(w, 1, 2000) AS cut, regexp_extract(substr(w, 1, 2000), '(?s)^(.*[.?!])', 1) AS s FROM d)
+SELECT doc_id, CASE WHEN length(w) <= 2048 THEN w WHEN length(s) > 1001 THEN s ELSE cut || '...' END AS segments FROM e"""
+
 QUERIES = {
     "s2_normalize_gdelt": (_norm("gdelt"), _norm_sql("gdelt", _URL, f"length({FIRST_LINE})", "CASE WHEN doc_id % 7 <> 0 THEN at0 END", author="NULL::VARCHAR")),
     "s3_normalize_hn": (_norm("hn"), _norm_sql("hn", f"CASE WHEN doc_id % 3 <> 0 THEN {_URL} ELSE 'https://news.ycombinator.com/item?id=' || doc_id END", f"CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE length({FIRST_LINE}) END", "at0")),
@@ -183,7 +214,7 @@ QUERIES = {
     "x2_content_hash": (lambda s: docs(s).select("doc_id", text.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE sha256(text) END AS hash FROM documents"),
     "x3_clean_document": (lambda s: s.table("pages").select("page_id", text.clean_document("html").alias("content")), None),
     "x4_strip_boilerplate": (lambda s: docs(s).select("doc_id", text.tidy_spaces(text.nfkc(text.without_boilerplate(F.col("text")))).alias("content")), None),
-    "x5_high_value_segments": (lambda s: docs(s).select("doc_id", text.high_value_segments(F.col("title"), F.col("text"), ["ertion", "onre", "eaux"]).alias("segments")), None),
+    "x5_high_value_segments": (lambda s: docs(s).select("doc_id", text.high_value_segments(F.col("title"), F.col("text"), ["ertion", "onre", "eaux"]).alias("segments")), _SEGMENTS_SQL),
     "x6_outlet_of": (lambda s: s.documents.groupBy(common.outlet_of(F.col("title")).alias("outlet")).agg(F.count("*").alias("documents")), with_star("x AS (SELECT nullif(lower(regexp_extract(title, '^(.*) - (.*)$', 2)), '') AS outlet FROM docs) SELECT outlet, count(*) AS documents FROM x GROUP BY 1")),
     "x7_ingest_dedupe": (lambda s: ingest.ingest_dedupe(dedupe_input(s)).select("id"), None),
     "x8_ingest_quality_filter": (
@@ -209,7 +240,7 @@ SELECT doc_id, phrase, CAST(least((length(t) - length(replace(t, ' ' || phrase |
         f"WITH {MATCHED_SQL} SELECT doc_id, CASE WHEN bool_or(status = 'accepted') THEN 'MATCHED' WHEN bool_or(status = 'ambiguous') THEN 'AMBIGUOUS' ELSE 'SKIPPED' END AS state FROM s GROUP BY 1"),
     "m8_accept_mentions": (lambda s: matching.accepted_mentions(matching.resolve_ambiguity(matching.match_confidence(matches(s)))),
         f"WITH {MATCHED_SQL} SELECT doc_id, entity_id, min(start_idx) AS first_at, count(*) AS mention_count FROM s WHERE status = 'accepted' GROUP BY 1, 2"),
-    "l1_orm_sentiment_rules": (lambda s: rounded(labels.calibrated_sentiment(sentiment_input(s)).select("doc_id", "label", "score", "rule", F.array_join("trigger_words", ",").alias("words"))), None),
+    "l1_orm_sentiment_rules": (lambda s: rounded(labels.calibrated_sentiment(sentiment_input(s)).select("doc_id", "label", "score", "rule", F.array_join("trigger_words", ",").alias("words"))), _SENTIMENT_SQL),
     "l2_label_to_score": (lambda s: rounded(s.documents.select("document_id", (common.lookup(F.col("sentiment_label"), {"Positive": 1.0, "Neutral": 0.0, "Negative": -1.0}, 0.0) * 0.65).alias("weighted"))), with_star("x AS (SELECT 1) SELECT document_id, round(sentiment_score * 0.65, 6) AS weighted FROM docs")),
     "l4_entity_context_window": (lambda s: docs(s).select("doc_id", F.length(text.context_window(F.col("text"), F.lit("ertion"), 200)).alias("n")), """WITH p AS (SELECT doc_id, text, instr(lower(text), 'ertion') AS a FROM documents)
 SELECT doc_id, CAST(length(CASE WHEN a > 0 THEN substr(text, greatest(a - 200, 1), a - greatest(a - 200, 1) + 206) ELSE substr(text, 1, 400) END) AS INT) AS n FROM p"""),
