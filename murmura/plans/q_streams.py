@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.plans.q_scores import rounded
+from murmura.plans.q_text import ROUNDS_SQL
 from murmura.plans.star import Star
 from murmura.streaming import jobs
 
@@ -35,7 +36,11 @@ def cursor(s: Star) -> DataFrame:
 
 
 QUERIES = {
-    "t1_stream_ingest_dedupe": (dedupe, None),
+    "t1_stream_ingest_dedupe": (
+        dedupe,
+        f"""WITH RECURSIVE arrivals AS (SELECT event_id AS id, 'u' || CASE WHEN event_id % 3 <> 0 THEN event_id % 701 ELSE event_id END AS u, 'h' || CASE WHEN event_id % 5 <> 0 THEN event_id % 907 ELSE event_id END AS h, ts AS came FROM events),
+{ROUNDS_SQL} SELECT id, u AS url_key, h AS hash_key FROM w WHERE status = 1""",
+    ),
     "t2_tumbling_metrics": (
         lambda s: _plain(jobs.run_available(jobs.tumbling_metrics(_events(s)), mode="complete")),
         "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",

@@ -202,6 +202,12 @@ c AS (SELECT doc_id, CASE WHEN len(l) <= 3 THEN l || later[1:3] ELSE l END AS l
 e AS (SELECT *, substr(w, 1, 2000) AS cut, regexp_extract(substr(w, 1, 2000), '(?s)^(.*[.?!])', 1) AS s FROM d)
 SELECT doc_id, CASE WHEN length(w) <= 2048 THEN w WHEN length(s) > 1001 THEN s ELSE cut || '...' END AS segments FROM e"""
 
+#: Rounds over what is left: rows that come first by both keys are stored (1), then those that share a key with one of them go (2).
+ROUNDS_SQL = """w AS (SELECT id, u, h, came, 0 AS status FROM arrivals
+  UNION ALL SELECT id, u, h, came, status FROM (
+    SELECT id, u, h, came, CASE WHEN won THEN 1 WHEN bool_or(won) OVER (PARTITION BY u) OR bool_or(won) OVER (PARTITION BY h) THEN 2 ELSE 0 END AS status FROM (
+      SELECT *, row_number() OVER (PARTITION BY u ORDER BY came, id) = 1 AND row_number() OVER (PARTITION BY h ORDER BY came, id) = 1 AS won FROM w WHERE status = 0)) WHERE status < 2)"""
+
 _BARE = "text"
 for _pattern in text.BOILERPLATE:
     _BARE = f"regexp_replace({_BARE}, '{_pattern}', ' ', 'g')"
@@ -222,7 +228,7 @@ QUERIES = {
     "x4_strip_boilerplate": (lambda s: docs(s).select("doc_id", text.tidy_spaces(text.nfkc(text.without_boilerplate(F.col("text")))).alias("content")), _PLAIN_SQL),
     "x5_high_value_segments": (lambda s: docs(s).select("doc_id", text.high_value_segments(F.col("title"), F.col("text"), ["ertion", "onre", "eaux"]).alias("segments")), _SEGMENTS_SQL),
     "x6_outlet_of": (lambda s: s.documents.groupBy(common.outlet_of(F.col("title")).alias("outlet")).agg(F.count("*").alias("documents")), with_star("x AS (SELECT nullif(lower(regexp_extract(title, '^(.*) - (.*)$', 2)), '') AS outlet FROM docs) SELECT outlet, count(*) AS documents FROM x GROUP BY 1")),
-    "x7_ingest_dedupe": (lambda s: ingest.ingest_dedupe(dedupe_input(s)).select("id"), None),
+    "x7_ingest_dedupe": (lambda s: ingest.ingest_dedupe(dedupe_input(s)).select("id"), with_star(f"arrivals AS (SELECT document_id AS id, url AS u, content_hash AS h, collected_at AS came FROM docs), {ROUNDS_SQL} SELECT id FROM w WHERE status = 1").replace("WITH ", "WITH RECURSIVE ", 1)),
     "x8_ingest_quality_filter": (
         lambda s: s.documents.select(F.coalesce(ingest.reject_reason(F.col("published_at"), F.when(F.col("document_id") % 23 != 0, F.col("url")), F.contains("title", F.lit("Story 1")), "1999-01-01 00:00:00"), F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count("*").alias("rows")),
         with_star("""x AS (SELECT CASE WHEN published_at IS NULL THEN 'undated' WHEN published_at > TIMESTAMP '1999-01-01' + INTERVAL 2 DAY THEN 'future' WHEN document_id % 23 = 0 THEN 'no_url' WHEN NOT contains(title, 'Story 1') THEN 'irrelevant' ELSE 'kept' END AS reason FROM docs)
