@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import common, text
 from murmura.operators import incidents, ingest, labels, matching, risk
-from murmura.plans.q_scores import _REACH, _TIER, _events, rounded
+from murmura.plans.q_scores import _REACH, _TIER, _events, rounded, star_sql
 from murmura.plans.star import Star, with_star
 from murmura.sources import normalize
 
@@ -105,14 +105,16 @@ def titled(s: Star) -> DataFrame:
     )
 
 
+STORY_WORDS = ["bridge", "harbour", "turbine", "ledger", "warehouse", "signal", "pipeline", "voucher", "orchard", "tunnel", "reactor", "satellite"]
+ACTS = ["raid", "office", "search", "refund", "order", "betting", "license", "dispute"]
+
+
 def incident_items(s: Star) -> DataFrame:
     """Flagged documents of each entity as items; titles out of a few stories, some with an event, dated by publication."""
-    words = ["bridge", "harbour", "turbine", "ledger", "warehouse", "signal", "pipeline", "voucher", "orchard", "tunnel", "reactor", "satellite"]
     k = F.col("document_id")
-    pick = lambda i: F.element_at(F.array(*map(F.lit, words)), (F.pmod(i, F.lit(len(words))) + 1).cast("int"))
+    pick = lambda i: F.element_at(F.array(*map(F.lit, STORY_WORDS)), (F.pmod(i, F.lit(len(STORY_WORDS))) + 1).cast("int"))
     title = F.concat_ws(" ", pick(k % 5), pick(k % 5 + 3), pick(k % 7 + 5), pick(k % 3 + 1), F.lit("closes"))
-    acts = ["raid", "office", "search", "refund", "order", "betting", "license", "dispute"]
-    act = lambda i: F.element_at(F.array(*map(F.lit, acts)), (F.pmod(i, F.lit(len(acts))) + 1).cast("int"))
+    act = lambda i: F.element_at(F.array(*map(F.lit, ACTS)), (F.pmod(i, F.lit(len(ACTS))) + 1).cast("int"))
     event = F.when(k % 6 == 0, F.concat_ws(" ", act(k % 11), act(k % 11 + 2), act(k % 13 + 1))).when(k % 17 == 0, act(k % 11))
     rows = _events(s).where("risk_score > 50")
     item = F.struct("document_id", "entity_id").alias("item_id")
@@ -208,6 +210,40 @@ ROUNDS_SQL = """w AS (SELECT id, u, h, came, 0 AS status FROM arrivals
     SELECT id, u, h, came, CASE WHEN won THEN 1 WHEN bool_or(won) OVER (PARTITION BY u) OR bool_or(won) OVER (PARTITION BY h) THEN 2 ELSE 0 END AS status FROM (
       SELECT *, row_number() OVER (PARTITION BY u ORDER BY came, id) = 1 AND row_number() OVER (PARTITION BY h ORDER BY came, id) = 1 AS won FROM w WHERE status = 0)) WHERE status < 2)"""
 
+def _words_of(text_sql: str) -> str:
+    """SQL: distinct story words of a headline of `incident_items`; of these, none is a stop word or like an entity's name."""
+    one = "CASE WHEN w = 'search' THEN 'raid' WHEN length(w) > 4 AND w LIKE '%s' THEN w[:-2] ELSE w END"
+    return f"list_sort(list_distinct(list_transform(string_split({text_sql}, ' '), lambda w: {one})))"
+
+
+def _picked(words: list[str], at: str) -> str:
+    return f"([{', '.join(repr(w) for w in words)}])[CAST(({at}) % {len(words)} + 1 AS INT)]"
+
+
+#: Items, all pairs of one entity that tell one story, and components by the smallest number reachable.
+INCIDENTS_SQL = f"""fl AS (SELECT document_id AS k, entity_id, published_at, risk_score AS score FROM events WHERE risk_score > 50),
+ti AS (SELECT *, {" || ' ' || ".join(_picked(STORY_WORDS, a) for a in ("k % 5", "k % 5 + 3", "k % 7 + 5", "k % 3 + 1"))} || ' closes' AS head,
+  CASE WHEN k % 6 = 0 THEN {" || ' ' || ".join(_picked(ACTS, a) for a in ("k % 11", "k % 11 + 2", "k % 13 + 1"))} WHEN k % 17 = 0 THEN {_picked(ACTS, "k % 11")} END AS event FROM fl),
+it AS (SELECT *, row_number() OVER (ORDER BY k, entity_id) AS id, {_words_of("head")} AS t, CASE WHEN event IS NULL THEN [] ELSE {_words_of("event")} END AS e FROM ti),
+st AS (SELECT row_number() OVER () AS sid, entity_id, t, e FROM (SELECT DISTINCT entity_id, t, e FROM it)),
+sp AS (SELECT a.sid AS x, b.sid AS y FROM st a JOIN st b ON a.entity_id = b.entity_id AND a.sid <= b.sid
+  WHERE len(list_intersect(a.t, b.t)) >= 4 AND len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) >= 0.5 OR len(list_intersect(a.e, b.e)) > 0 AND (len(list_intersect(a.e, b.e)) / len(list_distinct(a.e || b.e)) >= 0.5
+    OR len(list_intersect(a.e, b.e)) >= 3 AND len(list_intersect(a.e, b.e)) / least(len(a.e), len(b.e)) >= 0.6)),
+si AS (SELECT id, sid, published_at FROM it JOIN st USING (entity_id, t, e)),
+eg AS (SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM sp JOIN si a ON a.sid = sp.x JOIN si b ON b.sid = sp.y
+  WHERE a.id <> b.id AND coalesce(abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 45 * 86400000000, TRUE)),
+bo AS (SELECT a, b FROM eg UNION ALL SELECT b, a FROM eg),
+cc(id, root) USING KEY (id) AS (SELECT id, id AS root FROM it UNION (SELECT p.id, min(c.root) FROM recurring.cc p JOIN bo ON bo.a = p.id JOIN cc c ON c.id = bo.b WHERE c.root < p.root GROUP BY p.id)),
+gi AS (SELECT it.*, cc.root FROM it JOIN cc USING (id)),
+ro AS (SELECT id AS root, k AS incident_document_id, entity_id AS incident_entity_id FROM it)"""
+
+
+def incidents_sql(select: str) -> str:
+    return star_sql(f"{INCIDENTS_SQL} {select}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SUMMARY_SQL = """SELECT incident_document_id, incident_entity_id, count(*) AS items, CAST(1 AS BIGINT) AS outlets, arg_min(head || ' - Reuters', (-score, k, entity_id)) AS lead_title, round(max(score), 6) AS score FROM gi JOIN ro USING (root) GROUP BY 1, 2"""
+
 _BARE = "text"
 for _pattern in text.BOILERPLATE:
     _BARE = f"regexp_replace({_BARE}, '{_pattern}', ' ', 'g')"
@@ -280,8 +316,9 @@ SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, label
         lambda s: s.documents.select("document_id", F.concat(F.lit('```json\n{"status": "'), F.when(F.col("document_id") % 2 == 0, "probe").otherwise("odd"), F.lit('", "event": "  A  raid '), F.col("document_id") % 5, F.lit('"}```')).alias("t")).select("document_id", risk.parse_status(F.col("t"))[0].alias("status"), risk.parse_status(F.col("t"))[1].alias("event")),
         with_star("x AS (SELECT 1) SELECT document_id, CASE WHEN document_id % 2 = 0 THEN 'probe' END AS status, 'a raid ' || (document_id % 5) AS event FROM docs"),
     ),
-    "c2_c3_incidents": (lambda s: _ids(incidents.incidents(incident_items(s)), "item_id", "incident_id"), None),
-    "c4_incident_summary": (lambda s: rounded(_ids(incidents.incident_summary(i := incident_items(s), incidents.incidents(i)), "incident_id")), None),
+    "c2_c3_incidents": (lambda s: _ids(incidents.incidents(incident_items(s)), "item_id", "incident_id"),
+        incidents_sql("SELECT k AS item_document_id, entity_id AS item_entity_id, incident_document_id, incident_entity_id FROM gi JOIN ro USING (root)")),
+    "c4_incident_summary": (lambda s: rounded(_ids(incidents.incident_summary(i := incident_items(s), incidents.incidents(i)), "incident_id")), incidents_sql(SUMMARY_SQL)),
     "g25_answer_source_stats": (lambda s: cited(s).groupBy("conv_id", "host").agg(F.countDistinct("turn").alias("answers"), F.countDistinct("page_id").alias("pages")), f"WITH {CITED_SQL} SELECT conv_id, host, count(DISTINCT turn) AS answers, count(DISTINCT page_id) AS pages FROM c GROUP BY ALL"),
     "g26_source_stability": (stability, f"""WITH {CITED_SQL}, p AS (SELECT conv_id, page_id, count(DISTINCT turn) AS k FROM c GROUP BY ALL), n AS (SELECT conv_id, count(DISTINCT turn) AS r FROM conversations WHERE role = 'assistant' GROUP BY 1)
 SELECT conv_id, round(count(*) FILTER (k = r) / count(*)::DOUBLE, 6) AS shared FROM p JOIN n USING (conv_id) GROUP BY 1"""),

@@ -12,7 +12,7 @@ from murmura.functions import common, text, udtfs
 from murmura.operators import alerts, gates, incidents, ingest, labels, lookups, names, ranks, reports, risk, scores
 from murmura.plans.q_reports import RUNS_SQL, VISIBLE_SQL, calls, daily_runs, stored_alerts, visible
 from murmura.plans.q_scores import _EXECUTIVE_SQL, TS, _REL, _events, gated_sql, rounded, star_sql
-from murmura.plans.q_text import TITLES, _ids, docs, incident_items, titled
+from murmura.plans.q_text import SUMMARY_SQL, TITLES, _ids, docs, incident_items, incidents_sql, titled
 from murmura.plans.star import AS_OF, Star, _case, with_star
 from murmura.scratch import scratch_path
 from murmura.streaming import jobs
@@ -168,7 +168,8 @@ SELECT *, CASE WHEN jobs = 0 OR failed = 0 THEN 100 ELSE CAST(round_even(complet
         f"""WITH {RUNS_SQL}, l AS (SELECT user_id, max(day) FILTER (status = 'SUCCESS') AS ok, max(finished_at) FILTER (status = 'SUCCESS') AS last_success FROM runs GROUP BY 1),
 f AS (SELECT user_id, count(*) FILTER (ok IS NULL OR day > ok) AS failures, any_value(last_success) AS last_success FROM runs JOIN l USING (user_id) GROUP BY 1)
 SELECT user_id, failures, round(least(failures * 0.2, 1.0)::DOUBLE, 6) AS penalty, last_success, CASE WHEN failures >= 5 THEN 'BROKEN' WHEN failures > 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM f"""),
-    "k8_incident_menu": (lambda s: rounded(_ids(incidents.incident_menu(incidents.incident_summary(i := incident_items(s), incidents.incidents(i))), "incident_id")), None),
+    "k8_incident_menu": (lambda s: rounded(_ids(incidents.incident_menu(incidents.incident_summary(i := incident_items(s), incidents.incidents(i))), "incident_id")),
+        incidents_sql(SUMMARY_SQL.replace("round(max(score), 6) AS score", "round(max(score), 6) AS score, max(score) AS s0") + " ORDER BY s0 DESC, items DESC, lead_title, incident_document_id, incident_entity_id LIMIT 30").replace("SELECT incident_document_id", "SELECT * EXCLUDE (s0) FROM (SELECT incident_document_id", 1) + ")"),
     "k10_candidate_list": (
         lambda s: ranks.top_per_key(s.mentions.join(s.entities.select("entity_id", "client_id"), "entity_id").groupBy("client_id", "part_id").agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.countDistinct("document_id").alias("documents")), ["client_id"], [F.desc("mentions"), F.desc("confidence"), "part_id"], 500).select("client_id", "part_id", "mentions", "documents", "rn"),
         with_star("""c AS (SELECT client_id, part_id, count(*) AS mentions, max(confidence) AS confidence, count(DISTINCT document_id) AS documents FROM mentions JOIN entities USING (entity_id) GROUP BY 1, 2),
@@ -176,7 +177,8 @@ t AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY mentions DESC
     "k12_top_tracked_executives": (
         lambda s: ranks.top_per_key(scores.executive_score(s.entities, s.documents, s.mentions, _events(s), as_of=AS_OF).withColumn("scored", F.col("health") != "INSUFFICIENT_EVIDENCE").withColumn("score", F.round("score", 6)), ["client_id"], [F.desc("scored"), F.when(F.col("scored"), F.col("score")).otherwise(0.0).desc(), F.desc("documents"), "entity_id"], 8).select("client_id", "entity_id", "rn"),
         _EXECUTIVE_SQL.rpartition("SELECT client_id, entity_id, documents")[0] + "SELECT * FROM (SELECT client_id, entity_id, row_number() OVER (PARTITION BY client_id ORDER BY enough DESC, CASE WHEN enough THEN round(score, 6) ELSE 0 END DESC, documents DESC, entity_id) AS rn FROM z) WHERE rn <= 8"),
-    "c5_collapse_by_incident": (lambda s: rounded(_ids(incidents.collapsed_by_incident(i := incident_items(s), incidents.incidents(i)).drop("shown"), "incident_id", "lead")), None),
+    "c5_collapse_by_incident": (lambda s: rounded(_ids(incidents.collapsed_by_incident(i := incident_items(s), incidents.incidents(i)).drop("shown"), "incident_id", "lead")),
+        incidents_sql("SELECT incident_document_id, incident_entity_id, arg_min(k, (-score, k, entity_id)) AS lead_document_id, arg_min(entity_id, (-score, k, entity_id)) AS lead_entity_id, round(max(score), 6) AS score, count(*) - 1 AS others FROM gi JOIN ro USING (root) GROUP BY 1, 2")),
     "c1_incident_tokens": (
         lambda s: incidents.incident_tokens(s.documents.select(F.col("document_id").alias("item_id"), F.lit(0).alias("entity_id"), F.lit("Storey Works").alias("entity_name"), F.replace("title", F.lit(" item "), F.lit(" raided links of ")).alias("title"), F.lit(None).cast("string").alias("event"))).select("item_id", "kind", "token"),
         with_star("""x AS (SELECT document_id AS item_id, title, CASE WHEN regexp_matches(title, ' - ') THEN regexp_extract(title, '^(.*) - (.*)$', 1) ELSE title END AS h FROM docs),
