@@ -30,7 +30,7 @@ def test_chat_reads_back(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.SQL[name])
