@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from murmura.scratch import discard, materialize
 
 #: Split points of a node; rows that a leaf should hold; most leaves (the tree stays of this size, leaves then grow).
-FANOUT, LEAF_ROWS, MOST_LEAVES = 16, 64, 512
+FANOUT, LEAF_ROWS, MOST_LEAVES = 16, 128, 256
 #: About so many rows, drawn by a hash, give the split points. All rows are indexed and give the distance ranges.
 SAMPLE = 8192
 #: Rows and queries that meet in one call at most: a leaf's rows and the queries that visit it are dealt into blocks.
@@ -225,12 +225,14 @@ _HITS = "anchor long, w int, other long, other_id long, score long"
 
 def visits(index: Index, routed: DataFrame, queries: DataFrame, *, same: bool, k: int, query_block: int) -> DataFrame:
     """anchor, w, other, other_id, score: the first k rows of each window among the rows of the leaf that a row of ``routed``
-    (anchor, windows, leaf) visits, for each block of the leaf by itself; ``queries`` has anchor, label, q."""
+    (anchor, windows, leaves) visits, for each block of the leaf by itself; ``queries`` has anchor, label, q.
+
+    Queries are joined to their vectors before they are dealt to leaves, so no side that Spark may broadcast has a row a visit."""
     spark = routed.sparkSession
-    chunks = routed.groupBy("leaf").agg(F.ceil(F.count("*") / query_block).cast("int").alias("chunks"))
+    chunks = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / query_block).cast("int").alias("chunks"))
     chunks = spark.createDataFrame(chunks.collect(), chunks.schema)  # a row a leaf
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = routed.join(queries, "anchor").join(F.broadcast(chunks), "leaf").withColumn("chunk", F.pmod(F.xxhash64("anchor"), F.col("chunks")).cast("int"))
+    left = routed.join(queries, "anchor").withColumn("leaf", F.explode("leaves")).drop("leaves").join(F.broadcast(chunks), "leaf").withColumn("chunk", F.pmod(F.xxhash64("anchor"), F.col("chunks")).cast("int"))
     left = left.join(F.broadcast(index.blocks), "leaf").withColumn("block", spread("blocks")).select("leaf", "block", "chunk", "anchor", "label", "q", "windows")
     right = index.rows.join(F.broadcast(chunks), "leaf").withColumn("chunk", spread("chunks")).select("leaf", "block", "chunk", "place", "vec_id", "label", "q")
     width, exact = index.tree.width, index.exact
@@ -275,7 +277,7 @@ def searched(index: Index, queries: DataFrame, *, same: bool, k: int, query_bloc
     whose distance ranges meet one of the narrowed annuli."""
     tree, exact = index.tree, index.exact
     vectors = queries.select("anchor", "label", "q")
-    home = materialize(first_k(visits(index, queries.select("anchor", "windows", "leaf"), vectors, same=same, k=k, query_block=query_block), k), "home-hits")
+    home = materialize(first_k(visits(index, queries.select("anchor", "windows", F.array("leaf").alias("leaves")), vectors, same=same, k=k, query_block=query_block), k), "home-hits")
     bound = home.where(F.col("rank") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("reached"))
     reached = F.coalesce(F.try_element_at("reached", F.col("at.w")), F.lit(-_ALL))
     narrowed = (
@@ -296,7 +298,6 @@ def searched(index: Index, queries: DataFrame, *, same: bool, k: int, query_bloc
 
     rest = queries.drop("windows").join(narrowed, "anchor").select("anchor", "q", "leaf", "windows")
     routes = materialize(rest.mapInArrow(route, f"anchor long, windows {_WINDOWS}, leaves array<int>"), "routes")
-    routes = routes.select("anchor", "windows", F.explode("leaves").alias("leaf"))
     away = visits(index, routes, vectors, same=same, k=k, query_block=query_block)
     return first_k(home.drop("rank").unionByName(away), k)
 
