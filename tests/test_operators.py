@@ -31,6 +31,21 @@ def test_components_equal_closure(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_steps_of_a_hub_stay_small_plans(spark, monkeypatch):
+    from murmura.operators import components as module
+
+    plans, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name, **o: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name, **o))
+    edges = [(500, 501 + i) for i in range(1500)] + [(i, i + 1) for i in range(1990, 2030)] + [(7, 2030), (3, 2010)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 3 for e in edges for n in e}
+    assert max(p.count("Join") for p in plans) == 4
+    plans.clear()
+    stars = [(r, n) for n, r in got.items() if n != r] + [(9000, 9001)]
+    assert components(spark.createDataFrame(stars, "a long, b long")).count() == len(got) + 2
+    assert len(plans) == 1  # what is settled takes no step
+
+
 def test_components_with_tasks_joining_links_first(spark, monkeypatch):
     from murmura.operators import components as module
 
