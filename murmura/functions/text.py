@@ -90,7 +90,7 @@ def executive_titles(text: Column) -> Column:
 
 def high_value_segments(title: Column, text: Column, words: list[str]) -> Column:
     """Title, two lead paragraphs, up to four that hold a word, and three more if little was found; cut at a sentence."""
-    paragraphs = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda p: p != "")
     later = F.slice(paragraphs, 3, 10_000_000)
     hit = lambda p: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(p), w))
     head = F.when(F.trim(title) != "", F.array(F.concat(F.lit("Title: "), F.trim(title)))).otherwise(F.array().cast("array<string>"))

@@ -2,7 +2,10 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from murmura import scratch
+from murmura.functions import text
 from murmura.operators import components, incidents
 
 
@@ -48,3 +51,9 @@ def test_components_broadcast_no_table_of_nodes(spark, monkeypatch):
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == dict.fromkeys(range(10), 0) and len(seen) > 2
     assert [line for _, text in seen for line in broadcasts(text)] == []
+
+
+def test_segments_keep_digits_at_the_ends_of_paragraphs(spark):
+    whole = "001 first 0\n  1 second 11 \n22 third harbour 2\n3 fourth 33"
+    df = spark.createDataFrame([(whole,)], "t string").select(text.high_value_segments(F.lit("001 first 0"), F.col("t"), ["harbour"]).alias("s"))
+    assert df.first().s == "Title: 001 first 0\n\n001 first 0\n\n1 second 11\n\n22 third harbour 2"
