@@ -225,7 +225,7 @@ def likely_pairs(left: DataFrame, right: DataFrame, keys: list[str], limit: Colu
     sought = cut(x.withColumn("lb", F.explode(lengths(la)))).withColumns({"at": at, "width": width, "first": first, "last": last}).where("first <= last")
     sought = sought.withColumn("from", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("last") + F.col("at")))).where("from >= 0 AND from + width <= la").withColumn("part", F.substr("name", F.col("from") + 1, F.col("width")))
     on = [*keys, "la", "lb", "i", "part"]
-    met = sought.select(*on, "name", "edits").join(held.select(*on, "other"), on).where(F.levenshtein("name", "other") <= F.col("edits"))
+    met = sought.select(*on, "name", "edits").join(by_shuffle(held.select(*on, "other")), on).where(F.levenshtein("name", "other") <= F.col("edits"))
     return met.select(*keys, "name", "other").distinct()
 
 
@@ -241,9 +241,9 @@ def near_duplicate_names(candidates: DataFrame, tracked: DataFrame, *, person: f
     x, y = low(candidates, "name").distinct(), low(tracked, "other").distinct()
     long = (F.col("kind") == "person") | ((F.length("name") >= 5) & (F.length("other") >= 5))
     pairs = likely_pairs(x, y, keys, limit).where(long).withColumn("ratio", difflib_ratio("name", "other")).where(F.col("ratio") >= limit)
-    whole = pairs.join(x, [*keys, "name"]).join(y, [*keys, "other"]).select(*keys, F.col("name_name").alias("name"), F.col("other_name").alias("tracked"), "ratio", F.lit("name").alias("basis"))
+    whole = pairs.join(by_shuffle(x), [*keys, "name"]).join(by_shuffle(y), [*keys, "other"]).select(*keys, F.col("name_name").alias("name"), F.col("other_name").alias("tracked"), "ratio", F.lit("name").alias("basis"))
     first = lambda df, c: df.where("kind <> 'person'").withColumn(c, F.split(F.col(c), " ")[0]).where(F.length(c) >= 5)
     hx, hy = first(x, "name"), first(y, "other")
     heads = likely_pairs(hx, hy, keys, F.lit(head)).where("name <> other").withColumn("ratio", difflib_ratio("name", "other")).where(F.col("ratio") >= head)
-    by_head = heads.join(hx, [*keys, "name"]).join(hy, [*keys, "other"]).select(*keys, F.col("name_name").alias("name"), F.col("other_name").alias("tracked"), "ratio", F.lit("head").alias("basis"))
-    return whole.unionByName(by_head.join(whole, [*keys, "name", "tracked"], "left_anti"))
+    by_head = heads.join(by_shuffle(hx), [*keys, "name"]).join(by_shuffle(hy), [*keys, "other"]).select(*keys, F.col("name_name").alias("name"), F.col("other_name").alias("tracked"), "ratio", F.lit("head").alias("basis"))
+    return whole.unionByName(by_head.join(by_shuffle(whole), [*keys, "name", "tracked"], "left_anti"))
