@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmura.functions.text import entity_key
 from murmura.operators import names
 from murmura.operators.incidents import difflib_ratio, likely_pairs
-from murmura.scratch import materialize
+from murmura.scratch import by_shuffle, materialize
 
 
 def boost_terms(entities: DataFrame) -> DataFrame:
@@ -108,26 +108,26 @@ def candidate_review(candidates: DataFrame, twin: float = 0.88) -> DataFrame:
     alike = pairs.where(difflib_ratio("name", "other") >= twin)
     a = rows.select("client_id", F.col("low").alias("name"), F.col("place").alias("a"))
     b = rows.select("client_id", F.col("low").alias("other"), F.col("place").alias("b"))
-    twins = materialize(alike.join(a, ["client_id", "name"]).join(b, ["client_id", "other"]).where("a < b").select("client_id", "a", "b"), "review-twins")
+    twins = materialize(alike.join(by_shuffle(a), ["client_id", "name"]).join(by_shuffle(b), ["client_id", "other"]).where("a < b").select("client_id", "a", "b"), "review-twins")
     left, leaders = twins, None
     while not left.isEmpty():
         later = left.select("client_id", F.col("b").alias("a")).distinct()
-        first = left.select("client_id", "a").distinct().join(later, ["client_id", "a"], "left_anti")
+        first = left.select("client_id", "a").distinct().join(by_shuffle(later), ["client_id", "a"], "left_anti")
         leaders = first if leaders is None else leaders.unionByName(first)
         # Names under a new leader are decided, and so are leaders: their links go, from both ends.
-        under = left.join(first, ["client_id", "a"], "left_semi").select("client_id", F.col("b").alias("x")).distinct()
-        gone = under.unionByName(first.select("client_id", F.col("a").alias("x")))
+        under = left.join(by_shuffle(first), ["client_id", "a"], "left_semi").select("client_id", F.col("b").alias("x")).distinct()
+        gone = by_shuffle(under.unionByName(first.select("client_id", F.col("a").alias("x"))))
         rest = left.join(gone.withColumnRenamed("x", "a"), ["client_id", "a"], "left_anti").join(gone.withColumnRenamed("x", "b"), ["client_id", "b"], "left_anti")
         freed = left.select("client_id", F.col("b").alias("a")).join(gone.withColumnRenamed("x", "a"), ["client_id", "a"], "left_anti").distinct()
-        alone = freed.join(rest.select("client_id", F.col("b").alias("a")), ["client_id", "a"], "left_anti").join(rest.select("client_id", "a"), ["client_id", "a"], "left_anti")
+        alone = freed.join(by_shuffle(rest.select("client_id", F.col("b").alias("a"))), ["client_id", "a"], "left_anti").join(by_shuffle(rest.select("client_id", "a")), ["client_id", "a"], "left_anti")
         leaders = materialize(leaders.unionByName(alone), "review-leaders")
         left = materialize(rest, "review-twins")
     if leaders is None:
         return rows.select("client_id", "name", F.col("name").alias("leader"))
-    led = twins.join(leaders, ["client_id", "a"], "left_semi").join(leaders.withColumnRenamed("a", "b"), ["client_id", "b"], "left_anti")
+    led = twins.join(by_shuffle(leaders), ["client_id", "a"], "left_semi").join(by_shuffle(leaders.withColumnRenamed("a", "b")), ["client_id", "b"], "left_anti")
     best = led.groupBy("client_id", F.col("b").alias("place")).agg(F.min("a").alias("under"))
     named = rows.select("client_id", F.col("place").alias("under"), F.col("name").alias("leader"))
-    return rows.join(best, ["client_id", "place"], "left").join(named, ["client_id", "under"], "left").select("client_id", "name", F.coalesce("leader", "name").alias("leader"))
+    return rows.join(by_shuffle(best), ["client_id", "place"], "left").join(by_shuffle(named), ["client_id", "under"], "left").select("client_id", "name", F.coalesce("leader", "name").alias("leader"))
 
 
 def slice_priority(slices: DataFrame, kinds: dict[str, int], key: str) -> DataFrame:
