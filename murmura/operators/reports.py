@@ -11,7 +11,7 @@ from murmura.functions.jsons import stripped_json
 
 def topic_of_document(topics: DataFrame) -> DataFrame:
     """Topic of highest confidence; earliest line, then topic, on ties."""
-    best = F.min_by("topic", F.struct(-F.col("topic_confidence"), F.col("line"), F.col("topic"))).alias("topic")
+    best = F.min(F.struct((-F.col("topic_confidence")).alias("less"), "line", "topic"))["topic"].alias("topic")
     return topics.groupBy("document_id").agg(best)
 
 
@@ -111,19 +111,20 @@ def document_enrichment(visible: DataFrame, documents: DataFrame, sources: DataF
     return rows.select("client_id", "document_id", "source_name", "risk_score", "entity_id", F.coalesce("label", "sentiment_label").alias("label"), F.coalesce("topic", F.lit("General")).alias("topic"), "mentions")
 
 
-def document_feed(visible: DataFrame, documents: DataFrame, sources: DataFrame, events: DataFrame, topics: DataFrame, mentions: DataFrame, labels: DataFrame) -> DataFrame:
+def document_feed(visible: DataFrame, documents: DataFrame, sources: DataFrame, events: DataFrame, topics: DataFrame, mentions: DataFrame) -> DataFrame:
     """One row for each (client_id, document_id) of ``visible`` as readers are shown it.
 
-    ``events`` (client_id, document_id, entity_id, risk_score, explainability) holds no competitors; of a document's the highest counts, the
-    smallest entity on ties. ``mentions`` (document_id, entity_id, entity_name, entity_type), ``labels`` (document_id, entity_id, label). A
-    document without a score shows risk 0 and scored false. risk rounds half to even, bands and risk_exact are of the score as it is.
-    Every side is one row a document before it is joined."""
-    best = events.groupBy("client_id", "document_id").agg(F.min_by(F.struct("risk_score", "entity_id", "explainability"), F.struct(-F.col("risk_score"), F.col("entity_id"))).alias("r"))
+    ``events`` (client_id, document_id, entity_id, risk_score, sentiment, explainability) holds no competitors; of a document's the highest
+    counts, the smallest entity on ties. ``mentions`` (document_id, entity_id, entity_name, entity_type). A document without a score shows
+    risk 0 and scored false. risk rounds half to even, bands and risk_exact are of the score as it is.
+    What readers are shown of a document is one row of it, which meets its clients last: rows of (client, document) go through
+    the other joins as ids and what their event says, and no text is repeated in them."""
+    best = events.groupBy("client_id", "document_id").agg(F.min_by(F.struct("risk_score", F.col("sentiment").alias("label"), "explainability"), F.struct(-F.col("risk_score"), F.col("entity_id"))).alias("r"))
     entity = F.struct(F.coalesce("entity_name", F.lit("Unknown")).alias("name"), F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"))
-    said = mentions.select("document_id", "entity_id", entity.alias("e")).distinct().groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "e"))), lambda x: x["e"]).alias("extracted_entities"))
-    rows = visible.select("client_id", "document_id").join(documents, "document_id").join(best, ["client_id", "document_id"], "left").select("*", "r.*").drop("r")
-    rows = rows.join(labels.select("document_id", "entity_id", "label"), ["document_id", "entity_id"], "left").join(topic_of_document(topics), "document_id", "left").join(said, "document_id", "left")
-    rows = rows.join(sources.select("source_id", "source_name"), "source_id", "left")
+    said = mentions.select("document_id", F.struct("entity_id", entity.alias("e")).alias("m")).groupBy("document_id").agg(F.transform(F.array_sort(F.collect_set("m")), lambda x: x["e"]).alias("extracted_entities"))
+    seen = visible.select("client_id", "document_id").join(best, ["client_id", "document_id"], "left").select("client_id", "document_id", "r.*")
+    shown = documents.join(sources.select("source_id", "source_name"), "source_id", "left").join(topic_of_document(topics), "document_id", "left").join(said, "document_id", "left")
+    rows = seen.join(shown, "document_id")
     source, score, sentiment = F.coalesce("source_name", F.lit("RSS Feed")), F.col("risk_score"), F.coalesce("sentiment_score", F.lit(0.0))
     scored = score.isNotNull()
     return rows.select(

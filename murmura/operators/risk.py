@@ -29,7 +29,7 @@ def top_risk_topic(topics: DataFrame) -> DataFrame:
 
 def entity_sentiment(mentions: DataFrame) -> DataFrame:
     """First label and confidence of each (document, entity)."""
-    first = F.min_by(F.struct("label", "confidence"), F.struct("line", "label", "confidence")).alias("s")
+    first = F.min(F.struct("line", "label", "confidence")).alias("s")
     return mentions.groupBy("document_id", "entity_id").agg(first).select("document_id", "entity_id", "s.label", "s.confidence")
 
 

@@ -229,7 +229,7 @@ def document_feed(s: Star) -> DataFrame:
     own = gates.without_competitors(_events(s)).withColumn("explainability", F.to_json(F.struct(F.struct(F.lit(1).alias("trend"), F.col("entity_id").alias("by")).alias("weights"))))
     rows = s.documents.withColumns({"normalized_content": F.concat("title", F.lit(" text")), "processing_status": F.when(k % 4 != 0, "PROCESSED"), "title": F.when(k % 19 != 0, F.col("title")).otherwise("")})
     named = s.mentions.select("document_id", "entity_id").join(s.entities.select("entity_id", "entity_name", "entity_type"), "entity_id")
-    feed = reports.document_feed(visible(s), rows, s.sources, own, s.topics, named, risk.entity_sentiment(s.mentions))
+    feed = reports.document_feed(visible(s), rows, s.sources, own, s.topics, named)
     said = F.array_join(F.transform("extracted_entities", lambda e: F.concat_ws("/", e["name"], e["entity_type"])), ",")
     return rounded(feed.withColumns({"extracted_entities": said, "timestamp": F.col("timestamp").cast("timestamp_ntz")}))
 

@@ -1,12 +1,17 @@
 """Plans at size: what grows with the rows is neither broadcast nor carried through shuffles it isn't needed in."""
 
+import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from murmura import scratch
 from murmura.functions import text
-from murmura.operators import components, incidents, lookups
+from murmura.operators import components, incidents, lookups, terms
+from murmura.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -67,3 +72,32 @@ def test_competitor_gate_copies_no_text(spark):
     # Only ids are shuffled.
     text_plan = plan(got)
     assert "Join" not in text_plan and "Generate" not in text_plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_document_feed_shuffles_texts_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = registry.queries()["x13_doc_feed"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The joins in the branch that holds the texts: with the (client, document) rows, extracted entities, topic and source.
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(nodes) if "AS normalized_content" in line)
+    above, least = [], depth(nodes[at])
+    for line in reversed(nodes[:at]):
+        if depth(line) < least:
+            least = depth(line)
+            above.append(line)
+    assert sum("Join" in line for line in above) == 4
+
+
+def test_names_and_review_broadcast_nothing(spark, monkeypatch):
+    names = spark.createDataFrame([(1, f"harbour works {i}", "brand") for i in range(4)], "client_id long, name string, kind string")
+    got = incidents.near_duplicate_names(names, names)
+    assert broadcasts(plan(got)) == [] and got.count() == 16
+    seen = written_plans(monkeypatch, terms)
+    rows = spark.createDataFrame([("c", f"harbour works {i}", 0, 0.5, i) for i in range(4)], "client_id string, name string, tier int, confidence double, mentions long")
+    led = terms.candidate_review(rows)
+    assert {r.leader for r in led.collect()} == {"harbour works 3"} and len(seen) > 3
+    assert [line for text in [*(t for _, t in seen), plan(led)] for line in broadcasts(text)] == []
